@@ -37,3 +37,41 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_long(*names: str) -> list:
     return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
+def contracts_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contract_id, title, full_text) without the nested detour."""
+    from pactum.sources.adapters import contracts_flat as cf
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return cf(docs)
+
+
+# Search batch used by the registered search queries: the keyword lists of
+# FIXTURES.md section 2, with varied result caps to exercise the clamp.
+SEARCH_BATCH = [
+    (1, ["the", "and"], 10),
+    (2, ["in the"], 10),
+    (3, ["MIT License"], 5),
+    (4, ["under the", "license"], 10),
+    (5, ["src3", "que"], 20),
+    (6, ["", "THE."], 10),
+    (7, ["the", "the", "of the"], 0),
+    (8, ["en", "éé"], 10),
+    (9, ["a a"], 3),
+    (10, ["zzzz"], 10),
+    (11, ["and in", "or", "as of"], -1),
+]
+
+
+def search_batch(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SEARCH_BATCH, "query_id BIGINT, keywords ARRAY<STRING>, max_results INT")
+
+
+def read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read requests logged by agents: every click event asks for contract
+    ``k`` (``1000000 + k`` when ``k % 25 = 24``)."""
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return ev.filter(F.col("event_type") == "click").select(
+        F.col("event_id").alias("request_id"),
+        F.when(F.pmod(k, F.lit(25)) == 24, k + 1000000).otherwise(k).alias("contract_id"))

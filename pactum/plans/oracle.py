@@ -158,3 +158,81 @@ st AS (SELECT CAST(epoch AS BIGINT) AS epoch, CAST(epoch_rank - 1 AS BIGINT) AS
        FROM rk)
 SELECT st.*, (global_step > 0 AND global_step % 30 = 0) AS eval_before, CAST(r.run_idx AS BIGINT) AS run_idx
 FROM st, range(1, {TRAJECTORIES_PER_GROUP} + 1) r(run_idx)"""
+
+
+# --- step 4-5 -------------------------------------------------------------------
+
+PAT = r"'[\p{L}\p{N}]+'"
+FOLDED = "list_transform(regexp_extract_all(@X@, " + PAT + "), lambda t: strip_accents(lower(t)))"
+
+CTOKS = DOCS + f""",
+cdocs AS (SELECT contract_id, title, replace(text, chr(10), {SEP_SQL}) AS full_text FROM docs),
+ctoks AS (SELECT contract_id, {FOLDED.replace('@X@', 'title')} AS tt, {FOLDED.replace('@X@', 'full_text')} AS bt FROM cdocs),
+post AS (
+  SELECT contract_id, 0 AS col, unnest(generate_series(0, len(tt) - 1)) AS pos, unnest(tt) AS token FROM ctoks
+  UNION ALL
+  SELECT contract_id, 1 AS col, unnest(generate_series(0, len(bt) - 1)) AS pos, unnest(bt) AS token FROM ctoks)"""
+
+
+def _batch_values() -> str:
+    from pactum.plans.common import SEARCH_BATCH
+
+    def lit(s):
+        return "'" + s.replace("'", "''") + "'"
+    rows = [f"({q}, [{', '.join(lit(k) for k in kws)}]::VARCHAR[], {m})" for q, kws, m in SEARCH_BATCH]
+    return ",\n    ".join(rows)
+
+
+SEARCH = CTOKS + f""",
+q AS (SELECT * FROM (VALUES
+    {_batch_values()}) v(query_id, keywords, max_results)),
+kw AS (SELECT query_id, unnest(keywords) AS keyword, unnest(generate_series(0, len(keywords) - 1)) AS kw_idx FROM q),
+kt AS (SELECT query_id, kw_idx, {FOLDED.replace('@X@', 'keyword')} AS toks FROM kw),
+qtok AS (SELECT query_id, kw_idx, len(toks) AS n_tok, unnest(toks) AS token,
+                unnest(generate_series(0, len(toks) - 1)) AS tok_idx FROM kt WHERE len(toks) > 0),
+occ AS (SELECT query_id, kw_idx, n_tok, contract_id, col, pos - tok_idx AS start
+        FROM post JOIN qtok USING (token)
+        GROUP BY query_id, kw_idx, n_tok, contract_id, col, pos - tok_idx HAVING count(*) = n_tok),
+tf AS (SELECT query_id, kw_idx, contract_id, count(*) AS tf FROM occ GROUP BY query_id, kw_idx, contract_id),
+nkw AS (SELECT query_id, count(DISTINCT kw_idx) AS n_kw FROM qtok GROUP BY query_id),
+fullm AS (SELECT t.query_id, t.contract_id FROM tf t JOIN nkw n USING (query_id)
+          GROUP BY t.query_id, t.contract_id, n.n_kw HAVING count(*) = n.n_kw),
+dfi AS (SELECT query_id, kw_idx, count(*) AS n_i FROM tf GROUP BY query_id, kw_idx),
+ds AS (SELECT contract_id, len(tt) + len(bt) AS doc_len FROM ctoks),
+g AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, CAST(sum(doc_len) AS DOUBLE) / count(*) AS avgdl FROM ds),
+terms AS (
+  SELECT tf.query_id, tf.contract_id,
+         CASE WHEN ln((g.n_docs - n_i + CAST(0.5 AS DOUBLE)) / (n_i + CAST(0.5 AS DOUBLE))) <= 0 THEN CAST(1e-6 AS DOUBLE)
+              ELSE ln((g.n_docs - n_i + CAST(0.5 AS DOUBLE)) / (n_i + CAST(0.5 AS DOUBLE))) END
+         * CAST(tf AS DOUBLE) * CAST(2.2 AS DOUBLE)
+         / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * doc_len / g.avgdl)) AS term
+  FROM tf JOIN fullm USING (query_id, contract_id) JOIN dfi USING (query_id, kw_idx) JOIN ds USING (contract_id), g),
+scored AS (SELECT query_id, contract_id, CAST(CAST(-sum(term) AS DECIMAL(38,12)) AS DOUBLE) AS score
+           FROM terms GROUP BY query_id, contract_id),
+ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score, s.contract_id) AS rank,
+                  CASE WHEN q.max_results IS NULL OR q.max_results <= 0 OR q.max_results > 10 THEN 10 ELSE q.max_results END AS k
+           FROM scored s JOIN q USING (query_id))"""
+
+ORACLE["tokens"] = f"""WITH {CTOKS}
+SELECT contract_id, CAST(len(tt) AS BIGINT) AS n_title_tokens, CAST(len(bt) AS BIGINT) AS n_body_tokens,
+       CAST(len(list_distinct(list_concat(tt, bt))) AS BIGINT) AS n_distinct_tokens,
+       bt[1] AS first_body_token
+FROM ctoks"""
+
+ORACLE["postings"] = f"""WITH {CTOKS}
+SELECT contract_id, CAST(col AS BIGINT) AS col, CAST(pos AS BIGINT) AS pos, token FROM post"""
+
+ORACLE["search_topk"] = f"""WITH {SEARCH}
+SELECT CAST(r.query_id AS BIGINT) AS query_id, CAST(r.rank AS BIGINT) AS rank, r.contract_id, c.title, r.score
+FROM ranked r JOIN cdocs c USING (contract_id)
+WHERE r.rank <= r.k"""
+
+ORACLE["read_by_id"] = f"""WITH {DOCS},
+cdocs AS (SELECT contract_id, title, replace(text, chr(10), {SEP_SQL}) AS full_text FROM docs),
+ev AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'click'),
+req AS (SELECT event_id AS request_id, CASE WHEN k % 25 = 24 THEN k + 1000000 ELSE k END AS contract_id FROM ev)
+SELECT r.request_id, r.contract_id,
+       CASE WHEN r.contract_id IS NULL OR r.contract_id <= 0 THEN 'invalid_id'
+            WHEN c.contract_id IS NULL THEN 'not_found' ELSE 'ok' END AS status,
+       c.title, CAST(length(c.full_text) AS BIGINT) AS text_length, md5(c.full_text) AS text_md5
+FROM req r LEFT JOIN cdocs c ON r.contract_id > 0 AND r.contract_id = c.contract_id"""

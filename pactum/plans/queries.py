@@ -99,3 +99,47 @@ def q_scenario_sample(spark, sf_dir):
 def q_training_schedule(spark, sf_dir):
     s = scen_ops.sample_scenarios(C.split(spark, sf_dir), "train", TRAINING_DATASET_SIZE, shuffle=True)
     return scen_ops.training_schedule(s)
+
+
+# --- step 4-5: index, search, lookup ----------------------------------------
+
+from pactum.operators import lookup as lookup_ops  # noqa: E402
+from pactum.operators import search as search_ops  # noqa: E402
+from pactum.operators import textindex as ti  # noqa: E402
+
+
+@query("tokens")
+def q_tokens(spark, sf_dir):
+    return ti.token_summary(C.contracts_flat(spark, sf_dir))
+
+
+@query("postings")
+def q_postings(spark, sf_dir):
+    p = ti.postings(C.contracts_flat(spark, sf_dir))
+    return p.select(*C.as_long("contract_id", "col", "pos"), "token")
+
+
+def _search(spark, sf_dir):
+    c = C.contracts_flat(spark, sf_dir)
+    return search_ops.search(C.search_batch(spark), ti.postings(c), ti.doc_stats(c), c)
+
+
+@query("search_topk")
+def q_search_topk(spark, sf_dir):
+    return _search(spark, sf_dir)
+
+
+@query("search_snippet")
+def q_search_snippet(spark, sf_dir):
+    c = C.contracts_flat(spark, sf_dir)
+    res = search_ops.search_with_snippets(C.search_batch(spark), ti.postings(c), ti.doc_stats(c), c)
+    return res.select("query_id", "rank", "contract_id", "snippet_col", "snippet")
+
+
+@query("read_by_id")
+def q_read_by_id(spark, sf_dir):
+    r = lookup_ops.read_by_id(C.read_requests(spark, sf_dir), C.contracts_flat(spark, sf_dir))
+    return r.select(F.col("request_id").cast("bigint").alias("request_id"),
+                    F.col("contract_id").cast("bigint").alias("contract_id"), "status", "title",
+                    F.length("full_text").cast("bigint").alias("text_length"),
+                    F.md5("full_text").alias("text_md5"))
