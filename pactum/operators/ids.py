@@ -83,3 +83,16 @@ def hash_rank(df: DataFrame, key_col: str, seed: int | str, rank_col: str = "ran
         .withColumn(rank_col, (F.col("_base") + F.row_number().over(inside)).cast("bigint"))
         .drop("_h", "_bucket", "_base")
     )
+
+
+def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str],
+                     col: str = "rn") -> DataFrame:
+    """Row number 1..n inside each group without a per-group window, so a
+    group holding a third of all rows is still split across tasks: global
+    dense ids over (group, order) minus the group's first id (a partial
+    aggregate), joined back on the group key (AQE splits a skewed side)."""
+    ided = dense_ids(df, [*group_cols, *order_cols], "_gid")
+    first = ided.groupBy(*group_cols).agg(F.min("_gid").alias("_first"))
+    return (ided.join(first, group_cols)
+            .withColumn(col, (F.col("_gid") - F.col("_first") + 1).cast("bigint"))
+            .drop("_gid", "_first"))

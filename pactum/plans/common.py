@@ -75,3 +75,27 @@ def read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.filter(F.col("event_type") == "click").select(
         F.col("event_id").alias("request_id"),
         F.when(F.pmod(k, F.lit(25)) == 24, k + 1000000).otherwise(k).alias("contract_id"))
+
+
+def run_inputs(spark: SparkSession, sf_dir: str):
+    """(turns, run scenarios, contract ids, judge replies) from the driver tables."""
+    from pactum.sources import runlog
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    turns = runlog.turns(events)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    titles = docs.select((F.col("doc_id") + 1).alias("contract_id"),
+                         F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string")).alias("title"))
+    scen = runlog.run_scenarios(events, titles)
+    ids = titles.select("contract_id")
+    return turns, scen, ids, runlog.judge_replies(turns)
+
+
+def classified(spark: SparkSession, sf_dir: str):
+    from pactum.operators import runs
+    turns, scen, ids, replies = run_inputs(spark, sf_dir)
+    return runs.classified_turns(turns, scen, ids, replies)
+
+
+def rubric(spark: SparkSession, sf_dir: str):
+    from pactum.operators import runs
+    return runs.rubric(classified(spark, sf_dir))

@@ -236,3 +236,210 @@ SELECT r.request_id, r.contract_id,
             WHEN c.contract_id IS NULL THEN 'not_found' ELSE 'ok' END AS status,
        c.title, CAST(length(c.full_text) AS BIGINT) AS text_length, md5(c.full_text) AS text_md5
 FROM req r LEFT JOIN cdocs c ON r.contract_id > 0 AND r.contract_id = c.contract_id"""
+
+
+# --- step 6: runs ------------------------------------------------------------------
+# The oracle derives each turn's outcome straight from the event semantics of
+# the adapter (no JSON parsing), an independent path to the same rubric.
+
+from pactum.functions.prompts import (AGENT_SYSTEM_TEMPLATE, AGENT_USER_TEMPLATE,  # noqa: E402
+                                      FINAL_ANSWER_CONFIRMATION, JSON_MODE_SUFFIX, JUDGE_USER_TEMPLATE,
+                                      render_sql)
+
+RUN_ACT = """
+ev AS (
+  SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+act AS (
+  SELECT *, CAST(user_id * 100 + (rn - 1) // 12 AS BIGINT) AS trajectory_id, CAST((rn - 1) % 12 + 1 AS BIGINT) AS turn,
+         user_id % 10 <> 9 AS use_tools, CAST(1 + (user_id * 7) % 100 AS BIGINT) AS target,
+         CASE event_type
+           WHEN 'error' THEN CASE WHEN value >= 60 THEN 'fail' ELSE 'search' END
+           WHEN 'signup' THEN CASE WHEN value >= 180 OR user_id % 10 = 9 THEN 'text' ELSE 'search' END
+           WHEN 'purchase' THEN CASE WHEN value >= 100 THEN 'answer' ELSE 'search' END
+           WHEN 'click' THEN 'read'
+           WHEN 'view' THEN CASE WHEN k < 3 THEN 'unknown' WHEN k < 6 THEN 'broken' ELSE 'search' END
+         END AS action,
+         CASE WHEN k % 25 = 24 THEN k + 1000000 ELSE k END AS rid,
+         CASE WHEN k % 2 = 0 THEN CAST(1 + (user_id * 7) % 100 AS BIGINT) ELSE k END AS src,
+         CASE WHEN k % 5 = 0 THEN 'I could not find the clause.' ELSE 'clause ' || CAST(k AS VARCHAR) END AS ans_text
+  FROM ev),
+cls AS (
+  SELECT a.*,
+    CASE
+      WHEN action = 'fail' THEN 'model_failure'
+      WHEN action = 'text' THEN CASE WHEN use_tools THEN 'text_reply' ELSE 'unparsable' END
+      WHEN action = 'broken' THEN CASE WHEN use_tools THEN 'bad_arguments' ELSE 'unparsable' END
+      WHEN action = 'unknown' THEN 'unknown_tool'
+      WHEN action = 'search' THEN CASE WHEN use_tools THEN 'searched' ELSE 'stop_after_tool' END
+      WHEN action = 'read' THEN CASE WHEN use_tools THEN 'read' ELSE 'stop_after_tool' END
+      WHEN action = 'answer' THEN 'answered'
+    END AS outcome,
+    (action = 'search' AND target BETWEEN k + 1 AND k + 10) AS f_found_in_search,
+    (action = 'read' AND rid > 0 AND rid = target) AS f_read_correct,
+    (action = 'read' AND (rid <= 0 OR rid NOT IN (SELECT doc_id + 1 FROM documents))) AS f_invalid_read,
+    (action = 'answer') AS f_attempted,
+    (action = 'answer' AND k % 5 = 0) AS f_dont_know,
+    (action = 'answer' AND k % 5 <> 0) AS f_judged,
+    (action = 'answer' AND k % 5 <> 0 AND k % 3 <> 0) AS f_text_correct,
+    (action = 'answer' AND k % 5 <> 0 AND src = target) AS f_found_contract,
+    CASE WHEN action = 'fail' THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS p_tokens,
+    CASE WHEN action = 'fail' THEN 0 ELSE k END AS c_tokens,
+    CASE WHEN action = 'answer' AND k % 5 <> 0 THEN k + 100 ELSE 0 END AS jp_tokens,
+    CASE WHEN action = 'answer' AND k % 5 <> 0 THEN 1 ELSE 0 END AS jc_tokens
+  FROM act a WHERE turn <= 10),
+cls2 AS (
+  SELECT *, outcome NOT IN ('searched', 'read') AS terminal,
+         outcome IN ('model_failure', 'text_reply', 'no_call', 'unknown_tool') AS f_bad_name,
+         outcome IN ('no_function', 'bad_arguments') AS f_bad_args,
+         outcome IN ('unparsable', 'null_call') AS f_cant_parse
+  FROM cls),
+kept AS (
+  SELECT * FROM (
+    SELECT *, min(CASE WHEN terminal THEN turn END) OVER (PARTITION BY trajectory_id) AS t_end,
+              count(*) OVER (PARTITION BY trajectory_id) AS n_logged
+    FROM cls2)
+  WHERE t_end IS NULL OR turn <= t_end),
+rub0 AS (
+  SELECT trajectory_id, first(user_id) AS scenario_id, first(use_tools) AS use_tools,
+         max(t_end) AS t_end, max(n_logged) AS n_logged,
+         bool_or(f_text_correct) AS clause_text_correct, bool_or(f_found_contract) AS found_correct_contract,
+         bool_or(f_attempted) AS attempted_answer, bool_or(f_dont_know) AS returned_i_dont_know,
+         bool_or(f_found_in_search) AS ever_found_correct_contract_in_search,
+         bool_or(f_read_correct) AS ever_read_correct_contract,
+         bool_or(f_invalid_read) AS tried_to_read_invalid_contract,
+         bool_or(f_cant_parse) AS cant_parse_tool_call, bool_or(f_bad_name) AS bad_tool_call_name,
+         bool_or(f_bad_args) AS bad_tool_call_args,
+         CAST(sum(p_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(c_tokens) AS BIGINT) AS completion_tokens,
+         CAST(sum(jp_tokens) AS BIGINT) AS judge_prompt_tokens, CAST(sum(jc_tokens) AS BIGINT) AS judge_completion_tokens,
+         arg_max(outcome, turn) AS last_outcome,
+         (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration
+  FROM kept GROUP BY trajectory_id),
+rub AS (
+  SELECT trajectory_id, scenario_id, use_tools,
+         CASE WHEN t_end IS NOT NULL OR n_logged >= 10 THEN 'valid' ELSE 'incomplete' END AS status,
+         CASE WHEN t_end IS NULL AND n_logged >= 10 THEN 'out_of_turns' WHEN t_end IS NOT NULL THEN last_outcome
+              ELSE 'incomplete' END AS stop_reason,
+         clause_text_correct, found_correct_contract,
+         CAST(coalesce(t_end, CASE WHEN n_logged >= 10 THEN 11 END, n_logged) AS BIGINT) AS num_turns,
+         attempted_answer, returned_i_dont_know, ever_found_correct_contract_in_search, ever_read_correct_contract,
+         tried_to_read_invalid_contract, cant_parse_tool_call, bad_tool_call_name, bad_tool_call_args,
+         (t_end IS NULL AND n_logged >= 10) AS ran_out_of_turns,
+         prompt_tokens, completion_tokens, judge_prompt_tokens, judge_completion_tokens, duration
+  FROM rub0),
+rew AS (
+  SELECT *, CASE
+      WHEN cant_parse_tool_call THEN -2.0 WHEN bad_tool_call_name THEN -1.9
+      WHEN bad_tool_call_args THEN -1.8 WHEN tried_to_read_invalid_contract THEN -1.7
+      WHEN NOT attempted_answer THEN (CASE WHEN ran_out_of_turns THEN -0.5 ELSE -0.3 END)
+           + (CASE WHEN ever_found_correct_contract_in_search THEN 0.05 ELSE 0.0 END)
+           + (CASE WHEN ever_read_correct_contract THEN 0.05 ELSE 0.0 END)
+      WHEN clause_text_correct AND found_correct_contract THEN 1.0 + 0.2 * (1 - num_turns / 10.0)
+      ELSE (CASE WHEN found_correct_contract THEN -1.0 ELSE -1.2 END)
+           + (CASE WHEN ever_found_correct_contract_in_search THEN 0.05 ELSE 0.0 END)
+           + (CASE WHEN ever_read_correct_contract THEN 0.05 ELSE 0.0 END)
+    END AS reward_raw
+  FROM rub),
+met AS (
+  SELECT trajectory_id, scenario_id, status,
+         CAST(clause_text_correct AS INTEGER) AS clause_text_correct, CAST(found_correct_contract AS INTEGER) AS found_correct_contract,
+         CAST(attempted_answer AS INTEGER) AS attempted_answer, CAST(returned_i_dont_know AS INTEGER) AS returned_i_dont_know,
+         CAST(ever_found_correct_contract_in_search AS INTEGER) AS ever_found_correct_contract_in_search,
+         CAST(ever_read_correct_contract AS INTEGER) AS ever_read_correct_contract,
+         CAST(tried_to_read_invalid_contract AS INTEGER) AS tried_to_read_invalid_contract,
+         CAST(cant_parse_tool_call AS INTEGER) AS cant_parse_tool_call, CAST(bad_tool_call_name AS INTEGER) AS bad_tool_call_name,
+         CAST(bad_tool_call_args AS INTEGER) AS bad_tool_call_args, CAST(ran_out_of_turns AS INTEGER) AS ran_out_of_turns,
+         num_turns, prompt_tokens, completion_tokens, judge_prompt_tokens, judge_completion_tokens,
+         CAST(duration AS DOUBLE) AS duration, CAST(reward_raw AS DOUBLE) AS reward
+  FROM rew)"""
+
+RUN_METRIC_COLS = [
+    "clause_text_correct", "found_correct_contract", "attempted_answer", "returned_i_dont_know",
+    "ever_found_correct_contract_in_search", "ever_read_correct_contract", "tried_to_read_invalid_contract",
+    "cant_parse_tool_call", "bad_tool_call_name", "bad_tool_call_args", "ran_out_of_turns",
+    "num_turns", "prompt_tokens", "completion_tokens", "judge_prompt_tokens", "judge_completion_tokens",
+    "duration", "reward"]
+
+
+def _sd(expr: str, places: int) -> str:
+    return f"CAST(CAST({expr} AS DECIMAL(38,{places})) AS DOUBLE)"
+
+
+ORACLE["parse_tool_call"] = f"""WITH {RUN_ACT}
+SELECT trajectory_id, turn,
+  CASE WHEN action IN ('search', 'read', 'answer', 'unknown', 'broken') AND use_tools THEN 'tools'
+       WHEN NOT use_tools AND action NOT IN ('fail') THEN 'json' ELSE 'none' END AS call_source,
+  CASE WHEN action = 'fail' THEN 'model_failure'
+       WHEN action = 'text' THEN CASE WHEN use_tools THEN 'text_reply' ELSE 'unparsable' END
+       WHEN action = 'broken' THEN CASE WHEN use_tools THEN 'bad_arguments' ELSE 'unparsable' END
+       ELSE 'ok' END AS parse_status,
+  CASE WHEN action IN ('search') THEN 'search_contracts' WHEN action = 'read' THEN 'read_contract'
+       WHEN action = 'answer' THEN 'return_final_answer' WHEN action = 'unknown' THEN 'delete_contract' END AS tool_name,
+  CASE WHEN action = 'search' THEN 'keywords,max_results' WHEN action IN ('read', 'unknown') THEN 'contract_id'
+       WHEN action = 'answer' THEN 'extracted_clause_text,source_contract_id' END AS arg_keys
+FROM act"""
+
+ORACLE["rubric"] = f"""WITH {RUN_ACT}
+SELECT * EXCLUDE (duration, use_tools) FROM rub"""
+
+ORACLE["reward"] = f"""WITH {RUN_ACT}
+SELECT trajectory_id, status, stop_reason, num_turns, {_sd('reward_raw', 9)} AS reward FROM rew"""
+
+ORACLE["metrics"] = f"""WITH {RUN_ACT}
+SELECT * REPLACE ({_sd('reward', 9)} AS reward, {_sd('duration', 6)} AS duration) FROM met"""
+
+ORACLE["benchmark_means"] = f"""WITH {RUN_ACT}
+SELECT {', '.join(_sd(f'avg({c})', 9) + f' AS {c}' for c in RUN_METRIC_COLS)},
+       count(*) AS n_trajectories
+FROM met WHERE status = 'valid'"""
+
+ORACLE["trajectory_groups"] = f"""WITH {RUN_ACT}
+SELECT scenario_id, count(*) AS n_runs, {_sd('avg(reward)', 9)} AS mean_reward,
+       {_sd('min(reward)', 9)} AS min_reward, {_sd('max(reward)', 9)} AS max_reward,
+       {_sd('stddev_pop(reward)', 6)} AS std_reward,
+       CAST(sum(clause_text_correct * found_correct_contract) AS BIGINT) AS n_correct
+FROM met WHERE status = 'valid' GROUP BY scenario_id"""
+
+JUDGE_USER_SQL = render_sql(JUDGE_USER_TEMPLATE, clause_type="'clause_' || CAST(user_id % 5 AS VARCHAR)",
+                            truth="'clause ' || CAST(user_id % 100 AS VARCHAR)", extracted="ans_text")
+
+ORACLE["judge_requests"] = f"""WITH {RUN_ACT}
+SELECT trajectory_id, turn, md5({JUDGE_USER_SQL}) AS request_key, {JUDGE_USER_SQL} AS user_content
+FROM kept WHERE f_judged"""
+
+ORACLE["judge_verdicts"] = f"""WITH {RUN_ACT}
+SELECT trajectory_id, turn, CASE WHEN k % 3 <> 0 THEN ' True' ELSE 'False' || chr(10) END AS reply,
+       k % 3 <> 0 AS verdict
+FROM kept WHERE f_judged"""
+
+_SYS_SQL = render_sql(AGENT_SYSTEM_TEMPLATE, contract_title="c.title", contract_id="r.target",
+                      clause_type="'clause_' || CAST(r.user_id % 5 AS VARCHAR)", max_turns="10")
+_USER_SQL = render_sql(AGENT_USER_TEMPLATE, clause_type="'clause_' || CAST(r.user_id % 5 AS VARCHAR)",
+                       contract_id="r.target")
+_SUFFIX = "'" + JSON_MODE_SUFFIX.replace("'", "''") + "'"
+
+ORACLE["prompt_messages"] = f"""WITH {DOCS}, {RUN_ACT},
+runs AS (SELECT DISTINCT trajectory_id, user_id, use_tools, target FROM act)
+SELECT r.trajectory_id, r.user_id AS scenario_id, r.target AS contract_id, c.title AS contract_title,
+       'clause_' || CAST(r.user_id % 5 AS VARCHAR) AS clause_type,
+       CASE WHEN r.use_tools THEN {_SYS_SQL} ELSE {_SYS_SQL} || {_SUFFIX} END AS system_prompt,
+       {_USER_SQL} AS user_prompt
+FROM runs r LEFT JOIN docs c ON c.contract_id = r.target"""
+
+_CONF = "'" + FINAL_ANSWER_CONFIRMATION + "' || substr(ans_text, 1, 50) || '...'"
+
+ORACLE["tool_reply"] = f"""WITH {DOCS}, {RUN_ACT},
+cd AS (SELECT contract_id, title, replace(text, chr(10), {SEP_SQL}) AS full_text FROM docs),
+reads AS (
+  SELECT k.trajectory_id, k.turn, 'call_' || CAST(k.event_id AS VARCHAR) AS tool_call_id,
+         CASE WHEN k.rid <= 0 THEN to_json({{'error': 'Contract ID ' || CAST(k.rid AS VARCHAR) || ' is invalid.'}})::VARCHAR
+              WHEN c.contract_id IS NULL THEN to_json({{'error': 'Contract with ID ' || CAST(k.rid AS VARCHAR) || ' not found.'}})::VARCHAR
+              ELSE to_json({{'id': k.rid, 'title': c.title, 'full_text': c.full_text}})::VARCHAR END AS content
+  FROM kept k LEFT JOIN cd c ON c.contract_id = k.rid
+  WHERE k.outcome = 'read')
+SELECT trajectory_id, turn, 'tool' AS role, tool_call_id, md5(content) AS content_md5,
+       CAST(length(content) AS BIGINT) AS content_length FROM reads
+UNION ALL
+SELECT trajectory_id, turn, 'confirmation', NULL, md5({_CONF}), CAST(length({_CONF}) AS BIGINT)
+FROM kept WHERE outcome = 'answered'"""

@@ -143,3 +143,124 @@ def q_read_by_id(spark, sf_dir):
                     F.col("contract_id").cast("bigint").alias("contract_id"), "status", "title",
                     F.length("full_text").cast("bigint").alias("text_length"),
                     F.md5("full_text").alias("text_md5"))
+
+
+# --- step 6: logged runs ----------------------------------------------------------
+
+from pactum.functions import prompts as pr  # noqa: E402
+from pactum.functions import scoring  # noqa: E402
+from pactum.operators import benchmark as bench_ops  # noqa: E402
+from pactum.operators import judge as judge_ops  # noqa: E402
+from pactum.operators import runs as run_ops  # noqa: E402
+from pactum.operators.search import stable_double  # noqa: E402
+from pactum.schemas import MAX_TURNS  # noqa: E402
+
+
+@query("parse_tool_call")
+def q_parse_tool_call(spark, sf_dir):
+    turns, _, _, _ = C.run_inputs(spark, sf_dir)
+    p = run_ops.parsed_turns(turns)
+    keys = F.array_join(F.array_sort(F.json_object_keys(F.to_json("tool_args"))), ",")
+    return p.select("trajectory_id", F.col("turn").cast("bigint").alias("turn"), "call_source",
+                    "parse_status", "tool_name", keys.alias("arg_keys"))
+
+
+@query("rubric")
+def q_rubric(spark, sf_dir):
+    return C.rubric(spark, sf_dir).drop("duration", "use_tools")
+
+
+@query("judge_requests")
+def q_judge_requests(spark, sf_dir):
+    turns, scen, ids, replies = C.run_inputs(spark, sf_dir)
+    req = judge_ops.judge_requests(run_ops.classified_turns(turns, scen, ids, replies), scen)
+    return req.select("trajectory_id", F.col("turn").cast("bigint").alias("turn"), "request_key",
+                      F.col("messages")[1]["content"].alias("user_content"))
+
+
+@query("judge_verdicts")
+def q_judge_verdicts(spark, sf_dir):
+    turns, scen, ids, replies = C.run_inputs(spark, sf_dir)
+    req = judge_ops.judge_requests(run_ops.classified_turns(turns, scen, ids, replies), scen)
+    v = judge_ops.judge_verdicts(req, replies)
+    return v.select("trajectory_id", F.col("turn").cast("bigint").alias("turn"), "reply", "verdict")
+
+
+@query("reward")
+def q_reward(spark, sf_dir):
+    r = scoring.with_reward(C.rubric(spark, sf_dir))
+    return r.select("trajectory_id", "status", "stop_reason", "num_turns",
+                    stable_double(F.col("reward"), 9).alias("reward"))
+
+
+def _metrics(spark, sf_dir):
+    return scoring.metrics(C.rubric(spark, sf_dir))
+
+
+@query("metrics")
+def q_metrics(spark, sf_dir):
+    m = _metrics(spark, sf_dir)
+    return m.withColumn("reward", stable_double(F.col("reward"), 9)) \
+        .withColumn("duration", stable_double(F.col("duration"), 6))
+
+
+@query("benchmark_means")
+def q_benchmark_means(spark, sf_dir):
+    return bench_ops.benchmark_means(_metrics(spark, sf_dir))
+
+
+@query("trajectory_groups")
+def q_trajectory_groups(spark, sf_dir):
+    return bench_ops.trajectory_groups(_metrics(spark, sf_dir))
+
+
+@query("prompt_messages")
+def q_prompt_messages(spark, sf_dir):
+    turns, scen, _, _ = C.run_inputs(spark, sf_dir)
+    runs_ = turns.groupBy("trajectory_id").agg(F.first("scenario_id").alias("scenario_id"),
+                                               F.first("use_tools").alias("use_tools"))
+    j = runs_.join(scen, "scenario_id", "left")
+    system = pr.agent_system_prompt(F.col("contract_title"), F.col("contract_id"), F.col("clause_type"),
+                                    F.lit(MAX_TURNS), F.col("use_tools"))
+    user = pr.agent_user_prompt(F.col("clause_type"), F.col("contract_id"))
+    meta = F.struct("scenario_id", "contract_id", "contract_title",
+                    F.col("clause_type").alias("target_clause_type"), F.col("scenario_id").alias("annotation_id"))
+    msgs = pr.messages(system, user)
+    return j.select("trajectory_id", F.col("scenario_id").cast("bigint").alias("scenario_id"),
+                    F.col("contract_id").cast("bigint").alias("contract_id"), "contract_title",
+                    meta["target_clause_type"].alias("clause_type"),
+                    msgs[0]["content"].alias("system_prompt"), msgs[1]["content"].alias("user_prompt"))
+
+
+@query("tool_reply")
+def q_tool_reply(spark, sf_dir):
+    """Tool messages of reached read turns (contract or error object) and the
+    confirmation text of final answers."""
+    turns, scen, ids, replies = C.run_inputs(spark, sf_dir)
+    kept = run_ops.kept_turns(run_ops.classified_turns(turns, scen, ids, replies))
+    reads = kept.filter(F.col("outcome") == "read").join(
+        turns.select("trajectory_id", "turn", F.try_element_at("tool_calls", F.lit(1))["id"].alias("tool_call_id")),
+        ["trajectory_id", "turn"])
+    rid = F.get_json_object(F.col("args_json"), "$.contract_id").cast("bigint")
+    reads = reads.join(turns.select("trajectory_id", "turn", F.try_element_at("tool_calls", F.lit(1))["arguments"].alias("args_json")),
+                       ["trajectory_id", "turn"]).withColumn("rid", rid)
+    contracts = C.contracts_flat(spark, sf_dir).select(F.col("contract_id").alias("rid"), "title", "full_text")
+    reads = reads.join(contracts, "rid", "left")
+    payload = (F.when(F.col("rid") <= 0, F.to_json(F.struct(F.concat(
+                    F.lit("Contract ID "), F.col("rid").cast("string"), F.lit(" is invalid.")).alias("error"))))
+               .when(F.col("title").isNull(), F.to_json(F.struct(F.concat(
+                    F.lit("Contract with ID "), F.col("rid").cast("string"), F.lit(" not found.")).alias("error"))))
+               .otherwise(F.to_json(F.struct(F.col("rid").alias("id"), "title", "full_text"))))
+    msg = pr.tool_reply(payload, F.col("tool_call_id"))
+    read_rows = reads.select("trajectory_id", F.col("turn").cast("bigint").alias("turn"),
+                             msg["role"].alias("role"), msg["tool_call_id"].alias("tool_call_id"),
+                             F.md5(msg["content"]).alias("content_md5"),
+                             F.length(msg["content"]).cast("bigint").alias("content_length"))
+    from pactum.functions.text import preview
+    answers = kept.filter(F.col("outcome") == "answered").select(
+        "trajectory_id", F.col("turn").cast("bigint").alias("turn"), F.lit("confirmation").alias("role"),
+        F.lit(None).cast("string").alias("tool_call_id"),
+        F.md5(F.concat(F.lit(pr.FINAL_ANSWER_CONFIRMATION), preview(F.col("answer_text")))).alias("content_md5"),
+        F.length(F.concat(F.lit(pr.FINAL_ANSWER_CONFIRMATION), preview(F.col("answer_text")))).cast("bigint")
+        .alias("content_length"))
+    return read_rows.unionByName(answers)
