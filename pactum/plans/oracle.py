@@ -443,3 +443,63 @@ SELECT trajectory_id, turn, 'tool' AS role, tool_call_id, md5(content) AS conten
 UNION ALL
 SELECT trajectory_id, turn, 'confirmation', NULL, md5({_CONF}), CAST(length({_CONF}) AS BIGINT)
 FROM kept WHERE outcome = 'answered'"""
+
+
+# --- step 7: nested JSON ----------------------------------------------------------
+# Case per doc_id % 11 (see pactum.sources.adapters.raw_contract_lines):
+# 5 (context null) and 8 (no title) are rejected, 9 (no paragraphs) dropped,
+# 4 loses paragraph 0, 7 loses the QA of paragraph 0, 10 loses every QA.
+
+RAW = DOCS + """,
+rdocs AS (SELECT *, doc_id % 11 AS v FROM docs),
+rstat AS (
+  SELECT doc_id, v, title,
+         CASE WHEN v IN (5, 8) THEN 'rejected' WHEN v = 9 THEN 'dropped' ELSE 'ok' END AS status,
+         CASE WHEN v = 5 THEN 'bad_paragraph' WHEN v = 8 THEN 'bad_title' WHEN v = 9 THEN 'no_paragraphs' END AS reason,
+         CASE WHEN v = 4 THEN list_slice(lines, 2, len(lines)) ELSE lines END AS kept_lines,
+         CASE WHEN v = 4 THEN 1 ELSE 0 END AS shift
+  FROM rdocs),
+rparas AS (
+  SELECT doc_id, v, shift, unnest(kept_lines) AS context,
+         unnest(generate_series(0, len(kept_lines) - 1)) AS para_idx
+  FROM rstat WHERE status = 'ok'),
+rparas_b AS (
+  SELECT *, para_idx + shift AS orig_idx,
+         coalesce(sum(length(context) + 27) OVER (PARTITION BY doc_id ORDER BY para_idx
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base_offset
+  FROM rparas),
+rqa AS (SELECT * FROM rparas_b WHERE v <> 10 AND NOT (v = 7 AND orig_idx = 0)),
+rraw_spans AS (
+  SELECT doc_id, para_idx, base_offset, 'clause_' || CAST(orig_idx % 5 AS VARCHAR) AS clause_type,
+         split_part(context, '.', 1) AS text, 0 AS answer_start, 0 AS raw_idx
+  FROM rqa WHERE orig_idx % 7 <> 6
+  UNION ALL
+  SELECT doc_id, para_idx, base_offset, 'clause_' || CAST(orig_idx % 5 AS VARCHAR),
+         split_part(context, '.', 2), length(split_part(context, '.', 1)) + 1, 1
+  FROM rqa WHERE orig_idx % 7 <> 6),
+rspans AS (
+  SELECT doc_id, para_idx, clause_type, text,
+         row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY raw_idx) - 1 AS ans_idx,
+         base_offset + answer_start AS start_char, base_offset + answer_start + length(text) AS end_char
+  FROM rraw_spans WHERE text <> '')"""
+
+ORACLE["load_nested"] = f"""WITH {RAW}
+SELECT doc_id AS contract_seq,
+       CASE WHEN status = 'ok' THEN row_number() OVER (PARTITION BY status = 'ok' ORDER BY doc_id) END AS contract_id,
+       status, reason, CASE WHEN v = 8 THEN NULL ELSE title END AS title,
+       CASE WHEN status = 'ok' THEN CAST(len(kept_lines) AS BIGINT) END AS n_paragraphs
+FROM rstat"""
+
+ORACLE["validate_nested"] = f"""WITH {RAW}
+SELECT s.doc_id AS contract_seq, CAST(s.para_idx AS BIGINT) AS para_idx, CAST(s.ans_idx AS BIGINT) AS ans_idx,
+       s.clause_type, s.text, CAST(s.start_char AS BIGINT) AS start_char, CAST(s.end_char AS BIGINT) AS end_char,
+       substr(array_to_string(r.kept_lines, {SEP_SQL}), CAST(s.start_char + 1 AS BIGINT),
+              CAST(s.end_char - s.start_char AS BIGINT)) = s.text AS text_matches
+FROM rspans s JOIN rstat r USING (doc_id)"""
+
+ORACLE["roundtrip_nested"] = f"""WITH {RAW}
+SELECT doc_id AS contract_seq, title, CAST(len(kept_lines) AS BIGINT) AS n_paragraphs,
+       CAST(CASE WHEN v = 10 THEN 0 WHEN v = 7 AND len(kept_lines) > 0 THEN len(kept_lines) - 1
+                 ELSE len(kept_lines) END AS BIGINT) AS n_qas,
+       md5(array_to_string(kept_lines, {SEP_SQL})) AS full_text_md5
+FROM rstat WHERE status = 'ok'"""

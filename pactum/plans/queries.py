@@ -264,3 +264,54 @@ def q_tool_reply(spark, sf_dir):
         F.length(F.concat(F.lit(pr.FINAL_ANSWER_CONFIRMATION), preview(F.col("answer_text")))).cast("bigint")
         .alias("content_length"))
     return read_rows.unionByName(answers)
+
+
+# --- step 7: nested JSON ingest ---------------------------------------------------
+
+from pactum.operators.ids import dense_ids  # noqa: E402
+from pactum.session import scratch_path  # noqa: E402
+from pactum.sources import nested_json as nj  # noqa: E402
+from pactum.sources.adapters import raw_contract_lines  # noqa: E402
+from pactum.sources.tables import table as _table  # noqa: E402
+
+
+def _raw_json_path(spark, sf_dir):
+    """Write the documents as raw JSON Lines to the shared scratch folder."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    path = scratch_path(spark, "raw-json")
+    raw_contract_lines(docs).select("value").write.mode("error").text(path)
+    return path
+
+
+def _validated(spark, sf_dir):
+    return nj.validate(nj.read_lines(spark, _raw_json_path(spark, sf_dir)))
+
+
+@query("load_nested")
+def q_load_nested(spark, sf_dir):
+    flagged = _validated(spark, sf_dir)
+    good, rejects = nj.good_and_rejects(flagged)
+    ids = dense_ids(good.select("contract_seq"), ["contract_seq"], "contract_id")
+    out = flagged.join(ids, "contract_seq", "left")
+    return out.select("contract_seq", "contract_id", "status", "reason", "title",
+                      F.size("paragraphs").cast("bigint").alias("n_paragraphs"))
+
+
+@query("validate_nested")
+def q_validate_nested(spark, sf_dir):
+    good, _ = nj.good_and_rejects(_validated(spark, sf_dir))
+    a = fl.flat_annotations(good, keep=["contract_seq"], check_text=True)
+    return a.select(*C.as_long("contract_seq", "para_idx", "ans_idx"), "clause_type", "text",
+                    "start_char", "end_char", "text_matches")
+
+
+@query("roundtrip_nested")
+def q_roundtrip_nested(spark, sf_dir):
+    good, _ = nj.good_and_rejects(_validated(spark, sf_dir))
+    path = scratch_path(spark, "processed")
+    nj.write_processed_lines(good, path)
+    again, _ = nj.good_and_rejects(nj.validate(nj.read_lines(spark, path), mode="processed"))  # P7
+    n_qas = F.aggregate("paragraphs", F.lit(0).cast("bigint"), lambda acc, p: acc + F.size(p["qas"]))
+    ft = fl.full_text(F.col("paragraphs"))
+    return again.select("contract_seq", "title", F.size("paragraphs").cast("bigint").alias("n_paragraphs"),
+                        n_qas.alias("n_qas"), F.md5(ft).alias("full_text_md5"))

@@ -58,3 +58,68 @@ def contracts_flat(documents: DataFrame) -> DataFrame:
         F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string")).alias("title"),
         F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\n"), F.lit(PARAGRAPH_SEP)).alias("full_text"),
     )
+
+
+# --- raw nested JSON with data-dependent validation cases -------------------------
+
+RAW_VARIANTS = 11  # case = doc_id % 11, see raw_contract_lines
+
+
+def _raw_paragraphs(doc_id, lines, answer_start_type="bigint", imp_as_text=False, qa_key="id",
+                    id_as_number=False, drop_context_0=False, bad_answer_0=False):
+    def para(line, i):
+        s1 = F.split_part(line, F.lit("."), F.lit(1))
+        s2 = F.split_part(line, F.lit("."), F.lit(2))
+        answers = F.filter(F.array(
+            F.struct(s1.alias("text"), F.lit(0).cast(answer_start_type).alias("answer_start")),
+            F.struct(s2.alias("text"), (F.length(s1) + 1).cast(answer_start_type).alias("answer_start"))),
+            lambda a: a["text"] != F.lit(""))
+        if bad_answer_0:
+            answers = F.when(i == 0, F.concat(answers, F.array(F.struct(
+                F.lit("x").alias("text"), F.lit(12.5).cast(answer_start_type).alias("answer_start")))))\
+                .otherwise(answers)
+        qid = F.concat_ws("-", doc_id.cast("string"), i.cast("string"))
+        qid = (doc_id * 1000 + i).cast("bigint") if id_as_number else qid
+        imp = i % 7 == 6
+        imp = F.when(imp, F.lit("yes")).otherwise(F.lit("no")) if imp_as_text else imp
+        qa = F.struct(F.concat(F.lit("clause_"), (i % 5).cast("string")).alias("question"),
+                      qid.alias(qa_key), answers.alias("answers"), imp.alias("is_impossible"))
+        ctx = F.when(i == 0, F.lit(None).cast("string")).otherwise(line) if drop_context_0 else line
+        return F.struct(ctx.alias("context"), F.array(qa).alias("qas"))
+    return F.transform(lines, para)
+
+
+def raw_contract_lines(documents: DataFrame) -> DataFrame:
+    """One raw JSON contract per line (``seq``, ``title``, ``paragraphs`` with QA
+    key ``id``), built from documents like ``nested_contracts`` but with one
+    validation case per ``doc_id % 11``:
+
+      1 answer_start as text ("12")      2 answer_start as float (12.0)
+      3 is_impossible as "yes"/"no"      4 paragraph 0 has no context key
+      5 paragraph 0 has context null     6 QA key qa_id instead of id
+      7 paragraph 0's QA gets an answer at 12.5
+      8 no title                         9 empty paragraph list
+     10 QA ids are numbers               0 unchanged
+    """
+    d = F.col("doc_id")
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    title = F.concat_ws(" ", F.col("source"), F.col("lang"), d.cast("string"))
+    v = d % RAW_VARIANTS
+
+    def doc(paragraphs, t=title, **opts):
+        return F.to_json(F.struct(d.alias("seq"), t.alias("title"), paragraphs.alias("paragraphs")), opts or None)
+
+    P = lambda **kw: _raw_paragraphs(d, lines, **kw)
+    empty = F.array().cast("array<struct<context:string,qas:array<string>>>")
+    line = (F.when(v == 1, doc(P(answer_start_type="string")))
+            .when(v == 2, doc(P(answer_start_type="double")))
+            .when(v == 3, doc(P(imp_as_text=True)))
+            .when(v == 4, doc(P(drop_context_0=True)))
+            .when(v == 5, doc(P(drop_context_0=True), ignoreNullFields="false"))
+            .when(v == 6, doc(P(qa_key="qa_id")))
+            .when(v == 7, doc(P(answer_start_type="double", bad_answer_0=True)))
+            .when(v == 8, doc(P(), t=F.lit(None).cast("string")))
+            .when(v == 9, doc(empty))
+            .when(v == 10, doc(P(id_as_number=True)))
+            .otherwise(doc(P())))
+    return documents.select(d.alias("doc_id"), line.alias("value"))
