@@ -503,3 +503,18 @@ SELECT doc_id AS contract_seq, title, CAST(len(kept_lines) AS BIGINT) AS n_parag
                  ELSE len(kept_lines) END AS BIGINT) AS n_qas,
        md5(array_to_string(kept_lines, {SEP_SQL})) AS full_text_md5
 FROM rstat WHERE status = 'ok'"""
+
+
+# --- step 8: index after the change feed = index of the final state ----------------
+
+ORACLE["index_upsert"] = f"""WITH {DOCS},
+fin AS (
+  SELECT contract_id, title,
+         CASE WHEN doc_id % 11 = 0 THEN 'Replaced text ' || CAST(doc_id AS VARCHAR)
+              WHEN doc_id % 5 = 0 THEN replace(text, chr(10), {SEP_SQL}) || {SEP_SQL} || 'Amended clause ' || CAST(doc_id AS VARCHAR)
+              ELSE replace(text, chr(10), {SEP_SQL}) END AS full_text
+  FROM docs WHERE doc_id % 7 <> 0 OR doc_id % 11 = 0),
+ctoks AS (SELECT contract_id, {FOLDED.replace('@X@', 'title')} AS tt, {FOLDED.replace('@X@', 'full_text')} AS bt FROM fin)
+SELECT contract_id, CAST(0 AS BIGINT) AS col, CAST(unnest(generate_series(0, len(tt) - 1)) AS BIGINT) AS pos, unnest(tt) AS token FROM ctoks
+UNION ALL
+SELECT contract_id, CAST(1 AS BIGINT), CAST(unnest(generate_series(0, len(bt) - 1)) AS BIGINT), unnest(bt) FROM ctoks"""

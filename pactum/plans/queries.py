@@ -315,3 +315,27 @@ def q_roundtrip_nested(spark, sf_dir):
     ft = fl.full_text(F.col("paragraphs"))
     return again.select("contract_seq", "title", F.size("paragraphs").cast("bigint").alias("n_paragraphs"),
                         n_qas.alias("n_qas"), F.md5(ft).alias("full_text_md5"))
+
+
+# --- step 8: streaming index upkeep -----------------------------------------------
+
+from pactum.sources.adapters import change_feed, initial_contracts  # noqa: E402
+from pactum.streaming.index_upkeep import IndexStore, run_upkeep  # noqa: E402
+
+
+def upkept_index(spark, sf_dir, buckets: int = 16) -> IndexStore:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    store = IndexStore(spark, scratch_path(spark, "index"), buckets)
+    store.build(initial_contracts(docs))
+    feed = scratch_path(spark, "feed")
+    first, second = change_feed(docs)
+    first.write.mode("error").parquet(feed)
+    second.write.mode("append").parquet(feed)
+    run_upkeep(spark, store, feed, scratch_path(spark, "feed-ckpt"), max_files_per_trigger=2)
+    return store
+
+
+@query("index_upsert")
+def q_index_upsert(spark, sf_dir):
+    p = upkept_index(spark, sf_dir).read("postings")
+    return p.select(*C.as_long("contract_id", "col", "pos"), "token")

@@ -123,3 +123,36 @@ def raw_contract_lines(documents: DataFrame) -> DataFrame:
             .when(v == 10, doc(P(id_as_number=True)))
             .otherwise(doc(P())))
     return documents.select(d.alias("doc_id"), line.alias("value"))
+
+
+# --- change feed for the index upkeep -----------------------------------------------
+
+def initial_contracts(documents: DataFrame) -> DataFrame:
+    """Contracts indexed before the feed starts: documents with doc_id % 3 <> 0."""
+    return contracts_flat(documents.filter(F.col("doc_id") % 3 != 0))
+
+
+def change_feed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two batches of changes ``(contract_id, version, op, title, full_text)``:
+
+    1. doc_id % 3 = 0 inserted (version 1); doc_id % 5 = 0 updated with an
+       amended text (version 2);
+    2. doc_id % 7 = 0 deleted (version 3); doc_id % 11 = 0 replaced by a new
+       text (version 4, so 77 comes back after its delete).
+    """
+    from pactum.schemas import PARAGRAPH_SEP
+
+    d = F.col("doc_id")
+    base = contracts_flat(documents).withColumn("doc_id", F.col("contract_id") - 1)
+
+    def rows(df, version, op, full_text):
+        return df.select(F.col("contract_id").cast("bigint"), F.lit(version).cast("bigint").alias("version"),
+                         F.lit(op).alias("op"), F.when(F.lit(op) != "delete", F.col("title")).alias("title"),
+                         F.when(F.lit(op) != "delete", full_text).alias("full_text"))
+    amended = F.concat(F.col("full_text"), F.lit(PARAGRAPH_SEP), F.lit("Amended clause "), d.cast("string"))
+    replaced = F.concat(F.lit("Replaced text "), d.cast("string"))
+    first = rows(base.filter(d % 3 == 0), 1, "upsert", F.col("full_text")).unionByName(
+        rows(base.filter(d % 5 == 0), 2, "upsert", amended))
+    second = rows(base.filter(d % 7 == 0), 3, "delete", F.lit(None).cast("string")).unionByName(
+        rows(base.filter(d % 11 == 0), 4, "upsert", replaced))
+    return first, second
