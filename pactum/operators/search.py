@@ -60,28 +60,31 @@ def phrase_occurrences(qtok: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
-    """(query_id, contract_id, score) for every contract matching all keywords."""
+    """(query_id, contract_id, score) for every contract matching all keywords.
+
+    Term frequencies are aggregated once; document frequencies and the
+    number of usable keywords are tables of at most (queries x keywords)
+    rows, broadcast back; the all-keywords rule is a filter after the final
+    aggregate, so no matched-rows self-join is needed."""
     qtok = query_tokens(queries)
     n_usable = qtok.groupBy("query_id").agg(F.count_distinct("kw_idx").alias("n_kw"))
     occ = phrase_occurrences(qtok, postings)
     tf = occ.groupBy("query_id", "kw_idx", "contract_id").agg(F.count(F.lit(1)).alias("tf"))
-    # Keep contracts where every usable keyword matched (the query side is tiny: broadcast).
-    per_doc = tf.groupBy("query_id", "contract_id").agg(F.count(F.lit(1)).alias("_m"))
-    full = per_doc.join(F.broadcast(n_usable), "query_id").filter(F.col("_m") == F.col("n_kw")) \
-        .select("query_id", "contract_id")
     df_i = tf.groupBy("query_id", "kw_idx").agg(F.count(F.lit(1)).alias("n_i"))
-    stats = doc_stats.agg(F.count(F.lit(1)).alias("n_docs"),
-                          F.sum("doc_len").alias("total_len"))
-    n_docs = stats.select("n_docs").scalar()
-    avgdl = stats.select(F.col("total_len") / F.col("n_docs")).scalar()
+    stats = doc_stats.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("total")).alias("s")) \
+        .select("s").scalar()
+    n_docs = stats["n"]
+    avgdl = stats["total"] / stats["n"]
     idf_raw = F.log((n_docs - F.col("n_i") + 0.5) / (F.col("n_i") + 0.5))
     idf = F.when(idf_raw <= 0, F.lit(BM25_IDF_FLOOR)).otherwise(idf_raw)
-    matched = (tf.join(full, ["query_id", "contract_id"])
-               .join(df_i, ["query_id", "kw_idx"])
+    matched = (tf.join(F.broadcast(df_i), ["query_id", "kw_idx"])
                .join(doc_stats.select("contract_id", "doc_len"), "contract_id"))
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / avgdl)
     term = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
-    return matched.groupBy("query_id", "contract_id").agg((-F.sum(term)).alias("score"))
+    per_doc = matched.groupBy("query_id", "contract_id").agg(
+        F.count(F.lit(1)).alias("_m"), (-F.sum(term)).alias("score"))
+    return (per_doc.join(F.broadcast(n_usable), "query_id")
+            .filter(F.col("_m") == F.col("n_kw")).select("query_id", "contract_id", "score"))
 
 
 def search(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame,
@@ -171,6 +174,11 @@ def snippets(hits: DataFrame, queries: DataFrame, postings: DataFrame,
 
 def search_with_snippets(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame,
                          contracts: DataFrame) -> DataFrame:
-    hits = search(queries, postings, doc_stats, contracts)
+    """Hits with snippets.  The hits (at most 10 per query) are checkpointed
+    to the shared folder so the ranking runs once, not once per consumer."""
+    from pactum.session import scratch_root
+
+    scratch_root(queries.sparkSession)  # checkpoint() needs the shared folder set
+    hits = search(queries, postings, doc_stats, contracts).checkpoint(eager=True)
     sn = snippets(hits, queries, postings, contracts)
     return hits.join(sn, ["query_id", "contract_id"], "left")

@@ -25,8 +25,19 @@ def tokenized(contracts: DataFrame) -> DataFrame:
         tokens(F.col("full_text")).alias("body_tokens"))
 
 
-def postings(contracts: DataFrame) -> DataFrame:
-    t = tokenized(contracts)
+def materialize_tokens(contracts: DataFrame) -> DataFrame:
+    """Tokenise once and store the token arrays in the shared scratch folder:
+    postings, document lengths and corpus statistics are then read from it
+    without running the regex again (the index build step)."""
+    from pactum.session import scratch_path
+
+    spark = contracts.sparkSession
+    path = scratch_path(spark, "tokens")
+    tokenized(contracts).write.mode("error").parquet(path)
+    return spark.read.parquet(path)
+
+
+def postings_from_tokens(t: DataFrame) -> DataFrame:
     cols = t.select("contract_id", F.explode(F.array(
         F.struct(F.lit(0).alias("col"), F.col("title_tokens").alias("toks")),
         F.struct(F.lit(1).alias("col"), F.col("body_tokens").alias("toks")))).alias("c"))
@@ -34,6 +45,15 @@ def postings(contracts: DataFrame) -> DataFrame:
                        F.posexplode("c.toks").alias("pos", "token"))
 
 
+def postings(contracts: DataFrame) -> DataFrame:
+    return postings_from_tokens(tokenized(contracts))
+
+
+def doc_stats_from_tokens(t: DataFrame) -> DataFrame:
+    return t.select("contract_id",
+                    (F.size("title_tokens") + F.size("body_tokens")).cast("bigint").alias("doc_len"))
+
+
 def doc_stats(contracts: DataFrame) -> DataFrame:
     """(contract_id, doc_len): tokens of both columns, from the token arrays
     (no explode)."""

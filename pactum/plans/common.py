@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from pactum.operators import scenarios as scen_ops
 from pactum.operators import tables as table_ops
 from pactum.sources.adapters import nested_contracts
-from pactum.sources.tables import table
+from pactum.sources.tables import table, text_table
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return nested_contracts(docs)
 
 
@@ -42,7 +42,7 @@ def as_long(*names: str) -> list:
 def contracts_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(contract_id, title, full_text) without the nested detour."""
     from pactum.sources.adapters import contracts_flat as cf
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return cf(docs)
 
 

@@ -119,9 +119,16 @@ def q_postings(spark, sf_dir):
     return p.select(*C.as_long("contract_id", "col", "pos"), "token")
 
 
-def _search(spark, sf_dir):
+def _index(spark, sf_dir):
+    """Contracts and their tokenised form, written once (the index build)."""
     c = C.contracts_flat(spark, sf_dir)
-    return search_ops.search(C.search_batch(spark), ti.postings(c), ti.doc_stats(c), c)
+    tok = ti.materialize_tokens(c)
+    return c, ti.postings_from_tokens(tok), ti.doc_stats_from_tokens(tok)
+
+
+def _search(spark, sf_dir):
+    c, post, stats = _index(spark, sf_dir)
+    return search_ops.search(C.search_batch(spark), post, stats, c)
 
 
 @query("search_topk")
@@ -131,8 +138,8 @@ def q_search_topk(spark, sf_dir):
 
 @query("search_snippet")
 def q_search_snippet(spark, sf_dir):
-    c = C.contracts_flat(spark, sf_dir)
-    res = search_ops.search_with_snippets(C.search_batch(spark), ti.postings(c), ti.doc_stats(c), c)
+    c, post, stats = _index(spark, sf_dir)
+    res = search_ops.search_with_snippets(C.search_batch(spark), post, stats, c)
     return res.select("query_id", "rank", "contract_id", "snippet_col", "snippet")
 
 
@@ -273,11 +280,12 @@ from pactum.session import scratch_path  # noqa: E402
 from pactum.sources import nested_json as nj  # noqa: E402
 from pactum.sources.adapters import raw_contract_lines  # noqa: E402
 from pactum.sources.tables import table as _table  # noqa: E402
+from pactum.sources.tables import text_table as _text_table  # noqa: E402
 
 
 def _raw_json_path(spark, sf_dir):
     """Write the documents as raw JSON Lines to the shared scratch folder."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = _text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     path = scratch_path(spark, "raw-json")
     raw_contract_lines(docs).select("value").write.mode("error").text(path)
     return path
@@ -324,13 +332,14 @@ from pactum.streaming.index_upkeep import IndexStore, run_upkeep  # noqa: E402
 
 
 def upkept_index(spark, sf_dir, buckets: int = 16) -> IndexStore:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = _text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     store = IndexStore(spark, scratch_path(spark, "index"), buckets)
     store.build(initial_contracts(docs))
     feed = scratch_path(spark, "feed")
     first, second = change_feed(docs)
-    first.write.mode("error").parquet(feed)
-    second.write.mode("append").parquet(feed)
+    # Each feed batch arrives as two files; two files per trigger = one batch.
+    first.repartition(2).write.mode("error").parquet(feed)
+    second.repartition(2).write.mode("append").parquet(feed)
     run_upkeep(spark, store, feed, scratch_path(spark, "feed-ckpt"), max_files_per_trigger=2)
     return store
 
