@@ -92,8 +92,13 @@ def classified_turns(turns: DataFrame, scenarios: DataFrame, contract_ids: DataF
     is_read = name == TOOL_READ
     rid_v = tc.field(args, "contract_id")
     t = t.withColumn("_rid", F.when(is_read & tc.is_object(args) & tc.is_int(rid_v), tc.as_long(rid_v)))
-    ids = contract_ids.select(F.col("contract_id").alias("_rid"), F.lit(True).alias("_exists"))
-    t = t.join(ids, "_rid", "left")
+    # Existence of the requested id.  Turns without a read get a distinct
+    # negative key instead of NULL (ids are positive, so it never matches):
+    # NULL keys would all hash to one partition of the shuffle join.
+    salt = -1 - F.pmod(F.xxhash64("trajectory_id", "turn"), F.lit(1 << 40))
+    t = t.withColumn("_rkey", F.coalesce(F.col("_rid"), salt))
+    ids = contract_ids.select(F.col("contract_id").alias("_rkey"), F.lit(True).alias("_exists"))
+    t = t.join(ids, "_rkey", "left").drop("_rkey")
     if judge_replies is not None:
         t = t.join(judge_replies.select("trajectory_id", "turn", "reply", "judge_prompt_tokens",
                                         "judge_completion_tokens"), ["trajectory_id", "turn"], "left")

@@ -55,13 +55,14 @@ def split_disjointness(split: DataFrame) -> DataFrame:
     train = split.filter(F.col("split") == "train").select("contract_id").distinct()
     test = split.filter(F.col("split") == "test").select("contract_id").distinct()
     overlap = train.intersect(test).agg(F.count(F.lit(1)).alias("n_overlap_contracts"))
-    per = split.agg(
+    return split.agg(
         F.count_distinct(F.when(F.col("split") == "train", F.col("contract_id"))).alias("n_train_contracts"),
         F.count_distinct(F.when(F.col("split") == "test", F.col("contract_id"))).alias("n_test_contracts"),
         F.count_if(F.col("split") == "train").alias("n_train_scenarios"),
         F.count_if(F.col("split") == "test").alias("n_test_scenarios"),
+        # one-row aggregate of the intersect, as a scalar subquery
+        F.first(overlap.select("n_overlap_contracts").scalar()).alias("n_overlap_contracts"),
     )
-    return per.withColumn("_k", F.lit(1)).join(overlap.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def sample_scenarios(split: DataFrame, which: str = "train", limit: int | None = None,

@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.functions.text import fold, raw_tokens, separators, tokens
+from pactum.functions.text import raw_tokens, separators, tokens
+from pactum.operators.sizing import broadcast_if_small, maybe_broadcast, sized
 from pactum.schemas import (BM25_B, BM25_IDF_FLOOR, BM25_K1, MAX_SEARCH_RESULTS, SNIPPET_CLOSE,
                             SNIPPET_ELLIPSIS, SNIPPET_OPEN, SNIPPET_TOKENS)
 
@@ -52,7 +53,7 @@ def phrase_occurrences(qtok: DataFrame, postings: DataFrame) -> DataFrame:
     occurrence.  A token at ``pos`` matching query token ``tok_idx`` votes
     for a phrase start at ``pos - tok_idx``; a start with ``n_tok`` votes is
     an occurrence (each (start, tok_idx) pair can vote once)."""
-    hits = postings.join(F.broadcast(qtok), "token")
+    hits = postings.join(qtok, "token")
     votes = hits.groupBy("query_id", "kw_idx", "n_tok", "contract_id", "col",
                          (F.col("pos") - F.col("tok_idx")).alias("start")).agg(F.count(F.lit(1)).alias("_v"))
     return votes.filter(F.col("_v") == F.col("n_tok")).drop("_v") \
@@ -66,7 +67,9 @@ def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame) -> Data
     number of usable keywords are tables of at most (queries x keywords)
     rows, broadcast back; the all-keywords rule is a filter after the final
     aggregate, so no matched-rows self-join is needed."""
-    qtok = query_tokens(queries)
+    # The query side (tokens of one batch) is broadcast after a size check,
+    # so the postings are never shuffled for the join.
+    qtok, small = sized(query_tokens(queries))
     n_usable = qtok.groupBy("query_id").agg(F.count_distinct("kw_idx").alias("n_kw"))
     occ = phrase_occurrences(qtok, postings)
     tf = occ.groupBy("query_id", "kw_idx", "contract_id").agg(F.count(F.lit(1)).alias("tf"))
@@ -77,13 +80,14 @@ def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame) -> Data
     avgdl = stats["total"] / stats["n"]
     idf_raw = F.log((n_docs - F.col("n_i") + 0.5) / (F.col("n_i") + 0.5))
     idf = F.when(idf_raw <= 0, F.lit(BM25_IDF_FLOOR)).otherwise(idf_raw)
-    matched = (tf.join(F.broadcast(df_i), ["query_id", "kw_idx"])
+    # df_i has at most one row per (query, keyword): bounded by the query side.
+    matched = (tf.join(maybe_broadcast(df_i, small), ["query_id", "kw_idx"])
                .join(doc_stats.select("contract_id", "doc_len"), "contract_id"))
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / avgdl)
     term = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
     per_doc = matched.groupBy("query_id", "contract_id").agg(
         F.count(F.lit(1)).alias("_m"), (-F.sum(term)).alias("score"))
-    return (per_doc.join(F.broadcast(n_usable), "query_id")
+    return (per_doc.join(maybe_broadcast(n_usable, small), "query_id")
             .filter(F.col("_m") == F.col("n_kw")).select("query_id", "contract_id", "score"))
 
 
@@ -93,10 +97,10 @@ def search(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame,
     (clamped to 1..10) rows per query, best (lowest) score first."""
     scored = score(queries, postings, doc_stats)
     scored = scored.withColumn("score", stable_double(F.col("score"), SCORE_PLACES))
-    limits = queries.select("query_id", clamp_max_results(F.col("max_results")).alias("_k"))
+    limits = broadcast_if_small(queries.select("query_id", clamp_max_results(F.col("max_results")).alias("_k")))
     w = Window.partitionBy("query_id").orderBy("score", "contract_id")
     top = (scored.withColumn("rank", F.row_number().over(w))
-           .join(F.broadcast(limits), "query_id")
+           .join(limits, "query_id")
            .filter(F.col("rank") <= F.col("_k")).drop("_k"))
     titles = contracts.select("contract_id", "title")
     return top.join(titles, "contract_id").select(
@@ -119,7 +123,7 @@ def snippets(hits: DataFrame, queries: DataFrame, postings: DataFrame,
     Only the <= 10 hits per query are touched: occurrences are semi-joined
     to the hits first, and every per-hit array is bounded by the window.
     """
-    qtok = query_tokens(queries)
+    qtok = broadcast_if_small(query_tokens(queries))
     keys = hits.select("query_id", "contract_id")
     post = postings.join(keys.select("contract_id").distinct(), "contract_id", "left_semi")
     occ = phrase_occurrences(qtok, post).join(keys, ["query_id", "contract_id"], "left_semi")

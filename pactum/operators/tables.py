@@ -17,15 +17,17 @@ def contracts_table(nested: DataFrame, ids: bool = True) -> DataFrame:
     return dense_ids(base, ["contract_seq"], "id")
 
 
-def annotations_table(nested: DataFrame, contract_id_col: str = "contract_id") -> DataFrame:
+def annotations_table(nested: DataFrame, contract_id_col: str = "contract_id",
+                      check_text: bool = False) -> DataFrame:
     """(id, contract_id, clause_type, text, start_char, end_char) with ids 1..M in
     contract -> paragraph -> QA -> answer order (S7).  The contract id is carried
-    through the explode, so no title join (J1) is needed."""
-    flat = flat_annotations(nested, keep=["contract_seq", contract_id_col])
+    through the explode, so no title join (J1) is needed.  ``check_text`` adds
+    the ``text_matches`` report column (computed inside each contract row)."""
+    flat = flat_annotations(nested, keep=["contract_seq", contract_id_col], check_text=check_text)
     with_ids = dense_ids(flat, ["contract_seq", "para_idx", "qa_idx", "ans_idx"], "id")
     return with_ids.select(
         "id", F.col(contract_id_col).cast("bigint").alias("contract_id"), "clause_type", "text",
-        "start_char", "end_char")
+        "start_char", "end_char", *(["text_matches"] if check_text else []))
 
 
 def load_counts(nested: DataFrame) -> DataFrame:
@@ -59,24 +61,24 @@ def orphan_annotations(annotations: DataFrame, contracts: DataFrame) -> DataFram
     return annotations.join(contracts.select(F.col("id").alias("contract_id")), "contract_id", "left_anti")
 
 
-def integrity_report(nested: DataFrame, contracts: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(check_name, n_checked, n_violations) for title uniqueness, foreign keys
-    and span text; every check is a distributed aggregate."""
-    dup = duplicate_titles(contracts).agg(F.count(F.lit(1)).alias("n_violations"))
+def integrity_report(contracts: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(check_name, n_checked, n_violations) for title uniqueness (A3), the
+    foreign key (J11) and span text; every check is a distributed aggregate.
+    ``annotations`` must carry ``text_matches`` (``annotations_table(...,
+    check_text=True)``), so the corpus is flattened once for all checks."""
+    def one_row(name: str, checked: DataFrame, bad: DataFrame) -> DataFrame:
+        # Both are one-row global aggregates: combine as scalar subqueries.
+        return checked.select(F.lit(name).alias("check_name"), "n_checked",
+                              bad.select("n_violations").scalar().alias("n_violations"))
+
     n_contracts = contracts.agg(F.count(F.lit(1)).alias("n_checked"))
-    orphans = orphan_annotations(annotations, contracts).agg(F.count(F.lit(1)).alias("n_violations"))
+    dup = duplicate_titles(contracts).agg(F.count(F.lit(1)).alias("n_violations"))
     n_ann = annotations.agg(F.count(F.lit(1)).alias("n_checked"))
-    spans = flat_annotations(nested, keep=["contract_seq"], check_text=True).agg(
-        F.count(F.lit(1)).alias("n_checked"),
-        F.count_if(~F.col("text_matches")).alias("n_violations"))
-
-    def row(name: str, checked: DataFrame, bad: DataFrame) -> DataFrame:
-        # Both sides are one-row global aggregates; join on a constant key.
-        return (checked.withColumn("_k", F.lit(1)).join(bad.withColumn("_k", F.lit(1)), "_k")
-                .select(F.lit(name).alias("check_name"), "n_checked", "n_violations"))
-
-    return (row("duplicate_title", n_contracts, dup)
-            .unionByName(row("orphan_annotation", n_ann, orphans))
+    orphans = orphan_annotations(annotations, contracts).agg(F.count(F.lit(1)).alias("n_violations"))
+    spans = annotations.agg(F.count(F.lit(1)).alias("n_checked"),
+                            F.count_if(~F.col("text_matches")).alias("n_violations"))
+    return (one_row("duplicate_title", n_contracts, dup)
+            .unionByName(one_row("orphan_annotation", n_ann, orphans))
             .unionByName(spans.select(F.lit("span_text_mismatch").alias("check_name"),
                                       "n_checked", "n_violations")))
 

@@ -69,7 +69,8 @@ def q_build_counts(spark, sf_dir):
 @query("integrity_report")
 def q_integrity_report(spark, sf_dir):
     n = C.nested(spark, sf_dir)
-    return table_ops.integrity_report(n, C.contracts(spark, sf_dir), C.annotations(spark, sf_dir))
+    contracts = table_ops.contracts_table(n, ids=False).select("id", "title")
+    return table_ops.integrity_report(contracts, table_ops.annotations_table(n, check_text=True))
 
 
 # --- step 3: scenarios, split, sample, schedule --------------------------------
