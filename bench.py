@@ -19,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pactum.plans.queries import QUERIES  # noqa: E402
 from pactum.session import get_spark  # noqa: E402
 
+WARMUP_SF = "/root/testdata/sf0.001"
 HEADLINE = [
     "full_text", "flat_annotations", "build_tables", "integrity_report", "scenario_split",
     "training_schedule", "postings", "search_topk", "search_snippet", "read_by_id",
@@ -31,7 +32,9 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
     spark = get_spark(master=f"local[{cpus}]", partitions=cpus)
-    spark.range(1000).selectExpr("sum(id)").collect()  # warm-up
+    # Warm-up (not timed): JIT-compile the JVM paths on the smallest tables.
+    for name in ("flat_annotations", "search_topk", "rubric"):
+        QUERIES[name](spark, WARMUP_SF).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
         t0 = time.time()

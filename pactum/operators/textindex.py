@@ -37,11 +37,15 @@ def materialize_tokens(contracts: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def postings_from_tokens(t: DataFrame) -> DataFrame:
-    cols = t.select("contract_id", F.explode(F.array(
+def postings_from_tokens(t: DataFrame, with_doc_len: bool = False) -> DataFrame:
+    """Postings; ``with_doc_len`` also carries the document length on every
+    row (it compresses to almost nothing in parquet, and spares every query a
+    shuffle join with the doc-stats table)."""
+    doc_len = (F.size("title_tokens") + F.size("body_tokens")).cast("bigint")
+    cols = t.select("contract_id", *([doc_len.alias("doc_len")] if with_doc_len else []), F.explode(F.array(
         F.struct(F.lit(0).alias("col"), F.col("title_tokens").alias("toks")),
         F.struct(F.lit(1).alias("col"), F.col("body_tokens").alias("toks")))).alias("c"))
-    return cols.select("contract_id", F.col("c.col").alias("col"),
+    return cols.select("contract_id", *(["doc_len"] if with_doc_len else []), F.col("c.col").alias("col"),
                        F.posexplode("c.toks").alias("pos", "token"))
 
 

@@ -518,3 +518,47 @@ ctoks AS (SELECT contract_id, {FOLDED.replace('@X@', 'title')} AS tt, {FOLDED.re
 SELECT contract_id, CAST(0 AS BIGINT) AS col, CAST(unnest(generate_series(0, len(tt) - 1)) AS BIGINT) AS pos, unnest(tt) AS token FROM ctoks
 UNION ALL
 SELECT contract_id, CAST(1 AS BIGINT), CAST(unnest(generate_series(0, len(bt) - 1)) AS BIGINT), unnest(bt) FROM ctoks"""
+
+
+# --- snippets (F5): the window rule of pactum.operators.search.snippets in SQL -----
+
+ORACLE["search_snippet"] = f"""WITH {SEARCH},
+hits AS (SELECT query_id, rank, contract_id FROM ranked WHERE rank <= k),
+hocc AS (SELECT o.query_id, o.contract_id, o.kw_idx, o.col, o.start, o.start + o.n_tok - 1 AS "end"
+         FROM occ o JOIN hits h USING (query_id, contract_id)),
+cand AS (SELECT query_id, contract_id, col, start,
+                count(DISTINCT kw_idx) OVER w AS n_kw, count(*) OVER w AS n_occ
+         FROM hocc
+         WINDOW w AS (PARTITION BY query_id, contract_id ORDER BY col * 1099511627776 + start
+                      RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING)),
+best AS (SELECT * FROM (
+           SELECT query_id, contract_id, col, start AS w0,
+                  row_number() OVER (PARTITION BY query_id, contract_id ORDER BY n_kw DESC, n_occ DESC, col, start) AS r
+           FROM cand) WHERE r = 1),
+btxt AS (SELECT b.*, CASE WHEN b.col = 0 THEN c.title ELSE c.full_text END AS txt
+         FROM best b JOIN cdocs c USING (contract_id)),
+bt AS (SELECT *, regexp_extract_all(txt, {PAT}) AS toks, regexp_split_to_array(txt, {PAT}) AS seps FROM btxt),
+bw AS (SELECT *, len(toks) AS n, greatest(0, least(w0, len(toks) - 15)) AS a FROM bt),
+bz AS (SELECT *, least(n - 1, a + 14) AS z FROM bw),
+idx AS (SELECT query_id, contract_id, col, a, z, toks, seps, unnest(generate_series(a, z)) AS i FROM bz),
+piece AS (
+  SELECT x.query_id, x.contract_id, x.i,
+    (CASE WHEN cov AND (x.i = x.a OR NOT jprev) THEN '<b>' ELSE '' END)
+    || x.toks[x.i + 1]
+    || (CASE WHEN cov AND (x.i = x.z OR NOT jnext) THEN '</b>' ELSE '' END)
+    || (CASE WHEN x.i < x.z THEN x.seps[x.i + 2] ELSE '' END) AS p
+  FROM (
+    SELECT idx.*,
+      EXISTS (SELECT 1 FROM hocc h WHERE h.query_id = idx.query_id AND h.contract_id = idx.contract_id
+              AND h.col = idx.col AND h.start <= idx.i AND h."end" >= idx.i) AS cov,
+      EXISTS (SELECT 1 FROM hocc h WHERE h.query_id = idx.query_id AND h.contract_id = idx.contract_id
+              AND h.col = idx.col AND h.start <= idx.i - 1 AND h."end" >= idx.i) AS jprev,
+      EXISTS (SELECT 1 FROM hocc h WHERE h.query_id = idx.query_id AND h.contract_id = idx.contract_id
+              AND h.col = idx.col AND h.start <= idx.i AND h."end" >= idx.i + 1) AS jnext
+    FROM idx) x),
+body AS (SELECT query_id, contract_id, string_agg(p, '' ORDER BY i) AS s FROM piece GROUP BY query_id, contract_id)
+SELECT CAST(h.query_id AS BIGINT) AS query_id, CAST(h.rank AS BIGINT) AS rank, h.contract_id,
+       CAST(b.col AS BIGINT) AS snippet_col,
+       (CASE WHEN b.a > 0 THEN ' ... ' ELSE b.seps[1] END) || y.s
+         || (CASE WHEN b.z < b.n - 1 THEN ' ... ' ELSE b.seps[len(b.seps)] END) AS snippet
+FROM hits h JOIN bz b USING (query_id, contract_id) JOIN body y USING (query_id, contract_id)"""

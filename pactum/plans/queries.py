@@ -124,7 +124,7 @@ def _index(spark, sf_dir):
     """Contracts and their tokenised form, written once (the index build)."""
     c = C.contracts_flat(spark, sf_dir)
     tok = ti.materialize_tokens(c)
-    return c, ti.postings_from_tokens(tok), ti.doc_stats_from_tokens(tok)
+    return c, ti.postings_from_tokens(tok, with_doc_len=True), ti.doc_stats_from_tokens(tok)
 
 
 def _search(spark, sf_dir):
