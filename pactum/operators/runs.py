@@ -27,8 +27,8 @@ def verdict_of(reply: Column) -> Column:
     return F.coalesce(F.lower(py_strip(reply)).startswith("t"), F.lit(False))
 
 
-def _falsy(v: Column) -> Column:
-    k = tc.kind(v)
+def _falsy(v: Column, k: Column) -> Column:
+    """Python falsiness of a JSON value ``v`` whose kind is ``k``."""
     return (k.isNull() | (k == "VOID")
             | (k.startswith("ARRAY") & (F.json_array_length(F.to_json(v)) == 0))
             | ((k == "STRING") & (tc.as_str(v) == ""))
@@ -36,45 +36,54 @@ def _falsy(v: Column) -> Column:
             | (k.startswith("OBJECT") & (F.size(tc.object_keys(v)) == 0)))
 
 
-def _numeric(v: Column) -> Column:
-    k = tc.kind(v)
+def _numeric_kind(k: Column) -> Column:
     return k.isin(*NUMERIC_KINDS) | k.startswith("DECIMAL")
 
 
 def parsed_turns(turns: DataFrame) -> DataFrame:
     """Adds the parse of every turn (F6-F9): ``call_source`` (tools / json /
-    none), ``parse_status``, ``tool_name`` and ``tool_args`` (VARIANT)."""
-    use_tools = F.col("use_tools")
-    fc = tc.first_call(F.col("tool_calls"))
-    has_calls = F.coalesce(F.size("tool_calls") > 0, F.lit(False))
-    truthy = F.coalesce(F.length("content") > 0, F.lit(False))
-    t_args = tc.parse_object(fc["arguments"])
-    j_obj = tc.embedded_object(F.col("content"))
-    j_ok = tc.is_object(j_obj) & tc.field(j_obj, "tool_name").isNotNull() & tc.field(j_obj, "tool_args").isNotNull()
-    j_name = tc.field(j_obj, "tool_name")
-    j_name_s = (F.when(tc.kind(j_name) == "VOID", F.lit(None))
-                .when(tc.kind(j_name) == "STRING", tc.as_str(j_name))
-                .otherwise(F.concat(F.lit("<"), tc.kind(j_name), F.lit(">"))))
-    j_args = tc.field(j_obj, "tool_args")
-    j_args = F.when(tc.kind(j_args) != "VOID", j_args)
-    failed = F.coalesce(F.col("llm_failed"), F.lit(False))
-    status = (F.when(failed, "model_failure")
-              .when(use_tools & has_calls & fc["name"].isNull(), "no_function")
-              .when(use_tools & has_calls & ~tc.is_object(t_args), "bad_arguments")
+    none), ``parse_status``, ``tool_name`` and ``tool_args`` (VARIANT).
+
+    Each parse (JSON text -> VARIANT) and each type test is staged as its own
+    column, so it runs once per row however often the rules refer to it."""
+    c = F.col
+    t = turns.withColumn("_fc", tc.first_call(c("tool_calls"))) \
+        .withColumn("_has_calls", F.coalesce(F.size("tool_calls") > 0, F.lit(False))) \
+        .withColumn("_truthy", F.coalesce(F.length("content") > 0, F.lit(False))) \
+        .withColumn("_failed", F.coalesce(c("llm_failed"), F.lit(False)))
+    t = t.withColumn("_targs", F.when(c("use_tools") & c("_has_calls"), tc.parse_object(c("_fc")["arguments"]))) \
+        .withColumn("_jobj", F.when(~c("use_tools") & c("_truthy"), tc.embedded_object(c("content"))))
+    t = t.withColumn("_targs_kind", tc.kind(c("_targs"))) \
+        .withColumn("_jobj_kind", tc.kind(c("_jobj"))) \
+        .withColumn("_jname", tc.field(c("_jobj"), "tool_name")) \
+        .withColumn("_jargs", tc.field(c("_jobj"), "tool_args"))
+    t = t.withColumn("_jname_kind", tc.kind(c("_jname"))).withColumn("_jargs_kind", tc.kind(c("_jargs")))
+    use_tools, has_calls, truthy = c("use_tools"), c("_has_calls"), c("_truthy")
+    j_ok = F.coalesce(c("_jobj_kind").startswith("OBJECT"), F.lit(False)) & c("_jname").isNotNull() \
+        & c("_jargs").isNotNull()
+    jk = c("_jname_kind")
+    j_name_s = (F.when(jk == "VOID", F.lit(None)).when(jk == "STRING", tc.as_str(c("_jname")))
+                .otherwise(F.concat(F.lit("<"), jk, F.lit(">"))))
+    j_args = F.when(c("_jargs_kind") != "VOID", c("_jargs"))
+    t_obj = F.coalesce(c("_targs_kind").startswith("OBJECT"), F.lit(False))
+    status = (F.when(c("_failed"), "model_failure")
+              .when(use_tools & has_calls & c("_fc")["name"].isNull(), "no_function")
+              .when(use_tools & has_calls & ~t_obj, "bad_arguments")
               .when(~use_tools & truthy & ~j_ok, "unparsable")
               .when(~use_tools & truthy & (j_name_s.isNull() | j_args.isNull()), "null_call")
               .when(use_tools & has_calls, "ok")
               .when(~use_tools & truthy, "ok")
               .when(truthy, "text_reply")
               .otherwise("no_call"))
-    out = turns.withColumn("parse_status", status)
-    ok = F.col("parse_status") == "ok"
-    return out.select(
-        "*",
+    t = t.withColumn("parse_status", status)
+    ok = c("parse_status") == "ok"
+    out = t.select(
+        *turns.columns, "parse_status",
         F.when(use_tools & has_calls, "tools").when(~use_tools & truthy, "json").otherwise("none").alias("call_source"),
-        F.when(ok, F.when(use_tools, fc["name"]).otherwise(j_name_s)).alias("tool_name"),
-        F.when(ok, F.when(use_tools, t_args).otherwise(j_args)).alias("tool_args"),
-        F.when(ok & use_tools, fc["id"]).alias("tool_call_id"))
+        F.when(ok, F.when(use_tools, c("_fc")["name"]).otherwise(j_name_s)).alias("tool_name"),
+        F.when(ok, F.when(use_tools, c("_targs")).otherwise(j_args)).alias("tool_args"),
+        F.when(ok & use_tools, c("_fc")["id"]).alias("tool_call_id"))
+    return out
 
 
 def classified_turns(turns: DataFrame, scenarios: DataFrame, contract_ids: DataFrame,
@@ -82,22 +91,32 @@ def classified_turns(turns: DataFrame, scenarios: DataFrame, contract_ids: DataF
     """Per-turn outcome and flags.  ``scenarios`` gives the target contract and
     truth text per ``scenario_id`` (J6), ``contract_ids`` the existing ids (J8),
     ``judge_replies`` the judge's reply per (trajectory_id, turn) (J10)."""
-    t = turns.filter(F.col("turn") <= max_turns)  # W5: later turns never run
+    c = F.col
+    t = turns.filter(c("turn") <= max_turns)  # W5: later turns never run
     t = parsed_turns(t)
-    scen = scenarios.select("scenario_id", F.col("contract_id").alias("target"),
-                            F.col("ground_truth_clause_text").alias("truth"))
+    scen = scenarios.select("scenario_id", c("contract_id").alias("target"),
+                            c("ground_truth_clause_text").alias("truth"))
     t = t.join(scen, "scenario_id", "left")
-    args = F.col("tool_args")
-    name = F.col("tool_name")
-    is_read = name == TOOL_READ
-    rid_v = tc.field(args, "contract_id")
-    t = t.withColumn("_rid", F.when(is_read & tc.is_object(args) & tc.is_int(rid_v), tc.as_long(rid_v)))
+    args, name = c("tool_args"), c("tool_name")
+    # Stage every argument lookup and its type once.
+    t = t.withColumn("_obj", tc.is_object(args)) \
+        .withColumn("_rid_v", F.when(name == TOOL_READ, tc.field(args, "contract_id"))) \
+        .withColumn("_kw", F.when(name == TOOL_SEARCH, tc.field(args, "keywords"))) \
+        .withColumn("_mr", F.when(name == TOOL_SEARCH, tc.field(args, "max_results"))) \
+        .withColumn("_keys", F.when(name == TOOL_SEARCH, tc.object_keys(args))) \
+        .withColumn("_text_v", F.when(name == TOOL_ANSWER, tc.field(args, "extracted_clause_text"))) \
+        .withColumn("_src_v", F.when(name == TOOL_ANSWER, tc.field(args, "source_contract_id")))
+    t = t.withColumn("_rid_kind", tc.kind(c("_rid_v"))).withColumn("_kw_kind", tc.kind(c("_kw"))) \
+        .withColumn("_mr_kind", tc.kind(c("_mr"))).withColumn("_text_kind", tc.kind(c("_text_v"))) \
+        .withColumn("_src_kind", tc.kind(c("_src_v")))
+    is_int = lambda k: F.coalesce(k.isin("BIGINT", "BOOLEAN"), F.lit(False))
+    t = t.withColumn("_rid", F.when((name == TOOL_READ) & c("_obj") & is_int(c("_rid_kind")), tc.as_long(c("_rid_v"))))
     # Existence of the requested id.  Turns without a read get a distinct
     # negative key instead of NULL (ids are positive, so it never matches):
     # NULL keys would all hash to one partition of the shuffle join.
     salt = -1 - F.pmod(F.xxhash64("trajectory_id", "turn"), F.lit(1 << 40))
-    t = t.withColumn("_rkey", F.coalesce(F.col("_rid"), salt))
-    ids = contract_ids.select(F.col("contract_id").alias("_rkey"), F.lit(True).alias("_exists"))
+    t = t.withColumn("_rkey", F.coalesce(c("_rid"), salt))
+    ids = contract_ids.select(c("contract_id").alias("_rkey"), F.lit(True).alias("_exists"))
     t = t.join(ids, "_rkey", "left").drop("_rkey")
     if judge_replies is not None:
         t = t.join(judge_replies.select("trajectory_id", "turn", "reply", "judge_prompt_tokens",
@@ -107,40 +126,40 @@ def classified_turns(turns: DataFrame, scenarios: DataFrame, contract_ids: DataF
              .withColumn("judge_prompt_tokens", F.lit(None).cast("bigint"))
              .withColumn("judge_completion_tokens", F.lit(None).cast("bigint")))
 
-    ok = F.col("parse_status") == "ok"
-    obj = tc.is_object(args)
+    ok = c("parse_status") == "ok"
+    obj = c("_obj")
     # search_contracts(**args)
-    keys = tc.object_keys(args)
-    kw = tc.field(args, "keywords")
-    mr = tc.field(args, "max_results")
-    unknown_arg = F.exists(keys, lambda x: ~x.isin(*SEARCH_ARGS))
-    kw_falsy = _falsy(kw)
-    search_bad = (~obj | unknown_arg | ~F.array_contains(keys, "keywords")
-                  | (~kw_falsy & ((F.coalesce(tc.kind(kw), F.lit("")) != "ARRAY<STRING>")
-                                  | (mr.isNotNull() & ~_numeric(mr)))))
-    found = ~search_bad & ~kw_falsy & F.coalesce(F.array_contains("tool_result_ids", F.col("target")), F.lit(False))
+    kw_falsy = _falsy(c("_kw"), c("_kw_kind"))
+    unknown_arg = F.exists("_keys", lambda x: ~x.isin(*SEARCH_ARGS))
+    search_bad = (~obj | unknown_arg | ~F.array_contains("_keys", "keywords")
+                  | (~kw_falsy & ((F.coalesce(c("_kw_kind"), F.lit("")) != "ARRAY<STRING>")
+                                  | (c("_mr").isNotNull() & ~_numeric_kind(c("_mr_kind"))))))
+    found = ~search_bad & ~kw_falsy & F.coalesce(F.array_contains("tool_result_ids", c("target")), F.lit(False))
     # read_contract(contract_id)
-    read_bad = ~obj | ~tc.is_int(rid_v)
-    rid = F.col("_rid")
-    read_invalid = ~read_bad & ((rid <= 0) | F.col("_exists").isNull())
-    read_correct = ~read_bad & (rid > 0) & (rid == F.col("target"))
+    is_read = name == TOOL_READ
+    read_bad = ~obj | ~is_int(c("_rid_kind"))
+    rid = c("_rid")
+    read_invalid = ~read_bad & ((rid <= 0) | c("_exists").isNull())
+    read_correct = ~read_bad & (rid > 0) & (rid == c("target"))
     # return_final_answer(extracted_clause_text, source_contract_id)
-    text_v, src_v = tc.field(args, "extracted_clause_text"), tc.field(args, "source_contract_id")
-    ans_bad = ~obj | ~tc.is_str(text_v) | ~tc.is_int(src_v)
-    ans_text, ans_src = tc.as_str(text_v), tc.as_long(src_v)
+    ans_bad = ~obj | ~F.coalesce(c("_text_kind") == "STRING", F.lit(False)) | ~is_int(c("_src_kind"))
+    ans_text, ans_src = tc.as_str(c("_text_v")), tc.as_long(c("_src_v"))
     dont_know = (F.lower(py_strip(ans_text)) == DONT_KNOW_TEXT) | (ans_src == DONT_KNOW_ID)
     judged = ~ans_bad & ~dont_know & (F.length(ans_text) > 0) & F.coalesce(F.length("truth") > 0, F.lit(False))
 
-    no_reply = ~F.col("use_tools") | F.col("tool_call_id").isNull()
-    outcome = (F.when(~ok, F.col("parse_status"))
+    no_reply = ~c("use_tools") | c("tool_call_id").isNull()
+    outcome = (F.when(~ok, c("parse_status"))
                .when(name == TOOL_SEARCH, F.when(search_bad, "bad_arguments")
                      .when(no_reply, "stop_after_tool").otherwise("searched"))
                .when(is_read, F.when(read_bad, "bad_arguments")
                      .when(no_reply, "stop_after_tool").otherwise("read"))
                .when(name == TOOL_ANSWER, F.when(ans_bad, "bad_arguments").otherwise("answered"))
                .otherwise("unknown_tool"))
-    t = t.withColumn("outcome", outcome)
-    o = F.col("outcome")
+    t = t.withColumn("outcome", outcome) \
+        .withColumn("_found", found).withColumn("_read_correct", read_correct) \
+        .withColumn("_read_invalid", read_invalid).withColumn("_dont_know", dont_know) \
+        .withColumn("_judged", judged).withColumn("_ans_text", ans_text).withColumn("_ans_src", ans_src)
+    o = c("outcome")
     is_search_ok, is_read_ok = ok & (name == TOOL_SEARCH), ok & is_read
     answered = o == "answered"
     return t.select(
@@ -150,20 +169,20 @@ def classified_turns(turns: DataFrame, scenarios: DataFrame, contract_ids: DataF
         o.isin("model_failure", "text_reply", "no_call", "unknown_tool").alias("f_bad_name"),
         o.isin("no_function", "bad_arguments").alias("f_bad_args"),
         o.isin("unparsable", "null_call").alias("f_cant_parse"),
-        (is_search_ok & found).alias("f_found_in_search"),
-        (is_read_ok & F.coalesce(read_correct, F.lit(False))).alias("f_read_correct"),
-        (is_read_ok & F.coalesce(read_invalid, F.lit(False))).alias("f_invalid_read"),
+        (is_search_ok & c("_found")).alias("f_found_in_search"),
+        (is_read_ok & F.coalesce(c("_read_correct"), F.lit(False))).alias("f_read_correct"),
+        (is_read_ok & F.coalesce(c("_read_invalid"), F.lit(False))).alias("f_invalid_read"),
         answered.alias("f_attempted"),
-        (answered & dont_know).alias("f_dont_know"),
-        (answered & judged).alias("f_judged"),
-        (answered & judged & verdict_of(F.col("reply"))).alias("f_text_correct"),
-        (answered & ~dont_know & (ans_src == F.col("target"))).alias("f_found_contract"),
-        F.when(answered, ans_text).alias("answer_text"),
-        F.when(answered, ans_src).alias("answer_contract_id"),
+        (answered & c("_dont_know")).alias("f_dont_know"),
+        (answered & c("_judged")).alias("f_judged"),
+        (answered & c("_judged") & verdict_of(c("reply"))).alias("f_text_correct"),
+        (answered & ~c("_dont_know") & (c("_ans_src") == c("target"))).alias("f_found_contract"),
+        F.when(answered, c("_ans_text")).alias("answer_text"),
+        F.when(answered, c("_ans_src")).alias("answer_contract_id"),
         F.when(o != "model_failure", F.coalesce("prompt_tokens", F.lit(0))).otherwise(0).cast("bigint").alias("p_tokens"),
         F.when(o != "model_failure", F.coalesce("completion_tokens", F.lit(0))).otherwise(0).cast("bigint").alias("c_tokens"),
-        F.when(answered & judged, F.coalesce("judge_prompt_tokens", F.lit(0))).otherwise(0).cast("bigint").alias("jp_tokens"),
-        F.when(answered & judged, F.coalesce("judge_completion_tokens", F.lit(0))).otherwise(0).cast("bigint").alias("jc_tokens"),
+        F.when(answered & c("_judged"), F.coalesce("judge_prompt_tokens", F.lit(0))).otherwise(0).cast("bigint").alias("jp_tokens"),
+        F.when(answered & c("_judged"), F.coalesce("judge_completion_tokens", F.lit(0))).otherwise(0).cast("bigint").alias("jc_tokens"),
     )
 
 
