@@ -54,3 +54,12 @@ def trajectory_groups(metrics: DataFrame) -> DataFrame:
         stable_double(F.max("reward"), MEAN_PLACES).alias("max_reward"),
         stable_double(F.stddev_pop("reward"), 6).alias("std_reward"),
         F.sum((F.col("clause_text_correct") * F.col("found_correct_contract")).cast("bigint")).alias("n_correct"))
+
+
+def log_runs(metrics: DataFrame, path: str, model: str, split: str) -> None:
+    """Append the valid runs of one benchmark to the run log, laid out by
+    model and split.  A failed append leaves no committed files (the write
+    commit protocol), and the caller only warns, as the original does."""
+    (metrics.filter(F.col("status") == "valid")
+     .withColumn("model", F.lit(model)).withColumn("split", F.lit(split))
+     .write.mode("append").partitionBy("model", "split").parquet(path))

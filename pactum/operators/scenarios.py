@@ -111,3 +111,33 @@ def training_schedule(sample: DataFrame, num_epochs: int = NUM_EPOCHS,
         "eval_before", (F.col("global_step") > initial_step) & (F.pmod(F.col("global_step"), F.lit(eval_steps)) == 0))
     return sched.select("*", F.explode(F.sequence(F.lit(1), F.lit(trajectories_per_group))).alias("run_idx")) \
         .withColumn("run_idx", F.col("run_idx").cast("bigint"))
+
+
+SCENARIO_INT_COLUMNS = ("scenario_id", "contract_id", "annotation_id", "start_char", "end_char")
+
+
+def write_scenarios(split: DataFrame, path: str) -> None:
+    """The scenario dataset with int32 ids/offsets and string texts,
+    laid out by ``split`` so a reader of one split prunes the other."""
+    cols = [F.col(c).cast("int").alias(c) if c in SCENARIO_INT_COLUMNS else F.col(c).cast("string").alias(c)
+            for c in SCENARIO_COLUMNS]
+    split.select(*cols, "split").write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def read_scenarios(spark, path: str, which: str) -> DataFrame:
+    """One split by partition pruning; rows with a field that fails the
+    typed conversion (NULL after the cast) are skipped, as the loader skips
+    rows it cannot convert."""
+    df = spark.read.parquet(path).filter(F.col("split") == which)
+    return df.dropna(subset=list(SCENARIO_COLUMNS))
+
+
+def evaluation_points(schedule: DataFrame, initial_step: int = 0) -> DataFrame:
+    """The steps preceded by an evaluation plus one final evaluation after
+    the last step: (global_step, kind) with kind 'periodic' / 'final'."""
+    steps = schedule.select("global_step", "eval_before").distinct()
+    periodic = steps.filter(F.col("eval_before")).select("global_step", F.lit("periodic").alias("kind"))
+    last = steps.agg(F.max("global_step").alias("m"))
+    final = last.select(F.coalesce(F.col("m") + 1, F.lit(initial_step)).alias("global_step"),
+                        F.lit("final").alias("kind"))
+    return periodic.unionByName(final)

@@ -92,8 +92,16 @@ def q_split_disjoint(spark, sf_dir):
 
 @query("scenario_sample")
 def q_scenario_sample(spark, sf_dir):
-    s = scen_ops.sample_scenarios(C.split(spark, sf_dir), "train", TRAINING_DATASET_SIZE, shuffle=True)
-    return s.select("sample_rank", "scenario_id", "contract_id", "clause_type")
+    """S10 write (int32, by split) -> S11 pruned read of the train split ->
+    seeded shuffle and limit (L2, L4)."""
+    from pactum.session import scratch_path as _sp
+    path = _sp(spark, "scenarios")
+    scen_ops.write_scenarios(C.split(spark, sf_dir), path)
+    train = scen_ops.read_scenarios(spark, path, "train")
+    s = scen_ops.sample_scenarios(train, "train", TRAINING_DATASET_SIZE, shuffle=True)
+    return s.select(F.col("sample_rank").cast("bigint").alias("sample_rank"),
+                    F.col("scenario_id").cast("bigint").alias("scenario_id"),
+                    F.col("contract_id").cast("bigint").alias("contract_id"), "clause_type")
 
 
 @query("training_schedule")

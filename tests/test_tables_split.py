@@ -75,3 +75,42 @@ def test_training_schedule(spark):
     assert all(r["count"] == -(-n // 4) for r in steps)
     resumed = S.training_schedule(sample, num_epochs=2, groups_per_step=4, initial_step=3)
     assert resumed.agg(F.min("global_step")).first()[0] == 3
+
+
+def test_write_read_scenarios_prunes(spark, tmp_path):
+    split = S.split_scenarios(_scen(spark, 20).select(
+        "scenario_id", "contract_id", F.lit("t").alias("contract_title"), F.col("scenario_id").alias("annotation_id"),
+        F.lit("c").alias("clause_type"), F.lit("x").alias("ground_truth_clause_text"),
+        F.lit(0).cast("bigint").alias("start_char"), F.lit(1).cast("bigint").alias("end_char")))
+    path = str(tmp_path / "scen")
+    S.write_scenarios(split, path)
+    test = S.read_scenarios(spark, path, "test")
+    assert dict(test.dtypes)["scenario_id"] == "int"
+    assert test.count() == split.filter("split = 'test'").count()
+    plan = test._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "split" in plan
+
+
+def test_evaluation_points(spark):
+    split = S.split_scenarios(_scen(spark, 30))
+    sample = S.sample_scenarios(split, "train", None, shuffle=True)
+    sch = S.training_schedule(sample, num_epochs=2, groups_per_step=4, eval_steps=5)
+    pts = sorted((r["global_step"], r["kind"]) for r in S.evaluation_points(sch).collect())
+    n_steps = sch.agg(F.max("global_step")).first()[0] + 1
+    assert pts[-1] == (n_steps, "final")
+    assert [p for p, k in pts if k == "periodic"] == [s for s in range(1, n_steps) if s % 5 == 0]
+
+
+def test_write_tables_guard(spark, tmp_path):
+    from pactum.operators import tables as T
+    import pytest
+    c = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id BIGINT, title STRING, full_text STRING")
+    a = spark.createDataFrame([(1, 1, "q", "x", 0, 1)],
+                              "id BIGINT, contract_id BIGINT, clause_type STRING, text STRING, start_char BIGINT, end_char BIGINT")
+    out = str(tmp_path / "db")
+    assert T.write_tables(c, a, out) == {"skipped": False}
+    assert T.write_tables(c, a, out) == {"skipped": True}      # built and committed: skip
+    assert T.write_tables(c, a, out, overwrite=True) == {"skipped": False}
+    dup = spark.createDataFrame([(1, "a", "x"), (2, "a", "y")], "id BIGINT, title STRING, full_text STRING")
+    with pytest.raises(ValueError, match="duplicate"):
+        T.write_tables(dup, a, str(tmp_path / "db2"))
