@@ -68,6 +68,13 @@ def hash_rank(df: DataFrame, key_col: str, seed: int | str, rank_col: str = "ran
     h = hash_col if hash_col is not None else seeded_hash(F.col(key_col), seed)
     keyed = df.withColumn("_h", h).withColumn(
         "_bucket", F.conv(F.substring("_h", 1, HASH_BUCKET_DIGITS), 16, 10).cast("int"))
+    # The keyed rows feed both the bucket counts and the final join: write
+    # them once to the shared folder so the input plan runs once (chained
+    # ranks would otherwise copy their whole upstream plan at every level).
+    spark = df.sparkSession
+    path = scratch_path(spark, "hash-rank")
+    keyed.write.mode("error").parquet(path)
+    keyed = spark.read.parquet(path)
     counts = keyed.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w_prev = (Window.partitionBy(*group_cols).orderBy("_bucket")
               .rowsBetween(Window.unboundedPreceding, -1))

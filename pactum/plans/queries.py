@@ -254,12 +254,7 @@ def q_tool_reply(spark, sf_dir):
     confirmation text of final answers."""
     turns, scen, ids, replies = C.run_inputs(spark, sf_dir)
     kept = run_ops.kept_turns(run_ops.classified_turns(turns, scen, ids, replies))
-    reads = kept.filter(F.col("outcome") == "read").join(
-        turns.select("trajectory_id", "turn", F.try_element_at("tool_calls", F.lit(1))["id"].alias("tool_call_id")),
-        ["trajectory_id", "turn"])
-    rid = F.get_json_object(F.col("args_json"), "$.contract_id").cast("bigint")
-    reads = reads.join(turns.select("trajectory_id", "turn", F.try_element_at("tool_calls", F.lit(1))["arguments"].alias("args_json")),
-                       ["trajectory_id", "turn"]).withColumn("rid", rid)
+    reads = kept.filter(F.col("outcome") == "read").withColumn("rid", F.col("read_id"))
     contracts = C.contracts_flat(spark, sf_dir).select(F.col("contract_id").alias("rid"), "title", "full_text")
     reads = reads.join(contracts, "rid", "left")
     payload = (F.when(F.col("rid") <= 0, F.to_json(F.struct(F.concat(
