@@ -178,6 +178,12 @@ def classified_turns(turns: DataFrame, scenarios: DataFrame, contract_ids: DataF
         (answered & c("_judged") & verdict_of(c("reply"))).alias("f_text_correct"),
         (answered & ~c("_dont_know") & (c("_ans_src") == c("target"))).alias("f_found_contract"),
         "tool_call_id", c("_rid").alias("read_id"),
+        # the executed search call (for replaying it against the index)
+        F.when((name == TOOL_SEARCH) & ok & ~search_bad,
+               F.coalesce(F.try_variant_get(c("_kw"), "$", "array<string>"), F.array().cast("array<string>")))
+        .alias("search_keywords"),
+        F.when((name == TOOL_SEARCH) & ok & ~search_bad,
+               F.coalesce(F.try_variant_get(c("_mr"), "$", "int"), F.lit(10))).alias("search_max_results"),
         F.when(answered, c("_ans_text")).alias("answer_text"),
         F.when(answered, c("_ans_src")).alias("answer_contract_id"),
         F.when(o != "model_failure", F.coalesce("prompt_tokens", F.lit(0))).otherwise(0).cast("bigint").alias("p_tokens"),

@@ -183,9 +183,7 @@ def _batch_values() -> str:
     return ",\n    ".join(rows)
 
 
-SEARCH = CTOKS + f""",
-q AS (SELECT * FROM (VALUES
-    {_batch_values()}) v(query_id, keywords, max_results)),
+SEARCH_CORE = f"""
 kw AS (SELECT query_id, unnest(keywords) AS keyword, unnest(generate_series(0, len(keywords) - 1)) AS kw_idx FROM q),
 kt AS (SELECT query_id, kw_idx, {FOLDED.replace('@X@', 'keyword')} AS toks FROM kw),
 qtok AS (SELECT query_id, kw_idx, len(toks) AS n_tok, unnest(toks) AS token,
@@ -213,6 +211,10 @@ ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY s.sco
                   CASE WHEN q.max_results IS NULL OR q.max_results <= 0 OR q.max_results > 10 THEN 10 ELSE q.max_results END AS k
            FROM scored s JOIN q USING (query_id))"""
 
+SEARCH = CTOKS + f""",
+q AS (SELECT * FROM (VALUES
+    {_batch_values()}) v(query_id, keywords, max_results)),""" + SEARCH_CORE
+
 ORACLE["tokens"] = f"""WITH {CTOKS}
 SELECT contract_id, CAST(len(tt) AS BIGINT) AS n_title_tokens, CAST(len(bt) AS BIGINT) AS n_body_tokens,
        CAST(len(list_distinct(list_concat(tt, bt))) AS BIGINT) AS n_distinct_tokens,
@@ -522,8 +524,7 @@ SELECT contract_id, CAST(1 AS BIGINT), CAST(unnest(generate_series(0, len(bt) -
 
 # --- snippets (F5): the window rule of pactum.operators.search.snippets in SQL -----
 
-ORACLE["search_snippet"] = f"""WITH {SEARCH},
-hits AS (SELECT query_id, rank, contract_id FROM ranked WHERE rank <= k),
+SNIPPET_CHAIN = f"""hits AS (SELECT query_id, rank, contract_id FROM ranked WHERE rank <= k),
 hocc AS (SELECT o.query_id, o.contract_id, o.kw_idx, o.col, o.start, o.start + o.n_tok - 1 AS "end"
          FROM occ o JOIN hits h USING (query_id, contract_id)),
 cand AS (SELECT query_id, contract_id, col, start,
@@ -556,9 +557,30 @@ piece AS (
       EXISTS (SELECT 1 FROM hocc h WHERE h.query_id = idx.query_id AND h.contract_id = idx.contract_id
               AND h.col = idx.col AND h.start <= idx.i AND h."end" >= idx.i + 1) AS jnext
     FROM idx) x),
-body AS (SELECT query_id, contract_id, string_agg(p, '' ORDER BY i) AS s FROM piece GROUP BY query_id, contract_id)
+body AS (SELECT query_id, contract_id, string_agg(p, '' ORDER BY i) AS s FROM piece GROUP BY query_id, contract_id)"""
+
+SNIPPET_TEXT = ("(CASE WHEN b.a > 0 THEN ' ... ' ELSE b.seps[1] END) || y.s"
+                " || (CASE WHEN b.z < b.n - 1 THEN ' ... ' ELSE b.seps[len(b.seps)] END)")
+
+ORACLE["search_snippet"] = f"""WITH {SEARCH},
+{SNIPPET_CHAIN}
 SELECT CAST(h.query_id AS BIGINT) AS query_id, CAST(h.rank AS BIGINT) AS rank, h.contract_id,
-       CAST(b.col AS BIGINT) AS snippet_col,
-       (CASE WHEN b.a > 0 THEN ' ... ' ELSE b.seps[1] END) || y.s
-         || (CASE WHEN b.z < b.n - 1 THEN ' ... ' ELSE b.seps[len(b.seps)] END) AS snippet
+       CAST(b.col AS BIGINT) AS snippet_col, {SNIPPET_TEXT} AS snippet
 FROM hits h JOIN bz b USING (query_id, contract_id) JOIN body y USING (query_id, contract_id)"""
+
+
+
+# --- replay of the executed search calls: the batch comes from the events ----------
+
+from pactum.sources.runlog import SEARCH_KEYWORDS  # noqa: E402
+
+ORACLE["search_replay"] = f"""WITH {CTOKS}, {RUN_ACT},
+q AS (SELECT trajectory_id * 100 + turn AS query_id,
+             CASE k % 10 {' '.join(f"WHEN {i} THEN [{', '.join(repr(w) for w in kw)}]::VARCHAR[]" for i, kw in enumerate(SEARCH_KEYWORDS))} END AS keywords,
+             10 AS max_results
+      FROM kept WHERE action = 'search'),""" + SEARCH_CORE + f""",
+{SNIPPET_CHAIN}
+SELECT CAST(h.query_id AS BIGINT) AS query_id, CAST(h.rank AS BIGINT) AS rank, h.contract_id,
+       r.score, {SNIPPET_TEXT} AS snippet
+FROM hits h JOIN ranked r USING (query_id, contract_id) JOIN bz b USING (query_id, contract_id)
+     JOIN body y USING (query_id, contract_id)"""

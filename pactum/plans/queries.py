@@ -352,3 +352,17 @@ def upkept_index(spark, sf_dir, buckets: int = 16) -> IndexStore:
 def q_index_upsert(spark, sf_dir):
     p = upkept_index(spark, sf_dir).read("postings")
     return p.select(*C.as_long("contract_id", "col", "pos"), "token")
+
+
+@query("search_replay")
+def q_search_replay(spark, sf_dir):
+    """Every search call the logged agents executed, replayed as one query
+    batch against the corpus index (hits, scores and snippets)."""
+    turns, scen, ids, replies = C.run_inputs(spark, sf_dir)
+    kept = run_ops.kept_turns(run_ops.classified_turns(turns, scen, ids, replies))
+    batch = kept.filter(F.col("search_keywords").isNotNull()).select(
+        (F.col("trajectory_id") * 100 + F.col("turn")).alias("query_id"),
+        F.col("search_keywords").alias("keywords"), F.col("search_max_results").alias("max_results"))
+    c, post, stats = _index(spark, sf_dir)
+    res = search_ops.search_with_snippets(batch, post, stats, c)
+    return res.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", "contract_id", "score", "snippet")

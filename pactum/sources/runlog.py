@@ -13,7 +13,8 @@ contract is ``1 + (user_id * 7) % 100``; runs of users with
   click     read contract k (1000000 + k when k % 25 = 24; 0 is invalid)
   view      k < 3 -> unknown tool, k < 6 -> broken arguments, else search
 
-A search logs hits ``k+1 .. k+10``.  A final answer gives the don't-know
+A search asks for keyword set ``k % 10`` of ``SEARCH_KEYWORDS`` and logs
+hits ``k+1 .. k+10``.  A final answer gives the don't-know
 sentence when ``k % 5 = 0``, else ``'clause ' || k``, with source id =
 target when ``k`` is even, else ``k``; the judge replies 'True' unless
 ``k % 3 = 0``.  ``prompt_tokens = floor(value)``, ``completion_tokens = k``.
@@ -21,6 +22,8 @@ target when ``k`` is even, else ``k``; the judge replies 'True' unless
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,11 @@ from pactum.operators.ids import group_row_number
 
 TURNS_PER_RUN = 12
 DONT_KNOW_SENTENCE = "I could not find the clause."
+# Keywords of the logged search calls, chosen by k % 10 (words of the corpus).
+SEARCH_KEYWORDS = [
+    ["the"], ["and", "of"], ["in the"], ["que"], ["en", "la"],
+    ["license"], ["the", "and"], ["of the"], ["le"], ["zzzz"],
+]
 
 
 def _k() -> Column:
@@ -68,7 +76,9 @@ def turns(events: DataFrame) -> DataFrame:
     ans_src = F.when(F.pmod(k, F.lit(2)) == 0, F.col("target")).otherwise(k)
     name = (F.when(act.isin("search", "broken"), "search_contracts").when(act == "read", "read_contract")
             .when(act == "answer", "return_final_answer").when(act == "unknown", "delete_contract"))
-    args = (F.when(act == "search", F.concat(F.lit('{"keywords": ["clause '), ks, F.lit('"], "max_results": 10}')))
+    kw_json = F.element_at(F.array(*[F.lit(json.dumps(kw)) for kw in SEARCH_KEYWORDS]),
+                           (F.pmod(k, F.lit(len(SEARCH_KEYWORDS))) + 1).cast("int"))
+    args = (F.when(act == "search", F.concat(F.lit('{"keywords": '), kw_json, F.lit(', "max_results": 10}')))
             .when(act == "read", F.concat(F.lit('{"contract_id": '), read_id.cast("string"), F.lit("}")))
             .when(act == "answer", F.concat(F.lit('{"extracted_clause_text": "'), ans_text,
                                             F.lit('", "source_contract_id": '), ans_src.cast("string"), F.lit("}")))
