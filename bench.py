@@ -23,7 +23,7 @@ WARMUP_SF = "/root/testdata/sf0.001"
 HEADLINE = [
     "full_text", "flat_annotations", "build_tables", "integrity_report", "scenario_split",
     "training_schedule", "postings", "search_topk", "search_snippet", "read_by_id",
-    "rubric", "benchmark_means", "validate_nested", "index_upsert",
+    "search_replay", "rubric", "benchmark_means", "validate_nested", "index_upsert",
 ]
 
 

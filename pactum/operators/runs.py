@@ -226,7 +226,8 @@ def rubric(classified: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
         F.sum("jp_tokens").alias("judge_prompt_tokens"),
         F.sum("jc_tokens").alias("judge_completion_tokens"),
         F.max_by("outcome", "turn").alias("_last_outcome"),
-        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6).alias("duration"),
+        # independent of the session time zone (works on TIMESTAMP and TIMESTAMP_NTZ)
+        (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1e6).alias("duration"),
     )
     out_of_turns = F.col("_end").isNull() & (F.col("_n") >= max_turns)
     return agg.select(
