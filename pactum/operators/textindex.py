@@ -3,8 +3,10 @@
 ``postings(contract_id, col, pos, token)``: one row per token of the title
 (col 0) and the full text (col 1).  Stored layout (``write_index``): parquet
 partitioned by ``bucket = pmod(hash(contract_id), B)`` so the streaming
-upkeep (T1) rewrites only the buckets it touches, and sorted by token inside
-each bucket so parquet min/max statistics skip row groups for a token filter.
+upkeep (T1) rewrites only the buckets it touches, and range-partitioned on
+(bucket, token) and sorted by token inside each file, so a heavy bucket is
+written by several tasks and parquet min/max statistics skip files and row
+groups for a token filter.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ def write_index(contracts: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -
     """Write postings and doc stats in the layout described above."""
     bucket = F.pmod(F.hash("contract_id"), F.lit(buckets))
     (postings(contracts).withColumn("bucket", bucket)
-     .repartition("bucket").sortWithinPartitions("token", "contract_id")
+     .repartitionByRange("bucket", "token").sortWithinPartitions("token", "contract_id")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     (doc_stats(contracts).withColumn("bucket", bucket)
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/doc_stats"))

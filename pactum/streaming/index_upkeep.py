@@ -125,7 +125,10 @@ class IndexStore:
         stored = self.spark.read.parquet(path)
         live = stored.filter(F.col("op") != "delete").select("contract_id", "title", "full_text", "bucket")
         post = ti.postings(live).withColumn("bucket", self._bucket())
-        (post.repartition("bucket").sortWithinPartitions("token", "contract_id")
+        # Range-partitioned on (bucket, token): a heavy bucket is split into
+        # token ranges over several tasks, and every file covers a narrow
+        # token range, so parquet min/max statistics skip files for a token.
+        (post.repartitionByRange("bucket", "token").sortWithinPartitions("token", "contract_id")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/v={tag}"))
         stats = ti.doc_stats(live).withColumn("bucket", self._bucket())
         stats.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/doc_stats/v={tag}")

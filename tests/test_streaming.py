@@ -36,3 +36,15 @@ def test_upkeep_equals_rebuild(spark):
     stats = {r["contract_id"]: r["doc_len"] for r in store.read("doc_stats").collect()}
     assert 4 not in stats and stats[25] == 3
     assert store.read("contracts").filter(F.col("op") == "delete").count() == 1
+
+
+def test_write_index_layout_skips_by_token(spark, tmp_path):
+    base = spark.createDataFrame([(i, f"t{i}", f"alpha beta w{i} gamma") for i in range(1, 41)],
+                                 "contract_id BIGINT, title STRING, full_text STRING")
+    path = str(tmp_path / "idx")
+    ti.write_index(base, path, buckets=4)
+    post = spark.read.parquet(f"{path}/postings")
+    assert post.count() == ti.postings(base).count()
+    q = post.filter((F.col("bucket") == 1) & (F.col("token") == "w7"))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "EqualTo(token,w7)" in plan
