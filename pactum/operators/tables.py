@@ -97,10 +97,12 @@ def write_tables(contracts: DataFrame, annotations: DataFrame, out_dir: str,
         raise ValueError("contracts with a null title or full_text")
     mode = "overwrite"
     if not overwrite:
+        # A build counts as done only when both tables carry their commit
+        # marker: a half-finished build (e.g. annotations failed) is redone.
         jvm = spark.sparkContext._jvm
         hconf = spark.sparkContext._jsc.hadoopConfiguration()
-        marker = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/contracts/_SUCCESS")
-        if marker.getFileSystem(hconf).exists(marker):
+        markers = [jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{t}/_SUCCESS") for t in ("contracts", "annotations")]
+        if all(m.getFileSystem(hconf).exists(m) for m in markers):
             return {"skipped": True}
     contracts.select("id", "title", "full_text").write.mode(mode).parquet(f"{out_dir}/contracts")
     annotations.write.mode(mode).parquet(f"{out_dir}/annotations")

@@ -93,8 +93,10 @@ class IndexStore:
         by_tag: dict[str, list[int]] = {}
         for b, t in mapping.items():
             by_tag.setdefault(t, []).append(b)
-        frames = [self.spark.read.parquet(f"{self.root}/{table}/v={t}").filter(F.col("bucket").isin(bs))
-                  for t, bs in sorted(by_tag.items())]
+        # Declared schema: a version folder may hold no rows for a table (e.g.
+        # every contract of a rewritten bucket was deleted).
+        frames = [self.spark.read.schema(self._schema(table)).parquet(f"{self.root}/{table}/v={t}")
+                  .filter(F.col("bucket").isin(bs)) for t, bs in sorted(by_tag.items())]
         if not frames:
             return self.spark.createDataFrame([], self._schema(table))
         out = frames[0]

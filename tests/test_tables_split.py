@@ -114,3 +114,14 @@ def test_write_tables_guard(spark, tmp_path):
     dup = spark.createDataFrame([(1, "a", "x"), (2, "a", "y")], "id BIGINT, title STRING, full_text STRING")
     with pytest.raises(ValueError, match="duplicate"):
         T.write_tables(dup, a, str(tmp_path / "db2"))
+
+
+def test_half_built_tables_are_rebuilt(spark, tmp_path):
+    from pactum.operators import tables as T
+    c = spark.createDataFrame([(1, "a", "x")], "id BIGINT, title STRING, full_text STRING")
+    a = spark.createDataFrame([(1, 1, "q", "x", 0, 1)],
+                              "id BIGINT, contract_id BIGINT, clause_type STRING, text STRING, start_char BIGINT, end_char BIGINT")
+    out = str(tmp_path / "db")
+    c.write.parquet(f"{out}/contracts")          # contracts committed, annotations missing
+    assert T.write_tables(c, a, out) == {"skipped": False}
+    assert spark.read.parquet(f"{out}/annotations").count() == 1
