@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.functions.text import raw_tokens, separators, tokens
-from pactum.operators.sizing import broadcast_if_small, maybe_broadcast, sized
+from pactum.operators.sizing import BROADCAST_MAX_ROWS, broadcast_if_small, maybe_broadcast, sized
 from pactum.schemas import (BM25_B, BM25_IDF_FLOOR, BM25_K1, MAX_SEARCH_RESULTS, SNIPPET_CLOSE,
                             SNIPPET_ELLIPSIS, SNIPPET_OPEN, SNIPPET_TOKENS)
 
@@ -98,6 +98,11 @@ def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame) -> Data
             .filter(F.col("_m") == F.col("n_kw")).select("query_id", "contract_id", "score"))
 
 
+def _is_local(df: DataFrame) -> bool:
+    """Whether the frame is an in-memory literal (nothing to recompute)."""
+    return df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LocalRelation"
+
+
 def keyword_lists(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Batches repeat searches (many agents ask the same thing).  Results
     depend only on the keyword list, so each distinct list is scored once:
@@ -107,10 +112,12 @@ def keyword_lists(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # A batch may come from a deep plan (e.g. replayed from logged runs) and is
     # read several times below: checkpoint it once (it holds queries, not data).
-    scratch_root(queries.sparkSession)
     key = F.md5(F.to_json(F.col("keywords")))
     full = queries.select("query_id", "keywords", key.alias("list_key"),
-                          clamp_max_results(F.col("max_results")).alias("_k")).checkpoint(eager=True)
+                          clamp_max_results(F.col("max_results")).alias("_k"))
+    if not _is_local(queries):  # a literal batch is already in memory
+        scratch_root(queries.sparkSession)
+        full = full.checkpoint(eager=True)
     q = full.select("query_id", "list_key", "_k")
     lists = full.select(F.col("list_key").alias("query_id"), "keywords").dropDuplicates(["query_id"])
     return lists, q
@@ -127,10 +134,12 @@ def top_per_list(lists: DataFrame, postings: DataFrame, doc_stats: DataFrame) ->
             .withColumnRenamed("query_id", "list_key"))
 
 
-def _fan_out(top: DataFrame, q: DataFrame) -> DataFrame:
-    """Hits of each distinct list back to every query that asked it."""
-    q, _ = sized(q)
-    return top.join(q, "list_key").filter(F.col("rank") <= F.col("_k")).drop("_k")
+def _fan_out(top: DataFrame, q: DataFrame) -> tuple[DataFrame, bool]:
+    """Hits of each distinct list back to every query that asked it, and
+    whether the hits are provably small: at most 10 per query, so a batch
+    that passes the size check bounds its hits too (no recount needed)."""
+    q, small = sized(q, BROADCAST_MAX_ROWS // MAX_SEARCH_RESULTS)
+    return top.join(q, "list_key").filter(F.col("rank") <= F.col("_k")).drop("_k"), small
 
 
 def search(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame,
@@ -138,9 +147,11 @@ def search(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame,
     """(query_id, rank, contract_id, title, score), at most ``max_results``
     (clamped to 1..10) rows per query, best (lowest) score first."""
     lists, q = keyword_lists(queries)
-    hits = _fan_out(top_per_list(lists, postings, doc_stats), q)
+    hits, small = _fan_out(top_per_list(lists, postings, doc_stats), q)
     titles = contracts.select("contract_id", "title")
-    return hits.join(titles, "contract_id").select(
+    # The hits are few (<= 10 per query): broadcast them, so the contracts are
+    # streamed through the join instead of being shuffled.
+    return maybe_broadcast(hits, small).join(titles, "contract_id").select(
         "query_id", F.col("rank").cast("bigint").alias("rank"),
         F.col("contract_id").cast("bigint").alias("contract_id"), "title", "score")
 
@@ -161,8 +172,11 @@ def snippets(hits: DataFrame, queries: DataFrame, postings: DataFrame,
     to the hits first, and every per-hit array is bounded by the window.
     """
     qtok = broadcast_if_small(query_tokens(queries))
-    keys = hits.select("query_id", "contract_id")
-    post = postings.join(keys.select("contract_id").distinct(), "contract_id", "left_semi")
+    # Hits are few (top 10 per list): broadcast their keys, so the postings and
+    # contracts are filtered while streamed, never shuffled.
+    keys, _ = sized(hits.select("query_id", "contract_id"))
+    hit_ids, _ = sized(hits.select("contract_id").distinct())
+    post = postings.join(hit_ids, "contract_id", "left_semi")
     occ = phrase_occurrences(qtok, post).join(keys, ["query_id", "contract_id"], "left_semi")
     occ = occ.withColumn("end", (F.col("start") + F.col("n_tok") - 1).cast("bigint"))
     ordkey = F.col("col").cast("bigint") * F.lit(1 << 40) + F.col("start")
@@ -176,6 +190,7 @@ def snippets(hits: DataFrame, queries: DataFrame, postings: DataFrame,
     best = cand.withColumn("_r", F.row_number().over(best_w)).filter("_r = 1") \
         .select("query_id", "contract_id", "col", F.col("start").alias("w0"))
     ctext = contracts.select("contract_id", "title", "full_text")
+    best, _ = sized(best)
     b = best.join(ctext, "contract_id").select(
         "query_id", "contract_id", "col", "w0",
         F.when(F.col("col") == 0, F.col("title")).otherwise(F.col("full_text")).alias("text"))
@@ -225,8 +240,8 @@ def search_with_snippets(queries: DataFrame, postings: DataFrame, doc_stats: Dat
     top = top_per_list(lists, postings, doc_stats).checkpoint(eager=True)
     sn = snippets(top.withColumnRenamed("list_key", "query_id"), lists, postings, contracts) \
         .withColumnRenamed("query_id", "list_key")
-    hits = _fan_out(top.join(sn, ["list_key", "contract_id"], "left"), q)
+    hits, small = _fan_out(top.join(sn, ["list_key", "contract_id"], "left"), q)
     titles = contracts.select("contract_id", "title")
-    return hits.join(titles, "contract_id").select(
+    return maybe_broadcast(hits, small).join(titles, "contract_id").select(
         "query_id", F.col("rank").cast("bigint").alias("rank"),
         F.col("contract_id").cast("bigint").alias("contract_id"), "title", "score", "snippet_col", "snippet")
