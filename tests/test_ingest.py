@@ -124,3 +124,21 @@ def test_processed_mode_keeps_empty_and_rejects_bad_qa(spark):
         f.write("\n".join(json.dumps(r) for r in rows))
     st = {r["title"]: r["status"] for r in nj.validate(nj.read_lines(spark, d), mode="processed").collect()}
     assert st == {"a": "ok", "b": "rejected", "c": "rejected"}
+
+
+def test_broken_json_fails(spark):
+    d = tempfile.mkdtemp(prefix="pactum-json-")
+    with open(os.path.join(d, "raw.json"), "w") as f:
+        f.write('{"version": "1", "data": [ {"title": "x", ')
+    with pytest.raises(Exception):
+        nj.read_envelope(spark, d).collect()
+
+
+def test_negative_max_contracts_rejected(spark):
+    d = tempfile.mkdtemp(prefix="pactum-json-")
+    with open(os.path.join(d, "raw.json"), "w") as f:
+        json.dump({"version": "1", "data": CONTRACTS}, f)
+    with pytest.raises(ValueError):
+        nj.validate(nj.read_envelope(spark, d), max_contracts=-1)
+    first = nj.validate(nj.read_envelope(spark, d), max_contracts=2).collect()
+    assert sorted(r["contract_seq"] for r in first) == [0, 1]
