@@ -1,4 +1,4 @@
-"""Command line: ``python -m pactum {convert,build,scenarios} ...``."""
+"""Command line: ``python -m pactum {convert,build,scenarios,score} ...``."""
 
 from __future__ import annotations
 
@@ -26,14 +26,23 @@ def main(argv=None) -> None:
     s.add_argument("--out", required=True)
     s.add_argument("--train-ratio", type=float, default=0.8)
     s.add_argument("--seed", type=int, default=42)
+    r = sub.add_parser("score", help="logged runs -> rubric metrics and benchmark means")
+    r.add_argument("--turns", required=True)
+    r.add_argument("--scenarios", required=True)
+    r.add_argument("--tables", required=True)
+    r.add_argument("--replies", default=None)
+    r.add_argument("--out", required=True)
+    r.add_argument("--max-turns", type=int, default=10)
     a = p.parse_args(argv)
     spark = get_spark()
     if a.cmd == "convert":
         print(json.dumps(steps.convert(spark, a.data_file, a.out, a.max_contracts, a.json_lines)))
     elif a.cmd == "build":
         print(json.dumps(steps.build(spark, a.processed, a.out, a.overwrite)))
-    else:
+    elif a.cmd == "scenarios":
         steps.scenarios(spark, a.tables, a.out, a.train_ratio, a.seed)
+    else:
+        steps.score_runs(spark, a.turns, a.scenarios, a.tables, a.out, a.replies, a.max_turns)
 
 
 if __name__ == "__main__":

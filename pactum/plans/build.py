@@ -63,3 +63,25 @@ def scenarios(spark: SparkSession, tables_dir: str, out_path: str, train_ratio:
     con = spark.read.parquet(f"{tables_dir}/contracts")
     split = scen_ops.split_scenarios(scen_ops.scenarios(ann, con), train_ratio, seed)
     scen_ops.write_scenarios(split, out_path)
+
+
+def score_runs(spark: SparkSession, turns_path: str, scenarios_path: str, tables_dir: str,
+               out_dir: str, replies_path: str | None = None, max_turns: int = 10) -> None:
+    """Logged runs -> rubric, metrics (per run) and the benchmark means.
+
+    ``turns_path``: parquet in the ``TURNS`` shape of ``pactum.schemas``;
+    ``replies_path``: judge replies (trajectory_id, turn, reply,
+    judge_prompt_tokens, judge_completion_tokens), optional."""
+    from pactum.functions import scoring
+    from pactum.operators import benchmark as bench_ops
+    from pactum.operators import runs as run_ops
+
+    turns = spark.read.parquet(turns_path)
+    scen = spark.read.parquet(scenarios_path)
+    ids = spark.read.parquet(f"{tables_dir}/contracts").select(F.col("id").alias("contract_id"))
+    replies = spark.read.parquet(replies_path) if replies_path else None
+    rubric = run_ops.rubric(run_ops.classified_turns(turns, scen, ids, replies, max_turns), max_turns)
+    metrics = scoring.metrics(rubric, max_turns)
+    metrics.write.mode("overwrite").parquet(f"{out_dir}/metrics")
+    stored = spark.read.parquet(f"{out_dir}/metrics")
+    bench_ops.benchmark_means(stored).write.mode("overwrite").parquet(f"{out_dir}/means")

@@ -32,3 +32,17 @@ def test_convert_build_scenarios(spark, tmp_path):
     s = spark.read.parquet(str(tmp_path / "scen"))
     by = {r["split"]: r["count"] for r in s.groupBy("split").count().collect()}
     assert by == {"train": 9, "test": 3}
+
+
+def test_score_runs(spark, tmp_path):
+    from pactum.plans import common as C
+    turns, scen, ids, replies = C.run_inputs(spark, "/root/testdata/sf0.001")
+    turns.drop("k").write.parquet(str(tmp_path / "turns"))
+    scen.write.parquet(str(tmp_path / "scen"))
+    ids.select(ids.contract_id.alias("id")).write.parquet(str(tmp_path / "tables/contracts"))
+    replies.write.parquet(str(tmp_path / "replies"))
+    steps.score_runs(spark, str(tmp_path / "turns"), str(tmp_path / "scen"), str(tmp_path / "tables"),
+                     str(tmp_path / "out"), str(tmp_path / "replies"))
+    means = spark.read.parquet(str(tmp_path / "out/means")).first()
+    direct = C.rubric(spark, "/root/testdata/sf0.001").filter("status = 'valid'").count()
+    assert means["n_trajectories"] == direct
