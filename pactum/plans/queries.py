@@ -283,7 +283,6 @@ from pactum.operators.ids import dense_ids  # noqa: E402
 from pactum.session import scratch_path  # noqa: E402
 from pactum.sources import nested_json as nj  # noqa: E402
 from pactum.sources.adapters import raw_contract_lines  # noqa: E402
-from pactum.sources.tables import table as _table  # noqa: E402
 from pactum.sources.tables import text_table as _text_table  # noqa: E402
 
 

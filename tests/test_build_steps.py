@@ -3,7 +3,6 @@
 import json
 
 from pactum.plans import build as steps
-from pactum.streaming.index_upkeep import IndexStore  # noqa: F401  (import check)
 
 
 def test_convert_build_scenarios(spark, tmp_path):
