@@ -17,23 +17,27 @@ def full_text(paragraphs: Column) -> Column:
     return F.array_join(F.transform(paragraphs, lambda p: p["context"]), PARAGRAPH_SEP)
 
 
+MAX_SCAN_PASSES = 31  # arrays of up to 2**31 elements
+
+
 def paragraph_bases(paragraphs: Column) -> Column:
     """Start offset of every paragraph in the full text, i.e. the
-    exclusive running sum of ``length(context) + len(SEP)``.  Computed inside
-    the row (a contract never spans rows), so no window shuffle is needed."""
-    init = F.struct(
-        F.array().cast("array<bigint>").alias("bases"),
-        F.lit(0).cast("bigint").alias("next"),
-    )
-    return F.aggregate(
-        paragraphs,
-        init,
-        lambda acc, p: F.struct(
-            F.concat(acc["bases"], F.array(acc["next"])).alias("bases"),
-            (acc["next"] + F.length(p["context"]) + PARAGRAPH_SEP_LEN).alias("next"),
-        ),
-        lambda acc: acc["bases"],
-    )
+    exclusive running sum of ``length(context) + len(SEP)``.
+
+    Computed inside the row (a contract never spans rows, so no window and no
+    shuffle) as a Hillis-Steele scan: pass ``k`` adds the element ``2**k``
+    positions back, and a row with p paragraphs runs only the ceil(log2 p)
+    passes it needs -- O(p log p) per contract.  The passes are an
+    ``aggregate`` whose accumulator is the array itself, so the expression
+    does not grow with the number of passes."""
+    lens = F.transform(paragraphs, lambda p: (F.length(p["context"]) + PARAGRAPH_SEP_LEN).cast("bigint"))
+    passes = F.filter(F.sequence(F.lit(0), F.lit(MAX_SCAN_PASSES - 1)),
+                      lambda k: F.pow(F.lit(2), k).cast("int") < F.size(lens))
+    inclusive = F.aggregate(
+        passes, lens,
+        lambda acc, k: F.transform(
+            acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), F.lit(0).cast("bigint"))))
+    return F.zip_with(inclusive, lens, lambda s_, n: s_ - n)
 
 
 def with_full_text(nested: DataFrame) -> DataFrame:
