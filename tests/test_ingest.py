@@ -142,3 +142,16 @@ def test_negative_max_contracts_rejected(spark):
         nj.validate(nj.read_envelope(spark, d), max_contracts=-1)
     first = nj.validate(nj.read_envelope(spark, d), max_contracts=2).collect()
     assert sorted(r["contract_seq"] for r in first) == [0, 1]
+
+
+def test_paragraph_bases_scan(spark):
+    sizes = [0, 1, 2, 3, 7, 64, 65, 1000, 5000]
+    rows = [(i, [{"context": "x" * (j % 7), "qas": []} for j in range(n)]) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "seq INT, paragraphs ARRAY<STRUCT<context STRING, qas ARRAY<STRING>>>")
+    got = {r["seq"]: r["b"] for r in df.select("seq", fl.paragraph_bases(F.col("paragraphs")).alias("b")).collect()}
+    for i, n in enumerate(sizes):
+        exp, acc = [], 0
+        for j in range(n):
+            exp.append(acc)
+            acc += (j % 7) + 27
+        assert got[i] == exp
