@@ -6,12 +6,16 @@ are ignored; ranking is BM25 (k1 = 1.2, b = 0.75) over both columns, lower
 score is better, ties broken by contract id; at most 10 results per query.
 
 Plan for a *batch* of queries ``(query_id, keywords ARRAY<STRING>, max_results)``:
-the query-token table is tiny and broadcast, so the postings are never
-shuffled; one equi-join on token plus one aggregate on ``pos - tok_idx``
-finds phrase occurrences (a hot token only adds rows on the map side);
-document frequency, term frequency and the final score are aggregates over
-matched rows only; top-k is a per-query window limit; titles and texts are
-joined after the top-k (at most 10 rows per query).
+each distinct keyword list is scored once (batches repeat searches); the
+query-token table is small and broadcast after a size check, so the postings
+are never shuffled; one equi-join on token plus one aggregate on
+``pos - tok_idx`` finds phrase occurrences (a hot token only adds rows on the
+map side); document frequency, term frequency and the final score are
+aggregates over matched rows only; top-10 per list is a window limit that
+Spark runs as a partial + final ``WindowGroupLimit`` (only 10 rows per list
+and task cross the shuffle); the hits then fan out to every query with its
+own cap, and titles and texts are joined after the top-k with the few hits
+broadcast.
 """
 
 from __future__ import annotations
