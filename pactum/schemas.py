@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 # (27 characters: two newlines, dashes and the words, two newlines).
 PARAGRAPH_SEP = "\n\n--- PARAGRAPH BREAK ---\n\n"
 PARAGRAPH_SEP_LEN = len(PARAGRAPH_SEP)
-# Version tag written into the processed JSON envelope.
-PROCESSED_VERSION = "cuad_v1.0"
+# Version tag written into processed files (nothing reads its value).
+PROCESSED_VERSION = "processed_v1.0"
 # Search result cap and snippet width in tokens.
 MAX_SEARCH_RESULTS = 10
 SNIPPET_TOKENS = 15
