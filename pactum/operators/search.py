@@ -161,7 +161,7 @@ def search(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame,
 
 
 def snippets(hits: DataFrame, queries: DataFrame, postings: DataFrame,
-             contracts: DataFrame) -> DataFrame:
+             contracts: DataFrame, small: bool | None = None) -> DataFrame:
     """a <= 15-token snippet per hit (our own window rule, see below).
 
     Candidate windows start at a phrase occurrence of the hit's document.
@@ -177,9 +177,12 @@ def snippets(hits: DataFrame, queries: DataFrame, postings: DataFrame,
     """
     qtok = broadcast_if_small(query_tokens(queries))
     # Hits are few (top 10 per list): broadcast their keys, so the postings and
-    # contracts are filtered while streamed, never shuffled.
-    keys, _ = sized(hits.select("query_id", "contract_id"))
-    hit_ids, _ = sized(hits.select("contract_id").distinct())
+    # contracts are filtered while streamed, never shuffled.  ``small`` says
+    # the caller already bounded the hits (10 per query of a checked batch).
+    if small is None:
+        _, small = sized(hits)
+    keys = maybe_broadcast(hits.select("query_id", "contract_id"), small)
+    hit_ids = maybe_broadcast(hits.select("contract_id").distinct(), small)
     post = postings.join(hit_ids, "contract_id", "left_semi")
     occ = phrase_occurrences(qtok, post).join(keys, ["query_id", "contract_id"], "left_semi")
     occ = occ.withColumn("end", (F.col("start") + F.col("n_tok") - 1).cast("bigint"))
@@ -194,8 +197,7 @@ def snippets(hits: DataFrame, queries: DataFrame, postings: DataFrame,
     best = cand.withColumn("_r", F.row_number().over(best_w)).filter("_r = 1") \
         .select("query_id", "contract_id", "col", F.col("start").alias("w0"))
     ctext = contracts.select("contract_id", "title", "full_text")
-    best, _ = sized(best)
-    b = best.join(ctext, "contract_id").select(
+    b = maybe_broadcast(best, small).join(ctext, "contract_id").select(
         "query_id", "contract_id", "col", "w0",
         F.when(F.col("col") == 0, F.col("title")).otherwise(F.col("full_text")).alias("text"))
     b = b.withColumn("toks", raw_tokens(F.col("text"))).withColumn("seps", separators(F.col("text")))
@@ -241,8 +243,9 @@ def search_with_snippets(queries: DataFrame, postings: DataFrame, doc_stats: Dat
 
     scratch_root(queries.sparkSession)  # checkpoint() needs the shared folder set
     lists, q = keyword_lists(queries)
+    q, small = sized(q, BROADCAST_MAX_ROWS // MAX_SEARCH_RESULTS)
     top = top_per_list(lists, postings, doc_stats).checkpoint(eager=True)
-    sn = snippets(top.withColumnRenamed("list_key", "query_id"), lists, postings, contracts) \
+    sn = snippets(top.withColumnRenamed("list_key", "query_id"), lists, postings, contracts, small) \
         .withColumnRenamed("query_id", "list_key")
     hits, small = _fan_out(top.join(sn, ["list_key", "contract_id"], "left"), q)
     titles = contracts.select("contract_id", "title")

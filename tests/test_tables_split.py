@@ -125,3 +125,15 @@ def test_half_built_tables_are_rebuilt(spark, tmp_path):
     c.write.parquet(f"{out}/contracts")          # contracts committed, annotations missing
     assert T.write_tables(c, a, out) == {"skipped": False}
     assert spark.read.parquet(f"{out}/annotations").count() == 1
+
+
+def test_threshold_split_mode(spark):
+    scen = _scen(spark, 400)
+    a = {r["contract_id"]: r["split"] for r in S.contract_split(scen, 0.8, mode="threshold").collect()}
+    b = {r["contract_id"]: r["split"] for r in S.contract_split(scen, 0.8, mode="threshold").collect()}
+    assert a == b
+    share = sum(v == "train" for v in a.values()) / len(a)
+    assert 0.7 < share < 0.9
+    # stable when contracts are added: existing contracts keep their split
+    more = {r["contract_id"]: r["split"] for r in S.contract_split(_scen(spark, 500), 0.8, mode="threshold").collect()}
+    assert all(more[c] == s for c, s in a.items())
