@@ -584,3 +584,28 @@ SELECT CAST(h.query_id AS BIGINT) AS query_id, CAST(h.rank AS BIGINT) AS rank, h
        r.score, {SNIPPET_TEXT} AS snippet
 FROM hits h JOIN ranked r USING (query_id, contract_id) JOIN bz b USING (query_id, contract_id)
      JOIN body y USING (query_id, contract_id)"""
+
+
+# tool_reply gains the search replies: executed tool-mode searches replayed
+# against the index, hits listed in rank order as JSON.
+ORACLE["tool_reply"] = ORACLE["tool_reply"].replace(
+    "WITH " + DOCS + ", " + RUN_ACT + ",", "WITH " + CTOKS + ", " + RUN_ACT + ",", 1) \
+    .replace("cd AS (SELECT contract_id, title, replace(text, chr(10), " + SEP_SQL + ") AS full_text FROM docs),",
+             f"""cd AS (SELECT contract_id, title, replace(text, chr(10), {SEP_SQL}) AS full_text FROM docs),
+q AS (SELECT trajectory_id * 100 + turn AS query_id,
+             CASE k % 10 {' '.join(f"WHEN {i} THEN [{', '.join(repr(w) for w in kw)}]::VARCHAR[]" for i, kw in enumerate(SEARCH_KEYWORDS))} END AS keywords,
+             10 AS max_results
+      FROM kept WHERE outcome = 'searched'),""" + SEARCH_CORE + ",\n" + SNIPPET_CHAIN + """,
+sreplies AS (
+  SELECT h.query_id, to_json(list({'contract_id': h.contract_id, 'title': c.title,
+                                   'snippet': (CASE WHEN b.a > 0 THEN ' ... ' ELSE b.seps[1] END) || y.s
+                                     || (CASE WHEN b.z < b.n - 1 THEN ' ... ' ELSE b.seps[len(b.seps)] END)}
+                                  ORDER BY h.rank))::VARCHAR AS payload
+  FROM hits h JOIN cdocs c USING (contract_id) JOIN bz b USING (query_id, contract_id)
+       JOIN body y USING (query_id, contract_id)
+  GROUP BY h.query_id),""", 1) + f"""
+UNION ALL
+SELECT k.trajectory_id, k.turn, 'tool', 'call_' || CAST(k.event_id AS VARCHAR),
+       md5(coalesce(r.payload, '[]')), CAST(length(coalesce(r.payload, '[]')) AS BIGINT)
+FROM kept k LEFT JOIN sreplies r ON r.query_id = k.trajectory_id * 100 + k.turn
+WHERE k.outcome = 'searched'"""

@@ -250,8 +250,9 @@ def q_prompt_messages(spark, sf_dir):
 
 @query("tool_reply")
 def q_tool_reply(spark, sf_dir):
-    """Tool messages of reached read turns (contract or error object) and the
-    confirmation text of final answers."""
+    """Tool messages of reached turns: search results (hits with snippets, in
+    rank order), the contract or error object of reads, and the confirmation
+    text of final answers."""
     turns, scen, ids, replies = C.run_inputs(spark, sf_dir)
     kept = run_ops.kept_turns(run_ops.classified_turns(turns, scen, ids, replies))
     reads = kept.filter(F.col("outcome") == "read").withColumn("rid", F.col("read_id"))
@@ -274,7 +275,28 @@ def q_tool_reply(spark, sf_dir):
         F.md5(F.concat(F.lit(pr.FINAL_ANSWER_CONFIRMATION), preview(F.col("answer_text")))).alias("content_md5"),
         F.length(F.concat(F.lit(pr.FINAL_ANSWER_CONFIRMATION), preview(F.col("answer_text")))).cast("bigint")
         .alias("content_length"))
-    return read_rows.unionByName(answers)
+    # Search replies: the executed tool-mode searches run as one batch; the
+    # reply lists the hits (at most 10 per call) in rank order.
+    searched = kept.filter(F.col("outcome") == "searched")
+    batch = searched.select((F.col("trajectory_id") * 100 + F.col("turn")).alias("query_id"),
+                            F.col("search_keywords").alias("keywords"),
+                            F.col("search_max_results").alias("max_results"))
+    c, post, stats = _index(spark, sf_dir)
+    hits = search_ops.search_with_snippets(batch, post, stats, c)
+    per_call = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(
+        F.struct("rank", "contract_id", "title", "snippet"))).alias("h"))
+    listing = F.to_json(F.transform("h", lambda x: F.struct(
+        x["contract_id"].alias("contract_id"), x["title"].alias("title"), x["snippet"].alias("snippet"))))
+    replies_ = searched.select("trajectory_id", "turn", "tool_call_id",
+                               (F.col("trajectory_id") * 100 + F.col("turn")).alias("query_id")) \
+        .join(per_call.select("query_id", listing.alias("payload")), "query_id", "left") \
+        .withColumn("payload", F.coalesce("payload", F.lit("[]")))
+    smsg = pr.tool_reply(F.col("payload"), F.col("tool_call_id"))
+    search_rows = replies_.select("trajectory_id", F.col("turn").cast("bigint").alias("turn"),
+                                  smsg["role"].alias("role"), smsg["tool_call_id"].alias("tool_call_id"),
+                                  F.md5(smsg["content"]).alias("content_md5"),
+                                  F.length(smsg["content"]).cast("bigint").alias("content_length"))
+    return read_rows.unionByName(answers).unionByName(search_rows)
 
 
 # --- step 7: nested JSON ingest ---------------------------------------------------
