@@ -68,6 +68,23 @@ def phrase_occurrences(qtok: DataFrame, postings: DataFrame) -> DataFrame:
         .withColumn("start", F.col("start").cast("bigint"))
 
 
+TOKEN_PUSHDOWN_MAX = 10_000
+
+
+def with_token_filter(postings: DataFrame, qtok: DataFrame, small: bool) -> DataFrame:
+    """Push the batch's distinct query tokens into the postings scan as a
+    literal ``token IN (...)`` filter when there are few of them (bounded
+    query-side list).  On a stored index sorted by token, parquet min/max
+    statistics then skip every row group without a query token; the join
+    still does the exact matching, so the filter never changes a result."""
+    if not small:
+        return postings
+    toks = [r["token"] for r in qtok.select("token").distinct().limit(TOKEN_PUSHDOWN_MAX + 1).collect()]
+    if not toks or len(toks) > TOKEN_PUSHDOWN_MAX:
+        return postings
+    return postings.filter(F.col("token").isin(toks))
+
+
 def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
     """(query_id, contract_id, score) for every contract matching all keywords.
 
@@ -79,7 +96,7 @@ def score(queries: DataFrame, postings: DataFrame, doc_stats: DataFrame) -> Data
     # so the postings are never shuffled for the join.
     qtok, small = sized(query_tokens(queries))
     n_usable = qtok.groupBy("query_id").agg(F.count_distinct("kw_idx").alias("n_kw"))
-    occ = phrase_occurrences(qtok, postings)
+    occ = phrase_occurrences(qtok, with_token_filter(postings, qtok, small))
     carried = "doc_len" in postings.columns
     tf = occ.groupBy("query_id", "kw_idx", "contract_id", *(["doc_len"] if carried else [])) \
         .agg(F.count(F.lit(1)).alias("tf"))

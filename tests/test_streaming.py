@@ -69,3 +69,18 @@ def test_restart_resumes_without_reprocessing(spark):
     run_upkeep(spark, store, feed, ck)            # resumes with the new file only
     live = {r["contract_id"] for r in store.read("doc_stats").collect()}
     assert live == {2}
+
+
+def test_search_on_stored_index_pushes_token_filter(spark, tmp_path):
+    from pactum.operators import search as S
+    base = spark.createDataFrame([(i, f"t{i}", f"alpha beta w{i} gamma") for i in range(1, 41)],
+                                 "contract_id BIGINT, title STRING, full_text STRING")
+    path = str(tmp_path / "idx")
+    ti.write_index(base, path, buckets=4)
+    post = spark.read.parquet(f"{path}/postings")
+    stats = spark.read.parquet(f"{path}/doc_stats")
+    q = spark.createDataFrame([(1, ["w7"], 10)], "query_id BIGINT, keywords ARRAY<STRING>, max_results INT")
+    res = S.search(q, post, stats, base)
+    assert [r["contract_id"] for r in res.collect()] == [7]
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(token), EqualTo(token,w7)]" in plan or "In(token" in plan
