@@ -255,6 +255,10 @@ def q_tool_reply(spark, sf_dir):
     text of final answers."""
     turns, scen, ids, replies = C.run_inputs(spark, sf_dir)
     kept = run_ops.kept_turns(run_ops.classified_turns(turns, scen, ids, replies))
+    # The turns that get a reply feed three branches: classify them once.
+    from pactum.session import scratch_root
+    scratch_root(spark)
+    kept = kept.filter(F.col("outcome").isin("read", "answered", "searched")).checkpoint(eager=True)
     reads = kept.filter(F.col("outcome") == "read").withColumn("rid", F.col("read_id"))
     contracts = C.contracts_flat(spark, sf_dir).select(F.col("contract_id").alias("rid"), "title", "full_text")
     reads = reads.join(contracts, "rid", "left")
