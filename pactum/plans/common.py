@@ -71,7 +71,7 @@ def read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read requests logged by agents: every click event asks for contract
     ``k`` (``1000000 + k`` when ``k % 25 = 24``)."""
     ev = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
     return ev.filter(F.col("event_type") == "click").select(
         F.col("event_id").alias("request_id"),
         F.when(F.pmod(k, F.lit(25)) == 24, k + 1000000).otherwise(k).alias("contract_id"))

@@ -39,7 +39,7 @@ SEARCH_KEYWORDS = [
 
 
 def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("bigint")
+    return F.get_json_object("props", "$.k").try_cast("bigint")
 
 
 def target_of(user: Column) -> Column:
