@@ -330,8 +330,9 @@ def q_load_nested(spark, sf_dir):
     good, rejects = nj.good_and_rejects(flagged)
     ids = dense_ids(good.select("contract_seq"), ["contract_seq"], "contract_id")
     out = flagged.join(ids, "contract_seq", "left")
+    n_paras = F.when(F.col("paragraphs").isNotNull(), F.size("paragraphs"))  # size(NULL) is -1 without ANSI
     return out.select("contract_seq", "contract_id", "status", "reason", "title",
-                      F.size("paragraphs").cast("bigint").alias("n_paragraphs"))
+                      n_paras.cast("bigint").alias("n_paragraphs"))
 
 
 @query("validate_nested")

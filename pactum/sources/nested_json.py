@@ -147,7 +147,8 @@ def validate(raw: DataFrame, max_contracts: int | None = None, mode: str = "raw"
     bad_paras = paras_v.isNotNull() & (tc.kind(paras_v) != "VOID") & paras.isNull()  # present, not a list
     if mode == "raw":
         kept = F.filter(paras, lambda p: tc.is_object(p) & _has_context(p))
-        no_paras = ~bad_paras & F.coalesce(F.size(paras) == 0, F.lit(True))
+        # explicit NULL test: size(NULL) is -1, not NULL, when ANSI mode is off
+        no_paras = ~bad_paras & (paras.isNull() | (F.size(paras) == 0))
         bad_para = F.exists(kept, lambda p: ~_para_ok(p))
     elif mode == "processed":
         kept = paras

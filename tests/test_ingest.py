@@ -155,3 +155,17 @@ def test_paragraph_bases_scan(spark):
             exp.append(acc)
             acc += (j % 7) + 27
         assert got[i] == exp
+
+
+def test_validation_without_ansi(spark, flagged_df):
+    """Same statuses with ANSI mode off (size(NULL) = -1 there)."""
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        d = tempfile.mkdtemp(prefix="pactum-json-")
+        with open(os.path.join(d, "raw.json"), "w") as f:
+            json.dump({"version": "1", "data": CONTRACTS}, f)
+        st = sorted((r["contract_seq"], r["status"]) for r in nj.validate(nj.read_envelope(spark, d)).collect())
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+    assert st == sorted((r["contract_seq"], r["status"]) for r in flagged_df.collect())
