@@ -9,6 +9,10 @@ from pactum.operators.flatten import flat_annotations, full_text
 from pactum.operators.ids import dense_ids
 
 
+# Every annotation column is NOT NULL.
+ANNOTATION_REQUIRED = ("contract_id", "clause_type", "text", "start_char", "end_char")
+
+
 def contracts_table(nested: DataFrame, ids: bool = True) -> DataFrame:
     """(id, title, full_text, contract_seq); ids 1..N in input order."""
     base = nested.select("contract_seq", "title", full_text(F.col("paragraphs")).alias("full_text"))
@@ -75,12 +79,18 @@ def integrity_report(contracts: DataFrame, annotations: DataFrame) -> DataFrame:
     dup = duplicate_titles(contracts).agg(F.count(F.lit(1)).alias("n_violations"))
     n_ann = annotations.agg(F.count(F.lit(1)).alias("n_checked"))
     orphans = orphan_annotations(annotations, contracts).agg(F.count(F.lit(1)).alias("n_violations"))
+    any_null = F.lit(False)
+    for c in ANNOTATION_REQUIRED:
+        any_null = any_null | F.col(c).isNull()
     spans = annotations.agg(F.count(F.lit(1)).alias("n_checked"),
-                            F.count_if(~F.col("text_matches")).alias("n_violations"))
+                            F.count_if(~F.col("text_matches")).alias("n_violations"),
+                            F.count_if(any_null).alias("n_null"))
     return (one_row("duplicate_title", n_contracts, dup)
             .unionByName(one_row("orphan_annotation", n_ann, orphans))
             .unionByName(spans.select(F.lit("span_text_mismatch").alias("check_name"),
-                                      "n_checked", "n_violations")))
+                                      "n_checked", "n_violations"))
+            .unionByName(spans.select(F.lit("null_field").alias("check_name"), "n_checked",
+                                      F.col("n_null").alias("n_violations"))))
 
 
 def write_tables(contracts: DataFrame, annotations: DataFrame, out_dir: str,
@@ -95,6 +105,11 @@ def write_tables(contracts: DataFrame, annotations: DataFrame, out_dir: str,
     nulls = contracts.filter(F.col("title").isNull() | F.col("full_text").isNull()).limit(1).count()
     if nulls:
         raise ValueError("contracts with a null title or full_text")
+    ann_null = F.lit(False)
+    for c in ANNOTATION_REQUIRED:
+        ann_null = ann_null | F.col(c).isNull()
+    if annotations.filter(ann_null).limit(1).count():
+        raise ValueError("annotations with a null field (all columns are NOT NULL)")
     mode = "overwrite"
     if not overwrite:
         # A build counts as done only when both tables carry their commit

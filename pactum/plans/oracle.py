@@ -121,7 +121,10 @@ UNION ALL
 SELECT 'orphan_annotation', (SELECT count(*) FROM ann),
        (SELECT count(*) FROM ann a WHERE NOT EXISTS (SELECT 1 FROM docs d WHERE d.contract_id = a.contract_id))
 UNION ALL
-SELECT 'span_text_mismatch', count(*), count(*) FILTER (WHERE NOT ok) FROM chk"""
+SELECT 'span_text_mismatch', count(*), count(*) FILTER (WHERE NOT ok) FROM chk
+UNION ALL
+SELECT 'null_field', count(*), count(*) FILTER (WHERE contract_id IS NULL OR clause_type IS NULL OR text IS NULL
+                                              OR start_char IS NULL OR end_char IS NULL) FROM ann"""
 
 ORACLE["scenarios"] = f"""WITH {SCEN}
 SELECT CAST(scenario_id AS BIGINT) AS scenario_id, contract_id, contract_title,
