@@ -49,7 +49,7 @@ def scratch_root(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; name a shared folder for intermediates")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="pactum-ckpt-"))
@@ -57,6 +57,13 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique folder under the scratch root for one materialisation."""
-    root = scratch_root(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new, unique folder under the scratch root for one materialisation.  It
+    is deleted when the driver's JVM ends; results meant to stay are written to
+    the caller's own paths."""
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jpath.getParent())
+    fs.deleteOnExit(jpath)
+    return path
