@@ -5,8 +5,9 @@ where SQL can express the result."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pactum.llm import line_rules, ordinal, url_bloom
+from pactum.llm import itq, line_rules, ordinal, packing, records, trie_counts, url_bloom, viterbi
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -14,10 +15,33 @@ def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").select(*cols)
 
 
+def op1_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op3_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.token_counts(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = records.read_records(records.write_records(read(spark, sf_dir, "documents", "doc_id", "text")))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_rules(read(spark, sf_dir, "documents", "doc_id", "text")).drop("clean_text")
 
 
+def op7_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = viterbi.decode(viterbi.encode(read(spark, sf_dir, "documents", "doc_id", "text")))
+    return decoded.select("doc_id", "n_tokens", "ids_crc32",
+                          (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), with_ids=False)
+
+
 def op9_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages", "page_id", "url")
     judged = url_bloom.filter_urls(pages, url_bloom.listed_urls(pages))
@@ -30,7 +54,8 @@ def op10_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.quality_classifier(docs, labels)
 
 
-QUERIES = {"op6_line_rules": op6_line_rules, "op9_url_bloom": op9_url_bloom, "op10_ordinal": op10_ordinal}
+QUERIES = {f.__name__: f for f in (
+    op1_itq, op3_trie_counts, op4_records, op6_line_rules, op7_viterbi, op8_packing, op9_url_bloom, op10_ordinal)}
 
 _W = r"[^\x20\x09-\x0D]+"
 
