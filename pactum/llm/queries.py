@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import itq, line_rules, ordinal, packing, records, trie_counts, url_bloom, viterbi
+from pactum.llm import itq, jaccard, line_rules, ordinal, packing, records, trie_counts, url_bloom, viterbi
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_counts.token_counts(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -55,7 +59,8 @@ def op10_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_itq, op3_trie_counts, op4_records, op6_line_rules, op7_viterbi, op8_packing, op9_url_bloom, op10_ordinal)}
+    op1_itq, op2_jaccard, op3_trie_counts, op4_records, op6_line_rules, op7_viterbi, op8_packing, op9_url_bloom,
+    op10_ordinal)}
 
 _W = r"[^\x20\x09-\x0D]+"
 
