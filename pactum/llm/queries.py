@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import itq, jaccard, line_rules, ordinal, packing, records, trie_counts, url_bloom, viterbi
+from pactum.llm import itq, jaccard, line_rules, ordinal, packing, records, suffix_dedup, trie_counts, url_bloom, viterbi
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_rules(read(spark, sf_dir, "documents", "doc_id", "text")).drop("clean_text")
 
@@ -59,8 +64,8 @@ def op10_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_itq, op2_jaccard, op3_trie_counts, op4_records, op6_line_rules, op7_viterbi, op8_packing, op9_url_bloom,
-    op10_ordinal)}
+    op1_itq, op2_jaccard, op3_trie_counts, op4_records, op5_suffix_dedup, op6_line_rules, op7_viterbi,
+    op8_packing, op9_url_bloom, op10_ordinal)}
 
 _W = r"[^\x20\x09-\x0D]+"
 
