@@ -34,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.common import BLOCK_BYTES, materialize, row_blocks, text_offsets
+from pactum.llm.common import BLOCK_BYTES, likely_members, materialize, row_blocks, text_offsets
 from pactum.llm.graph import components
 from pactum.llm.shingles import fingerprint, shingle_sets
 
@@ -47,8 +47,6 @@ CHUNK_HASHES = 4 << 20
 #: Most frequent shingles that are broadcast, 16 bytes each.  They only order
 #: the keys: links don't depend on which shingles are among them.
 MAX_FREQUENT = 1 << 20
-#: Bits of the filter that picks the texts to read again for verification.
-FILTER_BITS = 1 << 23
 
 
 def _bands() -> np.ndarray:
@@ -159,26 +157,15 @@ def likely(a: str, b: str):
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, af, b, bf: class document and checksum) that link, as (a, b)."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = (ends.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w"))
-             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"),
-                                           F.col("s").bitwiseAND(F.lit(63)).cast("int"))).alias("m")).toArrow())
-    bits = np.zeros(FILTER_BITS // 64, np.int64)  # bounded: FILTER_BITS / 8 bytes
-    bits[words.column("w").to_numpy()] = words.column("m").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    texts = likely_members(docs.where("doc_id IS NOT NULL"), F.col("doc_id"), ends, F.col("id")).where("_maybe")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = shared.value
-        picked = (b.filter(pa.array((some[b.column("s").to_numpy() >> 6] >> (b.column("s").to_numpy() & 63)) & 1 == 1))
-                  for b in batches)
-        for part, sets in _sets(b for b in picked if b.num_rows):
+        for part, sets in _sets(batches):
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([fingerprint(s)[0] for s in sets], pa.int64()),
                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "f", "own"])
 
-    texts = docs.where("doc_id IS NOT NULL").select(
-        "doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FILTER_BITS)).alias("s"))
-    own = materialize(texts.mapInArrow(arrays, "id bigint, f bigint, own binary"), "jaccard-sets")
+    own = materialize(texts.select("doc_id", "text").mapInArrow(arrays, "id bigint, f bigint, own binary"), "jaccard-sets")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,3 +239,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles",
                       F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("class_component")))
                       .otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) without near-duplicates:
+    of each component the row with the smallest id stays; of several rows of one
+    id the one whose text has the least hash; rows without an id stay."""
+    found = materialize(jaccard_components(docs), "jaccard-kept")
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    concerned = materialize(gone.withColumn("gone", F.lit(True)).union(
+        twice.join(gone, "doc_id", "left_anti").withColumn("gone", F.lit(False))), "jaccard-gone")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # Only rows that the fixed-size filter names are shuffled to meet the list.
+    rows = likely_members(rows, F.col("id"), concerned, F.col("doc_id"))
+    named = rows.where("_maybe").join(concerned.withColumnRenamed("doc_id", "id"), "id", "left")
+    clear = rows.where("NOT _maybe").select("row").union(named.where("gone IS NULL").select("row"))
+    single = (named.where("NOT gone").withColumn("nth", F.row_number().over(
+        Window.partitionBy("id").orderBy(F.xxhash64("text")))).where("nth = 1").select("row"))
+    return clear.union(single).select("row.*")

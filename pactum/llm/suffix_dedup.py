@@ -35,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.common import BLOCK_BYTES, materialize, mix64, row_blocks, text_offsets
+from pactum.llm.common import BLOCK_BYTES, likely_members, materialize, mix64, row_blocks, text_offsets
 from pactum.llm.cover_sort import repeats
 from pactum.llm.shingles import _BACK, _STEP, _powers, _tables
 
@@ -48,8 +48,6 @@ GRAM = 32
 SORT_BYTES = 2 << 20
 #: Different contexts of one anchor that one task may sort.
 HOT_CONTEXTS = 10_000
-#: Bits of the filter that picks the texts to read again.
-FILTER_BITS = 1 << 23
 _NO_ID = (1 << 63) - 1
 _BYTE = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -98,20 +96,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, *text_offsets(part.column("text"))
 
 
-def likely_members(rows: DataFrame, key: Column, members: DataFrame, member: Column) -> Column:
-    """Names a broadcast filter of fixed size (``FILTER_BITS`` / 64 rows) over
-    ``member`` of ``members``; returns ``rows`` with a boolean ``_maybe``."""
-    def spot(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-
-    words = (members.select(spot(member).alias("s")).groupBy(F.shiftright("s", 6).alias("_w"))
-             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"),
-                                           F.col("s").bitwiseAND(F.lit(63)).cast("int"))).alias("_m")))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), spot(key).bitwiseAND(F.lit(63)).cast("int"))
-    return (rows.withColumn("_w", F.shiftright(spot(key), 6)).join(F.broadcast(words), "_w", "left")
-            .withColumn("_maybe", F.coalesce(F.col("_m").bitwiseAND(bit) != 0, F.lit(False))).drop("_w", "_m"))
-
-
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(id, th, text, runs) -> the contexts of the named runs.  Inside a batch
     equal contexts are one: the later ones leave as repeats at once."""
