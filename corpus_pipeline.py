@@ -6,20 +6,17 @@ return the columns of ``documents``; the last returns the packed pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import line_rules, ordinal
+from pactum.llm import jaccard, line_rules, ordinal, packing, suffix_dedup
 from pactum.llm.common import materialize
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "quality", "toxic")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tail probability of being good is too low go."""
-    judged = ordinal.quality_classifier(docs, _labels(spark, sf_dir), carry=True)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "quality", "toxic")
+    judged = ordinal.quality_classifier(docs, labels, carry=True)
     return judged.where("kept").select("row.*")
 
 
@@ -29,15 +26,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return with_text(judged, docs.columns, F.col("clean_text"))
 
 
-def with_text(judged: DataFrame, columns: list[str], text) -> DataFrame:
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays, once."""
+    return jaccard.keep_one(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go; a document that consists of nothing else goes."""
+    cut = suffix_dedup.suffix_dedup(docs, carry=True).where("n_removed = 0 OR n_removed < n_bytes")
+    return with_text(cut, docs.columns, F.when(F.col("n_removed") > 0, F.col("kept_text"))
+                     .otherwise(F.col("row").getField("text")))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that is left, in pieces with their place in a sequence."""
+    return packing.pack(docs, with_ids=False)
+
+
+def with_text(judged: DataFrame, columns: list[str], text: Column) -> DataFrame:
     """The original columns out of ``row``, with the new text and its length."""
-    new = {"text": text, "n_chars": F.length(text).cast("bigint")}
+    new = {"text": text, "n_chars": F.length(text)}
     kinds = dict(judged.select("row.*").dtypes)
-    return judged.select(*[(new[c].cast(kinds[c]).alias(c) if c in new else F.col("row").getField(c).alias(c))
-                           for c in columns])
+    return judged.select(*[(new[c].cast(kinds[c]) if c in new else F.col("row").getField(c)).alias(c) for c in columns])
 
 
-STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The classifier is a fitted model: no SQL.  Tested against a brute-force version.
+#: The classifier is a fitted model and token ids need the tokenizer: no SQL.
+#: tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
