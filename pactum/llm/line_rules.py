@@ -1,7 +1,8 @@
 """Quality rules, line first: clean the lines, then judge what is left.
 
 Every line is tested by itself.  A line that looks like navigation, like
-boilerplate, like symbol noise, or that is not punctuated as prose is removed.
+boilerplate, like symbol noise, or that neither ends in punctuation nor has the
+end of a sentence inside is removed.
 The document is rejected when it loses more than ``max_removed`` of its word
 characters, or when it fails one of two base rules (too few words, too many
 words inside repeated three-word windows).
@@ -32,6 +33,7 @@ SYMBOLS = "#*$%&|<>"
 #: Line rules as regular expressions that Python, Java and RE2 read alike.
 WORD = r"[^\x20\x09-\x0D]+"
 ENDED = r"[.!?:;,…\"'”’»)\]][\x20\x09-\x0D]*$"
+SENTENCE = r"[.!?…][\"'”’»)\]]*[\x20\x09-\x0D]"
 SHOUT = r"[!?]{2,}"
 SEPARATOR = r"[|»›·•]"
 BOILERPLATE = (
@@ -39,7 +41,7 @@ BOILERPLATE = (
     r"|privacy policy|cookie policy|uses cookies|enable javascript|subscribe to our newsletter|click here to"
     r"|sign in to|log in to|share on (facebook|twitter)|copyright (©|\(c\)|[0-9]{4}))")
 
-_WORD, _ENDED, _SHOUT = re.compile(WORD), re.compile(ENDED), re.compile(SHOUT)
+_WORD, _ENDED, _SENTENCE, _SHOUT = re.compile(WORD), re.compile(ENDED), re.compile(SENTENCE), re.compile(SHOUT)
 _SEP, _BOILER = re.compile(SEPARATOR), re.compile(BOILERPLATE)
 
 RESULT = [T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.LongType()) for n in (
@@ -51,7 +53,9 @@ RESULT = [T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.LongType()
 
 def line_fails(line: str, n_words: int, word_chars: int) -> bool:
     """One line with at least one word: does a rule remove it?"""
-    if _ENDED.search(line) is None or 3 * len(_SHOUT.findall(line)) > n_words:
+    if _ENDED.search(line) is None and _SENTENCE.search(line) is None:
+        return True
+    if 3 * len(_SHOUT.findall(line)) > n_words:
         return True
     if 4 * len(_SEP.findall(line)) > n_words:
         return True

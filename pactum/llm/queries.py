@@ -80,7 +80,8 @@ scored AS (
   FROM lines),
 tested AS (
   SELECT *, w > 0 AND (
-    NOT regexp_matches(l, '{line_rules.ENDED.replace("'", "''")}')
+    NOT (regexp_matches(l, '{line_rules.ENDED.replace("'", "''")}')
+         OR regexp_matches(l, '{line_rules.SENTENCE.replace("'", "''")}'))
     OR 3 * len(regexp_extract_all(l, '{line_rules.SHOUT}')) > w
     OR 4 * len(regexp_extract_all(l, '{line_rules.SEPARATOR}')) > w
     OR 10 * length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > c
