@@ -1,8 +1,9 @@
 """Embedding near-dedup: iterative quantisation, multi-index Hamming tables, exact rerank.
 
-1. *Learn* (bounded sample): centre the unit vectors, and alternate between
-   binary codes and the orthogonal rotation that fits them best (Procrustes).
-   One rotation gives ``dim`` balanced bits; several starts give several.
+1. *Learn* (bounded sample): alternate between binary codes of the unit vectors
+   and the orthogonal rotation that fits them best (Procrustes).  One rotation
+   gives ``dim`` bits; several starts give several.  The vectors aren't centred:
+   the angle between two vectors, which the threshold is about, would change.
 2. *Index every row*: the code is cut into ``n_tables`` keys of ``key_bits``
    bits; table t groups the rows with equal key t.  ``key_bits`` grows with
    the counted rows (about ``BUCKET_ROWS`` rows a bucket); ``n_tables`` is set
@@ -63,24 +64,22 @@ class Index:
 
     def __init__(self, sample: np.ndarray, n_rows: int, threshold: float):
         dim = sample.shape[1]
-        self.mean = sample.mean(axis=0)
-        x = sample - self.mean
         self.key_bits = int(np.clip(np.ceil(np.log2(max(n_rows, 1) / BUCKET_ROWS + 1)), MIN_KEY_BITS, MAX_KEY_BITS))
         # Partners exactly at the threshold show how often a bit differs there.
         rng = np.random.default_rng(7)
         away = rng.standard_normal(sample.shape)
         away -= (away * sample).sum(1, keepdims=True) * sample
         away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
-        partner = threshold * sample + np.sqrt(1 - threshold ** 2) * away - self.mean
+        partner = threshold * sample + np.sqrt(1 - threshold ** 2) * away
         self.rotations: list[np.ndarray] = []
         met = np.zeros(len(sample), bool)
         bits_a = bits_b = np.zeros((len(sample), 0), bool)
         self.n_tables = 0
         while self.n_tables < MAX_TABLES:
             while bits_a.shape[1] < (self.n_tables + 1) * self.key_bits:
-                r = itq_rotation(x, seed=len(self.rotations))
+                r = itq_rotation(sample, seed=len(self.rotations))
                 self.rotations.append(r)
-                bits_a = np.concatenate([bits_a, x @ r >= 0], axis=1)
+                bits_a = np.concatenate([bits_a, sample @ r >= 0], axis=1)
                 bits_b = np.concatenate([bits_b, partner @ r >= 0], axis=1)
             cut = slice(self.n_tables * self.key_bits, (self.n_tables + 1) * self.key_bits)
             met |= (bits_a[:, cut] == bits_b[:, cut]).all(axis=1)
@@ -90,8 +89,7 @@ class Index:
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """(rows, n_tables) int32 keys."""
-        x = unit - self.mean
-        bits = np.concatenate([x @ r >= 0 for r in self.rotations], axis=1)
+        bits = np.concatenate([unit @ r >= 0 for r in self.rotations], axis=1)
         weights = 1 << np.arange(self.key_bits)
         cuts = bits[:, : self.n_tables * self.key_bits].reshape(len(unit), self.n_tables, self.key_bits)
         return (cuts @ weights).astype(np.int32)
