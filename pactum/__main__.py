@@ -6,6 +6,7 @@ import argparse
 import json
 
 from pactum.plans import build as steps
+from pactum.schemas import SPLIT_SEED, TRAIN_RATIO
 from pactum.session import get_spark
 
 
@@ -21,11 +22,12 @@ def main(argv=None) -> None:
     b.add_argument("--processed", required=True)
     b.add_argument("--out", required=True)
     b.add_argument("--overwrite", action="store_true")
+    b.add_argument("--envelope", action="store_true")
     s = sub.add_parser("scenarios", help="tables -> scenario dataset split by contract")
     s.add_argument("--tables", required=True)
     s.add_argument("--out", required=True)
-    s.add_argument("--train-ratio", type=float, default=0.8)
-    s.add_argument("--seed", type=int, default=42)
+    s.add_argument("--train-ratio", type=float, default=TRAIN_RATIO)
+    s.add_argument("--seed", type=int, default=SPLIT_SEED)
     r = sub.add_parser("score", help="logged runs -> rubric metrics and benchmark means")
     r.add_argument("--turns", required=True)
     r.add_argument("--scenarios", required=True)
@@ -38,7 +40,7 @@ def main(argv=None) -> None:
     if a.cmd == "convert":
         print(json.dumps(steps.convert(spark, a.data_file, a.out, a.max_contracts, a.json_lines)))
     elif a.cmd == "build":
-        print(json.dumps(steps.build(spark, a.processed, a.out, a.overwrite)))
+        print(json.dumps(steps.build(spark, a.processed, a.out, a.overwrite, envelope=a.envelope)))
     elif a.cmd == "scenarios":
         steps.scenarios(spark, a.tables, a.out, a.train_ratio, a.seed)
     else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pactum.schemas import FOLD_FROM, FOLD_TO, PREVIEW_CHARS, TOKEN_PATTERN
+from pactum.schemas import FOLD_FROM, FOLD_TO, PREVIEW_CHARS, TOKEN_PATTERN, WHITE_SPACE
 
 
 def fold(c: Column) -> Column:
@@ -31,8 +31,8 @@ def separators(text: Column) -> Column:
 
 
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()``: Spark ``trim`` removes spaces only."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Python ``str.strip()``: Spark ``trim`` removes spaces only, and ``\\s`` is ASCII."""
+    return F.regexp_replace(c, f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
 
 
 def preview(c: Column, n: int = PREVIEW_CHARS) -> Column:

@@ -63,31 +63,28 @@ def flat_annotations(nested: DataFrame, keep: list[str] | None = None,
     """Paragraph x QA x answer for possible QAs, offsets rebased
     to the whole document (end exclusive, in code points).
 
-    With ``check_text`` the full text rides along (inside the row, never
-    through a shuffle) and ``text_matches`` reports whether
-    ``full_text[start:end] == text``; the reference never checks this, so it
-    is a report column, not a filter."""
+    With ``check_text`` the column ``text_matches`` reports whether the span's
+    text stands at its place: it is looked up inside its own paragraph, whose
+    place in the full text is fixed by the offsets, so the check is linear in
+    the text.  The original never checks this, so it is a report, not a filter."""
     keep = keep or ["contract_seq", "contract_id", "title"]
-    src = nested.withColumn("_full", full_text(F.col("paragraphs"))) if check_text else nested
-    extra = ["_full"] if check_text else []
-    paras = paragraph_rows(src, keep + extra)
+    extra = ["context"] if check_text else []
+    paras = paragraph_rows(nested, keep)
     qas = paras.select(*keep, *extra, "para_idx", "base_offset",
                        F.posexplode("qas").alias("qa_idx", "qa"))
     qas = qas.filter(~F.coalesce(F.col("qa.is_impossible"), F.lit(False)))
     spans = qas.select(*keep, *extra, "para_idx", "base_offset", "qa_idx",
                        F.col("qa.question").alias("clause_type"),
                        F.posexplode("qa.answers").alias("ans_idx", "a"))
-    start = (F.col("base_offset") + F.col("a.answer_start")).cast("bigint")
-    out = spans.select(
-        *keep, *extra, "para_idx", "qa_idx", "ans_idx", "clause_type",
+    at = F.col("a.answer_start").cast("bigint")
+    start = F.col("base_offset") + at
+    matches = [((at >= 0) & (at <= F.length("context"))
+                & (F.substring(F.col("context"), (at + 1).cast("int"), F.length("a.text")) == F.col("a.text")))
+               .alias("text_matches")] if check_text else []
+    return spans.select(
+        *keep, "para_idx", "qa_idx", "ans_idx", "clause_type",
         F.col("a.text").alias("text"),
         start.alias("start_char"),
         (start + F.length(F.col("a.text"))).cast("bigint").alias("end_char"),
+        *matches,
     )
-    if check_text:
-        out = out.withColumn(
-            "text_matches",
-            F.substring(F.col("_full"), F.col("start_char") + 1,
-                        F.col("end_char") - F.col("start_char")) == F.col("text"),
-        ).drop("_full")
-    return out

@@ -93,15 +93,32 @@ def integrity_report(contracts: DataFrame, annotations: DataFrame) -> DataFrame:
                                       F.col("n_null").alias("n_violations"))))
 
 
+def committed(spark, *paths: str) -> bool:
+    """Do all these folders carry the commit marker of a finished write?"""
+    jvm = spark.sparkContext._jvm
+    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    markers = [jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS") for p in paths]
+    return all(m.getFileSystem(hconf).exists(m) for m in markers)
+
+
+def is_complete(spark, out_dir: str) -> bool:
+    """Are both tables of a build there?  A half-finished build is not."""
+    return committed(spark, f"{out_dir}/contracts", f"{out_dir}/annotations")
+
+
 def write_tables(contracts: DataFrame, annotations: DataFrame, out_dir: str,
                  overwrite: bool = False) -> dict:
     """Write both tables, failing before any write on duplicate titles
-    or null fields.  Without ``overwrite`` an existing build (one with its
-    ``_SUCCESS`` commit marker) is kept; a half-written one is rebuilt."""
+    (all of them are listed in ``<out_dir>/duplicate_titles``) or null fields.
+    Without ``overwrite`` a complete build is kept, without any work."""
     spark = contracts.sparkSession
-    dups = duplicate_titles(contracts).limit(20).collect()  # a bounded report only
-    if dups:
-        raise ValueError(f"duplicate contract titles: {[r['title'] for r in dups]}")
+    if not overwrite and is_complete(spark, out_dir):
+        return {"skipped": True}
+    dups = duplicate_titles(contracts)
+    some = [r["title"] for r in dups.limit(3).collect()]
+    if some:
+        dups.write.mode("overwrite").parquet(f"{out_dir}/duplicate_titles")
+        raise ValueError(f"duplicate contract titles, such as {some}; all are in {out_dir}/duplicate_titles")
     nulls = contracts.filter(F.col("title").isNull() | F.col("full_text").isNull()).limit(1).count()
     if nulls:
         raise ValueError("contracts with a null title or full_text")
@@ -110,15 +127,6 @@ def write_tables(contracts: DataFrame, annotations: DataFrame, out_dir: str,
         ann_null = ann_null | F.col(c).isNull()
     if annotations.filter(ann_null).limit(1).count():
         raise ValueError("annotations with a null field (all columns are NOT NULL)")
-    mode = "overwrite"
-    if not overwrite:
-        # A build counts as done only when both tables carry their commit
-        # marker: a half-finished build (e.g. annotations failed) is redone.
-        jvm = spark.sparkContext._jvm
-        hconf = spark.sparkContext._jsc.hadoopConfiguration()
-        markers = [jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{t}/_SUCCESS") for t in ("contracts", "annotations")]
-        if all(m.getFileSystem(hconf).exists(m) for m in markers):
-            return {"skipped": True}
-    contracts.select("id", "title", "full_text").write.mode(mode).parquet(f"{out_dir}/contracts")
-    annotations.write.mode(mode).parquet(f"{out_dir}/annotations")
+    contracts.select("id", "title", "full_text").write.mode("overwrite").parquet(f"{out_dir}/contracts")
+    annotations.write.mode("overwrite").parquet(f"{out_dir}/annotations")
     return {"skipped": False}

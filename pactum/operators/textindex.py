@@ -27,6 +27,12 @@ def tokenized(contracts: DataFrame) -> DataFrame:
         tokens(F.col("full_text")).alias("body_tokens"))
 
 
+def tokenized_with(contracts: DataFrame, *keep: str) -> DataFrame:
+    """``tokenized`` that also keeps some columns."""
+    return contracts.select("contract_id", *keep, tokens(F.col("title")).alias("title_tokens"),
+                            tokens(F.col("full_text")).alias("body_tokens"))
+
+
 def materialize_tokens(contracts: DataFrame) -> DataFrame:
     """Tokenise once and store the token arrays in the shared scratch folder:
     postings, document lengths and corpus statistics are then read from it
@@ -39,15 +45,16 @@ def materialize_tokens(contracts: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def postings_from_tokens(t: DataFrame, with_doc_len: bool = False) -> DataFrame:
+def postings_from_tokens(t: DataFrame, with_doc_len: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Postings; ``with_doc_len`` also carries the document length on every
     row (it compresses to almost nothing in parquet, and spares every query a
     shuffle join with the doc-stats table)."""
     doc_len = (F.size("title_tokens") + F.size("body_tokens")).cast("bigint")
-    cols = t.select("contract_id", *([doc_len.alias("doc_len")] if with_doc_len else []), F.explode(F.array(
+    keep = keep or ["contract_id"]
+    cols = t.select(*keep, *([doc_len.alias("doc_len")] if with_doc_len else []), F.explode(F.array(
         F.struct(F.lit(0).alias("col"), F.col("title_tokens").alias("toks")),
         F.struct(F.lit(1).alias("col"), F.col("body_tokens").alias("toks")))).alias("c"))
-    return cols.select("contract_id", *(["doc_len"] if with_doc_len else []), F.col("c.col").alias("col"),
+    return cols.select(*keep, *(["doc_len"] if with_doc_len else []), F.col("c.col").alias("col"),
                        F.posexplode("c.toks").alias("pos", "token"))
 
 
@@ -83,7 +90,7 @@ def write_index(contracts: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -
     """Write postings and doc stats in the layout described above."""
     bucket = F.pmod(F.hash("contract_id"), F.lit(buckets))
     (postings(contracts).withColumn("bucket", bucket)
-     .repartitionByRange("bucket", "token").sortWithinPartitions("token", "contract_id")
+     .repartitionByRange("bucket", "token", "contract_id", "pos").sortWithinPartitions("token", "contract_id", "pos")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     (doc_stats(contracts).withColumn("bucket", bucket)
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/doc_stats"))

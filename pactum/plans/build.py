@@ -41,21 +41,33 @@ def convert(spark: SparkSession, input_path: str, out_dir: str, max_contracts: i
 
 
 def build(spark: SparkSession, processed_dir: str, out_dir: str, overwrite: bool = False,
-          index_buckets: int = ti.INDEX_BUCKETS) -> dict:
-    """Tables and index from the processed contracts (re-validated on load)."""
-    good, _ = nj.good_and_rejects(nj.validate(nj.read_lines(spark, processed_dir), mode="processed"))
+          index_buckets: int = ti.INDEX_BUCKETS, envelope: bool = False) -> dict:
+    """Tables and index from the processed contracts (re-validated on load),
+    given as JSON Lines or, with ``envelope``, as ``{"data": [..]}`` files.
+
+    Skipped, before anything is read, only when tables and index are both
+    there; an index that a failure left out is built from the stored tables."""
+    if not overwrite and table_ops.is_complete(spark, f"{out_dir}/tables"):
+        if not table_ops.committed(spark, f"{out_dir}/index/postings", f"{out_dir}/index/doc_stats"):
+            _write_index(spark, out_dir, index_buckets)
+        return {"skipped": True}
+    raw = nj.read_envelope(spark, processed_dir) if envelope else nj.read_lines(spark, processed_dir)
+    good, _ = nj.good_and_rejects(nj.validate(raw, mode="processed"))
     contracts = table_ops.contracts_table(good)              # ids 1..N in input order
     ids = contracts.select(F.col("contract_seq"), F.col("id").alias("contract_id"))
     nested = good.join(ids, "contract_seq")
     annotations = table_ops.annotations_table(nested)
     result = table_ops.write_tables(contracts, annotations, f"{out_dir}/tables", overwrite=overwrite)
-    if not result["skipped"]:
-        stored = spark.read.parquet(f"{out_dir}/tables/contracts").select(
-            F.col("id").alias("contract_id"), "title", "full_text")
-        ti.write_index(stored, f"{out_dir}/index", buckets=index_buckets)
+    _write_index(spark, out_dir, index_buckets)
     return result
 
 
+def _write_index(spark: SparkSession, out_dir: str, buckets: int) -> None:
+    stored = spark.read.parquet(f"{out_dir}/tables/contracts").select(
+        F.col("id").alias("contract_id"), "title", "full_text")
+    ti.write_index(stored, f"{out_dir}/index", buckets=buckets)
+
+
 def scenarios(spark: SparkSession, tables_dir: str, out_path: str, train_ratio: float = TRAIN_RATIO,
               seed: int = SPLIT_SEED) -> None:
     """Scenario dataset split by contract, written by split (int32 ids)."""

@@ -257,7 +257,7 @@ ev AS (
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
   FROM events),
 act AS (
-  SELECT *, CAST(user_id * 100 + (rn - 1) // 12 AS BIGINT) AS trajectory_id, CAST((rn - 1) % 12 + 1 AS BIGINT) AS turn,
+  SELECT *, CAST(user_id AS BIGINT) * 4294967296 + (rn - 1) // 12 AS trajectory_id, CAST((rn - 1) % 12 + 1 AS BIGINT) AS turn,
          user_id % 10 <> 9 AS use_tools, CAST(1 + (user_id * 7) % 100 AS BIGINT) AS target,
          CASE event_type
            WHEN 'error' THEN CASE WHEN value >= 60 THEN 'fail' ELSE 'search' END
@@ -495,6 +495,11 @@ SELECT doc_id AS contract_seq,
        CASE WHEN status = 'ok' THEN CAST(len(kept_lines) AS BIGINT) END AS n_paragraphs
 FROM rstat"""
 
+ORACLE["load_envelope"] = f"""WITH {RAW}
+SELECT doc_id AS contract_seq, status, reason, CASE WHEN v = 8 THEN NULL ELSE title END AS title,
+       CASE WHEN status = 'ok' THEN CAST(len(kept_lines) AS BIGINT) END AS n_paragraphs
+FROM rstat"""
+
 ORACLE["validate_nested"] = f"""WITH {RAW}
 SELECT s.doc_id AS contract_seq, CAST(s.para_idx AS BIGINT) AS para_idx, CAST(s.ans_idx AS BIGINT) AS ans_idx,
        s.clause_type, s.text, CAST(s.start_char AS BIGINT) AS start_char, CAST(s.end_char AS BIGINT) AS end_char,

@@ -335,6 +335,17 @@ def q_load_nested(spark, sf_dir):
                       n_paras.cast("bigint").alias("n_paragraphs"))
 
 
+@query("load_envelope")
+def q_load_envelope(spark, sf_dir):
+    """The raw contracts in several envelope files, read as one input."""
+    docs = _text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    path = scratch_path(spark, "envelopes")
+    write_envelopes(docs, path)
+    flagged = nj.validate(nj.read_envelope(spark, path))
+    n_paras = F.when(F.col("paragraphs").isNotNull(), F.size("paragraphs"))
+    return flagged.select("contract_seq", "status", "reason", "title", n_paras.cast("bigint").alias("n_paragraphs"))
+
+
 @query("validate_nested")
 def q_validate_nested(spark, sf_dir):
     good, _ = nj.good_and_rejects(_validated(spark, sf_dir))
@@ -357,20 +368,19 @@ def q_roundtrip_nested(spark, sf_dir):
 
 # --- step 8: streaming index upkeep -----------------------------------------------
 
-from pactum.sources.adapters import change_feed, initial_contracts  # noqa: E402
+from pactum.sources.adapters import change_feed, initial_contracts, write_envelopes  # noqa: E402
 from pactum.streaming.index_upkeep import IndexStore, run_upkeep  # noqa: E402
 
 
-def upkept_index(spark, sf_dir, buckets: int = 16) -> IndexStore:
+def upkept_index(spark, sf_dir) -> IndexStore:
     docs = _text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    store = IndexStore(spark, scratch_path(spark, "index"), buckets)
+    store = IndexStore(spark, scratch_path(spark, "index"))
     store.build(initial_contracts(docs))
-    feed = scratch_path(spark, "feed")
-    first, second = change_feed(docs)
-    # Each feed batch arrives as two files; two files per trigger = one batch.
-    first.repartition(2).write.mode("error").parquet(feed)
-    second.repartition(2).write.mode("append").parquet(feed)
-    run_upkeep(spark, store, feed, scratch_path(spark, "feed-ckpt"), max_files_per_trigger=2)
+    # Two feeds, each with a stream and a checkpoint of its own.
+    for i, feed in enumerate(change_feed(docs)):
+        path = scratch_path(spark, f"feed{i}")
+        feed.write.mode("error").parquet(path)
+        run_upkeep(spark, store, path, scratch_path(spark, f"feed{i}-ckpt"))
     return store
 
 

@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 # (27 characters: two newlines, dashes and the words, two newlines).
 PARAGRAPH_SEP = "\n\n--- PARAGRAPH BREAK ---\n\n"
 PARAGRAPH_SEP_LEN = len(PARAGRAPH_SEP)
-# Version tag written into processed files (nothing reads its value).
-PROCESSED_VERSION = "processed_v1.0"
 # Search result cap and snippet width in tokens.
 MAX_SEARCH_RESULTS = 10
 SNIPPET_TOKENS = 15
@@ -49,13 +47,17 @@ PREVIEW_CHARS = 50
 # to their base letter (other scripts pass unchanged).
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
+# White space as Python's ``str.strip`` sees it.
+WHITE_SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 # Characters of one token: Unicode letters and digits.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 # ---------------------------------------------------------------------------
+# Our own version tag, written into processed files (nothing reads its value).
+PROCESSED_VERSION = "processed_v1.0"
 
 ANSWER_SPAN = T.StructType([
     T.StructField("text", T.StringType()),
-    T.StructField("answer_start", T.IntegerType()),
+    T.StructField("answer_start", T.LongType()),
 ])
 
 QUESTION_ANSWER = T.StructType([

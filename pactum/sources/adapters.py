@@ -125,6 +125,18 @@ def raw_contract_lines(documents: DataFrame) -> DataFrame:
     return documents.select(d.alias("doc_id"), line.alias("value"))
 
 
+def write_envelopes(documents: DataFrame, path: str, per_file: int = 200) -> None:
+    """The same raw contracts as envelope files ``{"version", "data": [..]}`` of
+    up to ``per_file`` contracts each, named so that the order of the paths is
+    the order of the documents."""
+    name = F.lpad(F.floor(F.col("doc_id") / per_file).cast("string"), 12, "0")
+    files = (raw_contract_lines(documents).groupBy(name.alias("file"))
+             .agg(F.sort_array(F.collect_list(F.struct("doc_id", "value"))).alias("rows")))
+    data = F.array_join(F.transform("rows", lambda r: r["value"]), ",")
+    (files.select("file", F.concat(F.lit('{"version": "v", "data": ['), data, F.lit("]}")).alias("value"))
+     .write.partitionBy("file").text(path))
+
+
 # --- change feed for the index upkeep -----------------------------------------------
 
 def initial_contracts(documents: DataFrame) -> DataFrame:

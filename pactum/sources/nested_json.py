@@ -10,60 +10,71 @@ typed struct is produced once, after validation.
 
 Two physical forms are read:
 * the envelope ``{"version": .., "data": [contract, ..]}`` (one JSON document
-  per file, not splittable: the rows are repartitioned right after the
-  explode so validation runs in parallel);
+  per file: a file is not splittable, so large inputs come as many files; the
+  rows are repartitioned right after the explode so validation runs in
+  parallel);
 * JSON Lines, one contract per line with an explicit ``seq`` (splittable; the
   form this library writes).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactum.functions import toolcall as tc
+from pactum.functions.text import py_strip
 from pactum.schemas import PROCESSED_VERSION
 
 BOOL_TRUE = ("1", "on", "t", "true", "y", "yes")
 BOOL_FALSE = ("0", "off", "f", "false", "n", "no")
-INT_TEXT = r"^[+-]?\d+(\.0*)?$"
+INT_TEXT = r"^[+-]?[0-9]+(_[0-9]+)*(\.0+)?$"
 
 
 def read_envelope(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """(contract_seq, c VARIANT).  Fails when a file has no ``data`` key
-    or ``data`` is not a list; broken JSON fails the read (FAILFAST)."""
-    raw = (spark.read.schema("version STRING, data VARIANT").option("multiLine", True)
+    """(contract_seq, c VARIANT) over all files under ``path``.
+
+    ``contract_seq`` counts from 0 in the order (file path, position), so it is
+    unique over any number of files (U1).  The list is read as an array of
+    VARIANTs, one per contract: no size limit holds for a file as a whole.
+    Fails when a file has no ``data`` key, or ``data`` is not a list, or the
+    JSON is broken (FAILFAST)."""
+    raw = (spark.read.schema("version STRING, data ARRAY<VARIANT>").option("multiLine", True)
            .option("mode", "FAILFAST").json(path))
-    checked = raw.select(
-        F.when(F.col("data").isNull(), F.raise_error(F.lit("invalid format: 'data' key not found")))
-        .when(~tc.kind(F.col("data")).startswith("ARRAY"),
-              F.raise_error(F.lit("invalid format: 'data' is not a list")))
-        .otherwise(F.col("data")).alias("data"))
-    rows = checked.select(F.posexplode(F.try_variant_get("data", "$", "array<variant>")).alias("contract_seq", "c"))
+    data = F.when(F.col("data").isNull(), F.raise_error(F.lit("invalid format: no list under the 'data' key"))
+                  ).otherwise(F.col("data"))
+    files = raw.select(F.col("_metadata.file_path").alias("file"), data.alias("data"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    base = files.select("file", F.size("data").alias("n")).select(
+        "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rows = files.select("file", F.posexplode("data").alias("pos", "c")).join(base, "file")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.withColumn("contract_seq", F.col("contract_seq").cast("bigint")).repartition(n)
+    return rows.select((F.col("base") + F.col("pos")).cast("bigint").alias("contract_seq"), "c").repartition(n)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines, one contract per line carrying its ``seq``."""
+    """JSON Lines, one contract per line carrying its ``seq``.  A line without a
+    whole-number ``seq`` fails the read: joins on it would lose the contract."""
     raw = spark.read.option("singleVariantColumn", "c").option("mode", "FAILFAST").json(path)
-    return raw.select(F.try_variant_get("c", "$.seq", "bigint").alias("contract_seq"), "c")
+    seq = F.try_variant_get("c", "$.seq", "bigint")
+    return raw.select(F.when(seq.isNull(), F.raise_error(F.lit("invalid format: a line has no 'seq'")))
+                      .otherwise(seq).alias("contract_seq"), "c")
 
 
 # --- lax scalar rules -----------------------------------------------------------
 
 def lax_int(v: Column) -> Column:
     """int as the original validation accepts it, else NULL: integers,
-    booleans (1/0), integral decimals/doubles and integer text (spaces, sign,
-    trailing '.0' allowed)."""
+    booleans (1/0), integral decimals/doubles and integer text (white space
+    around, sign, single underscores between digits, trailing '.0' allowed)."""
     k = tc.kind(v)
     dbl = F.try_variant_get(v, "$", "double")
-    s = F.trim(tc.as_str(v))
+    s = py_strip(tc.as_str(v))
     return (F.when(k == "BIGINT", tc.as_long(v))
             .when(k == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
             .when((k.startswith("DECIMAL") | k.isin("DOUBLE", "FLOAT")) & (dbl == F.floor(dbl)), dbl.cast("bigint"))
             .when((k == "STRING") & s.rlike(INT_TEXT),
-                  F.regexp_extract(s, r"^([+-]?\d+)", 1).try_cast("bigint")))
+                  F.replace(F.regexp_extract(s, r"^([+-]?[0-9_]+)", 1), F.lit("_"), F.lit("")).try_cast("bigint")))
 
 
 def lax_bool(v: Column) -> Column:
@@ -72,6 +83,8 @@ def lax_bool(v: Column) -> Column:
     n = tc.as_long(v)
     return (F.when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
             .when((k == "BIGINT") & n.isin(0, 1), n == 1)
+            .when((k.startswith("DECIMAL") | k.isin("DOUBLE", "FLOAT"))
+                  & F.try_variant_get(v, "$", "double").isin(0.0, 1.0), F.try_variant_get(v, "$", "double") == 1.0)
             .when((k == "STRING") & s.isin(*BOOL_TRUE), F.lit(True))
             .when((k == "STRING") & s.isin(*BOOL_FALSE), F.lit(False)))
 
@@ -111,7 +124,7 @@ def qa_typed(q: Column) -> Column:
         tc.as_str(_qa_id(q)).alias("qa_id"),
         F.transform(answers, lambda a: F.struct(
             tc.as_str(tc.field(a, "text")).alias("text"),
-            lax_int(tc.field(a, "answer_start")).cast("int").alias("answer_start"))).alias("answers"),
+            lax_int(tc.field(a, "answer_start")).alias("answer_start"))).alias("answers"),
         F.when(imp.isNull(), F.lit(False)).otherwise(lax_bool(imp)).alias("is_impossible"))
 
 
@@ -126,6 +139,14 @@ def _para_ok(p: Column) -> Column:
             & (qas.isNull() | F.coalesce(tc.kind(qas).startswith("ARRAY"), F.lit(False))))
 
 
+def _qas_readable(p: Column) -> Column:
+    """A QA that is a number, a boolean or null rejects the contract (the
+    original fails on it); other QAs that are no object are dropped one by one."""
+    scalar = lambda q: ~tc.is_object(q) & ~tc.is_str(q) & ~tc.kind(q).startswith("ARRAY")
+    return ~F.exists(F.coalesce(_arr(tc.field(p, "qas")), F.array().cast("array<variant>")),
+                     lambda q: F.coalesce(scalar(q), F.lit(True)))
+
+
 def validate(raw: DataFrame, max_contracts: int | None = None, mode: str = "raw") -> DataFrame:
     """P1-P7 in one pass: (contract_seq, title, paragraphs typed, status, reason)
     with status ``ok`` / ``dropped`` / ``rejected``.
@@ -149,7 +170,8 @@ def validate(raw: DataFrame, max_contracts: int | None = None, mode: str = "raw"
         kept = F.filter(paras, lambda p: tc.is_object(p) & _has_context(p))
         # explicit NULL test: size(NULL) is -1, not NULL, when ANSI mode is off
         no_paras = ~bad_paras & (paras.isNull() | (F.size(paras) == 0))
-        bad_para = F.exists(kept, lambda p: ~_para_ok(p))
+        bad_para = (F.exists(paras, lambda p: ~F.coalesce(tc.is_object(p), F.lit(False)))
+                    | F.exists(kept, lambda p: ~_para_ok(p) | ~_qas_readable(p)))
     elif mode == "processed":
         kept = paras
         no_paras = F.lit(False)

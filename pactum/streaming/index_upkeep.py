@@ -1,33 +1,28 @@
 """Index upkeep from a change feed with Structured Streaming.
 
-The index (contracts, postings, doc_stats) is stored per hash bucket of
-``contract_id`` in versioned folders::
-
-    <root>/<table>/v=<tag>/bucket=<b>/part-*.parquet
-    <root>/_manifests/<seq>.json      {"<bucket>": "<tag>", ...}
-
-A manifest (one entry per bucket: a fixed, small size) names the live
-version of every bucket; the newest manifest is the current index.  Each
-micro-batch of the change feed ``(contract_id, version, op, title,
-full_text)``:
-
-1. keeps the newest change per contract (``max_by`` on version);
-2. merges it with the stored rows of the buckets it touches (a stored row
-   with a higher version wins, so deletes leave versioned tombstones);
-3. writes those buckets -- and only those -- under a tag named after the
-   batch id, re-tokenising only the touched buckets' live contracts;
-4. commits by writing the next manifest; a batch whose manifest exists is
-   skipped, so a replayed batch (after a failure) is idempotent.
-
-Untouched buckets are never read or copied.  After any sequence of batches
-the index equals a full rebuild of the final contract state; that equality
-is the test.  Deletes and updates are honoured (the original triggers left
-stale words behind; this keeps the evident intent).
+The index is an append-only log of plain Parquet folders, one per micro-batch::
+
+    <root>/<table>/run=<run>/batch=<batch>/part-*.parquet
+
+``contracts`` holds the changes themselves (contract_id, version, op, title,
+full_text), ``postings`` and ``doc_stats`` what their texts contain.  A
+micro-batch writes only its own changed contracts: nothing that is stored is
+read, moved or rewritten.  Readers keep, per contract, the rows of its newest
+version (largest version, then run and batch) by one aggregate over three
+narrow columns and a left semi join; a delete is a version without postings.
+
+A folder is named by the run (the streaming checkpoint) and the batch number
+in it, and written in overwrite mode: a replayed batch replaces itself, and a
+new feed with a new checkpoint never meets the folders of an old one.  Postings
+are written before the changes that make them visible.
+
+After any sequence of batches the index equals a full rebuild of the final
+contract state.  ``compact`` writes that state as the build of a new root.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,143 +30,97 @@ from pyspark.sql import functions as F
 from pactum.operators import textindex as ti
 
 CHANGE_SCHEMA = "contract_id BIGINT, version BIGINT, op STRING, title STRING, full_text STRING"
-TABLES = ("contracts", "postings", "doc_stats")
+KEY = ["contract_id", "version", "run", "batch"]
+SCHEMAS = {
+    "contracts": CHANGE_SCHEMA,
+    "postings": "contract_id BIGINT, version BIGINT, doc_len BIGINT, col INT, pos INT, token STRING",
+    "doc_stats": "contract_id BIGINT, version BIGINT, doc_len BIGINT",
+}
+BUILD = "build"
 
 
 class IndexStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-        jvm = spark.sparkContext._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # -- manifest ---------------------------------------------------------------
-    def _manifest(self, seq: int) -> str:
-        return f"{self.root}/_manifests/{seq:012d}.json"
-
-    def _exists(self, path: str) -> bool:
-        return self._fs.exists(self._Path(path))
-
-    def _latest_seq(self) -> int | None:
-        d = self._Path(f"{self.root}/_manifests")
-        if not self._fs.exists(d):
-            return None
-        names = [s.getPath().getName() for s in self._fs.listStatus(d)]
-        seqs = [int(n.split(".")[0]) for n in names if n.endswith(".json")]
-        return max(seqs) if seqs else None
-
-    def current(self) -> dict[int, str]:
-        seq = self._latest_seq()
-        if seq is None:
-            return {}
-        stream = self._fs.open(self._Path(self._manifest(seq)))
-        try:
-            reader = self.spark.sparkContext._jvm.java.io.BufferedReader(
-                self.spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            text = reader.readLine()
-        finally:
-            stream.close()
-        return {int(k): v for k, v in json.loads(text).items()}
-
-    def _commit(self, seq: int, mapping: dict[int, str]) -> None:
-        """Write the manifest to a temporary name, then rename: readers see the
-        old manifest or the new one, never a partial file."""
-        tmp = self._Path(f"{self.root}/_manifests/.{seq:012d}.tmp")
-        out = self._fs.create(tmp, True)
-        try:
-            out.write(bytearray(json.dumps({str(k): v for k, v in sorted(mapping.items())}).encode("utf-8")))
-        finally:
-            out.close()
-        self._fs.rename(tmp, self._Path(self._manifest(seq)))
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
 
     # -- reading ----------------------------------------------------------------
-    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
-        """Live rows of one table, optionally only some buckets (partition-pruned)."""
-        mapping = self.current()
-        if buckets is not None:
-            mapping = {b: t for b, t in mapping.items() if b in set(buckets)}
-        by_tag: dict[str, list[int]] = {}
-        for b, t in mapping.items():
-            by_tag.setdefault(t, []).append(b)
-        # Declared schema: a version folder may hold no rows for a table (e.g.
-        # every contract of a rewritten bucket was deleted).
-        frames = [self.spark.read.schema(self._schema(table)).parquet(f"{self.root}/{table}/v={t}")
-                  .filter(F.col("bucket").isin(bs)) for t, bs in sorted(by_tag.items())]
-        if not frames:
-            return self.spark.createDataFrame([], self._schema(table))
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
-    def _schema(self, table: str) -> str:
-        return {"contracts": CHANGE_SCHEMA + ", bucket INT",
-                "postings": "contract_id BIGINT, col INT, pos INT, token STRING, bucket INT",
-                "doc_stats": "contract_id BIGINT, doc_len BIGINT, bucket INT"}[table]
+    def _log(self, table: str) -> DataFrame:
+        """All rows ever written, with the run and batch of their folder."""
+        return self.spark.read.schema(f"{SCHEMAS[table]}, run STRING, batch BIGINT").parquet(f"{self.root}/{table}")
+
+    def newest(self) -> DataFrame:
+        """(contract_id, version, run, batch, op): the newest change of each contract."""
+        order = F.struct("version", "run", "batch")
+        return (self._log("contracts").select(*KEY, "op").groupBy("contract_id")
+                .agg(F.max_by(F.struct("version", "run", "batch", "op"), order).alias("r"))
+                .select("contract_id", "r.*"))
+
+    def read(self, table: str) -> DataFrame:
+        """Rows of the live contracts; a filter on the result reaches the scan."""
+        live = self.newest().where("op <> 'delete'").select(*KEY)
+        return self._log(table).join(live, KEY, "left_semi")
 
     def search_inputs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(postings, doc_stats, contracts) of the live index for ``search``."""
-        live = self.read("contracts").filter(F.col("op") != "delete") \
-            .select("contract_id", "title", "full_text")
-        return self.read("postings"), self.read("doc_stats"), live
+        return (self.read("postings").select("contract_id", "col", "pos", "token"),
+                self.read("doc_stats").select("contract_id", "doc_len"),
+                self.read("contracts").select("contract_id", "title", "full_text"))
 
     # -- writing ----------------------------------------------------------------
-    def _bucket(self):
-        return F.pmod(F.hash(F.col("contract_id")), F.lit(self.buckets)).cast("int")
-
-    def _write_buckets(self, contracts: DataFrame, tag: str) -> None:
-        """Write contracts, then postings and doc stats derived from the
-        written contracts (read back, so nothing is recomputed twice)."""
-        path = f"{self.root}/contracts/v={tag}"
-        contracts.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        stored = self.spark.read.parquet(path)
-        live = stored.filter(F.col("op") != "delete").select("contract_id", "title", "full_text", "bucket")
-        post = ti.postings(live).withColumn("bucket", self._bucket())
-        # Range-partitioned on (bucket, token): a heavy bucket is split into
-        # token ranges over several tasks, and every file covers a narrow
-        # token range, so parquet min/max statistics skip files for a token.
-        (post.repartitionByRange("bucket", "token").sortWithinPartitions("token", "contract_id")
-         .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/v={tag}"))
-        stats = ti.doc_stats(live).withColumn("bucket", self._bucket())
-        stats.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/doc_stats/v={tag}")
+    def _append(self, changes: DataFrame, run: str, batch: int, mode: str = "overwrite") -> None:
+        """One row per contract -> the folders of this run and batch."""
+        def folder(table: str) -> str:
+            return f"{self.root}/{table}/run={run}/batch={batch}"
+
+        texts = ti.tokenized_with(changes.where("op <> 'delete'").select("contract_id", "version", "title", "full_text"),
+                                  "version")
+        stored = f"{self.root}/_tokens/run={run}/batch={batch}"  # tokenised once for both tables
+        texts.write.mode(mode).parquet(stored)
+        texts = self.spark.read.schema(texts.schema).parquet(stored)
+        posts = ti.postings_from_tokens(texts, with_doc_len=True, keep=["contract_id", "version"])
+        # A frequent token is split by contract and position over several tasks.
+        (posts.repartitionByRange("token", "contract_id", "pos").sortWithinPartitions("token", "contract_id", "pos")
+         .write.mode(mode).parquet(folder("postings")))
+        texts.select("contract_id", "version", (F.size("title_tokens") + F.size("body_tokens")).cast("bigint")
+                     .alias("doc_len")).write.mode(mode).parquet(folder("doc_stats"))
+        changes.select("contract_id", "version", "op", "title", "full_text").write.mode(mode).parquet(folder("contracts"))
 
     def build(self, contracts: DataFrame, version: int = 0) -> None:
-        """Full build: every contract as an upsert at ``version``."""
-        rows = contracts.select(F.col("contract_id").cast("bigint").alias("contract_id"),
-                                F.lit(version).cast("bigint").alias("version"), F.lit("upsert").alias("op"),
-                                "title", "full_text").withColumn("bucket", self._bucket())
-        self._write_buckets(rows, "init")
-        self._commit(0, {b: "init" for b in range(self.buckets)})
-
-    def apply_changes(self, changes: DataFrame, batch_id: int) -> None:
-        """``foreachBatch`` handler; idempotent per batch id."""
-        seq = batch_id + 1
-        if self._exists(self._manifest(seq)):
-            return
+        """Full build of a new root: every contract as an upsert at ``version``.
+        A root that already has a build is refused."""
+        self._append(contracts.select(F.col("contract_id").cast("bigint").alias("contract_id"),
+                                      F.lit(version).cast("bigint").alias("version"), F.lit("upsert").alias("op"),
+                                      "title", "full_text"), BUILD, 0, mode="error")
+
+    def apply_changes(self, changes: DataFrame, batch_id: int, run: str) -> None:
+        """One micro-batch: its newest change per contract, appended.  Running it
+        again with the same ``run`` and ``batch_id`` replaces what it wrote."""
         newest = changes.groupBy("contract_id").agg(
             F.max_by(F.struct("version", "op", "title", "full_text"), "version").alias("r"))
-        newest = newest.select("contract_id", "r.*").withColumn("bucket", self._bucket())
-        touched = sorted(r["bucket"] for r in newest.select("bucket").distinct().collect())  # <= B rows
-        mapping = self.current()
-        if touched:
-            old = self.read("contracts", touched).withColumn("_new", F.lit(0))
-            merged = old.unionByName(newest.withColumn("_new", F.lit(1))).groupBy("contract_id", "bucket").agg(
-                F.max_by(F.struct("version", "op", "title", "full_text"),
-                         F.struct("version", "_new")).alias("r"))
-            merged = merged.select("contract_id", "r.*", "bucket")
-            tag = f"b{batch_id:09d}"
-            self._write_buckets(merged, tag)
-            mapping.update({b: tag for b in touched})
-        self._commit(seq, mapping)
+        self._append(newest.select("contract_id", "r.*"), run, batch_id)
+
+    def compact(self, root: str) -> "IndexStore":
+        """The live contracts, at their versions, as the build of a new root.
+        (A deleted contract is forgotten, and with it the version of its delete.)"""
+        new = IndexStore(self.spark, root)
+        new._append(self.read("contracts").select("contract_id", "version", "op", "title", "full_text"), BUILD, 0,
+                    mode="error")
+        return new
+
+
+def run_name(checkpoint: str) -> str:
+    """The run that a checkpoint location stands for."""
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
 
 
 def run_upkeep(spark: SparkSession, store: IndexStore, feed_dir: str, checkpoint: str,
                max_files_per_trigger: int | None = None) -> None:
     """Process every change file present in ``feed_dir`` (``availableNow``)
     and stop; the checkpoint makes a restart resume where it stopped."""
+    run = run_name(checkpoint)
     reader = spark.readStream.schema(CHANGE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    q = (reader.parquet(feed_dir).writeStream.foreachBatch(store.apply_changes)
+    q = (reader.parquet(feed_dir).writeStream.foreachBatch(lambda df, batch: store.apply_changes(df, batch, run))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

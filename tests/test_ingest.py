@@ -169,3 +169,89 @@ def test_validation_without_ansi(spark, flagged_df):
     finally:
         spark.conf.set("spark.sql.ansi.enabled", ansi)
     assert st == sorted((r["contract_seq"], r["status"]) for r in flagged_df.collect())
+
+
+def envelope(path, name, contracts):
+    path.mkdir(exist_ok=True)
+    (path / name).write_text(json.dumps({"version": "v", "data": contracts}))
+
+
+def contract(title, text="Alpha beta."):
+    return {"title": title, "paragraphs": [{"context": text, "qas": [qa(title, [{"text": "Alpha", "answer_start": 0}])]}]}
+
+
+def test_two_files_keep_their_contracts_apart(spark, tmp_path):
+    from pactum.plans import build as steps
+
+    for f in ("a", "b"):
+        envelope(tmp_path / "raw", f"{f}.json", [contract(f"{f}{i}", f"Alpha {f}{i}.") for i in range(3)])
+    assert steps.convert(spark, str(tmp_path / "raw"), str(tmp_path / "conv")) == {"ok": 6}
+    steps.build(spark, str(tmp_path / "conv/processed"), str(tmp_path / "db"))
+    con = spark.read.parquet(str(tmp_path / "db/tables/contracts"))
+    assert {r["id"]: r["title"] for r in con.collect()} == dict(enumerate(["a0", "a1", "a2", "b0", "b1", "b2"], 1))
+    ann = spark.read.parquet(str(tmp_path / "db/tables/annotations")).collect()
+    assert sorted(r["contract_id"] for r in ann) == [1, 2, 3, 4, 5, 6]
+    # the first N in all, not N of each file
+    first = nj.validate(nj.read_envelope(spark, str(tmp_path / "raw")), max_contracts=4).collect()
+    assert sorted(r["title"] for r in first) == ["a0", "a1", "a2", "b0"]
+
+
+def test_build_reads_an_envelope_and_redoes_a_lost_index(spark, tmp_path):
+    import shutil
+
+    from pactum.plans import build as steps
+
+    envelope(tmp_path / "proc", "p.json", [{"title": "x", "paragraphs": [{"context": "Alpha", "qas": [
+        {"qa_id": "q", "question": "Q", "answers": [{"text": "Alpha", "answer_start": 0}], "is_impossible": False}]}]}])
+    out = str(tmp_path / "db")
+    assert steps.build(spark, str(tmp_path / "proc"), out, envelope=True) == {"skipped": False}
+    shutil.rmtree(tmp_path / "db/index")  # as if the index write had failed
+    assert steps.build(spark, str(tmp_path / "proc"), out, envelope=True) == {"skipped": True}
+    assert spark.read.parquet(f"{out}/index/postings").filter("token = 'alpha'").count() == 1
+
+
+def test_lines_without_seq_fail(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l/x.json").write_text(json.dumps(contract("t")) + "\n")
+    with pytest.raises(Exception, match="seq"):
+        nj.read_lines(spark, str(tmp_path / "l")).collect()
+
+
+def test_data_that_is_no_list_fails(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l/x.json").write_text(json.dumps({"version": "v", "data": {"title": "t"}}))
+    with pytest.raises(Exception):
+        nj.read_envelope(spark, str(tmp_path / "l")).collect()
+
+
+def test_rejects_like_the_original(spark, tmp_path):
+    para = {"context": "abc", "qas": []}
+    cases = {"text para": ["p", para], "number para": [para, 5], "null para": [None], "list para": [[1], para],
+             "number qa": [{"context": "abc", "qas": [qa(1), 5]}], "null qa": [{"context": "abc", "qas": [None]}],
+             "bool qa": [{"context": "abc", "qas": [True]}], "text qa": [{"context": "abc", "qas": ["id", qa(1)]}],
+             "list qa": [{"context": "abc", "qas": [[], qa(1)]}],
+             "big": [{"context": "abc", "qas": [qa(1, [{"text": "x", "answer_start": 3_000_000_000}])]}],
+             "lax": [{"context": "abc", "qas": [
+                 qa("f1", is_impossible=1.0), qa("f0", is_impossible=0.0), qa("f5", is_impossible=0.5),
+                 qa("tab", [{"text": "x", "answer_start": "\t12\n"}]), qa("under", [{"text": "x", "answer_start": "1_000"}]),
+                 qa("dot", [{"text": "x", "answer_start": "12."}]), qa("twice", [{"text": "x", "answer_start": "1__0"}])]}]}
+    envelope(tmp_path / "r", "x.json", [{"title": t, "paragraphs": p} for t, p in cases.items()])
+    got = {r["title"]: r for r in nj.validate(nj.read_envelope(spark, str(tmp_path / "r"))).collect()}
+    bad = {t for t, r in got.items() if r["status"] == "rejected"}
+    assert bad == {"text para", "number para", "null para", "list para", "number qa", "null qa", "bool qa"}
+    assert [q["qa_id"] for q in got["text qa"]["paragraphs"][0]["qas"]] == ["q1"]
+    assert [q["qa_id"] for q in got["list qa"]["paragraphs"][0]["qas"]] == ["q1"]
+    assert got["big"]["paragraphs"][0]["qas"][0]["answers"][0]["answer_start"] == 3_000_000_000
+    lax = {q["qa_id"]: q for q in got["lax"]["paragraphs"][0]["qas"]}
+    assert set(lax) == {"qf1", "qf0", "qtab", "qunder"} and lax["qf1"]["is_impossible"] and not lax["qf0"]["is_impossible"]
+    assert lax["qunder"]["answers"][0]["answer_start"] == 1000
+
+
+def test_span_check_is_linear(spark):
+    """A long contract: the check looks inside the paragraph, not through the full text."""
+    paras = [(f"paragraph {i} text", [("Q", f"q{i}", [("text", 10 + len(str(i)) + 1)], False)]) for i in range(4000)]
+    df = spark.createDataFrame([(0, "t", paras)], "contract_seq BIGINT, title STRING, paragraphs ARRAY<STRUCT<context: STRING,"
+                               " qas: ARRAY<STRUCT<question: STRING, qa_id: STRING, answers: ARRAY<STRUCT<text: STRING,"
+                               " answer_start: BIGINT>>, is_impossible: BOOLEAN>>>>")
+    out = fl.flat_annotations(df, keep=["contract_seq"], check_text=True)
+    assert out.count() == 4000 and out.filter("text_matches").count() == 4000

@@ -2,40 +2,77 @@
 
 import tempfile
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pactum.operators import textindex as ti
 from pactum.streaming.index_upkeep import IndexStore, run_upkeep
 
 
-def test_upkeep_equals_rebuild(spark):
-    root = tempfile.mkdtemp(prefix="pactum-idx-")
-    store = IndexStore(spark, root, buckets=4)
-    base = spark.createDataFrame([(i, f"t{i}", f"text number {i} alpha") for i in range(1, 21)],
-                                 "contract_id BIGINT, title STRING, full_text STRING")
-    store.build(base)
-    changes = spark.createDataFrame(
-        [(3, 5, "upsert", "t3", "changed beta"), (4, 5, "delete", None, None), (25, 5, "upsert", "t25", "new gamma"),
-         (3, 2, "upsert", "t3", "stale older version")],
-        "contract_id BIGINT, version BIGINT, op STRING, title STRING, full_text STRING")
-    feed = tempfile.mkdtemp(prefix="pactum-feed-") + "/f"
-    changes.write.parquet(feed)
-    run_upkeep(spark, store, feed, tempfile.mkdtemp(prefix="pactum-ck-"))
-    # replaying a committed batch is a no-op
-    before = store.current()
-    store.apply_changes(changes, 0)
-    assert store.current() == before
-    final = spark.createDataFrame(
-        [(i, f"t{i}", f"text number {i} alpha") for i in range(1, 21) if i not in (3, 4)]
-        + [(3, "t3", "changed beta"), (25, "t25", "new gamma")],
-        "contract_id BIGINT, title STRING, full_text STRING")
+CONTRACTS = "contract_id BIGINT, title STRING, full_text STRING"
+CHANGES = "contract_id BIGINT, version BIGINT, op STRING, title STRING, full_text STRING"
+
+
+def new_store(spark, rows):
+    store = IndexStore(spark, tempfile.mkdtemp(prefix="pactum-idx-") + "/root")
+    store.build(spark.createDataFrame(rows, CONTRACTS))
+    return store
+
+
+def feed_of(spark, rows):
+    path = tempfile.mkdtemp(prefix="pactum-feed-") + "/f"
+    spark.createDataFrame(rows, CHANGES).write.parquet(path)
+    return path
+
+
+def assert_equals_rebuild(spark, store, rows):
+    final = spark.createDataFrame(rows, CONTRACTS)
     cols = ["contract_id", "col", "pos", "token"]
-    got = sorted(tuple(r) for r in store.read("postings").select(*cols).collect())
-    exp = sorted(tuple(r) for r in ti.postings(final).select(*cols).collect())
-    assert got == exp
-    stats = {r["contract_id"]: r["doc_len"] for r in store.read("doc_stats").collect()}
-    assert 4 not in stats and stats[25] == 3
-    assert store.read("contracts").filter(F.col("op") == "delete").count() == 1
+    assert sorted(map(tuple, store.read("postings").select(*cols).collect())) == \
+        sorted(map(tuple, ti.postings(final).select(*cols).collect()))
+    assert sorted(map(tuple, store.read("contracts").select("contract_id", "title", "full_text").collect())) == sorted(rows)
+    assert sorted(map(tuple, store.read("doc_stats").select("contract_id", "doc_len").collect())) == \
+        sorted(map(tuple, ti.doc_stats(final).collect()))
+
+
+BASE = [(i, f"t{i}", f"text number {i} alpha") for i in range(1, 21)]
+
+
+def test_upkeep_equals_rebuild(spark):
+    store = new_store(spark, BASE)
+    changes = [(3, 5, "upsert", "t3", "changed beta"), (4, 5, "delete", None, None), (25, 5, "upsert", "t25", "new gamma"),
+               (3, 2, "upsert", "t3", "stale older version")]
+    run_upkeep(spark, store, feed_of(spark, changes), tempfile.mkdtemp(prefix="pactum-ck-"))
+    final = [r for r in BASE if r[0] not in (3, 4)] + [(3, "t3", "changed beta"), (25, "t25", "new gamma")]
+    assert_equals_rebuild(spark, store, final)
+    # a late change with an older version stays hidden
+    store.apply_changes(spark.createDataFrame([(25, 1, "upsert", "t25", "late")], CHANGES), 0, "other")
+    assert_equals_rebuild(spark, store, final)
+    new = store.compact(tempfile.mkdtemp(prefix="pactum-idx-") + "/new")
+    assert_equals_rebuild(spark, new, final)
+
+
+def test_second_feed_with_a_new_checkpoint_is_not_lost(spark):
+    store = new_store(spark, BASE)
+    run_upkeep(spark, store, feed_of(spark, [(2, 1, "upsert", "t2", "two")]), tempfile.mkdtemp(prefix="pactum-ck-"))
+    run_upkeep(spark, store, feed_of(spark, [(3, 1, "upsert", "t3", "three"), (2, 2, "delete", None, None)]),
+               tempfile.mkdtemp(prefix="pactum-ck-"))
+    assert_equals_rebuild(spark, store, [r for r in BASE if r[0] not in (2, 3)] + [(3, "t3", "three")])
+
+
+def test_replayed_batch_replaces_itself(spark):
+    store = new_store(spark, BASE)
+    changes = spark.createDataFrame([(2, 1, "upsert", "t2", "two two"), (3, 1, "delete", None, None)], CHANGES)
+    for _ in range(2):
+        store.apply_changes(changes, 7, "run")
+    assert_equals_rebuild(spark, store, [r for r in BASE if r[0] not in (2, 3)] + [(2, "t2", "two two")])
+
+
+def test_build_refuses_a_used_root(spark):
+    store = new_store(spark, BASE[:2])
+    with pytest.raises(AnalysisException):
+        store.build(spark.createDataFrame(BASE[:1], CONTRACTS))
 
 
 def test_write_index_layout_skips_by_token(spark, tmp_path):
@@ -51,24 +88,14 @@ def test_write_index_layout_skips_by_token(spark, tmp_path):
 
 
 def test_restart_resumes_without_reprocessing(spark):
-    root = tempfile.mkdtemp(prefix="pactum-idx-")
-    store = IndexStore(spark, root, buckets=2)
-    store.build(spark.createDataFrame([(1, "t1", "one")], "contract_id BIGINT, title STRING, full_text STRING"))
-    feed = tempfile.mkdtemp(prefix="pactum-feed-") + "/f"
-    ck = tempfile.mkdtemp(prefix="pactum-ck-")
-    spark.createDataFrame([(2, 1, "upsert", "t2", "two")],
-                          "contract_id BIGINT, version BIGINT, op STRING, title STRING, full_text STRING") \
-        .write.parquet(feed)
+    store = new_store(spark, [(1, "t1", "one")])
+    feed, ck = feed_of(spark, [(2, 1, "upsert", "t2", "two")]), tempfile.mkdtemp(prefix="pactum-ck-")
     run_upkeep(spark, store, feed, ck)
-    first = store.current()
     run_upkeep(spark, store, feed, ck)            # same checkpoint: nothing new
-    assert store.current() == first
-    spark.createDataFrame([(1, 2, "delete", None, None)],
-                          "contract_id BIGINT, version BIGINT, op STRING, title STRING, full_text STRING") \
-        .write.mode("append").parquet(feed)
+    assert_equals_rebuild(spark, store, [(1, "t1", "one"), (2, "t2", "two")])
+    spark.createDataFrame([(1, 2, "delete", None, None)], CHANGES).write.mode("append").parquet(feed)
     run_upkeep(spark, store, feed, ck)            # resumes with the new file only
-    live = {r["contract_id"] for r in store.read("doc_stats").collect()}
-    assert live == {2}
+    assert_equals_rebuild(spark, store, [(2, "t2", "two")])
 
 
 def test_search_on_stored_index_pushes_token_filter(spark, tmp_path):
