@@ -20,17 +20,14 @@ def full_text(paragraphs: Column) -> Column:
 MAX_SCAN_PASSES = 31  # arrays of up to 2**31 elements
 
 
-def paragraph_bases(paragraphs: Column) -> Column:
-    """Start offset of every paragraph in the full text, i.e. the
-    exclusive running sum of ``length(context) + len(SEP)``.
-
-    Computed inside the row (a contract never spans rows, so no window and no
-    shuffle) as a Hillis-Steele scan: pass ``k`` adds the element ``2**k``
-    positions back, and a row with p paragraphs runs only the ceil(log2 p)
-    passes it needs -- O(p log p) per contract.  The passes are an
-    ``aggregate`` whose accumulator is the array itself, so the expression
-    does not grow with the number of passes."""
-    lens = F.transform(paragraphs, lambda p: (F.length(p["context"]) + PARAGRAPH_SEP_LEN).cast("bigint"))
+def exclusive_sums(lens: Column) -> Column:
+    """Running sum of an array of BIGINTs, each element without itself.
+
+    Computed inside the row (no window and no shuffle) as a Hillis-Steele
+    scan: pass ``k`` adds the element ``2**k`` positions back, and an array of
+    p elements runs only the ceil(log2 p) passes it needs -- O(p log p).  The
+    passes are an ``aggregate`` whose accumulator is the array itself, so the
+    expression does not grow with the number of passes."""
     passes = F.filter(F.sequence(F.lit(0), F.lit(MAX_SCAN_PASSES - 1)),
                       lambda k: F.pow(F.lit(2), k).cast("int") < F.size(lens))
     inclusive = F.aggregate(
@@ -40,6 +37,13 @@ def paragraph_bases(paragraphs: Column) -> Column:
     return F.zip_with(inclusive, lens, lambda s_, n: s_ - n)
 
 
+def paragraph_bases(paragraphs: Column) -> Column:
+    """Start offset of every paragraph in the full text, i.e. the
+    exclusive running sum of ``length(context) + len(SEP)``."""
+    return exclusive_sums(
+        F.transform(paragraphs, lambda p: (F.length(p["context"]) + PARAGRAPH_SEP_LEN).cast("bigint")))
+
+
 def with_full_text(nested: DataFrame) -> DataFrame:
     return nested.withColumn("full_text", full_text(F.col("paragraphs")))
 

@@ -116,9 +116,10 @@ SCENARIO_INT_COLUMNS = ("scenario_id", "contract_id", "annotation_id", "start_ch
 
 
 def write_scenarios(split: DataFrame, path: str) -> None:
-    """The scenario dataset with int32 ids/offsets and string texts,
-    laid out by ``split`` so a reader of one split prunes the other."""
-    cols = [F.col(c).cast("int").alias(c) if c in SCENARIO_INT_COLUMNS else F.col(c).cast("string").alias(c)
+    """The scenario dataset with whole-number ids/offsets (64 bits: no id
+    wraps or fails at any size) and string texts, laid out by ``split`` so a
+    reader of one split prunes the other."""
+    cols = [F.col(c).cast("bigint").alias(c) if c in SCENARIO_INT_COLUMNS else F.col(c).cast("string").alias(c)
             for c in SCENARIO_COLUMNS]
     split.select(*cols, "split").write.mode("overwrite").partitionBy("split").parquet(path)
 

@@ -4,7 +4,7 @@
                  + nested parquet) and a rejects report            (S1-S3, P1-P7)
 2. ``build``     processed contracts -> contracts / annotations tables with
                  integrity checks, and the search index             (S5-S9, W1, A3, A4)
-3. ``scenarios`` tables -> scenarios split by contract, int32 dataset by split
+3. ``scenarios`` tables -> scenarios split by contract, dataset by split
                                                                      (J2, P13, split, S10)
 
 Every step reads the previous step's output from storage and writes its own;
@@ -70,7 +70,7 @@ def _write_index(spark: SparkSession, out_dir: str, buckets: int) -> None:
 
 def scenarios(spark: SparkSession, tables_dir: str, out_path: str, train_ratio: float = TRAIN_RATIO,
               seed: int = SPLIT_SEED) -> None:
-    """Scenario dataset split by contract, written by split (int32 ids)."""
+    """Scenario dataset split by contract, written by split."""
     ann = spark.read.parquet(f"{tables_dir}/annotations")
     con = spark.read.parquet(f"{tables_dir}/contracts")
     split = scen_ops.split_scenarios(scen_ops.scenarios(ann, con), train_ratio, seed)

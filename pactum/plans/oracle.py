@@ -31,14 +31,14 @@ paras_b AS (
   FROM paras)"""
 
 SPANS = PARAS + """,
-raw_spans AS (
+sentences AS (
   SELECT doc_id, contract_id, para_idx, base_offset, 'clause_' || CAST(para_idx % 5 AS VARCHAR) AS clause_type,
-         split_part(context, '.', 1) AS text, 0 AS answer_start, 0 AS raw_idx
-  FROM paras_b WHERE para_idx % 7 <> 6
-  UNION ALL
-  SELECT doc_id, contract_id, para_idx, base_offset, 'clause_' || CAST(para_idx % 5 AS VARCHAR),
-         split_part(context, '.', 2), length(split_part(context, '.', 1)) + 1, 1
+         unnest(string_split(context, '.')) AS text, generate_subscripts(string_split(context, '.'), 1) AS raw_idx
   FROM paras_b WHERE para_idx % 7 <> 6),
+raw_spans AS (
+  SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, para_idx ORDER BY raw_idx
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS answer_start
+  FROM sentences),
 spans AS (
   SELECT doc_id, contract_id, para_idx, clause_type, text,
          row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY raw_idx) - 1 AS ans_idx,
@@ -101,8 +101,7 @@ FROM ann"""
 
 ORACLE["build_counts"] = f"""WITH {PARAS},
 qa AS (SELECT para_idx % 7 = 6 AS imp,
-              (CASE WHEN split_part(context, '.', 1) <> '' THEN 1 ELSE 0 END
-             + CASE WHEN split_part(context, '.', 2) <> '' THEN 1 ELSE 0 END) AS n_ans
+              len(list_filter(string_split(context, '.'), lambda s: s <> '')) AS n_ans
        FROM paras)
 SELECT (SELECT count(*) FROM documents) AS n_contracts,
        CAST(count(*) AS BIGINT) AS n_paragraphs,
@@ -474,14 +473,14 @@ rparas_b AS (
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base_offset
   FROM rparas),
 rqa AS (SELECT * FROM rparas_b WHERE v <> 10 AND NOT (v = 7 AND orig_idx = 0)),
-rraw_spans AS (
+rsentences AS (
   SELECT doc_id, para_idx, base_offset, 'clause_' || CAST(orig_idx % 5 AS VARCHAR) AS clause_type,
-         split_part(context, '.', 1) AS text, 0 AS answer_start, 0 AS raw_idx
-  FROM rqa WHERE orig_idx % 7 <> 6
-  UNION ALL
-  SELECT doc_id, para_idx, base_offset, 'clause_' || CAST(orig_idx % 5 AS VARCHAR),
-         split_part(context, '.', 2), length(split_part(context, '.', 1)) + 1, 1
+         unnest(string_split(context, '.')) AS text, generate_subscripts(string_split(context, '.'), 1) AS raw_idx
   FROM rqa WHERE orig_idx % 7 <> 6),
+rraw_spans AS (
+  SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, para_idx ORDER BY raw_idx
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS answer_start
+  FROM rsentences),
 rspans AS (
   SELECT doc_id, para_idx, clause_type, text,
          row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY raw_idx) - 1 AS ans_idx,

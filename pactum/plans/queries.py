@@ -92,7 +92,7 @@ def q_split_disjoint(spark, sf_dir):
 
 @query("scenario_sample")
 def q_scenario_sample(spark, sf_dir):
-    """S10 write (int32, by split) -> S11 pruned read of the train split ->
+    """S10 write (by split) -> S11 pruned read of the train split ->
     seeded shuffle and limit (L2, L4)."""
     from pactum.session import scratch_path as _sp
     path = _sp(spark, "scenarios")

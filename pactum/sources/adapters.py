@@ -7,7 +7,7 @@ the same derivation can be written as oracle SQL.
   ``i`` of the text.  ``contract_id = doc_id + 1``; the title is
   ``source || ' ' || lang || ' ' || doc_id`` (unique).
 * annotations: per paragraph one question ``clause_<para_idx % 5>`` whose
-  answers are the first two '.'-separated sentences (empty ones dropped);
+  answers are all its '.'-separated sentences (empty ones dropped);
   every 7th paragraph (index % 7 = 6) is marked impossible.
 """
 
@@ -16,17 +16,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactum.operators.flatten import exclusive_sums
+
+
+def _sentences(line: Column, offset_type: str = "bigint") -> Column:
+    """All non-empty '.'-separated sentences of a line, with their offsets."""
+    parts = F.split(line, r"\.", -1)
+    starts = exclusive_sums(F.transform(parts, lambda t: (F.length(t) + 1).cast("bigint")))
+    spans = F.zip_with(parts, starts, lambda t, s: F.struct(t.alias("text"), s.cast(offset_type).alias("answer_start")))
+    return F.filter(spans, lambda a: a["text"] != F.lit(""))
+
 
 def _paragraph(line: Column, idx: Column, doc_id: Column) -> Column:
-    s1 = F.split_part(line, F.lit("."), F.lit(1))
-    s2 = F.split_part(line, F.lit("."), F.lit(2))
-    answers = F.filter(
-        F.array(
-            F.struct(s1.alias("text"), F.lit(0).alias("answer_start")),
-            F.struct(s2.alias("text"), (F.length(s1) + 1).alias("answer_start")),
-        ),
-        lambda a: a["text"] != F.lit(""),
-    )
+    answers = _sentences(line)
     qa = F.struct(
         F.concat(F.lit("clause_"), (idx % 5).cast("string")).alias("question"),
         F.concat_ws("-", doc_id.cast("string"), idx.cast("string")).alias("qa_id"),
@@ -68,12 +70,7 @@ RAW_VARIANTS = 11  # case = doc_id % 11, see raw_contract_lines
 def _raw_paragraphs(doc_id, lines, answer_start_type="bigint", imp_as_text=False, qa_key="id",
                     id_as_number=False, drop_context_0=False, bad_answer_0=False):
     def para(line, i):
-        s1 = F.split_part(line, F.lit("."), F.lit(1))
-        s2 = F.split_part(line, F.lit("."), F.lit(2))
-        answers = F.filter(F.array(
-            F.struct(s1.alias("text"), F.lit(0).cast(answer_start_type).alias("answer_start")),
-            F.struct(s2.alias("text"), (F.length(s1) + 1).cast(answer_start_type).alias("answer_start"))),
-            lambda a: a["text"] != F.lit(""))
+        answers = _sentences(line, answer_start_type)
         if bad_answer_0:
             answers = F.when(i == 0, F.concat(answers, F.array(F.struct(
                 F.lit("x").alias("text"), F.lit(12.5).cast(answer_start_type).alias("answer_start")))))\

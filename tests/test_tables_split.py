@@ -85,7 +85,7 @@ def test_write_read_scenarios_prunes(spark, tmp_path):
     path = str(tmp_path / "scen")
     S.write_scenarios(split, path)
     test = S.read_scenarios(spark, path, "test")
-    assert dict(test.dtypes)["scenario_id"] == "int"
+    assert dict(test.dtypes)["scenario_id"] == "bigint"
     assert test.count() == split.filter("split = 'test'").count()
     plan = test._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "split" in plan
