@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pactum.schemas import FOLD_FROM, FOLD_TO, PREVIEW_CHARS, TOKEN_PATTERN, WHITE_SPACE
+from pactum.schemas import PREVIEW_CHARS, TOKEN_PATTERN, WHITE_SPACE
+
+
+def _folds() -> tuple[str, str]:
+    """Lower-case letters that are one base letter and one combining mark, and
+    their base letters, over the Latin, Greek and Cyrillic blocks."""
+    pairs = []
+    for cp in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]:
+        letter = chr(cp)
+        parts = unicodedata.normalize("NFD", letter)
+        if letter == letter.lower() and len(parts) == 2 and unicodedata.category(parts[1]) == "Mn":
+            pairs.append((letter, parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+FOLD_FROM, FOLD_TO = _folds()
 
 
 def fold(c: Column) -> Column:
-    """Lower case, then Latin-1 accents folded to the base letter."""
-    return F.translate(F.lower(c), FOLD_FROM, FOLD_TO)
+    """Lower case, accented letters folded to their base letter, combining marks dropped."""
+    return F.regexp_replace(F.translate(F.lower(c), FOLD_FROM, FOLD_TO), r"\p{Mn}+", "")
 
 
 def raw_tokens(text: Column) -> Column:
-    """Tokens as written: maximal runs of letters and digits."""
+    """Tokens as written: maximal runs of letters and digits (and their marks)."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), 0)
 
 
 def tokens(text: Column) -> Column:
-    """index tokens -- raw tokens, each folded.  Folding per token keeps
-    token positions aligned with ``raw_tokens`` (needed for snippets)."""
-    return F.transform(raw_tokens(text), fold)
+    """index tokens -- the tokens of the folded text.  Folding neither makes
+    nor removes a separator, so positions are those of ``raw_tokens`` (needed
+    for snippets); it runs once over the text, not once per token."""
+    return raw_tokens(fold(F.coalesce(text, F.lit(""))))
 
 
 def separators(text: Column) -> Column:

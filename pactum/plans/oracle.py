@@ -7,7 +7,7 @@ Spark code.
 
 from __future__ import annotations
 
-from pactum.schemas import NUM_EPOCHS, TRAINING_DATASET_SIZE, TRAJECTORIES_PER_GROUP
+from pactum.schemas import NUM_EPOCHS, TRAINING_DATASET_SIZE, TRAJECTORIES_PER_GROUP, VAL_SET_SIZE
 
 SEP_SQL = "chr(10) || chr(10) || '--- PARAGRAPH BREAK ---' || chr(10) || chr(10)"
 
@@ -162,9 +162,23 @@ SELECT st.*, (global_step > 0 AND global_step % 30 = 0) AS eval_before, CAST(r.r
 FROM st, range(1, {TRAJECTORIES_PER_GROUP} + 1) r(run_idx)"""
 
 
+ORACLE["evaluation_points"] = f"""WITH {SAMPLE},
+n AS (SELECT CAST(count(*) * {NUM_EPOCHS} AS BIGINT) AS steps FROM sample)
+SELECT CAST(unnest(range(30, steps, 30)) AS BIGINT) AS global_step, 'periodic' AS kind FROM n
+UNION ALL SELECT steps, 'final' FROM n"""
+
+ORACLE["work_list"] = f"""WITH {SPLIT}
+SELECT CAST(row_number() OVER (ORDER BY scenario_id) AS BIGINT) AS sample_rank, CAST(scenario_id AS BIGINT) AS scenario_id,
+       contract_id FROM split WHERE split = 'test' ORDER BY scenario_id LIMIT {VAL_SET_SIZE}"""
+
+ORACLE["stored_contracts"] = f"""WITH {DOCS}
+SELECT contract_id AS id, title, md5(replace(text, chr(10), {SEP_SQL})) AS full_text_md5, CAST(0 AS BIGINT) AS rebuilt
+FROM docs"""
+
+
 # --- step 4-5 -------------------------------------------------------------------
 
-PAT = r"'[\p{L}\p{N}]+'"
+PAT = r"'[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*'"
 FOLDED = "list_transform(regexp_extract_all(@X@, " + PAT + "), lambda t: strip_accents(lower(t)))"
 
 CTOKS = DOCS + f""",
@@ -398,6 +412,19 @@ SELECT {', '.join(_sd(f'avg({c})', 9) + f' AS {c}' for c in RUN_METRIC_COLS)},
        count(*) AS n_trajectories
 FROM met WHERE status = 'valid'"""
 
+ORACLE["run_counts"] = f"""WITH {RUN_ACT}
+SELECT count(*) FILTER (WHERE status = 'valid') AS num_valid, count(*) FILTER (WHERE status <> 'valid') AS num_errors
+FROM met"""
+
+ORACLE["run_log"] = f"""WITH {RUN_ACT}
+SELECT trajectory_id, model, split, {_sd('reward', 9)} AS reward
+FROM met, (VALUES ('first', 'train'), ('second', 'test')) v(model, split) WHERE status = 'valid'"""
+
+ORACLE["union_metrics"] = f"""WITH {RUN_ACT}
+SELECT trajectory_id, {_sd('reward', 9)} AS reward, NULL::DOUBLE AS duration FROM met WHERE status = 'valid'
+UNION ALL
+SELECT trajectory_id, NULL, {_sd('duration', 6)} FROM met WHERE status <> 'valid'"""
+
 ORACLE["trajectory_groups"] = f"""WITH {RUN_ACT}
 SELECT scenario_id, count(*) AS n_runs, {_sd('avg(reward)', 9)} AS mean_reward,
        {_sd('min(reward)', 9)} AS min_reward, {_sd('max(reward)', 9)} AS max_reward,

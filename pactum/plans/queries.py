@@ -15,7 +15,7 @@ from pactum.operators import flatten as fl
 from pactum.operators import scenarios as scen_ops
 from pactum.operators import tables as table_ops
 from pactum.plans import common as C
-from pactum.schemas import TRAINING_DATASET_SIZE
+from pactum.schemas import TRAINING_DATASET_SIZE, VAL_SET_SIZE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -110,6 +110,35 @@ def q_training_schedule(spark, sf_dir):
     return scen_ops.training_schedule(s)
 
 
+@query("evaluation_points")
+def q_evaluation_points(spark, sf_dir):
+    """Periodic evaluations and the final one."""
+    e = scen_ops.evaluation_points(q_training_schedule(spark, sf_dir))
+    return e.select(F.col("global_step").cast("bigint").alias("global_step"), "kind")
+
+
+@query("work_list")
+def q_work_list(spark, sf_dir):
+    """The first validation scenarios of the test split, unshuffled."""
+    s = scen_ops.sample_scenarios(C.split(spark, sf_dir), "test", VAL_SET_SIZE, shuffle=False)
+    return s.select("sample_rank", F.col("scenario_id").cast("bigint").alias("scenario_id"), "contract_id")
+
+
+@query("stored_contracts")
+def q_stored_contracts(spark, sf_dir):
+    """Both tables written, a second build skipped, the contracts read back."""
+    n = C.nested(spark, sf_dir)
+    contracts = table_ops.contracts_table(n)
+    ids = contracts.select("contract_seq", F.col("id").alias("contract_id"))
+    annotations = table_ops.annotations_table(n.drop("contract_id").join(ids, "contract_seq"))
+    path = scratch_path(spark, "tables")
+    table_ops.write_tables(contracts, annotations, path)
+    again = table_ops.write_tables(contracts, annotations, path)
+    stored = spark.read.parquet(f"{path}/contracts")
+    return stored.select("id", "title", F.md5("full_text").alias("full_text_md5"),
+                         F.lit(int(not again["skipped"])).cast("bigint").alias("rebuilt"))
+
+
 # --- step 4-5: index, search, lookup ----------------------------------------
 
 from pactum.operators import lookup as lookup_ops  # noqa: E402
@@ -225,6 +254,30 @@ def q_benchmark_means(spark, sf_dir):
     return bench_ops.benchmark_means(_metrics(spark, sf_dir))
 
 
+@query("run_counts")
+def q_run_counts(spark, sf_dir):
+    return bench_ops.run_counts(_metrics(spark, sf_dir))
+
+
+@query("run_log")
+def q_run_log(spark, sf_dir):
+    """The valid runs of two benchmarks appended to one log."""
+    metrics, path = _metrics(spark, sf_dir), scratch_path(spark, "run-log")
+    for model, split in (("first", "train"), ("second", "test")):
+        bench_ops.log_runs(metrics, path, model, split)
+    return spark.read.parquet(path).select("trajectory_id", "model", "split",
+                                           stable_double(F.col("reward"), 9).alias("reward"))
+
+
+@query("union_metrics")
+def q_union_metrics(spark, sf_dir):
+    """U4: metric rows with different keys in one frame."""
+    m = _metrics(spark, sf_dir)
+    valid = m.where("status = 'valid'").select("trajectory_id", stable_double(F.col("reward"), 9).alias("reward"))
+    other = m.where("status <> 'valid'").select("trajectory_id", stable_double(F.col("duration"), 6).alias("duration"))
+    return bench_ops.union_metrics([valid, other])
+
+
 @query("trajectory_groups")
 def q_trajectory_groups(spark, sf_dir):
     return bench_ops.trajectory_groups(_metrics(spark, sf_dir))

@@ -43,14 +43,10 @@ TOOL_READ = "read_contract"
 TOOL_ANSWER = "return_final_answer"
 # Preview length used in confirmation and log messages.
 PREVIEW_CHARS = 50
-# Accent folding used by the tokeniser: Latin-1 letters with diacritics map
-# to their base letter (other scripts pass unchanged).
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
 # White space as Python's ``str.strip`` sees it.
 WHITE_SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
-# Characters of one token: Unicode letters and digits.
-TOKEN_PATTERN = r"[\p{L}\p{N}]+"
+# One token: Unicode letters and digits, with combining marks after the first.
+TOKEN_PATTERN = r"[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*"
 # ---------------------------------------------------------------------------
 # Our own version tag, written into processed files (nothing reads its value).
 PROCESSED_VERSION = "processed_v1.0"
