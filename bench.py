@@ -24,13 +24,14 @@ HEADLINE = [
     "full_text", "flat_annotations", "build_tables", "integrity_report", "scenario_split",
     "training_schedule", "postings", "search_topk", "search_snippet", "read_by_id",
     "search_replay", "rubric", "benchmark_means", "validate_nested", "index_upsert",
+    "tool_reply", "scenario_sample", "load_nested", "load_envelope",
 ]
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    names = sys.argv[1:] or HEADLINE
+    names = list(QUERIES) if sys.argv[1:] == ["--all"] else sys.argv[1:] or HEADLINE
     spark = get_spark(master=f"local[{cpus}]", partitions=cpus)
     # Warm-up (not timed): JIT-compile the JVM paths on the smallest tables.
     for name in ("flat_annotations", "search_topk", "rubric"):
