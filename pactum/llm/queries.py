@@ -69,7 +69,37 @@ QUERIES = {f.__name__: f for f in (
 
 _W = r"[^\x20\x09-\x0D]+"
 
+#: Smallest id reachable over ``links`` (a, b both ways) from each of ``ids`` (id).
+_REACH = """reach(id, root) AS (
+  SELECT id, id FROM ids UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)"""
+
 ORACLE = {
+    "op1_itq": f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.id AS a, b.id AS b FROM good a JOIN good b ON a.id < b.id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+ids AS (SELECT id FROM v), {_REACH},
+n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT id AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, component_id = id AS kept
+FROM least LEFT JOIN n USING (id)""",
+    "op2_jaccard": rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '{_W}') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT id, hash(list_slice(w, i, i + 4)) AS s, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS t
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.t = b.t AND a.id < b.id
+           GROUP BY a.id, b.id),
+pairs AS (SELECT a, b FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+ids AS (SELECT id FROM docs), {_REACH}
+SELECT id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM least LEFT JOIN n USING (id)""",
     "op6_line_rules": rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 lines AS (
