@@ -24,8 +24,9 @@ def judge_requests(classified: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 
 def pending_requests(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Requests whose key has no cached verdict yet."""
-    return requests.join(cache.select("request_key"), "request_key", "left_anti")
+    """Requests whose key has no cached verdict yet, each key once: equal
+    requests are asked once and share the verdict."""
+    return requests.dropDuplicates(["request_key"]).join(cache.select("request_key"), "request_key", "left_anti")
 
 
 def judge_verdicts(requests: DataFrame, replies: DataFrame) -> DataFrame:

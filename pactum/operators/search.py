@@ -62,10 +62,13 @@ def phrase_occurrences(qtok: DataFrame, postings: DataFrame) -> DataFrame:
     than one explicit pre-partitioning that gives up the map-side combine)."""
     extra = ["doc_len"] if "doc_len" in postings.columns else []
     hits = postings.join(qtok, "token")
-    votes = hits.groupBy("query_id", "kw_idx", "n_tok", "contract_id", *extra, "col",
+    # A phrase of one token needs no votes: every hit is an occurrence.
+    single = hits.filter(F.col("n_tok") == 1).select(
+        "query_id", "kw_idx", "n_tok", "contract_id", *extra, "col", F.col("pos").cast("bigint").alias("start"))
+    votes = hits.filter(F.col("n_tok") > 1).groupBy("query_id", "kw_idx", "n_tok", "contract_id", *extra, "col",
                          (F.col("pos") - F.col("tok_idx")).alias("start")).agg(F.count(F.lit(1)).alias("_v"))
     return votes.filter(F.col("_v") == F.col("n_tok")).drop("_v") \
-        .withColumn("start", F.col("start").cast("bigint"))
+        .withColumn("start", F.col("start").cast("bigint")).unionByName(single)
 
 
 TOKEN_PUSHDOWN_MAX = 10_000

@@ -94,3 +94,13 @@ def write_index(contracts: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     (doc_stats(contracts).withColumn("bucket", bucket)
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/doc_stats"))
+
+
+def write_search_index(contracts: DataFrame, path: str) -> None:
+    """The index that searches read: postings with ``doc_len``, range-partitioned
+    and sorted on (token, contract_id, pos), so that a token filter skips files
+    and row groups and a frequent token is split over several files; doc stats."""
+    tok = materialize_tokens(contracts)
+    (postings_from_tokens(tok, with_doc_len=True).repartitionByRange("token", "contract_id", "pos")
+     .sortWithinPartitions("token", "contract_id", "pos").write.parquet(f"{path}/postings"))
+    doc_stats_from_tokens(tok).write.parquet(f"{path}/doc_stats")

@@ -81,11 +81,12 @@ def run_inputs(spark: SparkSession, sf_dir: str):
     """(turns, run scenarios, contract ids, judge replies) from the driver tables."""
     from pactum.sources import runlog
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    turns = runlog.turns(events)
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    n_contracts = docs.count()
+    turns = runlog.turns(events, n_contracts)
     titles = docs.select((F.col("doc_id") + 1).alias("contract_id"),
                          F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string")).alias("title"))
-    scen = runlog.run_scenarios(events, titles)
+    scen = runlog.run_scenarios(events, titles, n_contracts)
     ids = titles.select("contract_id")
     return turns, scen, ids, runlog.judge_replies(turns)
 

@@ -271,7 +271,7 @@ ev AS (
   FROM events),
 act AS (
   SELECT *, CAST(user_id AS BIGINT) * 4294967296 + (rn - 1) // 12 AS trajectory_id, CAST((rn - 1) % 12 + 1 AS BIGINT) AS turn,
-         user_id % 10 <> 9 AS use_tools, CAST(1 + (user_id * 7) % 100 AS BIGINT) AS target,
+         user_id % 10 <> 9 AS use_tools, CAST(1 + (user_id * 7) % (SELECT count(*) FROM documents) AS BIGINT) AS target,
          CASE event_type
            WHEN 'error' THEN CASE WHEN value >= 60 THEN 'fail' ELSE 'search' END
            WHEN 'signup' THEN CASE WHEN value >= 180 OR user_id % 10 = 9 THEN 'text' ELSE 'search' END
@@ -280,7 +280,7 @@ act AS (
            WHEN 'view' THEN CASE WHEN k < 3 THEN 'unknown' WHEN k < 6 THEN 'broken' ELSE 'search' END
          END AS action,
          CASE WHEN k % 25 = 24 THEN k + 1000000 ELSE k END AS rid,
-         CASE WHEN k % 2 = 0 THEN CAST(1 + (user_id * 7) % 100 AS BIGINT) ELSE k END AS src,
+         CASE WHEN k % 2 = 0 THEN CAST(1 + (user_id * 7) % (SELECT count(*) FROM documents) AS BIGINT) ELSE k END AS src,
          CASE WHEN k % 5 = 0 THEN 'I could not find the clause.' ELSE 'clause ' || CAST(k AS VARCHAR) END AS ans_text
   FROM ev),
 cls AS (

@@ -3,7 +3,7 @@
 Turns: events of one user ordered by ``(ts, event_id)``; every 12 events
 form one run (``trajectory_id = user_id * 2**32 + (rn - 1) div 12``,
 ``turn = (rn - 1) % 12 + 1``); ``scenario_id = user_id``; the target
-contract is ``1 + (user_id * 7) % 100``; runs of users with
+contract is ``1 + (user_id * 7) % N`` of N contracts; runs of users with
 ``user_id % 10 = 9`` use JSON mode, the others tool calls.  ``k`` is
 ``props.k``.  Actions:
 
@@ -43,11 +43,11 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").try_cast("bigint")
 
 
-def target_of(user: Column) -> Column:
-    return (F.pmod(user * 7, F.lit(100)) + 1).cast("bigint")
+def target_of(user: Column, n_contracts: int) -> Column:
+    return (F.pmod(user.cast("bigint") * 7, F.lit(max(n_contracts, 1))) + 1).cast("bigint")
 
 
-def event_actions(events: DataFrame) -> DataFrame:
+def event_actions(events: DataFrame, n_contracts: int) -> DataFrame:
     """Numbered events with their action, before rendering as messages."""
     ev = events.select("event_id", "ts", "user_id", "event_type", "value", _k().alias("k"))
     ev = group_row_number(ev, ["user_id"], ["ts", "event_id"], "rn")
@@ -64,12 +64,12 @@ def event_actions(events: DataFrame) -> DataFrame:
         (u.cast("bigint") * RUNS_PER_USER + F.floor((F.col("rn") - 1) / TURNS_PER_RUN)).cast("bigint").alias("trajectory_id"),
         (F.pmod(F.col("rn") - 1, F.lit(TURNS_PER_RUN)) + 1).cast("int").alias("turn"),
         use_tools.alias("use_tools"), action.alias("action"),
-        target_of(u).alias("target"))
+        target_of(u, n_contracts).alias("target"))
 
 
-def turns(events: DataFrame) -> DataFrame:
+def turns(events: DataFrame, n_contracts: int) -> DataFrame:
     """The ``TURNS`` table of ``pactum.schemas`` (+ ``k`` for the verdict adapter)."""
-    a = event_actions(events)
+    a = event_actions(events, n_contracts)
     k, act = F.col("k"), F.col("action")
     ks = k.cast("string")
     read_id = F.when(F.pmod(k, F.lit(25)) == 24, k + 1000000).otherwise(k)
@@ -101,11 +101,11 @@ def turns(events: DataFrame) -> DataFrame:
         "ts", "k")
 
 
-def run_scenarios(events: DataFrame, contracts: DataFrame) -> DataFrame:
+def run_scenarios(events: DataFrame, contracts: DataFrame, n_contracts: int) -> DataFrame:
     """Scenario of every run's user: (scenario_id, contract_id, contract_title,
     clause_type, ground_truth_clause_text)."""
     users = events.select("user_id").distinct()
-    s = users.select(F.col("user_id").alias("scenario_id"), target_of(F.col("user_id")).alias("contract_id"),
+    s = users.select(F.col("user_id").alias("scenario_id"), target_of(F.col("user_id"), n_contracts).alias("contract_id"),
                      F.concat(F.lit("clause_"), F.pmod("user_id", F.lit(5)).cast("string")).alias("clause_type"),
                      F.concat(F.lit("clause "), F.pmod("user_id", F.lit(100)).cast("string")).alias("ground_truth_clause_text"))
     titles = contracts.select("contract_id", F.col("title").alias("contract_title"))
