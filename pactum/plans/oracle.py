@@ -608,27 +608,34 @@ FROM hits h JOIN bz b USING (query_id, contract_id) JOIN body y USING (query_id,
 
 from pactum.sources.runlog import SEARCH_KEYWORDS  # noqa: E402
 
+KEYWORD_SET = f"""CASE k % 10 {' '.join(f"WHEN {i} THEN [{', '.join(repr(w) for w in kw)}]::VARCHAR[]" for i, kw in enumerate(SEARCH_KEYWORDS))} END"""
+
+# Each distinct keyword list is ranked once (query_id = its number), then fanned out to the calls.
 ORACLE["search_replay"] = f"""WITH {CTOKS}, {RUN_ACT},
-q AS (SELECT trajectory_id * 100 + turn AS query_id,
-             CASE k % 10 {' '.join(f"WHEN {i} THEN [{', '.join(repr(w) for w in kw)}]::VARCHAR[]" for i, kw in enumerate(SEARCH_KEYWORDS))} END AS keywords,
-             10 AS max_results
-      FROM kept WHERE action = 'search'),""" + SEARCH_CORE + f""",
+calls AS (SELECT trajectory_id * 100 + turn AS call_id, k % 10 AS list FROM kept WHERE action = 'search'),
+q AS (SELECT DISTINCT k % 10 AS query_id, {KEYWORD_SET} AS keywords, 10 AS max_results FROM kept WHERE action = 'search'),""" + SEARCH_CORE + f""",
 {SNIPPET_CHAIN}
-SELECT CAST(h.query_id AS BIGINT) AS query_id, CAST(h.rank AS BIGINT) AS rank, h.contract_id,
+SELECT CAST(c.call_id AS BIGINT) AS query_id, CAST(h.rank AS BIGINT) AS rank, h.contract_id,
        r.score, {SNIPPET_TEXT} AS snippet
 FROM hits h JOIN ranked r USING (query_id, contract_id) JOIN bz b USING (query_id, contract_id)
-     JOIN body y USING (query_id, contract_id)"""
+     JOIN body y USING (query_id, contract_id) JOIN calls c ON c.list = h.query_id"""
+
+
+def _replaced(text: str, old: str, new: str) -> str:
+    if old not in text:
+        raise ValueError(f"oracle text no longer holds {old[:60]!r}")
+    return text.replace(old, new, 1)
 
 
 # tool_reply gains the search replies: executed tool-mode searches replayed
 # against the index, hits listed in rank order as JSON.
-ORACLE["tool_reply"] = ORACLE["tool_reply"].replace(
-    "WITH " + DOCS + ", " + RUN_ACT + ",", "WITH " + CTOKS + ", " + RUN_ACT + ",", 1) \
-    .replace("cd AS (SELECT contract_id, title, replace(text, chr(10), " + SEP_SQL + ") AS full_text FROM docs),",
-             f"""cd AS (SELECT contract_id, title, replace(text, chr(10), {SEP_SQL}) AS full_text FROM docs),
-q AS (SELECT trajectory_id * 100 + turn AS query_id,
-             CASE k % 10 {' '.join(f"WHEN {i} THEN [{', '.join(repr(w) for w in kw)}]::VARCHAR[]" for i, kw in enumerate(SEARCH_KEYWORDS))} END AS keywords,
-             10 AS max_results
+ORACLE["tool_reply"] = _replaced(
+    ORACLE["tool_reply"], "WITH " + DOCS + ", " + RUN_ACT + ",", "WITH " + CTOKS + ", " + RUN_ACT + ",")
+ORACLE["tool_reply"] = _replaced(
+    ORACLE["tool_reply"],
+    "cd AS (SELECT contract_id, title, replace(text, chr(10), " + SEP_SQL + ") AS full_text FROM docs),",
+    f"""cd AS (SELECT contract_id, title, replace(text, chr(10), {SEP_SQL}) AS full_text FROM docs),
+q AS (SELECT DISTINCT k % 10 AS query_id, {KEYWORD_SET} AS keywords, 10 AS max_results
       FROM kept WHERE outcome = 'searched'),""" + SEARCH_CORE + ",\n" + SNIPPET_CHAIN + """,
 sreplies AS (
   SELECT h.query_id, to_json(list({'contract_id': h.contract_id, 'title': c.title,
@@ -637,9 +644,9 @@ sreplies AS (
                                   ORDER BY h.rank))::VARCHAR AS payload
   FROM hits h JOIN cdocs c USING (contract_id) JOIN bz b USING (query_id, contract_id)
        JOIN body y USING (query_id, contract_id)
-  GROUP BY h.query_id),""", 1) + f"""
+  GROUP BY h.query_id),""") + """
 UNION ALL
 SELECT k.trajectory_id, k.turn, 'tool', 'call_' || CAST(k.event_id AS VARCHAR),
        md5(coalesce(r.payload, '[]')), CAST(length(coalesce(r.payload, '[]')) AS BIGINT)
-FROM kept k LEFT JOIN sreplies r ON r.query_id = k.trajectory_id * 100 + k.turn
+FROM kept k LEFT JOIN sreplies r ON r.query_id = k.k % 10
 WHERE k.outcome = 'searched'"""
