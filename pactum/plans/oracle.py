@@ -125,6 +125,15 @@ UNION ALL
 SELECT 'null_field', count(*), count(*) FILTER (WHERE contract_id IS NULL OR clause_type IS NULL OR text IS NULL
                                               OR start_char IS NULL OR end_char IS NULL) FROM ann"""
 
+ORACLE["integrity_violations"] = f"""WITH report AS ({ORACLE["integrity_report"]}),
+broken AS (SELECT doc_id % 10 AS kind FROM documents)
+SELECT check_name,
+       n_checked + CASE WHEN check_name = 'duplicate_title' THEN (SELECT count(*) FROM broken WHERE kind = 6)
+                        ELSE (SELECT count(*) FROM broken WHERE kind IN (3, 4, 5)) END AS n_checked,
+       n_violations + (SELECT count(*) FROM broken WHERE kind = CASE check_name
+           WHEN 'duplicate_title' THEN 6 WHEN 'orphan_annotation' THEN 3 WHEN 'null_field' THEN 4 ELSE 5 END) AS n_violations
+FROM report"""
+
 ORACLE["scenarios"] = f"""WITH {SCEN}
 SELECT CAST(scenario_id AS BIGINT) AS scenario_id, contract_id, contract_title,
        CAST(annotation_id AS BIGINT) AS annotation_id, clause_type, ground_truth_clause_text,

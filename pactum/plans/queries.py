@@ -74,6 +74,24 @@ def q_integrity_report(spark, sf_dir):
     return table_ops.integrity_report(contracts, table_ops.annotations_table(n, check_text=True))
 
 
+@query("integrity_violations")
+def q_integrity_violations(spark, sf_dir):
+    """The same report over tables with a broken row of each kind for every
+    tenth document: an orphan, a null field, a wrong span, a second title."""
+    n = C.nested(spark, sf_dir)
+    contracts = table_ops.contracts_table(n, ids=False).select("id", "title")
+    annotations = table_ops.annotations_table(n, check_text=True).select(
+        "contract_id", "clause_type", "text", "start_char", "end_char", "text_matches")
+    kind = F.pmod("contract_seq", F.lit(10))
+    broken = n.where(kind.isin(3, 4, 5)).select(
+        F.when(kind == 3, -F.col("contract_id")).otherwise(F.col("contract_id")).alias("contract_id"),
+        F.when(kind != 4, "clause").alias("clause_type"), F.lit("x").alias("text"),
+        F.lit(0).cast("bigint").alias("start_char"), F.lit(1).cast("bigint").alias("end_char"),
+        (kind != 5).alias("text_matches"))
+    twice = n.where(kind == 6).select((-F.col("contract_id")).alias("id"), "title")
+    return table_ops.integrity_report(contracts.unionByName(twice), annotations.unionByName(broken))
+
+
 # --- step 3: scenarios, split, sample, schedule --------------------------------
 
 @query("scenarios")
