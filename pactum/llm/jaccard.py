@@ -14,7 +14,8 @@ five-word shingles.  No link is lost:
 4. *Tiles.*  What is left are pairs of one key in different components.  A key
    and a band of set sizes (bands grow by 4/3, so partners lie in the same band
    or the next) make a tile; a tile is joined with itself under the size bound
-   and the bitmap bound, so only likely pairs leave the join.
+   and the bitmap bound, so only likely pairs leave the join.  Of keys that the
+   same classes hold one is enough.
 5. *Verification.*  Exact intersection of the two sorted shingle arrays, made
    again from the texts of the documents concerned.
 
@@ -146,12 +147,22 @@ def differing(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def likely(a: str, b: str):
-    """Size and bitmap bound for columns of the smaller set ``a`` and the larger ``b``."""
+def likely(a: str, b: str, bits):
+    """Size and bitmap bound for columns of the smaller set ``a`` and the larger
+    ``b``; ``bits`` is the bitmap of ``a`` in the width of ``b``'s band."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    bits = F.when(F.col(f"{a}.band") == F.col(f"{b}.band"), F.col(f"{a}.bits")).otherwise(F.col(f"{a}.bits_next"))
-    return (4 * na >= 3 * nb) & (F.col(f"{b}.band") - F.col(f"{a}.band") <= 1) & (
-        7 * differing(bits, F.col(f"{b}.bits")) <= na + nb)
+    return (4 * na >= 3 * nb) & (7 * differing(bits, F.col(f"{b}.bits")) <= na + nb)
+
+
+def one_key_per_list(keys: DataFrame) -> DataFrame:
+    """Keys that the same classes hold give the same pairs: the rows of one key
+    of each such list (told by count, ends and two sums of hashes)."""
+    h = F.xxhash64("f1")
+    lists = keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.min("f1").alias("lo"), F.max("f1").alias("hi"),
+        F.sum(F.shiftright(h, 32)).alias("s"), F.sum(h.bitwiseAND(F.lit(0x7FFFFFFF))).alias("t"))
+    chosen = lists.groupBy("m", "lo", "hi", "s", "t").agg(F.min("key").alias("key")).select("key")
+    return keys.join(chosen, "key", "left_semi")
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -206,7 +217,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         swap = F.col("x.n") > F.col("y.n")
         both = y.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("p"),
                         F.when(swap, F.col("x")).otherwise(F.col("y")).alias("q"))
-        return both.where((F.col("p.id") != F.col("q.id")) & likely("p", "q")).select(
+        bits = F.when(F.col("p.band") == F.col("q.band"), F.col("p.bits")).otherwise(F.col("p.bits_next"))
+        return both.where((F.col("p.id") != F.col("q.id")) & (F.col("q.band") - F.col("p.band") <= 1)
+                          & likely("p", "q", bits)).select(
             F.col("q.id").alias("a"), F.col("q.f1").alias("af"), F.col("p.id").alias("b"), F.col("p.f1").alias("bf"))
 
     first = materialize(sides(keys.where("f1 <> lo").select("lo", "f1").distinct()), "jaccard-pairs")
@@ -215,17 +228,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     of_class = classes.select("f1", "id").join(found, "id", "left").select(
         "f1", F.coalesce("component_id", "id").alias("c"))
-    mixed = (keys.join(of_class, "f1").selectExpr("key", "f1", "c", f"min(c) {window} AS lo", f"max(c) {window} AS hi")
-             .where("lo < hi"))
+    mixed = (keys.select("key", "f1").join(of_class, "f1")
+             .selectExpr("key", "f1", "c", f"min(c) {window} AS lo", f"max(c) {window} AS hi")
+             .where("lo < hi").select("key", "f1", "c").distinct())
     rows = materialize(
-        mixed.select("key", "f1", "c").distinct()
+        one_key_per_list(materialize(mixed, "jaccard-mixed"))
         .join(classes.select("f1", "id", "n", "band", "bits", "bits_next"), "f1"), "jaccard-tiles")
-    small = rows.withColumn("tile", F.explode(F.array("band", F.col("band") + 1))).alias("p")
-    large = rows.withColumn("tile", F.col("band")).alias("q")
+    # The smaller set meets its own band and the next one, with the bitmap of that width.
+    small = rows.select("key", "f1", "c", "id", "n", F.explode(F.array(
+        F.struct(F.col("band").alias("tile"), F.col("bits").alias("own")),
+        F.struct((F.col("band") + 1).alias("tile"), F.col("bits_next").alias("own")))).alias("at"))
+    small = small.select("key", "f1", "c", "id", "n", "at.tile", "at.own").alias("p")
+    large = rows.select("key", "f1", "c", "id", "n", F.col("band").alias("tile"), "bits").alias("q")
     tiled = small.join(large, (F.col("p.key") == F.col("q.key")) & (F.col("p.tile") == F.col("q.tile"))
                        & (F.col("p.c") != F.col("q.c")) & (F.col("p.id") != F.col("q.id"))
                        & ((F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.id") < F.col("q.id"))))
-                       & likely("p", "q"))
+                       & likely("p", "q", F.col("p.own")))
     second = materialize(tiled.select(F.col("q.id").alias("a"), F.col("q.f1").alias("af"), F.col("p.id").alias("b"),
                                       F.col("p.f1").alias("bf")).distinct(), "jaccard-pairs")
     if not second.isEmpty():
