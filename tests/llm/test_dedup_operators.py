@@ -165,6 +165,7 @@ def test_keep_one(spark):
 
 def test_bitmap_bound_never_drops_a_link(spark):
     rng = np.random.default_rng(3)
+    pairs = []
     for _ in range(200):
         n = int(rng.integers(1, 400))
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
@@ -177,8 +178,12 @@ def test_bitmap_bound_never_drops_a_link(spark):
         band = [int(np.searchsorted(jaccard.BANDS, len(x), side="right")) - 1 for x in (a, b)]
         if 100 * both >= 75 * (len(a) + len(b) - both):
             assert band[1] - band[0] in (0, 1)
-            x, y = jaccard.bitmap(a, band[1]), jaccard.bitmap(b, band[1])
-            assert 7 * int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(a) + len(b)
+            pairs.append((n, jaccard.bitmap(a, band[0]).tolist(), band[0], jaccard.bitmap(b, band[1]).tolist(), band[1],
+                          len(a), len(b)))
+    frame = spark.createDataFrame(
+        [((x, nx, ax), (y, ny, ay)) for _, x, ax, y, ay, nx, ny in pairs],
+        "p struct<bits: array<bigint>, n: bigint, band: int>, q struct<bits: array<bigint>, n: bigint, band: int>")
+    assert len(pairs) > 50 and frame.where(jaccard.likely("p", "q") & jaccard.likely("q", "p")).count() == len(pairs)
 
 
 # --- suffix-array dedup ----------------------------------------------------------------------------
