@@ -173,22 +173,33 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, th, lo, hi): runs of starts of repeated strings, in texts that are
     not copies of another; ``docs`` as from ``_keyed`` (id, th, text)."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs whose anchor occurs again in the block are surely shared: of
+        them only the first is counted, so a frequent anchor stays a few rows."""
         for part, offsets, buf in _texts(batches):
-            got = [k.view(np.int64) for k, _, _ in anchors(offsets, buf, length)]
-            cuts = np.concatenate([[0], np.cumsum([len(k) for k in got])]).astype(np.int32)
+            th = part.column("th").to_numpy()
+            got = anchors(offsets, buf, length)
+            once = np.sort(np.unique(th, return_index=True)[1])
+            key = np.concatenate([got[i][0] for i in once])
+            size = np.array([len(got[i][0]) for i in once])
+            run = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+            _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            again = n[inverse] > 1
+            count = ~again
+            count[first] = True
             yield pa.RecordBatch.from_arrays(
-                [part.column("th"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(got)))],
-                names=["th", "keys"])
+                [pa.array(np.repeat(th[once], size)), pa.array(run.astype(np.int32)), pa.array(key.view(np.int64)),
+                 pa.array(again), pa.array(count)], names=["th", "run", "key", "again", "counted"])
 
     long = docs.where(F.octet_length("text") >= length)
-    rows = long.select("th", "text").mapInArrow(keys, "th bigint, keys array<bigint>")
-    window = "OVER (PARTITION BY key)"
-    shared = (rows.select("th", F.posexplode("keys").alias("run", "key"))
-              .selectExpr("th", "run", f"min(th) {window} AS a", f"max(th) {window} AS b",
+    rows = long.select("th", "text").mapInArrow(keys, "th bigint, run int, key bigint, again boolean, counted boolean")
+    # Rows that needn't be counted are spread by a salt.
+    window = "OVER (PARTITION BY key, salt)"
+    shared = (rows.selectExpr("th", "run", "key", "again", "CASE WHEN counted THEN 0 ELSE xxhash64(th, run) END AS salt")
+              .selectExpr("th", "run", "again", f"min(th) {window} AS a", f"max(th) {window} AS b",
                           f"min(run) {window} AS c", f"max(run) {window} AS d")
-              .where("a < b OR c < d").select("th", "run").distinct())
+              .where("again OR a < b OR c < d").groupBy("th").agg(F.collect_set("run").alias("runs")))
     firsts = long.groupBy("th").agg(F.min("id").alias("id"))
-    wanted = materialize(shared.groupBy("th").agg(F.collect_list("run").alias("runs")).join(firsts, "th"), "suffix-runs")
+    wanted = materialize(shared.join(firsts, "th"), "suffix-runs")
     texts = likely_members(long.select("id", "th", "text"), F.col("th"), wanted, F.col("th")).where("_maybe")
     ctx = materialize(texts.select("id", "th", "text").join(wanted, ["id", "th"])
                       .mapInArrow(lambda it: _contexts(it, length),
@@ -197,7 +208,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ranked = (ctx.where("ctx IS NOT NULL")
               .selectExpr("*", "dense_rank() OVER (PARTITION BY key, ctx ORDER BY id, th, lo) AS nth"))
     later = ranked.where("nth > 1").select("id", "th", "lo", "hi")
-    different = ranked.where("nth = 1").drop("nth").selectExpr("*", f"count(1) {window} AS n")
+    different = ranked.where("nth = 1").drop("nth").selectExpr("*", "count(1) OVER (PARTITION BY key) AS n")
     different = materialize(different.where("n > 1"), "suffix-buckets")
     sortable = (different.where(F.col("n") <= HOT_CONTEXTS).drop("n")
                 .repartition("key").sortWithinPartitions("key"))
