@@ -8,14 +8,15 @@ five-word shingles.  No link is lost:
    among their first ``n - ceil(0.75 n) + 1``.  The order puts shingles that
    many texts hold last, so common passages don't make common keys.  Keys that
    one class holds are dropped by a window over the keys.
-3. *First links.*  Each class is paired with the first class of its key, which
-   is linear in the keys; pairs that survive the bitmap bound are verified, and
-   connected components made of them.
-4. *Tiles.*  What is left are pairs of one key in different components.  A key
-   and a band of set sizes (bands grow by 4/3, so partners lie in the same band
-   or the next) make a tile; a tile is joined with itself under the size bound
-   and the bitmap bound, so only likely pairs leave the join.  Of keys that the
-   same classes hold one is enough.
+3. *First links.*  Each class is paired with a centre of its key, which is linear
+   in the keys; pairs that survive the bitmap bound are verified, and connected
+   components made of them.  First one centre serves all keys alike, then, for
+   keys of several components, every key has one of its own.
+4. *Tiles.*  What is left are pairs of one key in different components.  Keys with
+   the same least class and three bands of set sizes (bands grow by 4/3, so
+   partners lie in the same band or the next) make a tile, which is compared
+   inside tasks, in chunks, under the size bound and the bitmap bound: only
+   likely pairs leave a task.  Of keys that the same classes hold one is enough.
 5. *Verification.*  Exact intersection of the two sorted shingle arrays, made
    again from the texts of the documents concerned.
 
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.llm.common import BLOCK_BYTES, likely_members, materialize, row_blocks, text_offsets
@@ -45,6 +46,14 @@ from pactum.llm.shingles import fingerprint, shingle_sets
 #: A shingle is counted as frequent in a chunk of hashes from this many sets on.
 FREQUENT = 4
 CHUNK_HASHES = 4 << 20
+#: Width of a bitmap for each shingle of the largest set of its band: the wider,
+#: the fewer shingles of a difference hide behind others.
+BITS_PER_SHINGLE = 4
+#: Classes in a chunk of a tile; pairs whose bitmaps are compared at once.
+TILE_ROWS = 1024
+SURVIVOR_ROWS = 50_000
+#: Turns in which every key of several components has a centre of its own.
+STAR_TURNS = 2
 #: Most frequent shingles that are broadcast, 16 bytes each.  They only order
 #: the keys: links don't depend on which shingles are among them.
 MAX_FREQUENT = 1 << 20
@@ -62,8 +71,8 @@ BANDS = _bands()
 
 
 def bitmap(own: np.ndarray, band: int) -> np.ndarray:
-    """The set hashed to as many bits as a power of two that covers the band's sizes."""
-    width = max(64, 1 << int(BANDS[band + 1] - 1).bit_length())
+    """The set hashed to ``BITS_PER_SHINGLE`` times the next power of two over the band's sizes."""
+    width = max(64, BITS_PER_SHINGLE << int(BANDS[band + 1] - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[own & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").view("<i8")
@@ -111,7 +120,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, two checksums of the set, its keys, band and bitmaps."""
+    """Per row: doc_id, n_shingles, two checksums of the set, its keys, band and bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +130,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for own in sets:
                 n = len(own)
                 if n == 0:
-                    rows.append((0, 0, 0, 0, [], [], []))
+                    rows.append((0, 0, 0, 0, [], []))
                     continue
                 size = n - (3 * n + 3) // 4 + 1
                 keys = own[:size]
@@ -131,27 +140,143 @@ def signatures(docs: DataFrame) -> DataFrame:
                     if rank.any():
                         keys = own[np.argsort(rank, kind="stable")[:size]]
                 band = int(np.searchsorted(BANDS, n, side="right")) - 1
-                rows.append((n, *fingerprint(own), band, keys.view(np.int64), bitmap(own, band), bitmap(own, band + 1)))
+                rows.append((n, *fingerprint(own), band, keys.view(np.int64), bitmap(own, band)))
             cols = list(zip(*rows))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 2]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, kinds)]],
-                names=["doc_id", "n_shingles", "f1", "f2", "band", "keys", "bits", "bits_next"])
+                names=["doc_id", "n_shingles", "f1", "f2", "band", "keys", "bits"])
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, band int, "
-                                "keys array<bigint>, bits array<bigint>, bits_next array<bigint>")
+                                "keys array<bigint>, bits array<bigint>")
+
+
+def fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows, words) narrowed to ``width`` words by halving."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def tile_survivors(rows: dict, chunk: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one tile that share a key, lie in different components, and pass
+    the size and the bitmap bound, each pair once: (first, second) row numbers.
+    ``rows``: id, n, c, band, chunk, bits (list of arrays), keys (list of arrays)."""
+    same = chunk[0] == chunk[1]
+    side = [np.flatnonzero(rows["chunk"] == k) for k in chunk]
+    place = np.full(len(rows["id"]), -1)
+    share = np.zeros((len(side[0]), len(side[1])), bool)
+    key = np.concatenate(rows["keys"])
+    owner = np.repeat(np.arange(len(rows["keys"])), [len(k) for k in rows["keys"]])
+    order = np.argsort(key, kind="stable")
+    owner, cuts = owner[order], np.flatnonzero(np.diff(key[order])) + 1
+    for s in side:
+        place[s] = np.arange(len(s))
+    for own in np.split(owner, cuts):
+        if len(own) > 1:
+            x, y = own[rows["chunk"][own] == chunk[0]], own[rows["chunk"][own] == chunk[1]]
+            share[np.ix_(place[x], place[y])] = True
+    a, b = np.nonzero(share)
+    a, b = side[0][a], side[1][b]
+    n, c, band = rows["n"], rows["c"], rows["band"]
+    go = (c[a] != c[b]) & (4 * n[a] >= 3 * n[b]) & (4 * n[b] >= 3 * n[a]) & (np.abs(band[a] - band[b]) <= 1)
+    # Two sets of the tile's last band also meet in the next tile.
+    go &= (band[a] != band[b]) | (band[a] != rows["tile"] * 2 + 2)
+    if same:
+        go &= a < b
+    a, b = a[go], b[go]
+    keep = np.zeros(len(a), bool)
+    for x in np.unique(band):
+        for y in (x - 1, x, x + 1):
+            pick = np.flatnonzero((band[a] == x) & (band[b] == y))
+            if not len(pick):
+                continue
+            members = [np.unique(m) for m in (a[pick], b[pick])]
+            bits = [np.array([rows["bits"][i] for i in m.tolist()]) for m in members]
+            width = min(bits[0].shape[1], bits[1].shape[1])
+            bits = [fold(m, width).view(np.uint64) for m in bits]
+            for k in range(0, len(pick), SURVIVOR_ROWS):
+                p = pick[k: k + SURVIVOR_ROWS]
+                diff = np.bitwise_count(bits[0][np.searchsorted(members[0], a[p])]
+                                        ^ bits[1][np.searchsorted(members[1], b[p])]).sum(axis=1, dtype=np.int64)
+                keep[p] = 7 * diff <= n[a[p]] + n[b[p]]
+    return a[keep], b[keep]
+
+
+def tile_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, f1, c) -> likely pairs (a, af, b, bf) that share a key across components.
+
+    Lists with the same least class come together, so that a pair which shares
+    many keys is met a few times only.  A tile is such a group and three bands
+    of set sizes (2t, 2t + 1, 2t + 2); a class is one row of it, with its keys
+    and its bitmap.  A tile of more than ``TILE_ROWS`` classes is cut into
+    chunks, and each pair of chunks is a task's group of its own."""
+    grouped = (lists.withColumn("lo", F.min("f1").over(Window.partitionBy("key")))
+               .groupBy("lo", "f1", "c").agg(F.collect_list("key").alias("keys")))
+    rows = materialize(grouped.join(classes.select("f1", "id", "n", "band", "bits"), "f1"), "jaccard-tiles")
+    half = F.floor(F.col("band") / 2).cast("int")
+    rows = rows.withColumn("tile", F.explode(
+        F.when(F.col("band") % 2 == 0, F.array(half, half - 1)).otherwise(F.array(half))))
+    size = rows.groupBy("lo", "tile").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    rows = (rows.join(size, ["lo", "tile"]).withColumn("of", F.ceil(F.col("m") / TILE_ROWS).cast("int"))
+            .withColumn("chunk", F.pmod(F.xxhash64("f1"), F.col("of")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+            .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+            .select("lo", "tile", "i", "j", "f1", "id", "n", "c", "band", "chunk", "bits", "keys")
+            .repartition("lo", "tile", "i", "j").sortWithinPartitions("lo", "tile", "i", "j"))
+    names = ["lo", "tile", "i", "j"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        held_key = None
+
+        def finish() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            got = {k: t.column(k).to_numpy() for k in ("id", "n", "c", "band", "chunk")}
+            got |= {k: [x.values.to_numpy() for x in t.column(k)] for k in ("bits", "keys")}
+            a, b = tile_survivors(got | {"tile": held_key[1]}, held_key[2:])
+            f1 = t.column("f1").to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (got["id"][a], f1[a], got["id"][b], f1[b])],
+                                              names=["a", "af", "b", "bf"])
 
-def differing(a, b):
-    """Number of bits in which two bitmaps differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
+            cuts = np.concatenate([[0], 1 + np.flatnonzero((key[1:] != key[:-1]).any(axis=1)), [len(key)]])
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if y > x:
+                    now = tuple(key[x].tolist())
+                    if held and now != held_key:
+                        yield finish()
+                        held = []
+                    held_key = now
+                    held.append(batch.slice(x, y - x))
+        if held:
+            yield finish()
 
+    found = rows.mapInArrow(run, "a bigint, af bigint, b bigint, bf bigint").where("a <> b")
+    # The same pair from two groups may come in either order.
+    swap = F.col("a") > F.col("b")
+    return found.select(F.least("a", "b").alias("a"), F.when(swap, F.col("bf")).otherwise(F.col("af")).alias("af"),
+                        F.greatest("a", "b").alias("b"), F.when(swap, F.col("af")).otherwise(F.col("bf")).alias("bf")).distinct()
 
-def likely(a: str, b: str, bits):
-    """Size and bitmap bound for columns of the smaller set ``a`` and the larger
-    ``b``; ``bits`` is the bitmap of ``a`` in the width of ``b``'s band."""
+
+def differing(a: Column, b: Column) -> Column:
+    """Number of bits in which two bitmaps differ; the wider one is folded to
+    the width of the other (widths of neighbouring bands differ by 2 at most)."""
+    def fold(x: Column, y: Column) -> Column:
+        half = F.size(y)
+        return F.when(F.size(x) > half, F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half),
+                                                   lambda p, q: p.bitwiseOR(q))).otherwise(x)
+    return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                       F.lit(0), lambda s, x: s + x)
+
+
+def likely(a: str, b: str) -> Column:
+    """Size and bitmap bound for columns of two sets in the same or neighbouring bands."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (4 * na >= 3 * nb) & (7 * differing(bits, F.col(f"{b}.bits")) <= na + nb)
+    return ((4 * na >= 3 * nb) & (4 * nb >= 3 * na) & (F.abs(F.col(f"{a}.band") - F.col(f"{b}.band")) <= 1)
+            & (7 * differing(F.col(f"{a}.bits"), F.col(f"{b}.bits")) <= na + nb))
 
 
 def one_key_per_list(keys: DataFrame) -> DataFrame:
@@ -202,8 +327,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(
         linked.groupBy("f1", "f2", F.col("n_shingles").alias("n"))
-        .agg(F.min("doc_id").alias("id"), F.first("band").alias("band"), F.first("bits").alias("bits"),
-             F.first("bits_next").alias("bits_next")), "jaccard-classes")
+        .agg(F.min("doc_id").alias("id"), F.first("band").alias("band"), F.first("bits").alias("bits")),
+        "jaccard-classes")
     window = "OVER (PARTITION BY key)"
     keys = materialize(
         linked.select("f1", F.explode("keys").alias("key"))
@@ -212,43 +337,43 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     def sides(pairs: DataFrame) -> DataFrame:
         """(lo, f1) checksum pairs -> likely pairs of classes."""
-        x = pairs.join(classes.select(F.col("f1"), F.struct("id", "f1", "n", "band", "bits", "bits_next").alias("x")), "f1")
-        y = x.join(classes.select(F.col("f1").alias("lo"), F.struct("id", "f1", "n", "band", "bits", "bits_next").alias("y")), "lo")
-        swap = F.col("x.n") > F.col("y.n")
-        both = y.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("p"),
-                        F.when(swap, F.col("x")).otherwise(F.col("y")).alias("q"))
-        bits = F.when(F.col("p.band") == F.col("q.band"), F.col("p.bits")).otherwise(F.col("p.bits_next"))
-        return both.where((F.col("p.id") != F.col("q.id")) & (F.col("q.band") - F.col("p.band") <= 1)
-                          & likely("p", "q", bits)).select(
+        x = pairs.join(classes.select("f1", F.struct("id", "f1", "n", "band", "bits").alias("p")), "f1")
+        y = x.join(classes.select(F.col("f1").alias("lo"), F.struct("id", "f1", "n", "band", "bits").alias("q")), "lo")
+        return y.where((F.col("p.id") != F.col("q.id")) & likely("p", "q")).select(
             F.col("q.id").alias("a"), F.col("q.f1").alias("af"), F.col("p.id").alias("b"), F.col("p.f1").alias("bf"))
 
+    def mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """(key, f1, c) of the keys whose classes lie in different components ``c``."""
+        of_class = classes.select("f1", "id").join(found, "id", "left").select(
+            "f1", F.coalesce("component_id", "id").alias("c"))
+        return (rows.select("key", "f1").join(of_class, "f1")
+                .selectExpr("key", "f1", "c", f"min(c) {window} AS lo", f"max(c) {window} AS hi")
+                .where("lo < hi").select("key", "f1", "c").distinct())
+
+    def join_up(links: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        more = materialize(verify(docs, pairs), "jaccard-links")
+        links = more if links is None else links.union(more)
+        return links, materialize(components(links), "jaccard-components")
+
+    # One centre for all keys first: the class with the least checksum of the key.
     first = materialize(sides(keys.where("f1 <> lo").select("lo", "f1").distinct()), "jaccard-pairs")
-    links = materialize(verify(docs, first), "jaccard-links")
-    found = materialize(components(links), "jaccard-components")
-
-    of_class = classes.select("f1", "id").join(found, "id", "left").select(
-        "f1", F.coalesce("component_id", "id").alias("c"))
-    mixed = (keys.select("key", "f1").join(of_class, "f1")
-             .selectExpr("key", "f1", "c", f"min(c) {window} AS lo", f"max(c) {window} AS hi")
-             .where("lo < hi").select("key", "f1", "c").distinct())
-    rows = materialize(
-        one_key_per_list(materialize(mixed, "jaccard-mixed"))
-        .join(classes.select("f1", "id", "n", "band", "bits", "bits_next"), "f1"), "jaccard-tiles")
-    # The smaller set meets its own band and the next one, with the bitmap of that width.
-    small = rows.select("key", "f1", "c", "id", "n", F.explode(F.array(
-        F.struct(F.col("band").alias("tile"), F.col("bits").alias("own")),
-        F.struct((F.col("band") + 1).alias("tile"), F.col("bits_next").alias("own")))).alias("at"))
-    small = small.select("key", "f1", "c", "id", "n", "at.tile", "at.own").alias("p")
-    large = rows.select("key", "f1", "c", "id", "n", F.col("band").alias("tile"), "bits").alias("q")
-    tiled = small.join(large, (F.col("p.key") == F.col("q.key")) & (F.col("p.tile") == F.col("q.tile"))
-                       & (F.col("p.c") != F.col("q.c")) & (F.col("p.id") != F.col("q.id"))
-                       & ((F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.id") < F.col("q.id"))))
-                       & likely("p", "q", F.col("p.own")))
-    second = materialize(tiled.select(F.col("q.id").alias("a"), F.col("q.f1").alias("af"), F.col("p.id").alias("b"),
-                                      F.col("p.f1").alias("bf")).distinct(), "jaccard-pairs")
-    if not second.isEmpty():
-        more = materialize(verify(docs, second), "jaccard-links")
-        found = materialize(components(links.union(more)), "jaccard-components")
+    links, found = join_up(None, first)
+    # Then another centre for every key: a class meets about as many members of a
+    # group as it has keys, so few groups are left in pieces.
+    lists = materialize(one_key_per_list(materialize(mixed(keys, found), "jaccard-mixed")), "jaccard-lists")
+    for turn in range(STAR_TURNS):
+        centre = F.min(F.struct(F.xxhash64("f1", "key", F.lit(turn)), F.col("f1").alias("lo"), F.col("c").alias("zc"))).over(
+            Window.partitionBy("key")).alias("z")
+        stars = lists.select("f1", "c", centre).where("z.zc <> c").select(F.col("z.lo").alias("lo"), "f1").distinct()
+        pairs = materialize(sides(stars), "jaccard-pairs")
+        if pairs.isEmpty():
+            break
+        links, found = join_up(links, pairs)
+        lists = materialize(mixed(lists, found), "jaccard-lists")
+    # Last, every pair of one key that is still in different components.
+    third = materialize(tile_pairs(lists, classes), "jaccard-pairs")
+    if not third.isEmpty():
+        links, found = join_up(links, third)
 
     class_of = classes.select("f1", "f2", F.col("n").alias("n_shingles"), "id").join(found, "id", "left").select(
         "f1", "f2", "n_shingles", F.coalesce("component_id", "id").alias("class_component"))
