@@ -214,7 +214,7 @@ def tile_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
     chunks, and each pair of chunks is a task's group of its own."""
     grouped = (lists.withColumn("lo", F.min("f1").over(Window.partitionBy("key")))
                .groupBy("lo", "f1", "c").agg(F.collect_list("key").alias("keys")))
-    rows = materialize(grouped.join(classes.select("f1", "id", "n", "band", "bits"), "f1"), "jaccard-tiles")
+    rows = materialize(grouped.join(classes.select("f1", "id", "n", "band"), "f1"), "jaccard-tiles")
     half = F.floor(F.col("band") / 2).cast("int")
     rows = rows.withColumn("tile", F.explode(
         F.when(F.col("band") % 2 == 0, F.array(half, half - 1)).otherwise(F.array(half))))
@@ -222,7 +222,9 @@ def tile_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
     rows = (rows.join(size, ["lo", "tile"]).withColumn("of", F.ceil(F.col("m") / TILE_ROWS).cast("int"))
             .withColumn("chunk", F.pmod(F.xxhash64("f1"), F.col("of")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-            .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+            .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")))
+    # The bitmaps join last: they are shuffled to their tiles once.
+    rows = (rows.join(classes.select("f1", "id", "bits"), ["f1", "id"])
             .select("lo", "tile", "i", "j", "f1", "id", "n", "c", "band", "chunk", "bits", "keys")
             .repartition("lo", "tile", "i", "j").sortWithinPartitions("lo", "tile", "i", "j"))
     names = ["lo", "tile", "i", "j"]
