@@ -7,8 +7,11 @@
 2. *Index every row*: the code is cut into ``n_tables`` keys of ``key_bits``
    bits; table t groups the rows with equal key t.  ``key_bits`` grows with
    the counted rows (about ``BUCKET_ROWS`` rows a bucket); ``n_tables`` is set
-   from the sample so that a pair exactly at the threshold meets with
-   probability ``RECALL`` in at least one table, closer pairs almost surely.
+   so that a pair exactly at the threshold meets with probability ``RECALL`` in
+   at least one table, closer pairs almost surely.  That is measured on ``TRIALS``
+   simulated partners of sampled rows that no rotation was fitted on.  Keys get
+   shorter if ``MAX_TABLES`` tables don't reach it.  A vector length with at most
+   ``TILE_ROWS`` different vectors is one bucket, compared as a whole.
 3. *Rerank*: inside a bucket all rows are compared by cosine of the original
    vectors in double precision.  A pair is counted in the first table where
    its keys agree, so in no other.  Only sums per row and a spanning forest of
@@ -41,6 +44,8 @@ from pactum.llm.graph import components
 THRESHOLD = 0.9
 #: Rows that the rotations are learned from, for each vector length.
 SAMPLE_ROWS = 4096
+#: Sampled rows beside them whose simulated partners show the recall, and partners in all.
+TRIAL_ROWS, TRIALS = 1024, 16384
 RECALL = 0.98
 BUCKET_ROWS = 64
 MIN_KEY_BITS, MAX_KEY_BITS = 6, 24
@@ -63,38 +68,53 @@ class Index:
     """Rotations and key layout for one vector length."""
 
     def __init__(self, sample: np.ndarray, n_rows: int, threshold: float):
-        dim = sample.shape[1]
-        self.key_bits = int(np.clip(np.ceil(np.log2(max(n_rows, 1) / BUCKET_ROWS + 1)), MIN_KEY_BITS, MAX_KEY_BITS))
-        # Partners exactly at the threshold show how often a bit differs there.
-        rng = np.random.default_rng(7)
-        away = rng.standard_normal(sample.shape)
-        away -= (away * sample).sum(1, keepdims=True) * sample
-        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
-        partner = threshold * sample + np.sqrt(1 - threshold ** 2) * away
+        self.key_bits = 0
+        self.n_tables = 1
         self.rotations: list[np.ndarray] = []
-        met = np.zeros(len(sample), bool)
-        bits_a = bits_b = np.zeros((len(sample), 0), bool)
-        self.n_tables = 0
-        while self.n_tables < MAX_TABLES:
-            while bits_a.shape[1] < (self.n_tables + 1) * self.key_bits:
-                r = itq_rotation(sample, seed=len(self.rotations))
-                self.rotations.append(r)
-                bits_a = np.concatenate([bits_a, sample @ r >= 0], axis=1)
-                bits_b = np.concatenate([bits_b, partner @ r >= 0], axis=1)
-            cut = slice(self.n_tables * self.key_bits, (self.n_tables + 1) * self.key_bits)
-            met |= (bits_a[:, cut] == bits_b[:, cut]).all(axis=1)
-            self.n_tables += 1
-            if met.mean() >= RECALL or dim == 1:
-                break
+        if n_rows <= TILE_ROWS or len(sample) < 2:  # one bucket: every pair is compared
+            return
+        held = max(1, min(TRIAL_ROWS, len(sample) // 4))
+        trial, sample = sample[:held], sample[held:]
+        rounds = -(-TRIALS // held)
+        bits_a, bits_b = np.zeros((held, 0), bool), np.zeros((rounds, held, 0), bool)
+        widest = int(np.clip(np.ceil(np.log2(n_rows / BUCKET_ROWS + 1)), MIN_KEY_BITS, MAX_KEY_BITS))
+        for self.key_bits in range(widest, 0, -1):
+            met = np.zeros((rounds, held), bool)
+            for t in range(MAX_TABLES):
+                while bits_a.shape[1] < (t + 1) * self.key_bits:
+                    r = itq_rotation(sample, seed=len(self.rotations))
+                    self.rotations.append(r)
+                    bits_a = np.concatenate([bits_a, trial @ r >= 0], axis=1)
+                    bits_b = np.concatenate([bits_b, [x @ r >= 0 for x in partners(trial, rounds, threshold)]], axis=2)
+                cut = slice(t * self.key_bits, (t + 1) * self.key_bits)
+                met |= (bits_a[:, cut] == bits_b[:, :, cut]).all(axis=2)
+                # Rows differ in their chance: the error of the mean is that of the mean over rows.
+                if met.mean() - 2 * met.mean(axis=0).std() / np.sqrt(held) >= RECALL:
+                    self.n_tables = t + 1
+                    del self.rotations[-(-self.n_tables * self.key_bits // trial.shape[1]):]
+                    return
+        self.key_bits = 0
+        self.rotations = []
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """(rows, n_tables) int32 keys."""
+        if not self.key_bits:
+            return np.zeros((len(unit), 1), np.int32)
         bits = np.concatenate([unit @ r >= 0 for r in self.rotations], axis=1)
         weights = 1 << np.arange(self.key_bits)
         cuts = bits[:, : self.n_tables * self.key_bits].reshape(len(unit), self.n_tables, self.key_bits)
         return (cuts @ weights).astype(np.int32)
 
 
+def partners(x: np.ndarray, rounds: int, threshold: float) -> Iterator[np.ndarray]:
+    """``rounds`` times one vector exactly at the threshold from each row; the same at every call."""
+    for k in range(rounds):
+        away = np.random.default_rng([7, k]).standard_normal(x.shape)
+        away -= (away * x).sum(1, keepdims=True) * x
+        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+        yield threshold * x + np.sqrt(1 - threshold ** 2) * away
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -105,12 +125,14 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def learn(classes: DataFrame, threshold: float) -> dict[int, Index]:
-    """One index per vector length, from at most ``SAMPLE_ROWS`` rows each."""
+    """One index per vector length with more than ``TILE_ROWS`` rows, from at
+    most ``SAMPLE_ROWS`` + ``TRIAL_ROWS`` of them; the other lengths need none."""
     out = {}
-    for dim, n in classes.groupBy("dim").count().collect():  # one row per vector length
-        share = int((1 << 20) * min(1.0, 2 * SAMPLE_ROWS / n))
-        rows = (classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(1 << 20)) < share))
-                .orderBy(F.xxhash64("cls"), "cls").select("v").limit(SAMPLE_ROWS).toArrow())
+    wanted = SAMPLE_ROWS + TRIAL_ROWS
+    for dim, n in classes.groupBy("dim").count().where(F.col("count") > TILE_ROWS).collect():  # one row per vector length
+        share = int((1 << 40) * min(1.0, 2 * wanted / n))
+        rows = (classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(1 << 40)) < share))
+                .orderBy(F.xxhash64("cls"), "cls").select("v").limit(wanted).toArrow())
         if rows.num_rows:
             out[dim] = Index(unit_rows(_matrix(rows.column("v").combine_chunks(), dim)), n, threshold)
     return out
@@ -165,15 +187,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                           .withColumn("dim", F.size("v")).withColumn("cls", F.monotonically_increasing_id()),
                           "itq-classes")
     shared = spark.sparkContext.broadcast(learn(classes, threshold))
+    whole = Index(np.zeros((0, 1)), 0, threshold)  # one bucket for a length without an index of its own
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
-                if dim not in shared.value:
-                    continue
                 part = batch.filter(pa.array(dims == dim))
-                own = shared.value[dim]
+                own = shared.value.get(dim, whole)
                 x = unit_rows(_matrix(part.column("v"), dim))
                 keys = own.keys(x)
                 rep = np.tile(np.arange(len(x)), own.n_tables)

@@ -89,6 +89,42 @@ def test_one_large_bucket_is_tiled(spark, monkeypatch):
     assert (got.n_links == 99).all() and (got.component_id == 0).all() and got.kept.sum() == 1
 
 
+def pairs_at(rng, n, dim, cosine):
+    """``2 n`` unit vectors: a random one, then one at the given cosine from it."""
+    x, away = rng.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    return np.stack([x, cosine * x + np.sqrt(1 - cosine ** 2) * away], axis=1).reshape(-1, dim)
+
+
+def test_few_vectors_of_a_length_lose_no_link(spark):
+    """Forty lengths with one to three pairs each, just inside the threshold."""
+    rng = np.random.default_rng(5)
+    x = [v for dim in range(40, 80) for v in pairs_at(rng, 1 + dim % 3, dim, 0.905)]
+    rows = [(i, v.tolist(), "x", 0) for i, v in enumerate(x)]
+    got = itq.near_duplicates(spark.createDataFrame(rows, VECTORS)).toPandas().set_index("vec_id").sort_index()
+    assert (got.n_links == 1).all() and (got.component_id == got.index // 2 * 2).all()
+
+
+@pytest.mark.parametrize("rows,dim", [(1100, 64), (3000, 64), (3000, 8), (1100, 200)])
+def test_recall_of_pairs_that_no_rotation_has_seen(rows, dim):
+    rng = np.random.default_rng(rows)
+    sample = rng.standard_normal((rows, dim))
+    index = itq.Index(sample / np.linalg.norm(sample, axis=1, keepdims=True), rows, 0.9)
+    keys = index.keys(pairs_at(rng, 20000, dim, 0.9))
+    assert index.key_bits and (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.975
+
+
+def test_keys_get_shorter_when_the_tables_do_not_reach_the_recall(monkeypatch):
+    monkeypatch.setattr(itq, "MAX_TABLES", 3)
+    rng = np.random.default_rng(6)
+    sample = rng.standard_normal((3000, 32))
+    index = itq.Index(sample / np.linalg.norm(sample, axis=1, keepdims=True), 3000, 0.9)
+    keys = index.keys(pairs_at(rng, 20000, 32, 0.9))
+    assert index.n_tables <= 3 and (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.975
+
+
 # --- n-gram Jaccard --------------------------------------------------------------------------------
 
 def shingles(text):
