@@ -120,7 +120,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, two checksums of the set, its keys, band and bitmap."""
+    """Per row: doc_id (and any other long), n_shingles, two checksums of the set, its keys, band and bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +144,12 @@ def signatures(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 2]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, kinds)]],
-                names=["doc_id", "n_shingles", "f1", "f2", "band", "keys", "bits"])
+                [*[part.column(c) for c in own_columns], *[pa.array(c, t) for c, t in zip(cols, kinds)]],
+                names=[*own_columns, "n_shingles", "f1", "f2", "band", "keys", "bits"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, band int, "
-                                "keys array<bigint>, bits array<bigint>")
+    own_columns = [c for c in docs.columns if c != "text"]
+    return docs.mapInArrow(run, "".join(f"{c} bigint, " for c in own_columns) + "n_shingles bigint, f1 bigint, "
+                                "f2 bigint, band int, keys array<bigint>, bits array<bigint>")
 
 
 def fold(bits: np.ndarray, width: int) -> np.ndarray:
@@ -256,11 +257,11 @@ def tile_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
         if held:
             yield finish()
 
-    found = rows.mapInArrow(run, "a bigint, af bigint, b bigint, bf bigint").where("a <> b")
+    found = rows.mapInArrow(run, "a bigint, af bigint, b bigint, bf bigint")
     # The same pair from two groups may come in either order.
-    swap = F.col("a") > F.col("b")
-    return found.select(F.least("a", "b").alias("a"), F.when(swap, F.col("bf")).otherwise(F.col("af")).alias("af"),
-                        F.greatest("a", "b").alias("b"), F.when(swap, F.col("af")).otherwise(F.col("bf")).alias("bf")).distinct()
+    swap = F.col("af") > F.col("bf")
+    return found.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.least("af", "bf").alias("af"),
+                        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("af", "bf").alias("bf")).distinct()
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -293,7 +294,7 @@ def one_key_per_list(keys: DataFrame) -> DataFrame:
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, af, b, bf: class document and checksum) that link, as (a, b)."""
+    """The pairs (a, af, b, bf: class document and checksum) that link, as checksums (a, b)."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     texts = likely_members(docs.where("doc_id IS NOT NULL"), F.col("doc_id"), ends, F.col("id")).where("_maybe")
 
@@ -314,17 +315,17 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 hit[i] = 100 * both >= 75 * (len(x) + len(y) - both)
-            yield batch.filter(pa.array(hit)).select(["a", "b"])
+            yield batch.filter(pa.array(hit)).select(["af", "bf"]).rename_columns(["a", "b"])
 
     left = own.select(F.col("id").alias("a"), F.col("f").alias("af"), F.col("own").alias("xa"))
     right = own.select(F.col("id").alias("b"), F.col("f").alias("bf"), F.col("own").alias("xb"))
-    both = pairs.join(right, ["b", "bf"]).join(left, ["a", "af"]).select("a", "b", "xa", "xb")
+    both = pairs.join(right, ["b", "bf"]).join(left, ["a", "af"]).select("af", "bf", "xa", "xb")
     return both.mapInArrow(exact, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signatures of the rows, the classes, links (a, b) between classes, told by
+    f1, that connect all linked ones, and the components (id, component_id) of them."""
     signed = materialize(signatures(docs), "jaccard-signatures")
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(
@@ -341,13 +342,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         """(lo, f1) checksum pairs -> likely pairs of classes."""
         x = pairs.join(classes.select("f1", F.struct("id", "f1", "n", "band", "bits").alias("p")), "f1")
         y = x.join(classes.select(F.col("f1").alias("lo"), F.struct("id", "f1", "n", "band", "bits").alias("q")), "lo")
-        return y.where((F.col("p.id") != F.col("q.id")) & likely("p", "q")).select(
+        return y.where(likely("p", "q")).select(
             F.col("q.id").alias("a"), F.col("q.f1").alias("af"), F.col("p.id").alias("b"), F.col("p.f1").alias("bf"))
 
     def mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
         """(key, f1, c) of the keys whose classes lie in different components ``c``."""
-        of_class = classes.select("f1", "id").join(found, "id", "left").select(
-            "f1", F.coalesce("component_id", "id").alias("c"))
+        of_class = classes.select("f1").join(found.withColumnRenamed("id", "f1"), "f1", "left").select(
+            "f1", F.coalesce("component_id", "f1").alias("c"))
         return (rows.select("key", "f1").join(of_class, "f1")
                 .selectExpr("key", "f1", "c", f"min(c) {window} AS lo", f"max(c) {window} AS hi")
                 .where("lo < hi").select("key", "f1", "c").distinct())
@@ -377,30 +378,56 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     if not third.isEmpty():
         links, found = join_up(links, third)
 
-    class_of = classes.select("f1", "f2", F.col("n").alias("n_shingles"), "id").join(found, "id", "left").select(
-        "f1", "f2", "n_shingles", F.coalesce("component_id", "id").alias("class_component"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(class_of, ["f1", "f2", "n_shingles"], "left")
+    return signed, classes, links, found
+
+
+def _by_row(signed: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows with ``root``, the number of their component of classes, and its smallest id."""
+    root = found.select(F.col("id").alias("f1"), F.col("component_id").alias("root")).join(classes.select("f1", "id"), "f1")
+    least = root.groupBy("root").agg(F.min("id").alias("least"))
+    class_of = (classes.select("f1", "f2", F.col("n").alias("n_shingles"), "id")
+                .join(root.select("f1", "root").join(least, "root"), "f1", "left")
+                .select("f1", "f2", "n_shingles", F.coalesce("root", "f1").alias("root"),
+                        F.coalesce("least", "id").alias("class_component")))
+    out = signed.drop("band", "keys", "bits").join(class_of, ["f1", "f2", "n_shingles"], "left")
+    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.when(
+        F.col("doc_id").isNotNull(), F.col("class_component"))).otherwise(F.col("doc_id")))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    signed, classes, links, found = _linked_classes(docs)
     # An id on several rows is one document: its rows share the smallest component.
-    return out.select("doc_id", "n_shingles",
-                      F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("class_component")))
-                      .otherwise(F.col("doc_id")).alias("component_id"))
+    several = materialize(classes.groupBy("id").agg(F.min("f1").alias("a"), F.count(F.lit(1)).alias("m"))
+                          .where("m > 1").select("id", "a"), "jaccard-same-id")
+    if not several.isEmpty():
+        found = materialize(components(links.union(
+            classes.join(several, "id").select("a", F.col("f1").alias("b")))), "jaccard-components")
+    return _by_row(signed, classes, found).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, any others) without near-duplicates:
-    of each component the row with the smallest id stays; of several rows of one
-    id the one whose text has the least hash; rows without an id stay."""
-    found = materialize(jaccard_components(docs), "jaccard-kept")
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    concerned = materialize(gone.withColumn("gone", F.lit(True)).union(
-        twice.join(gone, "doc_id", "left_anti").withColumn("gone", F.lit(False))), "jaccard-gone")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text"),
+    of each component the text with the smallest id stays, once; if that id has
+    several texts of the component, the one with the least hash.  A row is judged
+    by its own text: other texts of its id stay or go by themselves.  Rows of one
+    id and text are one; rows without an id stay."""
+    doc_id, th = F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce("text", F.lit("")))
+    signed, classes, _, links = _linked_classes(docs.select(doc_id.alias("doc_id"), "text", th.alias("th")))
+    found = materialize(_by_row(signed, classes, links).where("doc_id IS NOT NULL").select(
+        "doc_id", "th", "component_id", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("th")).alias("root")),
+        "jaccard-kept")
+    gone = found.where("component_id < doc_id").select("doc_id", "th", F.lit(False).alias("stays"))
+    left = found.where("component_id = doc_id")
+    twice = left.groupBy("doc_id", "root").agg(F.min("th").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    concerned = materialize(gone.union(left.join(twice, ["doc_id", "root"]).select(
+        "doc_id", "th", F.col("th") == F.col("first"))).distinct(), "jaccard-gone")
+    rows = docs.select(doc_id.alias("id"), th.alias("th"),
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # Only rows that the fixed-size filter names are shuffled to meet the list.
-    rows = likely_members(rows, F.col("id"), concerned, F.col("doc_id"))
-    named = rows.where("_maybe").join(concerned.withColumnRenamed("doc_id", "id"), "id", "left")
-    clear = rows.where("NOT _maybe").select("row").union(named.where("gone IS NULL").select("row"))
-    single = (named.where("NOT gone").withColumn("nth", F.row_number().over(
-        Window.partitionBy("id").orderBy(F.xxhash64("text")))).where("nth = 1").select("row"))
+    rows = likely_members(rows, F.xxhash64("id", "th"), concerned, F.xxhash64("doc_id", "th"))
+    named = rows.where("_maybe").join(concerned.withColumnRenamed("doc_id", "id"), ["id", "th"], "left")
+    clear = rows.where("NOT _maybe").select("row").union(named.where("stays IS NULL").select("row"))
+    single = named.where("stays").groupBy("id", "th").agg(F.first("row").alias("row")).select("row")
     return clear.union(single).select("row.*")

@@ -199,6 +199,27 @@ def test_keep_one(spark):
     assert sum(r.doc_id is None for r in got.collect()) == sum(i is None for i, _ in rows)
 
 
+def test_keep_one_judges_each_text_of_a_repeated_id(spark):
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 120) for _ in range(4))
+    near = [t + " one more word" for t in (a, c)]
+    rows = [(3, near[0]), (5, a), (5, b), (5, b), (6, c), (6, c), (6, near[1]), (6, d), (7, ""), (7, None), (7, " "),
+            (8, near[0]), (8, d), (None, a), (None, a)]
+    got = [(r.doc_id, r.text or "") for r in jaccard.keep_one(documents(spark, rows)).collect()]
+    of_c = [t for i, t in got if i == 6 and t != d]
+    assert len(of_c) == 1 and of_c[0] in (c, near[1])
+    want = [(3, near[0]), (5, b), (6, of_c[0]), (6, d), (7, ""), (7, " "), (None, a), (None, a)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_rows_of_one_id_are_one_document_of_the_graph(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    rows = [(5, a), (5, b), (9, a + " one more"), (8, b + " one more"), (3, b + " and two more"), (4, c)]
+    got = jaccard.jaccard_components(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 3), (9, 3), (8, 3), (3, 3), (4, 4)}
+
+
 def test_bitmap_bound_never_drops_a_link(spark):
     rng = np.random.default_rng(3)
     pairs = []
