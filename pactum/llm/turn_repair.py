@@ -22,7 +22,7 @@ gives its least cells: spans grow by doubling, 1, 2, 4, ... turns.
 
 Spark.  A narrow row per turn (keys and flags, no text) is sorted by
 (conversation, turn) over all partitions, whatever the length of one
-conversation, and stored once.  Stretches of ``CHUNK`` rows are parsed in tasks;
+conversation, and stored once.  Stretches of ``2 ** chunk_bits`` rows are parsed in tasks;
 the pieces of longer conversations are joined ``FAN`` at a time, so no task
 holds more than a bounded stretch.  The cheapest edits go back to the turns,
 and only then texts are fetched, one of each group of copies.
@@ -204,35 +204,37 @@ def batch_of(rows: list, schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=arrow_schema(schema))
 
 
-def parse_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``at`` -> one piece for each conversation of each chunk."""
-    cells: dict[tuple, Cell] = {}
-    key, rows, done = None, [], []
-    for batch in batches:
-        for at, conv_id, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            now = (conv_id, at >> CHUNK_BITS)
-            if now != key:
-                if rows:
-                    done.append(piece_of(*key, rows, cells))
-                key, rows = now, []
-            rows.append(tuple(row))
-        if len(done) > 1000:
+def chunk_parser(bits: int):
+    """Rows sorted by ``at`` -> one piece for each conversation of each ``2 ** bits`` rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[tuple, Cell] = {}
+        key, rows, done = None, [], []
+        for batch in batches:
+            for at, conv_id, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                now = (conv_id, at >> bits)
+                if now != key:
+                    if rows:
+                        done.append(piece_of(*key, rows, cells))
+                    key, rows = now, []
+                rows.append(tuple(row))
+            if len(done) > 1000:
+                yield batch_of(done, PIECE)
+                done = []
+        if rows:
+            done.append(piece_of(*key, rows, cells))
+        if done:
             yield batch_of(done, PIECE)
-            done = []
-    if rows:
-        done.append(piece_of(*key, rows, cells))
-    if done:
-        yield batch_of(done, PIECE)
+    return run
 
 
 def join_pieces(table: pa.Table) -> pa.Table:
-    """At most ``2 ** FAN_BITS`` neighbouring pieces of one conversation -> one."""
+    """Neighbouring pieces of one conversation -> one."""
     pieces = table.select(PIECE.names).sort_by("chunk").to_pylist()
     whole = with_cell(add_up(pieces), parse([piece_cell(p) for p in pieces]))
     return pa.Table.from_pylist([whole], schema=arrow_schema(PIECE))
 
 
-def one_piece_each(pieces: DataFrame) -> DataFrame:
+def one_piece_each(pieces: DataFrame, fan_bits: int) -> DataFrame:
     """Pieces of the same conversation joined until each has one; only those with several are touched."""
     level = 0
     done = None
@@ -245,8 +247,8 @@ def one_piece_each(pieces: DataFrame) -> DataFrame:
         marked = pieces.join(many, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
         alone = marked.where("open IS NULL").drop("open")
         level += 1
-        last = most <= 1 << FAN_BITS
-        group = F.lit(0).cast("bigint") if last else F.shiftright("chunk", FAN_BITS * level)
+        last = most <= 1 << fan_bits
+        group = F.lit(0).cast("bigint") if last else F.shiftright("chunk", fan_bits * level)
         joined = marked.where("open").drop("open").groupBy("conv_id", group.alias("g")).applyInArrow(join_pieces, PIECE)
         done = alone if done is None else done.unionByName(alone)
         pieces = materialize(joined, "repair-pieces")
@@ -265,7 +267,7 @@ class Repair:
         self.summary, self.turns = summary, turns
 
 
-def repair_conversations(turns: DataFrame) -> Repair:
+def repair_conversations(turns: DataFrame, chunk_bits: int = CHUNK_BITS, fan_bits: int = FAN_BITS) -> Repair:
     """``turns`` (conv_id, turn, role, text) -> ``summary`` and the repaired ``turns``.
 
     ``summary``: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit of every
@@ -291,11 +293,11 @@ def repair_conversations(turns: DataFrame) -> Repair:
                .join(firsts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("said") == F.col("s")), "left")
                .select("at", "conv_id", "turn", "initial", "blank",
                        F.coalesce(F.col("at") > F.col("first_at"), F.lit(False)).alias("repeated"), "cut"))
-    chunk = F.shiftright("at", CHUNK_BITS)
+    chunk = F.shiftright("at", chunk_bits)
     dealt = flagged.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunk) \
         .sortWithinPartitions("at")
-    pieces = materialize(dealt.mapInArrow(parse_chunks, PIECE), "repair-pieces")
-    parsed = one_piece_each(pieces)
+    pieces = materialize(dealt.mapInArrow(chunk_parser(chunk_bits), PIECE), "repair-pieces")
+    parsed = one_piece_each(pieces, fan_bits)
 
     verdict = T.StructType([*[T.StructField(n, T.LongType()) for n in (
         "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
