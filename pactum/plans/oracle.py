@@ -535,6 +535,9 @@ SELECT doc_id AS contract_seq, status, reason, CASE WHEN v = 8 THEN NULL ELSE ti
        CASE WHEN status = 'ok' THEN CAST(len(kept_lines) AS BIGINT) END AS n_paragraphs
 FROM rstat"""
 
+ORACLE["load_envelope_splits"] = ORACLE["load_envelope"]
+ORACLE["load_first"] = ORACLE["load_envelope"] + f" WHERE doc_id < {VAL_SET_SIZE}"
+
 ORACLE["validate_nested"] = f"""WITH {RAW}
 SELECT s.doc_id AS contract_seq, CAST(s.para_idx AS BIGINT) AS para_idx, CAST(s.ans_idx AS BIGINT) AS ans_idx,
        s.clause_type, s.text, CAST(s.start_char AS BIGINT) AS start_char, CAST(s.end_char AS BIGINT) AS end_char,

@@ -420,11 +420,33 @@ def q_load_envelope(spark, sf_dir):
     docs = _text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     path = scratch_path(spark, "envelopes")
     write_envelopes(docs, path)
-    flagged = nj.validate(nj.read_envelope(spark, path))
+    return _envelope_rows(nj.read_envelope(spark, path))
+
+
+def _envelope_rows(raw, max_contracts=None):
+    flagged = nj.validate(raw, max_contracts)
     n_paras = F.when(F.col("paragraphs").isNotNull(), F.size("paragraphs"))
     return flagged.select("contract_seq", "status", "reason", "title", n_paras.cast("bigint").alias("n_paragraphs"))
 
 
+@query("load_envelope_splits")
+def q_load_envelope_splits(spark, sf_dir):
+    """The same files cut into splits of 64 KiB, through the structural index."""
+    docs = _text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    path = scratch_path(spark, "envelopes")
+    write_envelopes(docs, path)
+    return _envelope_rows(nj.read_envelope(spark, path, split_bytes=1 << 16))
+
+
+@query("load_first")
+def q_load_first(spark, sf_dir):
+    """Validation of the first contracts only, in input order over all files."""
+    docs = _text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    path = scratch_path(spark, "envelopes")
+    write_envelopes(docs, path)
+    return _envelope_rows(nj.read_envelope(spark, path), max_contracts=VAL_SET_SIZE)
+
+
 @query("validate_nested")
 def q_validate_nested(spark, sf_dir):
     good, _ = nj.good_and_rejects(_validated(spark, sf_dir))

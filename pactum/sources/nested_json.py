@@ -9,49 +9,27 @@ so each lax rule of the original validation becomes an expression; the
 typed struct is produced once, after validation.
 
 Two physical forms are read:
-* the envelope ``{"version": .., "data": [contract, ..]}`` (one JSON document
-  per file: a file is not splittable, so large inputs come as many files; the
-  rows are repartitioned right after the explode so validation runs in
-  parallel);
+* the envelope ``{"version": .., "data": [contract, ..]}``, one JSON document
+  per file of any size (``pactum.sources.envelope``);
 * JSON Lines, one contract per line with an explicit ``seq`` (splittable; the
   form this library writes).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactum.functions import toolcall as tc
 from pactum.functions.text import py_strip
 from pactum.schemas import PROCESSED_VERSION
+from pactum.sources.envelope import read_envelope  # noqa: F401
 
 BOOL_TRUE = ("1", "on", "t", "true", "y", "yes")
 BOOL_FALSE = ("0", "off", "f", "false", "n", "no")
 INT_TEXT = r"^[+-]?[0-9]+(_[0-9]+)*(\.0+)?$"
 
 
-def read_envelope(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """(contract_seq, c VARIANT) over all files under ``path``.
-
-    ``contract_seq`` counts from 0 in the order (file path, position), so it is
-    unique over any number of files (U1).  The list is read as an array of
-    VARIANTs, one per contract: no size limit holds for a file as a whole.
-    Fails when a file has no ``data`` key, or ``data`` is not a list, or the
-    JSON is broken (FAILFAST)."""
-    raw = (spark.read.schema("version STRING, data ARRAY<VARIANT>").option("multiLine", True)
-           .option("mode", "FAILFAST").json(path))
-    data = F.when(F.col("data").isNull(), F.raise_error(F.lit("invalid format: no list under the 'data' key"))
-                  ).otherwise(F.col("data"))
-    files = raw.select(F.col("_metadata.file_path").alias("file"), data.alias("data"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    base = files.select("file", F.size("data").alias("n")).select(
-        "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = files.select("file", F.posexplode("data").alias("pos", "c")).join(base, "file")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select((F.col("base") + F.col("pos")).cast("bigint").alias("contract_seq"), "c").repartition(n)
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """JSON Lines, one contract per line carrying its ``seq``.  A line without a
     whole-number ``seq`` fails the read: joins on it would lose the contract."""
