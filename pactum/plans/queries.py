@@ -161,8 +161,9 @@ def q_stored_contracts(spark, sf_dir):
 # --- step 4-5: index, search, lookup ----------------------------------------
 
 from pactum.operators import lookup as lookup_ops  # noqa: E402
-from pactum.operators import search as search_ops  # noqa: E402
+from pactum.operators import blocksearch as search_ops  # noqa: E402
 from pactum.operators import textindex as ti  # noqa: E402
+from pactum.operators.blockindex import BlockIndex, build_block_index  # noqa: E402
 
 
 @query("tokens")
@@ -176,35 +177,34 @@ def q_postings(spark, sf_dir):
     return p.select(*C.as_long("contract_id", "col", "pos"), "token")
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, BlockIndex] = {}
 
 
-def _index(spark, sf_dir):
-    """Contracts and their stored index, built once per session and input."""
-    c = C.contracts_flat(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        path = scratch_path(spark, "search-index")
-        ti.write_search_index(c, path)
-        _STORED[key] = path
-    stored = _STORED[key]
-    return c, spark.read.parquet(f"{stored}/postings"), spark.read.parquet(f"{stored}/doc_stats")
+def _stored_version(spark, sf_dir) -> tuple:
+    """Names the state of the documents' files: a changed file makes another index."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir.rstrip('/')}/documents.parquet")
+    marks = files.select(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)").alias("h"))
+    return tuple(marks.agg(F.count("h"), F.sum("h")).first())
 
 
-def _search(spark, sf_dir):
-    c, post, stats = _index(spark, sf_dir)
-    return search_ops.search(C.search_batch(spark), post, stats, c)
+def _index(spark, sf_dir) -> BlockIndex:
+    """The stored search index of the contracts, built once per session and state of the input."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stored_version(spark, sf_dir))
+    if key not in _STORED:
+        path = scratch_path(spark, "search-index")
+        build_block_index(C.contracts_flat(spark, sf_dir), path)
+        _STORED[key] = BlockIndex(spark, path)
+    return _STORED[key]
 
 
 @query("search_topk")
 def q_search_topk(spark, sf_dir):
-    return _search(spark, sf_dir)
+    return search_ops.search(_index(spark, sf_dir), C.search_batch(spark))
 
 
 @query("search_snippet")
 def q_search_snippet(spark, sf_dir):
-    c, post, stats = _index(spark, sf_dir)
-    res = search_ops.search_with_snippets(C.search_batch(spark), post, stats, c)
+    res = search_ops.search_with_snippets(_index(spark, sf_dir), C.search_batch(spark))
     return res.select("query_id", "rank", "contract_id", "snippet_col", "snippet")
 
 
@@ -365,8 +365,7 @@ def q_tool_reply(spark, sf_dir):
     batch = searched.select((F.col("trajectory_id") * 100 + F.col("turn")).alias("query_id"),
                             F.col("search_keywords").alias("keywords"),
                             F.col("search_max_results").alias("max_results"))
-    c, post, stats = _index(spark, sf_dir)
-    hits = search_ops.search_with_snippets(batch, post, stats, c)
+    hits = search_ops.search_with_snippets(_index(spark, sf_dir), batch)
     per_call = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(
         F.struct("rank", "contract_id", "title", "snippet"))).alias("h"))
     listing = F.to_json(F.transform("h", lambda x: F.struct(
@@ -500,6 +499,5 @@ def q_search_replay(spark, sf_dir):
     batch = kept.filter(F.col("search_keywords").isNotNull()).select(
         (F.col("trajectory_id") * 100 + F.col("turn")).alias("query_id"),
         F.col("search_keywords").alias("keywords"), F.col("search_max_results").alias("max_results"))
-    c, post, stats = _index(spark, sf_dir)
-    res = search_ops.search_with_snippets(batch, post, stats, c)
+    res = search_ops.search_with_snippets(_index(spark, sf_dir), batch)
     return res.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", "contract_id", "score", "snippet")
