@@ -1,8 +1,7 @@
-"""Exact, parallel ranks without a single-partition window.
+"""Exact, parallel ranks and selections without a single-partition window.
 
 A global ``row_number()`` with no partition is planned as
-``Exchange SinglePartition``: one task sorts everything.  Two exact
-alternatives are used instead:
+``Exchange SinglePartition``: one task sorts everything.  Instead:
 
 * ``dense_ids`` (W1: ids 1..N in the order of a unique key): range-partition
   on the full key (a hot leading key value is split across partitions because
@@ -10,11 +9,13 @@ alternatives are used instead:
   and position, write the tagged rows once to the shared scratch folder (so
   the sampled range bounds are fixed), then add each partition's base from a
   table of per-partition counts (at most ``num_partitions`` rows, broadcast).
-* ``hash_rank`` (W7/W8/L2/L3: a seeded shuffle): the order key is
-  ``md5(seed || key)``; its first three hex digits give 4,096 buckets of equal
-  expected size; per-bucket counts (at most 4,096 rows per group, broadcast)
-  are turned into running bases and a ``row_number`` inside each bucket adds
-  the rest.
+* ``group_row_number`` (W3, W7, W8, L3): dense ids over (group, order), less the
+  first of the group; ``hash_rank`` is that over a seeded hash of the key, on
+  rows of the group, the hash and the key alone.
+* ``smallest`` (L2, L4, R4: the first n rows of an order): a threshold by repeated
+  narrowing.  Each pass counts the values of an interval in ``BINS`` equal bins
+  and goes on with the bin in which the n-th value lies; only the rows up to
+  the threshold, n and a few, are ever shuffled, ranked or written.
 """
 
 from __future__ import annotations
@@ -24,7 +25,12 @@ from pyspark.sql import functions as F
 
 from pactum.session import scratch_path
 
-HASH_BUCKET_DIGITS = 3  # 16**3 = 4,096 buckets
+#: Bins counted in one pass; that many numbers reach the driver.
+BINS = 4096
+#: Rows above the wanted ones that are ranked rather than counted once more, at least.
+SPARE = 10_000
+#: Hex digits of a hash that make its number.
+HASH_DIGITS = 15
 
 
 def dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id",
@@ -60,36 +66,54 @@ def seeded_hash(key: Column, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def hash_rank(df: DataFrame, key_col: str, seed: int | str, rank_col: str = "rank",
+def hash_number(h: Column) -> Column:
+    """The leading digits of a hex hash as a BIGINT in its order, from 0 to 16 ** HASH_DIGITS - 1."""
+    return F.conv(F.substring(h, 1, HASH_DIGITS), 16, 10).cast("bigint")
+
+
+def hash_rank(keys: DataFrame, key_col: str, seed: int | str, rank_col: str = "rank",
               group_cols: list[str] | None = None, total_col: str | None = None,
               hash_col: Column | None = None) -> DataFrame:
-    """Rank rows 1..n (per group) by ``md5(seed:key)`` then key; key unique per group."""
+    """Group columns, key and its rank 1..n (per group) by ``md5(seed:key)`` then key;
+    key unique per group.  ``total_col``: the number of keys (per group)."""
     group_cols = group_cols or []
     h = hash_col if hash_col is not None else seeded_hash(F.col(key_col), seed)
-    keyed = df.withColumn("_h", h).withColumn(
-        "_bucket", F.conv(F.substring("_h", 1, HASH_BUCKET_DIGITS), 16, 10).cast("int"))
-    # The keyed rows feed both the bucket counts and the final join: write
-    # them once to the shared folder so the input plan runs once (chained
-    # ranks would otherwise copy their whole upstream plan at every level).
-    spark = df.sparkSession
-    path = scratch_path(spark, "hash-rank")
-    keyed.write.mode("error").parquet(path)
-    keyed = spark.read.parquet(path)
-    counts = keyed.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w_prev = (Window.partitionBy(*group_cols).orderBy("_bucket")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    cols = [*group_cols, "_bucket",
-            F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_base")]
-    if total_col:
-        cols.append(F.sum("_n").over(Window.partitionBy(*group_cols)).alias(total_col))
-    bases = counts.select(*cols)
-    # At most 4,096 rows per group: bounded by the bucket count, not the data.
-    inside = Window.partitionBy(*group_cols, "_bucket").orderBy("_h", key_col)
-    return (
-        keyed.join(F.broadcast(bases), [*group_cols, "_bucket"])
-        .withColumn(rank_col, (F.col("_base") + F.row_number().over(inside)).cast("bigint"))
-        .drop("_h", "_bucket", "_base")
-    )
+    narrow = keys.select(*group_cols, key_col, F.unhex(h).alias("_h"))
+    ided = dense_ids(narrow, [*group_cols, "_h", key_col], "_gid").drop("_h")
+    # One row per group; a group's ids follow each other.
+    groups = ided.groupBy(*group_cols).agg(F.min("_gid").alias("_first"), F.count(F.lit(1)).alias("_total"))
+    ranked = ided.join(groups, group_cols) if group_cols else ided.crossJoin(F.broadcast(groups))  # of one row
+    ranked = ranked.withColumn(rank_col, (F.col("_gid") - F.col("_first") + 1).cast("bigint"))
+    return ranked.select(*group_cols, key_col, rank_col, *([F.col("_total").alias(total_col)] if total_col else []))
+
+
+def smallest(df: DataFrame, value: Column, n: int, low: int | None = None, high: int | None = None,
+             spare: int = SPARE) -> DataFrame:
+    """The rows of ``df`` up to a threshold of ``value`` (a BIGINT) that holds at least the ``n``
+    smallest, and not many more: less than ``max(n, spare)``, unless that many share one value.
+    ``low`` and ``high`` bound the values, if known.  Rows without a value are none of them."""
+    values = df.select(value.alias("v")).where("v IS NOT NULL")
+    if n <= 0:
+        return df.where(F.lit(False))
+    if low is None or high is None:
+        low, high = values.agg(F.min("v"), F.max("v")).first()
+        if low is None:
+            return df.where(F.lit(False))
+    need = n
+    while True:
+        width = (high - low) // BINS + 1
+        place = F.expr(f"(cast(v AS decimal(38, 0)) - ({low}BD)) div {width}BD")  # any two BIGINTs have a difference
+        counts = dict(values.where(F.col("v").between(low, high)).groupBy(place.alias("b")).count().collect())  # BINS at most
+        found = 0
+        for b in sorted(counts):
+            if found + counts[b] >= need:
+                break
+            found += counts[b]
+        else:
+            return df.where(value <= high)  # there are no more than n
+        low, high, need = low + b * width, min(high, low + (b + 1) * width - 1), need - found
+        if width == 1 or counts[b] <= max(n, spare):
+            return df.where(value <= high)
 
 
 def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str],

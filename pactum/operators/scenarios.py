@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.operators.ids import hash_rank, seeded_hash
+from pactum.operators.ids import HASH_DIGITS, dense_ids, hash_number, hash_rank, seeded_hash, smallest
 from pactum.schemas import (EVAL_STEPS, GROUPS_PER_STEP, NUM_EPOCHS, SCENARIO_COLUMNS,
                             SPLIT_SEED, TRAIN_RATIO, TRAJECTORIES_PER_GROUP)
 
@@ -69,19 +69,25 @@ def sample_scenarios(split: DataFrame, which: str = "train", limit: int | None =
     """S11 + L2 + L4 + R4: one split (partition-pruned when read from a
     ``split=`` layout), optionally in seeded shuffled order, then the first
     ``limit`` rows.  ``sample_rank`` is the position; without shuffle the order
-    is ``scenario_id``.  The rank is computed bucket-parallel, so any limit
-    size is a filter, not a driver-side merge."""
+    is ``scenario_id``.  With a limit only the rows up to an exact threshold are ranked
+    and moved; without one, ranks are made on keys alone and joined back."""
     if limit is not None and limit < 0:
         raise ValueError("limit must be >= 0")
     rows = split.filter(F.col("split") == which)
+    key = F.col("scenario_id").cast("bigint")
+    if limit is None:
+        if shuffle:
+            ranks = hash_rank(rows.select("scenario_id"), "scenario_id", seed, rank_col="sample_rank")
+        else:
+            ranks = dense_ids(rows.select("scenario_id"), ["scenario_id"], "sample_rank")
+        return rows.join(ranks, "scenario_id")
     if shuffle:
-        ranked = hash_rank(rows, "scenario_id", seed, rank_col="sample_rank")
+        h = seeded_hash(F.col("scenario_id"), seed)
+        chosen = smallest(rows, hash_number(h), limit, 0, 16 ** HASH_DIGITS - 1).withColumn("_h", F.unhex(h))
+        ranked = dense_ids(chosen, ["_h", "scenario_id"], "sample_rank").drop("_h")
     else:
-        from pactum.operators.ids import dense_ids
-        ranked = dense_ids(rows, ["scenario_id"], "sample_rank")
-    if limit is not None:
-        ranked = ranked.filter(F.col("sample_rank") <= limit)
-    return ranked
+        ranked = dense_ids(smallest(rows, key, limit), ["scenario_id"], "sample_rank")
+    return ranked.filter(F.col("sample_rank") <= limit)
 
 
 def training_schedule(sample: DataFrame, num_epochs: int = NUM_EPOCHS,
