@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.llm.common import materialize, row_blocks
-from pactum.llm.subwords import Encoder
+from pactum.llm.subwords import encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     length, ids (little-endian unsigned 32-bit), ids_crc32, and the piece's task and number in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        words = encoder(path)
         end = np.array([end_id], "<u4")
         seen = np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
@@ -143,7 +143,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
             for part in row_blocks(batch):
                 out: list[list] = [[] for _ in range(7)]
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = np.concatenate([encoder.array(text or "").astype("<u4"), end])
+                    ids = np.concatenate([words.array(text or "").astype("<u4"), end])
                     for k, a in enumerate(range(0, len(ids), capacity)):
                         own = ids[a: a + capacity]
                         raw = own.tobytes()

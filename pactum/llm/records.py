@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactum.llm.common import materialize
-from pactum.llm.subwords import Encoder
+from pactum.llm.subwords import encoder
 from pactum.session import scratch_path
 
 END_ID = 1
@@ -116,15 +116,15 @@ def write_records(docs: DataFrame, path: str | None = None, tokenizer: str | Non
         shard = TaskContext.get().partitionId()
         name = f"part-{shard:06d}-{uuid.uuid4().hex}"
         store, folder = file_system(root)
-        encoder, at, tokens, starts = None, 0, 0, [0]
+        words, at, tokens, starts = None, 0, 0, [0]
         out, held, size = None, [], 0
         for batch in batches:
-            if encoder is None:
-                encoder = Encoder(tokenizer)
-                end = np.array([end_id], encoder.kind)
+            if words is None:
+                words = encoder(tokenizer)
+                end = np.array([end_id], words.kind)
                 out = store.open_output_stream(f"{folder}/{name}.rec")
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.concatenate([encoder.array(text.as_py() or ""), end])
+                ids = np.concatenate([words.array(text.as_py() or ""), end])
                 record = frame(serialize(doc_id, ids))
                 held.append(record)
                 size += len(record)
@@ -134,7 +134,7 @@ def write_records(docs: DataFrame, path: str | None = None, tokenizer: str | Non
                 if size >= CHUNK_BYTES:
                     out.write(b"".join(held))
                     held, size = [], 0
-        if encoder is not None:
+        if words is not None:
             out.write(b"".join(held))
             out.close()
             with store.open_output_stream(f"{folder}/{name}.idx") as index:

@@ -4,7 +4,7 @@ The library's encoding of a text is the concatenation of the encodings of its
 white-space-separated words when the tokenizer normalises and splits without
 looking across white space.  ``word_bpe_49k.json`` does; a tokenizer that is
 not known to is called on whole texts instead.  Ids of words are remembered in
-a bounded table per task.
+a bounded table per Python worker.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import json
 import re
 import sys
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
-#: Words remembered per task, in each of two generations.
-MEMORY = 300_000
+#: Words remembered per Python worker, in each of two generations.
+MEMORY = 600_000
 #: Characters that Python's ``str.split`` takes for white space and the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Letters of which lower-casing and composition act on each one alone, then plain punctuation.
@@ -102,3 +103,9 @@ class Encoder(dict):
 
     def array(self, text: str) -> np.ndarray:
         return np.frombuffer(self(text), self.kind)
+
+
+@lru_cache(1)
+def encoder(path: str | None = None) -> Encoder:
+    """The worker's encoder: the tasks that one Python worker runs share its words."""
+    return Encoder(path)
