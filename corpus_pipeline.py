@@ -33,9 +33,11 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; a document that consists of nothing else goes."""
-    cut = suffix_dedup.suffix_dedup(docs, carry=True).where("n_removed = 0 OR n_removed < n_bytes")
-    return with_text(cut, docs.columns, F.when(F.col("n_removed") > 0, F.col("kept_text"))
-                     .otherwise(F.col("row").getField("text")))
+    cut = suffix_dedup.cut_documents(docs)
+    length = F.when(F.col(cut.columns[-1]) > 0, F.length("text")).otherwise(F.col("n_chars"))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

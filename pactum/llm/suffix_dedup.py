@@ -37,13 +37,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pactum.llm.common import BLOCK_BYTES, likely_members, materialize, mix64, row_blocks, text_offsets
+from pactum.llm.common import likely_members, materialize, mix64, row_blocks, text_offsets
 from pactum.llm.cover_sort import repeats
 from pactum.llm.shingles import _BACK, _STEP, _powers, _tables
 
 LENGTH = 100
 GRAM = 32
+#: Bytes of text hashed at once; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 19
 #: Bytes of contexts sorted at once, about.
 SORT_BYTES = 2 << 20
 #: Different contexts of one anchor that one task may sort.
@@ -55,7 +58,7 @@ _BYTE = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint6
 def gram_hashes(buf: np.ndarray) -> np.ndarray:
     """Hash of the 32 bytes from each position on."""
     n = len(buf)
-    power, back = _tables(BLOCK_BYTES * 2) if n <= BLOCK_BYTES * 2 else (_powers(_STEP, n), _powers(_BACK, n))
+    power, back = _tables(BLOCK_BYTES) if n <= BLOCK_BYTES else (_powers(_STEP, n), _powers(_BACK, n))
     total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[buf] * power[:n])])
     return mix64((total[GRAM:] - total[:-GRAM]) * back[: n - GRAM + 1])
 
@@ -234,14 +237,10 @@ def kept_bytes(text: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(text)]))
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256, spans (array of start and end byte), kept_text; with ``carry``
-    also the struct ``row`` of the original columns."""
-    all_columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"),
-                               *([all_columns.alias("row")] if carry else [])))
-    runs = repeated_runs(keyed.select("doc_id", "text", "id", "th"), length)
+def _with_runs(keyed: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``keyed`` (id, th, text and others) that have no repeated string for sure, and
+    the others with their runs and whether they are copies of an earlier text."""
+    runs = repeated_runs(keyed.select("text", "id", "th"), length)
     spans = materialize(runs.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "suffix-spans")
     firsts = keyed.groupBy("th").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"),
                                      F.max("id").alias("last")).where("first < last").select("th", "first")
@@ -251,9 +250,26 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False) ->
     marked = likely_members(keyed, F.col("th"), some, F.col("th"))
     joined = (marked.where("_maybe").drop("_maybe").join(spans, ["id", "th"], "left").join(firsts, "th", "left")
               .withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False))))
-    alone = marked.where("NOT _maybe").select(
-        "doc_id", "text", *(["row"] if carry else []), F.lit(None).cast(spans.schema["runs"].dataType).alias("runs"),
-        F.lit(False).alias("copy"))
+    return marked.where("NOT _maybe").drop("_maybe"), joined
+
+
+def _cut(text: bytes, copy: bool, found: pa.Scalar, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spans to remove from one text."""
+    if copy and len(text) >= length:
+        return np.zeros(1, np.int64), np.array([len(text)])
+    if found.is_valid and len(found):
+        v = found.values
+        return merge(v.field("lo").to_numpy(), v.field("hi").to_numpy(), length)
+    return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans,
+    kept_sha256, spans (array of start and end byte), kept_text."""
+    keyed = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")))
+    alone, joined = _with_runs(keyed, length)
+    alone = alone.select("doc_id", "text", F.lit(None).cast(joined.schema["runs"].dataType).alias("runs"),
+                         F.lit(False).alias("copy"))
     both = alone.unionByName(joined.select(*alone.columns))
     schema = ("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
               "spans array<struct<start: bigint, end: bigint>>, kept_text string")
@@ -267,13 +283,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False) ->
                 copies = part.column("copy").to_pylist()
                 for i, found in enumerate(part.column("runs")):
                     text = buf[offsets[i]: offsets[i + 1]].tobytes()
-                    if copies[i] and len(text) >= length:
-                        start, end = np.zeros(1, np.int64), np.array([len(text)])
-                    elif found.is_valid and len(found):
-                        v = found.values
-                        start, end = merge(v.field("lo").to_numpy(), v.field("hi").to_numpy(), length)
-                    else:
-                        start = end = np.zeros(0, np.int64)
+                    start, end = _cut(text, copies[i], found, length)
                     kept = kept_bytes(text, start, end)
                     rows.append((len(text), len(text) - len(kept), len(start), hashlib.sha256(kept).hexdigest(),
                                  [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())],
@@ -281,14 +291,38 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False) ->
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span_type, pa.string()]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
                 names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
-                if carry:
-                    cols.append(part.column("row"))
-                    names.append("row")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=["doc_id", *names])
 
-    if carry:
-        from pyspark.sql import types as T
-
-        out = T.StructType([*T.StructType.fromDDL(schema).fields, both.schema["row"]])
-        return both.mapInArrow(cut, out)
     return both.mapInArrow(cut, schema)
+
+
+def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of ``docs`` with their texts cut, and a last column of removed bytes; a text that is nothing
+    but repeats goes with its row.  Rows without repeats stay as they are and never leave the JVM; of the
+    others, the text travels once and the rest of the row beside it."""
+    others = [c for c in docs.columns if c != "text"]
+    keyed = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"),
+                               F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row")))
+    alone, joined = _with_runs(keyed, length)
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), keyed.schema["row"]])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_blocks(batch):
+                texts, removed, stays = [], [], []
+                copies = part.column("copy").to_pylist()
+                for text, copy, found in zip(part.column("text"), copies, part.column("runs")):
+                    old = (text.as_py() or "").encode()
+                    start, end = _cut(old, copy, found, length)
+                    kept = kept_bytes(old, start, end) if len(start) else old
+                    removed.append(len(old) - len(kept))
+                    texts.append(kept.decode("utf-8", "ignore") if len(start) else text.as_py())
+                    stays.append(removed[-1] == 0 or len(kept) > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(texts, pa.string()), pa.array(removed, pa.int64()), part.column("row")],
+                    names=["text", "n_removed", "row"]).filter(pa.array(stays))
+
+    rows = joined.select("text", "runs", "copy", "row").mapInArrow(cut, schema).unionByName(
+        alone.select("text", F.lit(0).cast("bigint").alias("n_removed"), "row"))
+    return rows.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
+                       F.col("n_removed").alias("removed" + "_" * max(map(len, docs.columns))))  # no column's name
