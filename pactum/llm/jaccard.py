@@ -39,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.common import BLOCK_BYTES, likely_members, materialize, row_blocks, text_offsets
+from pactum.llm.common import likely_members, materialize, row_blocks, text_offsets
 from pactum.llm.graph import components
-from pactum.llm.shingles import fingerprint, shingle_sets
+from pactum.llm.shingles import BLOCK_BYTES, fingerprint, shingle_sets
 
 #: A shingle is counted as frequent in a chunk of hashes from this many sets on.
 FREQUENT = 4

@@ -10,8 +10,10 @@ from functools import lru_cache
 
 import numpy as np
 
-from pactum.llm.common import BLOCK_BYTES, mix64
+from pactum.llm.common import mix64
 
+#: Bytes of text hashed at once; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 20
 WIDTH = 5
 _rng = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte, equal for A-Z and a-z.
@@ -40,7 +42,7 @@ def word_hashes(offsets: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    power, back = _tables(BLOCK_BYTES * 2) if n <= BLOCK_BYTES * 2 else (_powers(_STEP, n), _powers(_BACK, n))
+    power, back = _tables(BLOCK_BYTES) if n <= BLOCK_BYTES else (_powers(_STEP, n), _powers(_BACK, n))
     word = _IN_WORD[buf]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], before[1:] = False, word[:-1]

@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words remembered per Python worker, in each of two generations.
-MEMORY = 600_000
+MEMORY = 400_000
 #: Characters that Python's ``str.split`` takes for white space and the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Letters of which lower-casing and composition act on each one alone, then plain punctuation.
