@@ -279,7 +279,7 @@ ev AS (
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
   FROM events),
 act AS (
-  SELECT *, CAST(user_id AS BIGINT) * 4294967296 + (rn - 1) // 12 AS trajectory_id, CAST((rn - 1) % 12 + 1 AS BIGINT) AS turn,
+  SELECT *, CAST(user_id AS VARCHAR) || ':' || CAST((rn - 1) // 12 AS VARCHAR) AS trajectory_id, CAST((rn - 1) % 12 + 1 AS BIGINT) AS turn,
          user_id % 10 <> 9 AS use_tools, CAST(1 + (user_id * 7) % (SELECT count(*) FROM documents) AS BIGINT) AS target,
          CASE event_type
            WHEN 'error' THEN CASE WHEN value >= 60 THEN 'fail' ELSE 'search' END
@@ -624,10 +624,10 @@ KEYWORD_SET = f"""CASE k % 10 {' '.join(f"WHEN {i} THEN [{', '.join(repr(w) for
 
 # Each distinct keyword list is ranked once (query_id = its number), then fanned out to the calls.
 ORACLE["search_replay"] = f"""WITH {CTOKS}, {RUN_ACT},
-calls AS (SELECT trajectory_id * 100 + turn AS call_id, k % 10 AS list FROM kept WHERE action = 'search'),
+calls AS (SELECT trajectory_id || ':' || CAST(turn AS VARCHAR) AS call_id, k % 10 AS list FROM kept WHERE action = 'search'),
 q AS (SELECT DISTINCT k % 10 AS query_id, {KEYWORD_SET} AS keywords, 10 AS max_results FROM kept WHERE action = 'search'),""" + SEARCH_CORE + f""",
 {SNIPPET_CHAIN}
-SELECT CAST(c.call_id AS BIGINT) AS query_id, CAST(h.rank AS BIGINT) AS rank, h.contract_id,
+SELECT c.call_id AS query_id, CAST(h.rank AS BIGINT) AS rank, h.contract_id,
        r.score, {SNIPPET_TEXT} AS snippet
 FROM hits h JOIN ranked r USING (query_id, contract_id) JOIN bz b USING (query_id, contract_id)
      JOIN body y USING (query_id, contract_id) JOIN calls c ON c.list = h.query_id"""

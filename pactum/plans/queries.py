@@ -362,7 +362,7 @@ def q_tool_reply(spark, sf_dir):
     # Search replies: the executed tool-mode searches run as one batch; the
     # reply lists the hits (at most 10 per call) in rank order.
     searched = kept.filter(F.col("outcome") == "searched")
-    batch = searched.select((F.col("trajectory_id") * 100 + F.col("turn")).alias("query_id"),
+    batch = searched.select(F.concat_ws(":", "trajectory_id", F.col("turn").cast("string")).alias("query_id"),
                             F.col("search_keywords").alias("keywords"),
                             F.col("search_max_results").alias("max_results"))
     hits = search_ops.search_with_snippets(_index(spark, sf_dir), batch)
@@ -371,7 +371,7 @@ def q_tool_reply(spark, sf_dir):
     listing = F.to_json(F.transform("h", lambda x: F.struct(
         x["contract_id"].alias("contract_id"), x["title"].alias("title"), x["snippet"].alias("snippet"))))
     replies_ = searched.select("trajectory_id", "turn", "tool_call_id",
-                               (F.col("trajectory_id") * 100 + F.col("turn")).alias("query_id")) \
+                               F.concat_ws(":", "trajectory_id", F.col("turn").cast("string")).alias("query_id")) \
         .join(per_call.select("query_id", listing.alias("payload")), "query_id", "left") \
         .withColumn("payload", F.coalesce("payload", F.lit("[]")))
     smsg = pr.tool_reply(F.col("payload"), F.col("tool_call_id"))
@@ -497,7 +497,7 @@ def q_search_replay(spark, sf_dir):
     turns, scen, ids, replies = C.run_inputs(spark, sf_dir)
     kept = run_ops.kept_turns(run_ops.classified_turns(turns, scen, ids, replies))
     batch = kept.filter(F.col("search_keywords").isNotNull()).select(
-        (F.col("trajectory_id") * 100 + F.col("turn")).alias("query_id"),
+        F.concat_ws(":", "trajectory_id", F.col("turn").cast("string")).alias("query_id"),
         F.col("search_keywords").alias("keywords"), F.col("search_max_results").alias("max_results"))
     res = search_ops.search_with_snippets(_index(spark, sf_dir), batch)
-    return res.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", "contract_id", "score", "snippet")
+    return res.select("query_id", "rank", "contract_id", "score", "snippet")

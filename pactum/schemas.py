@@ -103,7 +103,7 @@ TOOL_CALL = T.StructType([
 
 # Logged agent turns: one row per model reply.
 TURNS = T.StructType([
-    T.StructField("trajectory_id", T.LongType(), False),
+    T.StructField("trajectory_id", T.StringType(), False),
     T.StructField("scenario_id", T.LongType()),
     T.StructField("turn", T.IntegerType()),
     T.StructField("use_tools", T.BooleanType()),

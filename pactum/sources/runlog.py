@@ -1,7 +1,7 @@
 """Driver ``events`` -> logged agent runs (adapter, see FIXTURES.md section 2).
 
 Turns: events of one user ordered by ``(ts, event_id)``; every 12 events
-form one run (``trajectory_id = user_id * 2**32 + (rn - 1) div 12``,
+form one run (``trajectory_id`` is the text ``user_id:(rn - 1) div 12``,
 ``turn = (rn - 1) % 12 + 1``); ``scenario_id = user_id``; the target
 contract is ``1 + (user_id * 7) % N`` of N contracts; runs of users with
 ``user_id % 10 = 9`` use JSON mode, the others tool calls.  ``k`` is
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pactum.operators.ids import group_row_number
 
 TURNS_PER_RUN = 12
-RUNS_PER_USER = 1 << 32  # run numbers of one user stay below this
 DONT_KNOW_SENTENCE = "I could not find the clause."
 # Keywords of the logged search calls, chosen by k % 10 (words of the corpus).
 SEARCH_KEYWORDS = [
@@ -44,7 +43,8 @@ def _k() -> Column:
 
 
 def target_of(user: Column, n_contracts: int) -> Column:
-    return (F.pmod(user.cast("bigint") * 7, F.lit(max(n_contracts, 1))) + 1).cast("bigint")
+    n = F.lit(max(n_contracts, 1))
+    return (F.pmod(F.pmod(user.cast("bigint"), n) * 7, n) + 1).cast("bigint")
 
 
 def event_actions(events: DataFrame, n_contracts: int) -> DataFrame:
@@ -61,7 +61,7 @@ def event_actions(events: DataFrame, n_contracts: int) -> DataFrame:
               .when(t == "view", F.when(k < 3, "unknown").when(k < 6, "broken").otherwise("search")))
     return ev.select(
         "event_id", "ts", "user_id", "k", "value", "rn",
-        (u.cast("bigint") * RUNS_PER_USER + F.floor((F.col("rn") - 1) / TURNS_PER_RUN)).cast("bigint").alias("trajectory_id"),
+        F.concat_ws(":", u.cast("string"), F.floor((F.col("rn") - 1) / TURNS_PER_RUN).cast("string")).alias("trajectory_id"),
         (F.pmod(F.col("rn") - 1, F.lit(TURNS_PER_RUN)) + 1).cast("int").alias("turn"),
         use_tools.alias("use_tools"), action.alias("action"),
         target_of(u, n_contracts).alias("target"))

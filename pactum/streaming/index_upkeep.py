@@ -11,10 +11,15 @@ read, moved or rewritten.  Readers keep, per contract, the rows of its newest
 version (largest version, then run and batch) by one aggregate over three
 narrow columns and a left semi join; a delete is a version without postings.
 
-A folder is named by the run (the streaming checkpoint) and the batch number
-in it, and written in overwrite mode: a replayed batch replaces itself, and a
-new feed with a new checkpoint never meets the folders of an old one.  Postings
-are written before the changes that make them visible.
+A folder is named by the run (the streaming checkpoint, numbered in the order in
+which runs first came to this index) and the batch number in it, and written in
+overwrite mode: a replayed batch replaces itself, and a new feed with a new
+checkpoint never meets the folders of an old one.  Postings are written before the
+changes that make them visible.
+
+Changes have a total order: version, then run, batch, and within a batch the file
+(time, path) and the row in it.  Of equal versions the later one is the newest.  A
+change without a version or contract is refused: it goes to the ``rejects`` folder.
 
 After any sequence of batches the index equals a full rebuild of the final
 contract state.  ``compact`` writes that state as the build of a new root.
@@ -36,7 +41,9 @@ SCHEMAS = {
     "postings": "contract_id BIGINT, version BIGINT, doc_len BIGINT, col INT, pos INT, token STRING",
     "doc_stats": "contract_id BIGINT, version BIGINT, doc_len BIGINT",
 }
-BUILD = "build"
+BUILD = "000000-build"
+#: Columns that place a change in its feed, if the feed gives them.
+PLACE = ["_time", "_file", "_row"]
 
 
 class IndexStore:
@@ -95,8 +102,12 @@ class IndexStore:
     def apply_changes(self, changes: DataFrame, batch_id: int, run: str) -> None:
         """One micro-batch: its newest change per contract, appended.  Running it
         again with the same ``run`` and ``batch_id`` replaces what it wrote."""
-        newest = changes.groupBy("contract_id").agg(
-            F.max_by(F.struct("version", "op", "title", "full_text"), "version").alias("r"))
+        refused = F.col("version").isNull() | F.col("contract_id").isNull()
+        (changes.where(refused).select(*self.spark.createDataFrame([], CHANGE_SCHEMA).columns)
+         .write.mode("overwrite").parquet(f"{self.root}/rejects/run={run}/batch={batch_id}"))
+        order = F.struct("version", *[c for c in PLACE if c in changes.columns])
+        newest = changes.where(~refused).groupBy("contract_id").agg(
+            F.max_by(F.struct("version", "op", "title", "full_text"), order).alias("r"))
         self._append(newest.select("contract_id", "r.*"), run, batch_id)
 
     def compact(self, root: str) -> "IndexStore":
@@ -108,19 +119,33 @@ class IndexStore:
         return new
 
 
-def run_name(checkpoint: str) -> str:
-    """The run that a checkpoint location stands for."""
-    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
+def run_name(store: IndexStore, checkpoint: str) -> str:
+    """The run that a checkpoint location stands for: its number, counted in the order in which
+    runs first wrote to this index, and its hash.  A checkpoint that was seen keeps its number."""
+    mark = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
+    path = store.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store.root}/runs")
+    fs = path.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    seen = sorted(f.getPath().getName() for f in fs.listStatus(path))  # one entry per feed
+    for name in seen:
+        if name.endswith(mark):
+            return name
+    name = f"{int(seen[-1].split('-')[0]) + 1 if seen else 1:06d}-{mark}"
+    fs.mkdirs(store.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store.root}/runs/{name}"))
+    return name
 
 
 def run_upkeep(spark: SparkSession, store: IndexStore, feed_dir: str, checkpoint: str,
                max_files_per_trigger: int | None = None) -> None:
     """Process every change file present in ``feed_dir`` (``availableNow``)
     and stop; the checkpoint makes a restart resume where it stopped."""
-    run = run_name(checkpoint)
+    run = run_name(store, checkpoint)
     reader = spark.readStream.schema(CHANGE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    q = (reader.parquet(feed_dir).writeStream.foreachBatch(lambda df, batch: store.apply_changes(df, batch, run))
+    changes = reader.parquet(feed_dir).select(
+        "*", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.row_index").alias("_row"))
+    q = (changes.writeStream.foreachBatch(lambda df, batch: store.apply_changes(df, batch, run))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

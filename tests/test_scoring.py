@@ -128,3 +128,15 @@ def test_classification(classify):
     assert r[12]["stop_reason"] == "bad_arguments"  # falsy keywords pass, then a string max_results fails
     for t in (1, 2, 3, 7, 9):
         assert r[t]["status"] == "valid"
+
+
+def test_runs_of_any_user_id(spark):
+    """Run ids and targets don't overflow, and runs of different users stay apart."""
+    from pactum.sources import runlog
+
+    users = [21_474_837, 30_000_000, 2 ** 31, 2 ** 62, 2 ** 63 - 1]
+    rows = [(i, i, u, "view", 1.0, '{"k": 9}') for i, u in enumerate(users * 13)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts bigint, user_id bigint, event_type string, value double, props string")
+    got = runlog.event_actions(events, 1000).collect()
+    assert {r.trajectory_id for r in got} == {f"{u}:{k}" for u in users for k in (0, 1)}
+    assert {r.user_id: r.target for r in got} == {u: u * 7 % 1000 + 1 for u in users}

@@ -111,3 +111,26 @@ def test_search_on_stored_index_pushes_token_filter(spark, tmp_path):
     assert [r["contract_id"] for r in res.collect()] == [7]
     plan = res._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(token), EqualTo(token,w7)]" in plan or "In(token" in plan
+
+
+
+
+def test_equal_late_and_missing_versions(spark, tmp_path):
+    """Of equal versions the later feed, file and row win, whatever the feeds are called; a change
+    without a version is refused."""
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.build(spark.createDataFrame([(1, "t", "old"), (2, "t", "old")], "contract_id BIGINT, title STRING, full_text STRING"))
+
+    def feed(name, rows):
+        spark.createDataFrame(rows, CHANGES).coalesce(1).write.parquet(str(tmp_path / name))
+        run_upkeep(spark, store, str(tmp_path / name), str(tmp_path / f"{name}-ckpt"))
+
+    feed("zz", [(1, 5, "upsert", "t", "first"), (3, 1, "upsert", "t", "one"), (3, 1, "upsert", "t", "two"), (2, 0, "upsert", "t", "same")])
+    feed("aa", [(1, 5, "upsert", "t", "second"), (2, None, "upsert", "t", "lost"), (None, 1, "upsert", "t", "nobody")])
+    feed("mm", [(1, 4, "upsert", "t", "late")])
+    got = {r.contract_id: r.full_text for r in store.read("contracts").collect()}
+    assert got == {1: "second", 2: "same", 3: "two"}
+    refused = spark.read.schema(CHANGES).parquet(f"{store.root}/rejects")
+    assert sorted((r.contract_id or 0, r.full_text) for r in refused.collect()) == [(0, "nobody"), (2, "lost")]
+    run_upkeep(spark, store, str(tmp_path / "aa"), str(tmp_path / "aa-ckpt"))  # nothing new: the same run, no change
+    assert {r.contract_id: r.full_text for r in store.read("contracts").collect()} == got
