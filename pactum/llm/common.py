@@ -33,7 +33,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the lineage, and a lost executor costs only the tasks that read it."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these frames: only when everything
+    that reads them has been written itself."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_row(df: DataFrame, inputs: dict[str, Column], carry: bool) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.common import likely_members, materialize, row_blocks, text_offsets
+from pactum.llm.common import likely_members, materialize, release, row_blocks, text_offsets
 from pactum.llm.graph import components
 from pactum.llm.shingles import BLOCK_BYTES, fingerprint, shingle_sets
 
@@ -206,7 +206,7 @@ def tile_survivors(rows: dict, chunk: tuple[int, int]) -> tuple[np.ndarray, np.n
 
 
 def tile_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, f1, c) -> likely pairs (a, af, b, bf) that share a key across components.
+    """(key, f1, c) -> likely pairs (a, af, b, bf) that share a key across components, written.
 
     Lists with the same least class come together, so that a pair which shares
     many keys is met a few times only.  A tile is such a group and three bands
@@ -215,9 +215,9 @@ def tile_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
     chunks, and each pair of chunks is a task's group of its own."""
     grouped = (lists.withColumn("lo", F.min("f1").over(Window.partitionBy("key")))
                .groupBy("lo", "f1", "c").agg(F.collect_list("key").alias("keys")))
-    rows = materialize(grouped.join(classes.select("f1", "id", "n", "band"), "f1"), "jaccard-tiles")
+    tiled = materialize(grouped.join(classes.select("f1", "id", "n", "band"), "f1"), "jaccard-tiles")
     half = F.floor(F.col("band") / 2).cast("int")
-    rows = rows.withColumn("tile", F.explode(
+    rows = tiled.withColumn("tile", F.explode(
         F.when(F.col("band") % 2 == 0, F.array(half, half - 1)).otherwise(F.array(half))))
     size = rows.groupBy("lo", "tile").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     rows = (rows.join(size, ["lo", "tile"]).withColumn("of", F.ceil(F.col("m") / TILE_ROWS).cast("int"))
@@ -260,8 +260,11 @@ def tile_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
     found = rows.mapInArrow(run, "a bigint, af bigint, b bigint, bf bigint")
     # The same pair from two groups may come in either order.
     swap = F.col("af") > F.col("bf")
-    return found.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.least("af", "bf").alias("af"),
-                        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("af", "bf").alias("bf")).distinct()
+    found = found.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.least("af", "bf").alias("af"),
+                         F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("af", "bf").alias("bf"))
+    pairs = materialize(found.distinct(), "jaccard-pairs")
+    release(tiled)
+    return pairs
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -294,7 +297,7 @@ def one_key_per_list(keys: DataFrame) -> DataFrame:
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, af, b, bf: class document and checksum) that link, as checksums (a, b)."""
+    """The pairs (a, af, b, bf: class document and checksum) that link, as checksums (a, b), written."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     texts = likely_members(docs.where("doc_id IS NOT NULL"), F.col("doc_id"), ends, F.col("id")).where("_maybe")
 
@@ -320,11 +323,13 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     left = own.select(F.col("id").alias("a"), F.col("f").alias("af"), F.col("own").alias("xa"))
     right = own.select(F.col("id").alias("b"), F.col("f").alias("bf"), F.col("own").alias("xb"))
     both = pairs.join(right, ["b", "bf"]).join(left, ["a", "af"]).select("af", "bf", "xa", "xb")
-    return both.mapInArrow(exact, "a bigint, b bigint")
+    links = materialize(both.mapInArrow(exact, "a bigint, b bigint"), "jaccard-links")
+    release(own)
+    return links
 
 
 def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Signatures of the rows, the classes, links (a, b) between classes, told by
+    """Checksums of the rows' sets, the classes, links (a, b) between classes, told by
     f1, that connect all linked ones, and the components (id, component_id) of them."""
     signed = materialize(signatures(docs), "jaccard-signatures")
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -337,6 +342,8 @@ def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
         linked.select("f1", F.explode("keys").alias("key"))
         .selectExpr("key", "f1", f"min(f1) {window} AS lo", f"max(f1) {window} AS hi").where("lo < hi")
         .select("key", "f1", "lo").distinct(), "jaccard-keys")
+    rows = materialize(signed.drop("band", "keys", "bits"), "jaccard-rows")
+    release(signed)
 
     def sides(pairs: DataFrame) -> DataFrame:
         """(lo, f1) checksum pairs -> likely pairs of classes."""
@@ -354,7 +361,8 @@ def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
                 .where("lo < hi").select("key", "f1", "c").distinct())
 
     def join_up(links: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        more = materialize(verify(docs, pairs), "jaccard-links")
+        more = verify(docs, pairs)
+        release(pairs)
         links = more if links is None else links.union(more)
         return links, materialize(components(links), "jaccard-components")
 
@@ -363,22 +371,31 @@ def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
     links, found = join_up(None, first)
     # Then another centre for every key: a class meets about as many members of a
     # group as it has keys, so few groups are left in pieces.
-    lists = materialize(one_key_per_list(materialize(mixed(keys, found), "jaccard-mixed")), "jaccard-lists")
+    several = materialize(mixed(keys, found), "jaccard-mixed")
+    release(keys)
+    lists = materialize(one_key_per_list(several), "jaccard-lists")
+    release(several)
     for turn in range(STAR_TURNS):
         centre = F.min(F.struct(F.xxhash64("f1", "key", F.lit(turn)), F.col("f1").alias("lo"), F.col("c").alias("zc"))).over(
             Window.partitionBy("key")).alias("z")
         stars = lists.select("f1", "c", centre).where("z.zc <> c").select(F.col("z.lo").alias("lo"), "f1").distinct()
         pairs = materialize(sides(stars), "jaccard-pairs")
         if pairs.isEmpty():
+            release(pairs)
             break
         links, found = join_up(links, pairs)
-        lists = materialize(mixed(lists, found), "jaccard-lists")
+        left = materialize(mixed(lists, found), "jaccard-lists")
+        release(lists)
+        lists = left
     # Last, every pair of one key that is still in different components.
-    third = materialize(tile_pairs(lists, classes), "jaccard-pairs")
-    if not third.isEmpty():
+    third = tile_pairs(lists, classes)
+    if third.isEmpty():
+        release(third)
+    else:
         links, found = join_up(links, third)
 
-    return signed, classes, links, found
+    release(lists)
+    return rows, classes, links, found
 
 
 def _by_row(signed: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
@@ -389,7 +406,7 @@ def _by_row(signed: DataFrame, classes: DataFrame, found: DataFrame) -> DataFram
                 .join(root.select("f1", "root").join(least, "root"), "f1", "left")
                 .select("f1", "f2", "n_shingles", F.coalesce("root", "f1").alias("root"),
                         F.coalesce("least", "id").alias("class_component")))
-    out = signed.drop("band", "keys", "bits").join(class_of, ["f1", "f2", "n_shingles"], "left")
+    out = signed.join(class_of, ["f1", "f2", "n_shingles"], "left")
     return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.when(
         F.col("doc_id").isNotNull(), F.col("class_component"))).otherwise(F.col("doc_id")))
 
