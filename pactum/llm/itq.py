@@ -71,10 +71,16 @@ class Index:
         self.key_bits = 0
         self.n_tables = 1
         self.rotations: list[np.ndarray] = []
+        self.mean = 0.0
         if n_rows <= TILE_ROWS or len(sample) < 2:  # one bucket: every pair is compared
             return
         held = max(1, min(TRIAL_ROWS, len(sample) // 4))
         trial, sample = sample[:held], sample[held:]
+        # Codes are taken about the mean, so that each bit halves the rows, unless
+        # the average cosine reaches the threshold: then most pairs are links, and
+        # about their mean even the closest would fall apart.
+        mean = sample.mean(axis=0)
+        self.mean = mean if mean @ mean < threshold else 0.0
         rounds = -(-TRIALS // held)
         bits_a, bits_b = np.zeros((held, 0), bool), np.zeros((rounds, held, 0), bool)
         widest = int(np.clip(np.ceil(np.log2(n_rows / BUCKET_ROWS + 1)), MIN_KEY_BITS, MAX_KEY_BITS))
@@ -82,10 +88,10 @@ class Index:
             met = np.zeros((rounds, held), bool)
             for t in range(MAX_TABLES):
                 while bits_a.shape[1] < (t + 1) * self.key_bits:
-                    r = itq_rotation(sample, seed=len(self.rotations))
+                    r = itq_rotation(sample - self.mean, seed=len(self.rotations))
                     self.rotations.append(r)
-                    bits_a = np.concatenate([bits_a, trial @ r >= 0], axis=1)
-                    bits_b = np.concatenate([bits_b, [x @ r >= 0 for x in partners(trial, rounds, threshold)]], axis=2)
+                    bits_a = np.concatenate([bits_a, (trial - self.mean) @ r >= 0], axis=1)
+                    bits_b = np.concatenate([bits_b, [(x - self.mean) @ r >= 0 for x in partners(trial, rounds, threshold)]], axis=2)
                 cut = slice(t * self.key_bits, (t + 1) * self.key_bits)
                 met |= (bits_a[:, cut] == bits_b[:, :, cut]).all(axis=2)
                 # Rows differ in their chance: the error of the mean is that of the mean over rows.
@@ -100,7 +106,7 @@ class Index:
         """(rows, n_tables) int32 keys."""
         if not self.key_bits:
             return np.zeros((len(unit), 1), np.int32)
-        bits = np.concatenate([unit @ r >= 0 for r in self.rotations], axis=1)
+        bits = np.concatenate([(unit - self.mean) @ r >= 0 for r in self.rotations], axis=1)
         weights = 1 << np.arange(self.key_bits)
         cuts = bits[:, : self.n_tables * self.key_bits].reshape(len(unit), self.n_tables, self.key_bits)
         return (cuts @ weights).astype(np.int32)

@@ -134,7 +134,8 @@ def fit(indptr: np.ndarray, idx: np.ndarray, val: np.ndarray, grade: np.ndarray,
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, grade: Column, max_train: int = MAX_TRAIN) -> DataFrame:
-    """(doc_id, text, grade) of at most about ``max_train`` labelled rows, by id hash."""
+    """(doc_id, text, grade) of at most ``2 * max_train`` labelled ids (about ``max_train``),
+    by id hash; of an id on several rows the text with the least hash."""
     rated = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), grade.cast("int").alias("grade"))
              .where("doc_id IS NOT NULL AND grade IS NOT NULL")
              .groupBy("doc_id").agg(F.min("grade").alias("grade")))
@@ -143,7 +144,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, grade: Column, max_train
     chosen = rated.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) < share)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     # The chosen labels are bounded by max_train, so they may be broadcast.
-    return texts.join(F.broadcast(chosen.orderBy(F.xxhash64("doc_id")).limit(2 * max_train)), "doc_id")
+    named = texts.join(F.broadcast(chosen.orderBy(F.xxhash64("doc_id")).limit(2 * max_train)), "doc_id")
+    return named.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("grade").alias("grade"))
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column, max_train: int = MAX_TRAIN,

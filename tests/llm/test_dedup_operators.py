@@ -315,3 +315,31 @@ def test_cover_sort_against_a_set(seed, monkeypatch):
         want.append(text[s: s + 100].tobytes() in seen)
         seen.add(text[s: s + 100].tobytes())
     assert cover_sort.repeats(text, starts, 100).tolist() == want
+
+
+def test_codes_of_vectors_with_a_common_mean_are_balanced():
+    import numpy as np
+
+    from pactum.llm.itq import Index, unit_rows
+    rng = np.random.default_rng(1)
+    x = unit_rows(rng.standard_normal((4000, 32)) + 2 * rng.standard_normal(32))
+    own = Index(x[:3000], len(x), 0.9)
+    keys = own.keys(x)
+    met = sum((np.unique(k, return_counts=True)[1].astype(float) ** 2).sum() for k in keys.T)
+    assert own.key_bits and met < len(x) ** 2
+    bits = np.concatenate([(x - own.mean) @ r >= 0 for r in own.rotations], axis=1)
+    assert 0.35 < bits.mean(axis=0).min() and bits.mean(axis=0).max() < 0.65
+
+
+def test_jaccard_frees_its_intermediates(spark, tmp_path):
+    import os
+
+    from pactum.llm import jaccard
+    from pactum.session import scratch_root
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{k}" for k in range(30))) for i in range(60)], "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {i: i % 7 for i in range(60)}
+    left = {d.rsplit("-", 1)[0] for d in set(os.listdir(root)) - before}
+    assert not left & {"jaccard-signatures", "jaccard-keys", "jaccard-sets", "jaccard-pairs", "jaccard-mixed", "jaccard-lists", "jaccard-tiles"}

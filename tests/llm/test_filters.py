@@ -133,3 +133,13 @@ def test_gradient_of_the_likelihood():
 def test_features_of_odd_texts(text):
     k, v = ordinal.features(text, ordinal.Hasher(1 << 16))
     assert len(k) == len(v) == len(set(k.tolist())) and (len(k) == 0) == (re.search(r"\S", text) is None)
+
+
+def test_training_rows_are_bounded_for_a_hot_id(spark):
+    from pyspark.sql import functions as F
+
+    from pactum.llm import ordinal
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "doc_id bigint, quality int")
+    rows = ordinal.training_sample(docs, labels, F.col("quality"), max_train=100).collect()
+    assert sorted((r.doc_id, r.grade) for r in rows) == [(0, 0), (1, 1), (2, 1)]
