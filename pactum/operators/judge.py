@@ -29,6 +29,32 @@ def pending_requests(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.dropDuplicates(["request_key"]).join(cache.select("request_key"), "request_key", "left_anti")
 
 
+class VerdictCache:
+    """Replies of the judge by ``request_key``, a Parquet folder per batch.
+    A batch that is written again replaces itself; a key is asked in one batch only."""
+
+    SCHEMA = "request_key string, reply string"
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def replies(self) -> DataFrame:
+        """(request_key, reply, batch) of all batches so far."""
+        return self.spark.read.schema(f"{self.SCHEMA}, batch bigint").parquet(self.path)
+
+    def pending(self, requests: DataFrame, batch: int) -> DataFrame:
+        """The requests to ask in ``batch``: keys no earlier batch has, each once
+        (of equal requests the one with the least run and turn)."""
+        once = requests.groupBy("request_key").agg(F.min(F.struct("trajectory_id", "turn", "messages")).alias("r"))
+        once = once.select("request_key", "r.*")
+        if batch == 0:
+            return once
+        return once.join(self.replies().where(F.col("batch") < batch).select("request_key"), "request_key", "left_anti")
+
+    def add(self, batch: int, replies: DataFrame) -> None:
+        replies.select("request_key", "reply").write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+
 def judge_verdicts(requests: DataFrame, replies: DataFrame) -> DataFrame:
     """J10 + F11: verdict per request; a missing or unparsable reply is False."""
     r = replies.select("trajectory_id", "turn", "reply")

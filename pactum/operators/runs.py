@@ -2,10 +2,11 @@
 (first matching rule wins), stop at the first terminal turn, fold the kept
 turns of a run into the 16-field rubric (A5, A6, J6-J8, J10, W3-W5, F6-F10).
 
-Partitioning: turns beyond ``max_turns`` are dropped first (so a run is at
-most ``max_turns`` rows), then one window keyed by ``trajectory_id`` finds the
-first terminal turn and the rubric aggregate reuses that same partitioning:
-one shuffle for the whole fold.
+Turns beyond ``max_turns`` are dropped first, so a run is at most ``max_turns``
+rows.  What a turn does follows from the turn alone (``decided_turns``, narrow);
+``classified_turns`` joins target, verdict and existence to every turn, for the
+tables that need them per turn.  The rubric is folded in ``fold.py``, which
+joins them once per run.
 """
 
 from __future__ import annotations
@@ -86,17 +87,13 @@ def parsed_turns(turns: DataFrame) -> DataFrame:
     return out
 
 
-def classified_turns(turns: DataFrame, scenarios: DataFrame, contract_ids: DataFrame,
-                     judge_replies: DataFrame | None = None, max_turns: int = MAX_TURNS) -> DataFrame:
-    """Per-turn outcome and flags.  ``scenarios`` gives the target contract and
-    truth text per ``scenario_id`` (J6), ``contract_ids`` the existing ids (J8),
-    ``judge_replies`` the judge's reply per (trajectory_id, turn) (J10)."""
+def decided_turns(turns: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
+    """Everything about a turn that follows from the turn alone, without a join
+    or a shuffle: its outcome, whether the run ends there, the executed call
+    (``read_id``, ``search_keywords``, ..), ``found_ids`` of an executed search
+    and the answer.  Turns beyond ``max_turns`` never run (W5)."""
     c = F.col
-    t = turns.filter(c("turn") <= max_turns)  # W5: later turns never run
-    t = parsed_turns(t)
-    scen = scenarios.select("scenario_id", c("contract_id").alias("target"),
-                            c("ground_truth_clause_text").alias("truth"))
-    t = t.join(scen, "scenario_id", "left")
+    t = parsed_turns(turns.filter(c("turn") <= max_turns))
     args, name = c("tool_args"), c("tool_name")
     # Stage every argument lookup and its type once.
     t = t.withColumn("_obj", tc.is_object(args)) \
@@ -110,87 +107,100 @@ def classified_turns(turns: DataFrame, scenarios: DataFrame, contract_ids: DataF
         .withColumn("_mr_kind", tc.kind(c("_mr"))).withColumn("_text_kind", tc.kind(c("_text_v"))) \
         .withColumn("_src_kind", tc.kind(c("_src_v")))
     is_int = lambda k: F.coalesce(k.isin("BIGINT", "BOOLEAN"), F.lit(False))
-    t = t.withColumn("_rid", F.when((name == TOOL_READ) & c("_obj") & is_int(c("_rid_kind")), tc.as_long(c("_rid_v"))))
-    # Existence of the requested id.  Turns without a read get a distinct
-    # negative key instead of NULL (ids are positive, so it never matches):
-    # NULL keys would all hash to one partition of the shuffle join.
-    salt = -1 - F.pmod(F.xxhash64("trajectory_id", "turn"), F.lit(1 << 40))
-    t = t.withColumn("_rkey", F.coalesce(c("_rid"), salt))
-    ids = contract_ids.select(c("contract_id").alias("_rkey"), F.lit(True).alias("_exists"))
-    t = t.join(ids, "_rkey", "left").drop("_rkey")
-    if judge_replies is not None:
-        t = t.join(judge_replies.select("trajectory_id", "turn", "reply", "judge_prompt_tokens",
-                                        "judge_completion_tokens"), ["trajectory_id", "turn"], "left")
-    else:
-        t = (t.withColumn("reply", F.lit(None).cast("string"))
-             .withColumn("judge_prompt_tokens", F.lit(None).cast("bigint"))
-             .withColumn("judge_completion_tokens", F.lit(None).cast("bigint")))
 
-    ok = c("parse_status") == "ok"
-    obj = c("_obj")
+    ok, obj = c("parse_status") == "ok", c("_obj")
     # search_contracts(**args)
+    is_search = name == TOOL_SEARCH
     kw_falsy = _falsy(c("_kw"), c("_kw_kind"))
     unknown_arg = F.exists("_keys", lambda x: ~x.isin(*SEARCH_ARGS))
     search_bad = (~obj | unknown_arg | ~F.array_contains("_keys", "keywords")
                   | (~kw_falsy & ((F.coalesce(c("_kw_kind"), F.lit("")) != "ARRAY<STRING>")
                                   | (c("_mr").isNotNull() & ~_numeric_kind(c("_mr_kind"))))))
-    found = ~search_bad & ~kw_falsy & F.coalesce(F.array_contains("tool_result_ids", c("target")), F.lit(False))
     # read_contract(contract_id)
     is_read = name == TOOL_READ
     read_bad = ~obj | ~is_int(c("_rid_kind"))
-    rid = c("_rid")
-    read_invalid = ~read_bad & ((rid <= 0) | c("_exists").isNull())
-    read_correct = ~read_bad & (rid > 0) & (rid == c("target"))
     # return_final_answer(extracted_clause_text, source_contract_id)
     ans_bad = ~obj | ~F.coalesce(c("_text_kind") == "STRING", F.lit(False)) | ~is_int(c("_src_kind"))
     ans_text, ans_src = tc.as_str(c("_text_v")), tc.as_long(c("_src_v"))
     dont_know = (F.lower(py_strip(ans_text)) == DONT_KNOW_TEXT) | (ans_src == DONT_KNOW_ID)
-    judged = ~ans_bad & ~dont_know & (F.length(ans_text) > 0) & F.coalesce(F.length("truth") > 0, F.lit(False))
 
     no_reply = ~c("use_tools") | c("tool_call_id").isNull()
     outcome = (F.when(~ok, c("parse_status"))
-               .when(name == TOOL_SEARCH, F.when(search_bad, "bad_arguments")
+               .when(is_search, F.when(search_bad, "bad_arguments")
                      .when(no_reply, "stop_after_tool").otherwise("searched"))
                .when(is_read, F.when(read_bad, "bad_arguments")
                      .when(no_reply, "stop_after_tool").otherwise("read"))
                .when(name == TOOL_ANSWER, F.when(ans_bad, "bad_arguments").otherwise("answered"))
                .otherwise("unknown_tool"))
-    t = t.withColumn("outcome", outcome) \
-        .withColumn("_found", found).withColumn("_read_correct", read_correct) \
-        .withColumn("_read_invalid", read_invalid).withColumn("_dont_know", dont_know) \
-        .withColumn("_judged", judged).withColumn("_ans_text", ans_text).withColumn("_ans_src", ans_src)
+    t = t.withColumn("outcome", outcome).withColumn("_search_ok", ok & is_search & ~search_bad) \
+        .withColumn("_kw_falsy", kw_falsy).withColumn("_dont_know", dont_know) \
+        .withColumn("_ans_text", ans_text).withColumn("_ans_src", ans_src)
     o = c("outcome")
-    is_search_ok, is_read_ok = ok & (name == TOOL_SEARCH), ok & is_read
     answered = o == "answered"
+    tokens = lambda n: F.when(o != "model_failure", F.coalesce(n, F.lit(0))).otherwise(0).cast("bigint")
     return t.select(
-        "trajectory_id", "scenario_id", "turn", "use_tools", "ts", "target", "outcome",
+        "trajectory_id", "scenario_id", "turn", "use_tools", "ts", "outcome",
         "parse_status", "call_source", "tool_name",
         (~o.isin("searched", "read")).alias("terminal"),
         o.isin("model_failure", "text_reply", "no_call", "unknown_tool").alias("f_bad_name"),
         o.isin("no_function", "bad_arguments").alias("f_bad_args"),
         o.isin("unparsable", "null_call").alias("f_cant_parse"),
-        (is_search_ok & c("_found")).alias("f_found_in_search"),
-        (is_read_ok & F.coalesce(c("_read_correct"), F.lit(False))).alias("f_read_correct"),
-        (is_read_ok & F.coalesce(c("_read_invalid"), F.lit(False))).alias("f_invalid_read"),
-        answered.alias("f_attempted"),
-        (answered & c("_dont_know")).alias("f_dont_know"),
-        (answered & c("_judged")).alias("f_judged"),
-        (answered & c("_judged") & verdict_of(c("reply"))).alias("f_text_correct"),
-        (answered & ~c("_dont_know") & (c("_ans_src") == c("target"))).alias("f_found_contract"),
-        "tool_call_id", c("_rid").alias("read_id"),
+        F.when(c("_search_ok") & ~c("_kw_falsy"), c("tool_result_ids")).alias("found_ids"),
+        F.when(ok & is_read & ~read_bad, tc.as_long(c("_rid_v"))).alias("read_id"),
+        answered.alias("f_attempted"), (answered & c("_dont_know")).alias("f_dont_know"),
+        (answered & ~c("_dont_know") & (F.length("_ans_text") > 0)).alias("judgeable"),
+        "tool_call_id",
         # the executed search call (for replaying it against the index)
-        F.when((name == TOOL_SEARCH) & ok & ~search_bad,
+        F.when(c("_search_ok"),
                F.coalesce(F.try_variant_get(c("_kw"), "$", "array<string>"), F.array().cast("array<string>")))
         .alias("search_keywords"),
-        F.when((name == TOOL_SEARCH) & ok & ~search_bad,
-               F.coalesce(F.try_variant_get(c("_mr"), "$", "int"), F.lit(10))).alias("search_max_results"),
+        F.when(c("_search_ok"), F.coalesce(F.try_variant_get(c("_mr"), "$", "int"), F.lit(10))).alias("search_max_results"),
         F.when(answered, c("_ans_text")).alias("answer_text"),
         F.when(answered, c("_ans_src")).alias("answer_contract_id"),
-        F.when(o != "model_failure", F.coalesce("prompt_tokens", F.lit(0))).otherwise(0).cast("bigint").alias("p_tokens"),
-        F.when(o != "model_failure", F.coalesce("completion_tokens", F.lit(0))).otherwise(0).cast("bigint").alias("c_tokens"),
-        F.when(answered & c("_judged"), F.coalesce("judge_prompt_tokens", F.lit(0))).otherwise(0).cast("bigint").alias("jp_tokens"),
-        F.when(answered & c("_judged"), F.coalesce("judge_completion_tokens", F.lit(0))).otherwise(0).cast("bigint").alias("jc_tokens"),
-    )
+        tokens(c("prompt_tokens")).alias("p_tokens"), tokens(c("completion_tokens")).alias("c_tokens"))
+
+
+def classified_turns(turns: DataFrame, scenarios: DataFrame, contract_ids: DataFrame,
+                     judge_replies: DataFrame | None = None, max_turns: int = MAX_TURNS) -> DataFrame:
+    """Per-turn outcome and flags.  ``scenarios`` gives the target contract and
+    truth text per ``scenario_id`` (J6), ``contract_ids`` the existing ids (J8),
+    ``judge_replies`` the judge's reply per (trajectory_id, turn) (J10)."""
+    c = F.col
+    t = decided_turns(turns, max_turns)
+    scen = scenarios.select("scenario_id", c("contract_id").alias("target"),
+                            c("ground_truth_clause_text").alias("truth"))
+    t = t.join(scen, "scenario_id", "left")
+    # Existence of the requested id.  Turns without a read get a distinct
+    # negative key instead of NULL (ids are positive, so it never matches):
+    # NULL keys would all hash to one partition of the shuffle join.
+    salt = -1 - F.pmod(F.xxhash64("trajectory_id", "turn"), F.lit(1 << 40))
+    t = t.withColumn("_rkey", F.coalesce(c("read_id"), salt))
+    ids = contract_ids.select(c("contract_id").alias("_rkey"), F.lit(True).alias("_exists"))
+    t = t.join(ids, "_rkey", "left").drop("_rkey")
+    if judge_replies is not None:
+        t = t.join(judge_replies.select("trajectory_id", "turn", "reply", "judge_prompt_tokens",
+                                        "judge_completion_tokens"), ["trajectory_id", "turn"], "left")
+    else:
+        t = (t.withColumn("reply", F.lit(None).cast("string"))
+             .withColumn("judge_prompt_tokens", F.lit(None).cast("bigint"))
+             .withColumn("judge_completion_tokens", F.lit(None).cast("bigint")))
+    rid = c("read_id")
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    judged = yes(c("judgeable")) & yes(F.length("truth") > 0)
+    judge_tokens = lambda n: F.when(judged, F.coalesce(n, F.lit(0))).otherwise(0).cast("bigint")
+    return t.select(
+        "trajectory_id", "scenario_id", "turn", "use_tools", "ts", "target", "outcome",
+        "parse_status", "call_source", "tool_name", "terminal", "f_bad_name", "f_bad_args", "f_cant_parse",
+        yes(F.array_contains("found_ids", c("target"))).alias("f_found_in_search"),
+        yes((rid > 0) & (rid == c("target"))).alias("f_read_correct"),
+        yes((rid <= 0) | (rid.isNotNull() & c("_exists").isNull())).alias("f_invalid_read"),
+        "f_attempted", "f_dont_know", judged.alias("f_judged"),
+        (judged & verdict_of(c("reply"))).alias("f_text_correct"),
+        yes(c("f_attempted") & ~c("f_dont_know") & (c("answer_contract_id") == c("target"))).alias("f_found_contract"),
+        "tool_call_id", "read_id", "search_keywords", "search_max_results", "answer_text", "answer_contract_id",
+        "p_tokens", "c_tokens",
+        judge_tokens(c("judge_prompt_tokens")).alias("jp_tokens"),
+        judge_tokens(c("judge_completion_tokens")).alias("jc_tokens"))
 
 
 def kept_turns(classified: DataFrame) -> DataFrame:

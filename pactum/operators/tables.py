@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pactum.operators.flatten import flat_annotations, full_text
@@ -55,6 +55,28 @@ def load_counts(nested: DataFrame) -> DataFrame:
     )
 
 
+#: Reasons for which a load sets a contract aside.
+SKIP_REASONS = ("not_an_object", "no_paragraphs", "paragraphs_not_a_list", "bad_paragraph", "bad_title")
+
+
+def load_counted(flagged: DataFrame, path: str) -> dict[str, int]:
+    """A4: writes the valid contracts of ``validate``'s rows to ``path`` and returns
+    the counts of that same pass: contracts read, loaded and skipped, by reason,
+    and annotations loaded.  The rows are observed in the stage that writes, whose
+    tasks Spark counts once each, also when they are tried again."""
+    n_ann = F.aggregate("paragraphs", F.lit(0).cast("bigint"), lambda acc, p: acc + F.aggregate(
+        F.filter(p["qas"], lambda q: ~F.coalesce(q["is_impossible"], F.lit(False))),
+        F.lit(0).cast("bigint"), lambda a2, q: a2 + F.size(q["answers"])))
+    ok = F.col("status") == "ok"
+    seen = Observation()
+    (flagged.observe(seen, F.count(F.lit(1)).alias("n_read"), F.count_if(ok).alias("n_loaded"),
+                     F.count_if(~ok).alias("n_skipped"),
+                     *[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in SKIP_REASONS],
+                     F.coalesce(F.sum(F.when(ok, n_ann)), F.lit(0)).alias("n_annotations"))
+     .where(ok).select("contract_seq", "title", "paragraphs").write.mode("overwrite").parquet(path))
+    return seen.get
+
+
 def duplicate_titles(contracts: DataFrame) -> DataFrame:
     """A3: titles held by more than one contract (the build must fail on any)."""
     return contracts.groupBy("title").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)

@@ -98,5 +98,5 @@ def classified(spark: SparkSession, sf_dir: str):
 
 
 def rubric(spark: SparkSession, sf_dir: str):
-    from pactum.operators import runs
-    return runs.rubric(classified(spark, sf_dir))
+    from pactum.operators.fold import fold_runs
+    return fold_runs(*run_inputs(spark, sf_dir))

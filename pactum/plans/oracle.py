@@ -7,6 +7,7 @@ Spark code.
 
 from __future__ import annotations
 
+from pactum.sources.dialogs import RUNS_PER_SCENARIO
 from pactum.schemas import NUM_EPOCHS, TRAINING_DATASET_SIZE, TRAJECTORIES_PER_GROUP, VAL_SET_SIZE
 
 SEP_SQL = "chr(10) || chr(10) || '--- PARAGRAPH BREAK ---' || chr(10) || chr(10)"
@@ -662,3 +663,67 @@ SELECT k.trajectory_id, k.turn, 'tool', 'call_' || CAST(k.event_id AS VARCHAR),
        md5(coalesce(r.payload, '[]')), CAST(length(coalesce(r.payload, '[]')) AS BIGINT)
 FROM kept k LEFT JOIN sreplies r ON r.query_id = k.k % 10
 WHERE k.outcome = 'searched'"""
+
+
+# --- step 9: runs logged as conversations, schedule slots, counted load, verdict cache --------
+
+# The texts of the table hold no JSON object, so the first reply of a run ends it.
+CONV_RUNS = f"""
+rep AS (
+  SELECT conv_id, turn AS position, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, text NULLS FIRST) AS n
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL),
+crun AS (
+  SELECT conv_id, position, CAST(conv_id AS VARCHAR) AS trajectory_id,
+         CAST(floor(conv_id / {RUNS_PER_SCENARIO}) + 1 AS BIGINT) AS scenario_id,
+         CASE WHEN text IS NULL THEN 'model_failure' WHEN text = '' THEN 'no_call'
+              WHEN text LIKE '%{{%}}%' THEN error('a call in a text') ELSE 'unparsable' END AS stop_reason
+  FROM rep WHERE n = 1),
+crew AS (SELECT *, CAST(CASE WHEN stop_reason = 'unparsable' THEN -2.0 ELSE -1.9 END AS DOUBLE) AS reward FROM crun)"""
+
+ORACLE["conversation_rubric"] = f"""WITH {CONV_RUNS}
+SELECT trajectory_id, scenario_id, 'valid' AS status, stop_reason, FALSE AS clause_text_correct,
+       FALSE AS found_correct_contract, CAST(1 AS BIGINT) AS num_turns, FALSE AS attempted_answer,
+       FALSE AS returned_i_dont_know, FALSE AS ever_found_correct_contract_in_search,
+       FALSE AS ever_read_correct_contract, FALSE AS tried_to_read_invalid_contract,
+       stop_reason = 'unparsable' AS cant_parse_tool_call, stop_reason <> 'unparsable' AS bad_tool_call_name,
+       FALSE AS bad_tool_call_args, FALSE AS ran_out_of_turns, CAST(0 AS BIGINT) AS prompt_tokens,
+       CAST(0 AS BIGINT) AS completion_tokens, CAST(0 AS BIGINT) AS judge_prompt_tokens,
+       CAST(0 AS BIGINT) AS judge_completion_tokens
+FROM crun"""
+
+ORACLE["conversation_trajectories"] = f"""WITH {SCEN}, {CONV_RUNS},
+said AS (
+  SELECT r.conv_id, count(*) AS n,
+         string_agg(c.role || ':' || coalesce(c.text, ''), chr(10) ORDER BY c.turn, c.role, c.text) AS m
+  FROM crew r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn <= r.position GROUP BY r.conv_id)
+SELECT r.trajectory_id, CAST(s.scenario_id AS BIGINT) AS scenario_id, s.contract_title, s.clause_type,
+       CAST(d.n AS BIGINT) AS n_messages, md5(d.m) AS messages_md5, CAST(1 AS BIGINT) AS num_turns, r.reward
+FROM crew r JOIN said d USING (conv_id) LEFT JOIN scen s ON s.scenario_id = r.scenario_id"""
+
+ORACLE["step_groups"] = f"""WITH sched AS ({ORACLE["training_schedule"]}), {CONV_RUNS},
+slots AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY global_step, run_idx) AS slot FROM sched),
+runs AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY trajectory_id) AS slot FROM crew)
+SELECT global_step, scenario_id, count(run_idx) AS n_slots, count(trajectory_id) AS n_runs,
+       count(*) FILTER (WHERE trajectory_id IS NULL) AS n_missing, {_sd('avg(reward)', 9)} AS mean_reward,
+       coalesce(string_agg(CASE WHEN run_idx IS NOT NULL THEN trajectory_id END, ',' ORDER BY run_idx), '') AS runs
+FROM slots FULL JOIN runs USING (scenario_id, slot) GROUP BY global_step, scenario_id"""
+
+ORACLE["load_report"] = f"""WITH {RAW},
+n AS (SELECT count(*) AS n_read, count(*) FILTER (WHERE status = 'ok') AS n_loaded,
+             count(*) FILTER (WHERE status <> 'ok') AS n_skipped,
+             count(*) FILTER (WHERE reason = 'not_an_object') AS n_not_an_object,
+             count(*) FILTER (WHERE reason = 'no_paragraphs') AS n_no_paragraphs,
+             count(*) FILTER (WHERE reason = 'paragraphs_not_a_list') AS n_paragraphs_not_a_list,
+             count(*) FILTER (WHERE reason = 'bad_paragraph') AS n_bad_paragraph,
+             count(*) FILTER (WHERE reason = 'bad_title') AS n_bad_title,
+             (SELECT count(*) FROM rspans) AS n_annotations
+      FROM rstat)
+SELECT name AS count_name, CAST(value AS BIGINT) AS n FROM (UNPIVOT n ON *)"""
+
+ORACLE["verdict_cache"] = f"""WITH {RUN_ACT},
+rq AS (SELECT trajectory_id, turn, md5({JUDGE_USER_SQL}) AS request_key, k % 3 <> 0 AS verdict,
+              CAST(CASE WHEN substr(md5(trajectory_id), 32, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 0 ELSE 1 END AS BIGINT) AS batch
+       FROM kept WHERE f_judged)
+SELECT request_key, batch, CASE WHEN verdict THEN ' True' ELSE 'False' || chr(10) END AS reply, verdict
+FROM (SELECT *, row_number() OVER (PARTITION BY request_key ORDER BY batch, trajectory_id, turn) AS rn FROM rq) WHERE rn = 1"""

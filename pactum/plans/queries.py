@@ -501,3 +501,68 @@ def q_search_replay(spark, sf_dir):
         F.col("search_keywords").alias("keywords"), F.col("search_max_results").alias("max_results"))
     res = search_ops.search_with_snippets(_index(spark, sf_dir), batch)
     return res.select("query_id", "rank", "contract_id", "score", "snippet")
+
+
+# --- step 9: runs logged as conversations, schedule slots, counted load, verdict cache --------
+
+from pactum.operators import trajectories as traj_ops  # noqa: E402
+from pactum.operators.fold import fold_runs  # noqa: E402
+from pactum.sources import dialogs  # noqa: E402
+
+
+def _conversations(spark, sf_dir):
+    return _text_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+
+
+def _conversation_rubric(spark, sf_dir):
+    contract_ids = _text_table(spark, sf_dir, "documents", "doc_id").select((F.col("doc_id") + 1).alias("contract_id"))
+    return fold_runs(dialogs.turns(_conversations(spark, sf_dir)), C.scenarios(spark, sf_dir), contract_ids)
+
+
+@query("conversation_rubric")
+def q_conversation_rubric(spark, sf_dir):
+    """The rubric of every run that ``conversations`` logs."""
+    return _conversation_rubric(spark, sf_dir).drop("duration", "use_tools")
+
+
+@query("conversation_trajectories")
+def q_conversation_trajectories(spark, sf_dir):
+    """Trajectories as nested rows, shown by digests of their parts."""
+    conv = _conversations(spark, sf_dir)
+    metrics = scoring.metrics(_conversation_rubric(spark, sf_dir))
+    t = traj_ops.trajectories(dialogs.messages(conv), dialogs.turns(conv), metrics, C.scenarios(spark, sf_dir))
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["content"], F.lit("")))), "\n")
+    return t.select("trajectory_id", F.col("metadata.scenario_id").alias("scenario_id"),
+                    F.col("metadata.contract_title").alias("contract_title"),
+                    F.col("metadata.target_clause_type").alias("clause_type"),
+                    F.size("messages").cast("bigint").alias("n_messages"), F.md5(text).alias("messages_md5"),
+                    F.col("metrics.num_turns").alias("num_turns"), stable_double(F.col("reward"), 9).alias("reward"))
+
+
+@query("step_groups")
+def q_step_groups(spark, sf_dir):
+    """The runs of ``conversations`` on the slots of the training schedule."""
+    metrics = scoring.metrics(_conversation_rubric(spark, sf_dir)).where("status = 'valid'")
+    groups = traj_ops.step_groups(traj_ops.assign_runs(metrics, q_training_schedule(spark, sf_dir)), metrics)
+    return groups.withColumn("runs", F.array_join("runs", ","))
+
+
+@query("load_report")
+def q_load_report(spark, sf_dir):
+    """A4: contracts read, loaded and skipped by reason, counted by the load itself."""
+    counts = table_ops.load_counted(_validated(spark, sf_dir), scratch_path(spark, "loaded"))
+    return spark.createDataFrame([(k, v) for k, v in counts.items()], "count_name string, n bigint")
+
+
+@query("verdict_cache")
+def q_verdict_cache(spark, sf_dir):
+    """The judge requests in two batches; the second asks only for new keys."""
+    turns, scen, ids, replies = C.run_inputs(spark, sf_dir)
+    requests = judge_ops.judge_requests(run_ops.classified_turns(turns, scen, ids, replies), scen)
+    cache = judge_ops.VerdictCache(spark, scratch_path(spark, "verdicts"))
+    for batch, digits in enumerate(("02468ace", "13579bdf")):
+        part = requests.where(F.substring(F.md5("trajectory_id"), 32, 1).isin(*digits))
+        asked = cache.pending(part, batch)
+        cache.add(batch, asked.join(replies.select("trajectory_id", "turn", "reply"), ["trajectory_id", "turn"], "left"))
+    return cache.replies().select("request_key", "batch", "reply",
+                                  run_ops.verdict_of(F.col("reply")).alias("verdict"))
