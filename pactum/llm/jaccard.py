@@ -6,28 +6,35 @@ five-word shingles.  No link is lost:
 1. *Classes.*  Documents with the same set are one class (128-bit checksum).
 2. *Keys.*  In any fixed order of all shingles, linked sets share a shingle
    among their first ``n - ceil(0.75 n) + 1``.  The order puts shingles that
-   many texts hold last, so common passages don't make common keys.  Keys that
-   one class holds are dropped by a window over the keys.
+   many texts hold last, so common passages don't make common keys.  Only the keys of
+   classes are spread out, one row a class, and facts of a key (its least and
+   greatest class) are partial aggregates joined back, never a window: a key of
+   very many classes is split by the join.
 3. *First links.*  Each class is paired with a centre of its key, which is linear
-   in the keys; pairs that survive the bitmap bound are verified, and connected
-   components made of them.  First one centre serves all keys alike, then, for
-   keys of several components, every key has one of its own.
+   in the keys; pairs that survive the size and the bitmap bound are verified, and
+   connected components made of them.  First one centre serves all keys alike, then,
+   for keys of several components, every key has one of its own.
 4. *Tiles.*  What is left are pairs of one key in different components.  Keys with
    the same least class and three bands of set sizes (bands grow by 4/3, so
    partners lie in the same band or the next) make a tile, which is compared
    inside tasks, in chunks, under the size bound and the bitmap bound: only
    likely pairs leave a task.  Of keys that the same classes hold one is enough.
+   A chunk with many likely pairs for its classes (pages of one template just below
+   the threshold) gives its classes instead; it is compared exactly as a whole
+   inside a task, and only a spanning forest of its links leaves that.
 5. *Verification.*  Exact intersection of the two sorted shingle arrays, made
    again from the texts of the documents concerned.
 
-Bitmap bound: each set is hashed to a bitmap whose width fits its band.  Every
-bit in which two bitmaps differ is a shingle that only one side has, so the
-overlap is at most ``(|A| + |B| - differing bits) / 2``.
+Bitmap bound: each set is hashed to a bitmap of parities (a shingle flips its bit)
+whose width fits its band.  Every bit in which two bitmaps differ is at least one
+shingle that only one side has, so the overlap is at most
+``(|A| + |B| - differing bits) / 2``.
 
 Defined results: a NULL, empty or wordless text has an empty set and links
 with nothing; rows without an id link with nothing and have a NULL component;
 rows of one id are one document of the graph; repeated rows are one class; an
-empty table gives an empty table.  Shingles are told apart by 64-bit hashes.
+empty table gives an empty table; a very long text is hashed as a block of its
+own, whole.  Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.common import likely_members, materialize, release, row_blocks, text_offsets
@@ -48,10 +55,15 @@ FREQUENT = 4
 CHUNK_HASHES = 4 << 20
 #: Width of a bitmap for each shingle of the largest set of its band: the wider,
 #: the fewer shingles of a difference hide behind others.
-BITS_PER_SHINGLE = 4
-#: Classes in a chunk of a tile; pairs whose bitmaps are compared at once.
+BITS_PER_SHINGLE = 1
+#: Classes, and shingles of them, in a chunk of a tile; pairs whose bitmaps are compared at once.
 TILE_ROWS = 1024
+TILE_SHINGLES = 1 << 20
 SURVIVOR_ROWS = 50_000
+#: Likely pairs for each class of a chunk from which on the chunk is compared as a whole,
+#: and the different shingles taken at once then.
+DENSE = 4
+DENSE_COLUMNS = 2048
 #: Turns in which every key of several components has a centre of its own.
 STAR_TURNS = 2
 #: Most frequent shingles that are broadcast, 16 bytes each.  They only order
@@ -71,10 +83,10 @@ BANDS = _bands()
 
 
 def bitmap(own: np.ndarray, band: int) -> np.ndarray:
-    """The set hashed to ``BITS_PER_SHINGLE`` times the next power of two over the band's sizes."""
+    """The set hashed to ``BITS_PER_SHINGLE`` times the next power of two over the band's
+    sizes; a bit tells whether an odd number of shingles fell on it."""
     width = max(64, BITS_PER_SHINGLE << int(BANDS[band + 1] - 1).bit_length())
-    bits = np.zeros(width, np.uint8)
-    bits[own & np.uint64(width - 1)] = 1
+    bits = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
@@ -156,7 +168,7 @@ def fold(bits: np.ndarray, width: int) -> np.ndarray:
     """Bitmaps (rows, words) narrowed to ``width`` words by halving."""
     while bits.shape[1] > width:
         half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
+        bits = bits[:, :half] ^ bits[:, half:]
     return bits
 
 
@@ -205,75 +217,146 @@ def tile_survivors(rows: dict, chunk: tuple[int, int]) -> tuple[np.ndarray, np.n
     return a[keep], b[keep]
 
 
+def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest of the links between ``left`` and ``right``, row numbers of ``sets``.
+    Overlaps are counted exactly: products of the 0/1 table (set, shingle), some columns at a time."""
+    ends = np.unique(np.concatenate([left, right]))
+    size = np.array([len(sets[i]) for i in ends])
+    all_, owner = np.concatenate([sets[i] for i in ends]), np.repeat(np.arange(len(ends)), size)
+    value, column, held = np.unique(all_, return_inverse=True, return_counts=True)
+    several = held[column] > 1
+    column, owner = (np.cumsum(held > 1) - 1)[column[several]], owner[several]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    at_l, at_r = np.searchsorted(ends, left), np.searchsorted(ends, right)
+    both = np.zeros((len(left), len(right)), np.int64)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, DENSE_COLUMNS):
+        a, b = np.searchsorted(column, [k, k + DENSE_COLUMNS])
+        table = np.zeros((len(ends), DENSE_COLUMNS), np.float32)
+        table[owner[a:b], column[a:b] - k] = 1
+        both += (table[at_l] @ table[at_r].T).astype(np.int64)
+    link = np.zeros((len(ends), len(ends)), bool)
+    link[np.ix_(at_l, at_r)] = 100 * both >= 75 * (size[at_l][:, None] + size[at_r][None, :] - both)
+    link |= link.T
+    fresh, edges = np.ones(len(ends), bool), []
+    for root in range(len(ends)):
+        if not fresh[root]:
+            continue
+        fresh[root], todo = False, [root]
+        while todo:
+            x = todo.pop()
+            found = np.flatnonzero(link[x] & fresh)
+            fresh[found] = False
+            edges += [(int(ends[x]), int(ends[y])) for y in found]
+            todo += found.tolist()
+    return edges
+
+
+def by_group(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows of each group of consecutive rows that agree in the integer columns ``names``."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
+        cuts = np.concatenate([[0], 1 + np.flatnonzero((key[1:] != key[:-1]).any(axis=1)), [len(key)]])
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            if y > x:
+                now = tuple(key[x].tolist())
+                if held and now != held_key:
+                    yield held_key, pa.Table.from_batches(held)
+                    held = []
+                held_key = now
+                held.append(batch.slice(x, y - x))
+    if held:
+        yield held_key, pa.Table.from_batches(held)
+
+
+#: The group of a chunk, or pair of chunks, of a tile.
+GROUP = ["lo", "tile", "i", "j"]
+
+
 def tile_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, f1, c) -> likely pairs (a, af, b, bf) that share a key across components, written.
+    """(key, f1, c) -> likely pairs that share a key across components, and the rows of chunks
+    with many of them, written: a, af, b, bf (pairs), lo, tile, i, j, chunk (NULL but for rows
+    of such chunks, where a and af tell the class and b, bf are NULL).
 
     Lists with the same least class come together, so that a pair which shares
     many keys is met a few times only.  A tile is such a group and three bands
     of set sizes (2t, 2t + 1, 2t + 2); a class is one row of it, with its keys
     and its bitmap.  A tile of more than ``TILE_ROWS`` classes is cut into
     chunks, and each pair of chunks is a task's group of its own."""
-    grouped = (lists.withColumn("lo", F.min("f1").over(Window.partitionBy("key")))
-               .groupBy("lo", "f1", "c").agg(F.collect_list("key").alias("keys")))
+    least = lists.groupBy("key").agg(F.min("f1").alias("lo"))
+    grouped = lists.join(least, "key").groupBy("lo", "f1", "c").agg(F.collect_list("key").alias("keys"))
     tiled = materialize(grouped.join(classes.select("f1", "id", "n", "band"), "f1"), "jaccard-tiles")
     half = F.floor(F.col("band") / 2).cast("int")
     rows = tiled.withColumn("tile", F.explode(
         F.when(F.col("band") % 2 == 0, F.array(half, half - 1)).otherwise(F.array(half))))
-    size = rows.groupBy("lo", "tile").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = (rows.join(size, ["lo", "tile"]).withColumn("of", F.ceil(F.col("m") / TILE_ROWS).cast("int"))
+    size = (rows.groupBy("lo", "tile").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
+            .select("lo", "tile", F.greatest(F.ceil(F.col("m") / TILE_ROWS), F.least(
+                "m", F.ceil(F.col("s") / TILE_SHINGLES))).cast("int").alias("of")))
+    rows = (rows.join(size, ["lo", "tile"])
             .withColumn("chunk", F.pmod(F.xxhash64("f1"), F.col("of")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
             .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")))
     # The bitmaps join last: they are shuffled to their tiles once.
     rows = (rows.join(classes.select("f1", "id", "bits"), ["f1", "id"])
-            .select("lo", "tile", "i", "j", "f1", "id", "n", "c", "band", "chunk", "bits", "keys")
-            .repartition("lo", "tile", "i", "j").sortWithinPartitions("lo", "tile", "i", "j"))
-    names = ["lo", "tile", "i", "j"]
+            .select(*GROUP, "f1", "id", "n", "c", "band", "chunk", "bits", "keys")
+            .repartition(*GROUP).sortWithinPartitions(*GROUP))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        held_key = None
-
-        def finish() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
+        for group, t in by_group(batches, GROUP):
             got = {k: t.column(k).to_numpy() for k in ("id", "n", "c", "band", "chunk")}
             got |= {k: [x.values.to_numpy() for x in t.column(k)] for k in ("bits", "keys")}
-            a, b = tile_survivors(got | {"tile": held_key[1]}, held_key[2:])
+            a, b = tile_survivors(got | {"tile": group[1]}, group[2:])
             f1 = t.column("f1").to_numpy()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (got["id"][a], f1[a], got["id"][b], f1[b])],
-                                              names=["a", "af", "b", "bf"])
-
-        for batch in batches:
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
-            cuts = np.concatenate([[0], 1 + np.flatnonzero((key[1:] != key[:-1]).any(axis=1)), [len(key)]])
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                if y > x:
-                    now = tuple(key[x].tolist())
-                    if held and now != held_key:
-                        yield finish()
-                        held = []
-                    held_key = now
-                    held.append(batch.slice(x, y - x))
-        if held:
-            yield finish()
-
-    found = rows.mapInArrow(run, "a bigint, af bigint, b bigint, bf bigint")
+            if len(a) > DENSE * len(f1):
+                m = len(f1)
+                some = [pa.array(got["id"]), pa.array(f1), *[pa.nulls(m, pa.int64())] * 2,
+                        *[pa.array(np.full(m, g)) for g in group], pa.array(got["chunk"].astype(np.int64))]
+            else:
+                some = [*[pa.array(x) for x in (got["id"][a], f1[a], got["id"][b], f1[b])],
+                        *[pa.nulls(len(a), pa.int64())] * 5]
+            yield pa.RecordBatch.from_arrays(some, names=["a", "af", "b", "bf", *GROUP, "chunk"])
+
+    found = rows.mapInArrow(run, "a bigint, af bigint, b bigint, bf bigint, lo bigint, tile bigint, i bigint, j bigint, "
+                                 "chunk bigint")
     # The same pair from two groups may come in either order.
     swap = F.col("af") > F.col("bf")
-    found = found.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.least("af", "bf").alias("af"),
-                         F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("af", "bf").alias("bf"))
+    found = found.select(
+        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("bf")).otherwise(F.col("af")).alias("af"),
+        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(swap, F.col("af")).otherwise(F.col("bf")).alias("bf"),
+        *GROUP, "chunk")
     pairs = materialize(found.distinct(), "jaccard-pairs")
     release(tiled)
     return pairs
 
 
+def dense_links(chunks: DataFrame, own: DataFrame) -> DataFrame:
+    """A spanning forest (a, b) of the links within each chunk, or pair of chunks, of
+    ``chunks`` (lo, tile, i, j, chunk, id, f); ``own``: id, f, and the sorted set."""
+    rows = (chunks.join(own, ["id", "f"]).select(*GROUP, "chunk", "f", "own").repartition(*GROUP)
+            .sortWithinPartitions(*GROUP, "f"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, t in by_group(batches, GROUP):
+            f, chunk = t.column("f").to_numpy(), t.column("chunk").to_numpy()
+            first = np.concatenate([[True], f[1:] != f[:-1]])  # a class may stand on several rows of its document
+            f, chunk = f[first], chunk[first]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x, go in zip(t.column("own"), first) if go]
+            edges = forest(sets, np.flatnonzero(chunk == group[2]), np.flatnonzero(chunk == group[3]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[x] for x, _ in edges], pa.int64()),
+                                              pa.array([f[y] for _, y in edges], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def differing(a: Column, b: Column) -> Column:
     """Number of bits in which two bitmaps differ; the wider one is folded to
     the width of the other (widths of neighbouring bands differ by 2 at most)."""
     def fold(x: Column, y: Column) -> Column:
         half = F.size(y)
         return F.when(F.size(x) > half, F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half),
-                                                   lambda p, q: p.bitwiseOR(q))).otherwise(x)
+                                                   lambda p, q: p.bitwiseXOR(q))).otherwise(x)
     return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
                        F.lit(0), lambda s, x: s + x)
 
@@ -297,8 +380,9 @@ def one_key_per_list(keys: DataFrame) -> DataFrame:
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, af, b, bf: class document and checksum) that link, as checksums (a, b), written."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    """The pairs (a, af, b, bf: class document and checksum) that link, and links that
+    connect the linked classes of dense chunks (see ``tile_pairs``), as checksums (a, b), written."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.where("b IS NOT NULL").select("b"))
     texts = likely_members(docs.where("doc_id IS NOT NULL"), F.col("doc_id"), ends, F.col("id")).where("_maybe")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,8 +406,13 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     left = own.select(F.col("id").alias("a"), F.col("f").alias("af"), F.col("own").alias("xa"))
     right = own.select(F.col("id").alias("b"), F.col("f").alias("bf"), F.col("own").alias("xb"))
-    both = pairs.join(right, ["b", "bf"]).join(left, ["a", "af"]).select("af", "bf", "xa", "xb")
-    links = materialize(both.mapInArrow(exact, "a bigint, b bigint"), "jaccard-links")
+    alone = pairs.where("b IS NOT NULL").select("a", "af", "b", "bf")
+    both = alone.join(right, ["b", "bf"]).join(left, ["a", "af"]).select("af", "bf", "xa", "xb")
+    found = both.mapInArrow(exact, "a bigint, b bigint")
+    if "chunk" in pairs.columns:
+        dense = pairs.where("chunk IS NOT NULL").select(*GROUP, "chunk", F.col("a").alias("id"), F.col("af").alias("f"))
+        found = found.union(dense_links(dense, own))
+    links = materialize(found, "jaccard-links")
     release(own)
     return links
 
@@ -333,17 +422,21 @@ def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
     f1, that connect all linked ones, and the components (id, component_id) of them."""
     signed = materialize(signatures(docs), "jaccard-signatures")
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(
+    whole = materialize(
         linked.groupBy("f1", "f2", F.col("n_shingles").alias("n"))
-        .agg(F.min("doc_id").alias("id"), F.first("band").alias("band"), F.first("bits").alias("bits")),
-        "jaccard-classes")
-    window = "OVER (PARTITION BY key)"
-    keys = materialize(
-        linked.select("f1", F.explode("keys").alias("key"))
-        .selectExpr("key", "f1", f"min(f1) {window} AS lo", f"max(f1) {window} AS hi").where("lo < hi")
-        .select("key", "f1", "lo").distinct(), "jaccard-keys")
+        .agg(F.min("doc_id").alias("id"), F.first("band").alias("band"), F.first("bits").alias("bits"),
+             F.first("keys").alias("keys")), "jaccard-whole")
     rows = materialize(signed.drop("band", "keys", "bits"), "jaccard-rows")
     release(signed)
+    classes = materialize(whole.drop("keys"), "jaccard-classes")
+    spread = whole.select(F.explode("keys").alias("key"), "f1", "n")
+    shared = materialize(
+        spread.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo < hi").select("key", "lo"),
+        "jaccard-shared")
+    keys = materialize(likely_members(spread, F.col("key"), shared, F.col("key")).where("_maybe").drop("_maybe")
+                       .join(shared, "key"), "jaccard-keys")
+    release(whole, shared)
+    near = (4 * F.col("n") >= 3 * F.col("zn")) & (4 * F.col("zn") >= 3 * F.col("n"))
 
     def sides(pairs: DataFrame) -> DataFrame:
         """(lo, f1) checksum pairs -> likely pairs of classes."""
@@ -353,12 +446,11 @@ def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
             F.col("q.id").alias("a"), F.col("q.f1").alias("af"), F.col("p.id").alias("b"), F.col("p.f1").alias("bf"))
 
     def mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
-        """(key, f1, c) of the keys whose classes lie in different components ``c``."""
-        of_class = classes.select("f1").join(found.withColumnRenamed("id", "f1"), "f1", "left").select(
-            "f1", F.coalesce("component_id", "f1").alias("c"))
-        return (rows.select("key", "f1").join(of_class, "f1")
-                .selectExpr("key", "f1", "c", f"min(c) {window} AS lo", f"max(c) {window} AS hi")
-                .where("lo < hi").select("key", "f1", "c").distinct())
+        """(key, f1, n, c) of the keys whose classes lie in different components ``c``."""
+        of_class = found.select(F.col("id").alias("f1"), F.col("component_id").alias("c"))
+        told = rows.select("key", "f1", "n").join(of_class, "f1", "left").withColumn("c", F.coalesce("c", "f1"))
+        several = told.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        return told.join(several, "key", "left_semi").select("key", "f1", "n", "c")
 
     def join_up(links: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         more = verify(docs, pairs)
@@ -367,7 +459,9 @@ def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
         return links, materialize(components(links), "jaccard-components")
 
     # One centre for all keys first: the class with the least checksum of the key.
-    first = materialize(sides(keys.where("f1 <> lo").select("lo", "f1").distinct()), "jaccard-pairs")
+    first = (keys.where("f1 != lo").select("lo", "f1", "n").distinct()
+             .join(classes.select(F.col("f1").alias("lo"), F.col("n").alias("zn")), "lo").where(near))
+    first = materialize(sides(first.select("lo", "f1")), "jaccard-pairs")
     links, found = join_up(None, first)
     # Then another centre for every key: a class meets about as many members of a
     # group as it has keys, so few groups are left in pieces.
@@ -376,9 +470,10 @@ def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
     lists = materialize(one_key_per_list(several), "jaccard-lists")
     release(several)
     for turn in range(STAR_TURNS):
-        centre = F.min(F.struct(F.xxhash64("f1", "key", F.lit(turn)), F.col("f1").alias("lo"), F.col("c").alias("zc"))).over(
-            Window.partitionBy("key")).alias("z")
-        stars = lists.select("f1", "c", centre).where("z.zc <> c").select(F.col("z.lo").alias("lo"), "f1").distinct()
+        centre = lists.groupBy("key").agg(F.min(F.struct(
+            F.xxhash64("f1", "key", F.lit(turn)), F.col("f1").alias("lo"), F.col("c").alias("zc"), F.col("n").alias("zn"))).alias("z"))
+        stars = (lists.join(centre.select("key", "z.lo", "z.zc", "z.zn"), "key")
+                 .where((F.col("zc") != F.col("c")) & near).select("lo", "f1").distinct())
         pairs = materialize(sides(stars), "jaccard-pairs")
         if pairs.isEmpty():
             release(pairs)

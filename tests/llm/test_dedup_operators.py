@@ -343,3 +343,46 @@ def test_jaccard_frees_its_intermediates(spark, tmp_path):
     assert got == {i: i % 7 for i in range(60)}
     left = {d.rsplit("-", 1)[0] for d in set(os.listdir(root)) - before}
     assert not left & {"jaccard-signatures", "jaccard-keys", "jaccard-sets", "jaccard-pairs", "jaccard-mixed", "jaccard-lists", "jaccard-tiles"}
+
+
+@pytest.mark.parametrize("tail, linked", [(30, False), (24, True)])
+def test_template_pages_leave_a_chunk_as_rows_not_as_pairs(spark, monkeypatch, tail, linked):
+    """200 pages of one template, all just below or just above the threshold, in several chunks."""
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 64)
+    monkeypatch.setattr(jaccard, "STAR_TURNS", 0)
+    written = {}
+
+    def tile_pairs(lists, classes):
+        got = plain(lists, classes)
+        written["pairs"], written["rows"] = got.where("b IS NOT NULL").count(), got.where("chunk IS NOT NULL").count()
+        return got
+
+    plain = jaccard.tile_pairs
+    monkeypatch.setattr(jaccard, "tile_pairs", tile_pairs)
+    template = [f"t{i}" for i in range(176)]
+    rows = [(k, " ".join(template + [f"own{k}x{i}" for i in range(tail)])) for k in range(200)]
+    got = by_row(jaccard.jaccard_components(documents(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == [(k, 176 + tail - 4, 0 if linked else k) for k in range(200)] == brute_jaccard(rows)
+    if not linked:
+        assert written["rows"] > 0 and written["pairs"] < 1000
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_forest_connects_exactly_the_linked_sets(seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "DENSE_COLUMNS", 16)
+    rng = np.random.default_rng(seed)
+    core = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(40):
+        mine = core[rng.random(60) < rng.choice([0.8, 0.95])]
+        sets.append(np.unique(np.concatenate([mine, rng.integers(0, 1 << 63, int(rng.integers(0, 12)), dtype=np.uint64)])))
+    left, right = (np.arange(20), np.arange(20, 40)) if seed % 2 else (np.arange(40), np.arange(40))
+
+    def linked(a, b):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        return 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)
+
+    edges = jaccard.forest(sets, left, right)
+    assert all(linked(a, b) for a, b in edges) and len(edges) < 40
+    want = union_find(40, [(a, b) for a in left.tolist() for b in right.tolist() if linked(a, b)])
+    assert union_find(40, edges) == want
