@@ -24,6 +24,8 @@ from pactum.session import scratch_path
 
 #: Bytes of text handled at once by vectorised code; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
+#: Bytes of text that ``map_rows`` hands on at once: its callers hold words as Python objects.
+MAP_BYTES = 1 << 19
 #: Bits of a filter that names rows to be looked at more closely (1 MiB, whatever the input).
 FILTER_BITS = 1 << 23
 
@@ -72,7 +74,7 @@ def map_rows(df: DataFrame, inputs: dict[str, Column], fields: list[T.StructFiel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for part in row_blocks(batch):
+            for part in row_blocks(batch, limit=MAP_BYTES):
                 got = step(part)
                 yield pa.RecordBatch.from_arrays(
                     [as_arrow(got[n] if n in got else part.column(n), arrow.field(n).type if n != "row" else None)

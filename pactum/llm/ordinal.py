@@ -55,7 +55,7 @@ class Hasher(dict):
         self.n = n_features
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         word = token.lower()
         k = self.number(word) | self.number(word[:4] + "*") << 32
