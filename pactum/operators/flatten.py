@@ -6,6 +6,8 @@ the row and the explodes never shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,24 +19,35 @@ def full_text(paragraphs: Column) -> Column:
     return F.array_join(F.transform(paragraphs, lambda p: p["context"]), PARAGRAPH_SEP)
 
 
-MAX_SCAN_PASSES = 31  # arrays of up to 2**31 elements
+#: Elements of an array that are summed at a time.
+SUM_CHUNK = 64
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a Python variable would put the
+    whole expression at each of its uses, and inside a lambda none is shared."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(lens: Column) -> Column:
+    """0 and the running sums, one element more than ``lens``; for short arrays (each step copies the sums so far)."""
+    return F.aggregate(lens, F.array(F.lit(0).cast("bigint")),
+                       lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
 
 
 def exclusive_sums(lens: Column) -> Column:
     """Running sum of an array of BIGINTs, each element without itself.
 
-    Computed inside the row (no window and no shuffle) as a Hillis-Steele
-    scan: pass ``k`` adds the element ``2**k`` positions back, and an array of
-    p elements runs only the ceil(log2 p) passes it needs -- O(p log p).  The
-    passes are an ``aggregate`` whose accumulator is the array itself, so the
-    expression does not grow with the number of passes."""
-    passes = F.filter(F.sequence(F.lit(0), F.lit(MAX_SCAN_PASSES - 1)),
-                      lambda k: F.pow(F.lit(2), k).cast("int") < F.size(lens))
-    inclusive = F.aggregate(
-        passes, lens,
-        lambda acc, k: F.transform(
-            acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), F.lit(0).cast("bigint"))))
-    return F.zip_with(inclusive, lens, lambda s_, n: s_ - n)
+    Computed inside the row (no window and no shuffle) in chunks of ``SUM_CHUNK``
+    elements: the sums in each chunk, the sums of the chunks, and the one added
+    to the other, so an element costs a few steps whatever the array's length."""
+    def summed(a):
+        last = F.greatest(F.ceil(F.size(a) / SUM_CHUNK).cast("int") - 1, F.lit(0))
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda j: _running(F.slice(a, j * SUM_CHUNK + 1, SUM_CHUNK)))
+        return bound(chunks, lambda parts: bound(
+            _running(F.transform(parts, lambda p: F.element_at(p, -1))), lambda bases: F.flatten(F.transform(
+                parts, lambda p, j: F.transform(F.slice(p, 1, F.size(p) - 1), lambda s: s + F.get(bases, j))))))
+    return bound(lens, summed)
 
 
 def paragraph_bases(paragraphs: Column) -> Column:

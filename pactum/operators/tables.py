@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pactum.operators.flatten import flat_annotations, full_text
 from pactum.operators.ids import dense_ids
+from pactum.session import scratch_path
 
 
 # Every annotation column is NOT NULL.
@@ -28,6 +29,10 @@ def annotations_table(nested: DataFrame, contract_id_col: str = "contract_id",
     through the explode, so no title join (J1) is needed.  ``check_text`` adds
     the ``text_matches`` report column (computed inside each contract row)."""
     flat = flat_annotations(nested, keep=["contract_seq", contract_id_col], check_text=check_text)
+    # Flattened once: both the sampling of the ranges and their shuffle read the stored rows.
+    path = scratch_path(nested.sparkSession, "annotations")
+    flat.write.parquet(path)
+    flat = nested.sparkSession.read.schema(flat.schema).parquet(path)
     with_ids = dense_ids(flat, ["contract_seq", "para_idx", "qa_idx", "ans_idx"], "id")
     return with_ids.select(
         "id", F.col(contract_id_col).cast("bigint").alias("contract_id"), "clause_type", "text",
