@@ -35,7 +35,7 @@ PUSHED_VALUES = 10_000
 MARGIN = 1e-9
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -95,28 +95,29 @@ def rank_lists(index: BlockIndex, lists: DataFrame) -> Ranking:
     toks = query_tokens(lists).withColumnRenamed("query_id", "list_key")
     keywords = toks.groupBy("list_key", "kw_idx", "n_tok").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tok_idx", "token"))), lambda x: x["token"]), " ").alias("term"))
-    keywords = _stored(keywords, "search-keywords")  # small stored tables: Spark knows their sizes and broadcasts below its limit
+    keywords = stored(keywords, "search-keywords")  # small stored tables: Spark knows their sizes and broadcasts below its limit
     words = keywords.where("n_tok > 1").select("term", "n_tok").distinct().select(
         "term", "n_tok", F.posexplode(F.split("term", " ")).alias("tok_idx", "token"))
     single = keywords.where("n_tok = 1").select(F.col("term").alias("token")).distinct()
     own = _pushed(index.table("blocks"), "token", single).select(
         F.col("token").alias("term"), "block", "n", "top", "ids", "lens", "tfs")
-    terms = own.join(single.withColumnRenamed("token", "term"), "term", "left_semi")
+    # Read once: the batch's rows serve frequencies, bounds and both scorings.
+    terms = stored(own.join(single.withColumnRenamed("token", "term"), "term", "left_semi"), "search-own")
     if words.limit(1).count():
-        terms = terms.unionByName(_stored(phrase_blocks(index, words), "search-phrases"))
+        terms = terms.unionByName(stored(phrase_blocks(index, words), "search-phrases"))
 
     df = terms.groupBy("term").agg(F.sum("n").alias("df"))  # at most one row per term of the batch
     raw = F.log((index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(BM25_IDF_FLOOR)).otherwise(raw)
     n_kw = keywords.groupBy("list_key").agg(F.count(F.lit(1)).alias("n_kw"))
-    asked = _stored(keywords.join(n_kw, "list_key").join(df, "term").select("list_key", "kw_idx", "term", "n_kw", idf.alias("idf")),
+    asked = stored(keywords.join(n_kw, "list_key").join(df, "term").select("list_key", "kw_idx", "term", "n_kw", idf.alias("idf")),
                     "search-terms")
     bounds = terms.select("term", "block", "top").join(asked, "term").groupBy("list_key", "n_kw", "block").agg(
         F.count(F.lit(1)).alias("m"), F.sum(F.col("idf") * F.col("top")).alias("bound")).where("m = n_kw")
     best = Window.partitionBy("list_key").orderBy(F.col("bound").desc(), "block")
-    candidates = _stored(bounds.select("list_key", "block", "bound"), "search-candidates")
+    candidates = stored(bounds.select("list_key", "block", "bound"), "search-candidates")
     first = candidates.withColumn("place", F.row_number().over(best)).where(F.col("place") <= FIRST_BLOCKS).drop("place")
-    scored_first = _stored(_score(index, terms, asked, first), "search-first")
+    scored_first = stored(_score(index, terms, asked, first), "search-first")
     by_score = Window.partitionBy("list_key").orderBy("score", "contract_id")
     tenth = scored_first.withColumn("place", F.row_number().over(by_score)).where(F.col("place") == MAX_SEARCH_RESULTS) \
         .select("list_key", (-F.col("score")).alias("least"))
@@ -128,7 +129,7 @@ def rank_lists(index: BlockIndex, lists: DataFrame) -> Ranking:
     top = scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= MAX_SEARCH_RESULTS)
     done = first.select("list_key", "block").unionByName(rest.select("list_key", "block")).withColumn("scored", F.lit(True))
     report = candidates.join(done, ["list_key", "block"], "left").withColumn("scored", F.coalesce("scored", F.lit(False)))
-    return Ranking(_stored(top, "search-top"), report)
+    return Ranking(stored(top, "search-top"), report)
 
 
 def _score(index: BlockIndex, terms: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def snippets(index: BlockIndex, top: DataFrame, lists: DataFrame) -> DataFrame:
         "list_key", "contract_id", F.col("best.col").alias("col"), F.col("best.start").alias("w0"),
         F.filter("spans", lambda x: (x["col"] == F.col("best.col")) & (x["stop"] >= F.col("best.start") - SNIPPET_TOKENS)
                  & (x["start"] < F.col("best.start") + SNIPPET_TOKENS)).alias("spans"))
-    best = _stored(best, "search-windows")
+    best = stored(best, "search-windows")
     texts = _pushed(index.table("texts"), "contract_id", top).join(best, "contract_id")
     n = F.when(F.col("col") == 0, F.col("n_title")).otherwise(F.col("n_body"))
     texts = texts.withColumn("n", n).withColumn("a", F.greatest(F.lit(0), F.least("w0", F.col("n") - SNIPPET_TOKENS)))
@@ -232,7 +233,8 @@ def _marked() -> Column:
 
 
 def _fan_out(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits of each list to every query that asked it, each with its own cap."""
+    """Hits of each list (stored, so that a few are broadcast) to every query that asked it, each with its own
+    cap: the queries are not shuffled, however many ask the same list."""
     return hits.join(queries, "list_key").where(F.col("rank") <= F.col("_k"))
 
 
@@ -241,7 +243,7 @@ def search(index: BlockIndex, queries: DataFrame) -> DataFrame:
     lists, q = keyword_lists(queries)
     ranking = rank_lists(index, lists)
     titles = _pushed(index.table("texts").select("contract_id", "title"), "contract_id", ranking.top)
-    hits = ranking.top.join(titles, "contract_id")
+    hits = stored(ranking.top.join(titles, "contract_id"), "search-hits")
     return _fan_out(hits, q).select("query_id", F.col("rank").cast("bigint").alias("rank"), "contract_id", "title", "score")
 
 
@@ -250,6 +252,6 @@ def search_with_snippets(index: BlockIndex, queries: DataFrame) -> DataFrame:
     lists, q = keyword_lists(queries)
     ranking = rank_lists(index, lists)
     shown = snippets(index, ranking.top, lists)
-    hits = ranking.top.join(shown, ["list_key", "contract_id"])
+    hits = stored(ranking.top.join(shown, ["list_key", "contract_id"]), "search-hits")
     return _fan_out(hits, q).select("query_id", F.col("rank").cast("bigint").alias("rank"), "contract_id", "title", "score",
                                     "snippet_col", "snippet")
