@@ -85,3 +85,35 @@ def test_replies_are_said_once_per_contract_and_search(spark):
 def test_hits_meet_queries_without_a_shuffle(spark):
     plan = final_plan(E.queries()["search_replay"](spark, SF_SMALL))
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_scenarios_are_built_once_per_query(spark, monkeypatch):
+    """Runs and schedule, or runs and trajectories, share one table of annotations."""
+    built = []
+    old = table_ops.annotations_table
+    monkeypatch.setattr(table_ops, "annotations_table", lambda *a, **k: (built.append(1), old(*a, **k))[1])
+    for name in ("conversation_trajectories", "step_groups"):
+        built.clear()
+        E.queries()[name](spark, SF_SMALL)
+        assert len(built) == 1, name
+
+
+def test_contracts_are_validated_once(spark):
+    assert "parse_json" not in final_plan(E.queries()["load_nested"](spark, SF_SMALL)) and \
+        "try_variant_get" not in final_plan(E.queries()["load_nested"](spark, SF_SMALL))
+
+
+def test_a_turn_logged_twice_is_answered_twice(spark, tmp_path):
+    """Documents with one id make a run's turns twice: each reply then lists each hit twice."""
+    import os
+    os.makedirs(tmp_path / "sf", exist_ok=True)
+    for t in os.listdir(SF_SMALL):
+        if t != "documents.parquet":
+            os.symlink(f"{SF_SMALL}/{t}", tmp_path / "sf" / t)
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    docs.unionByName(docs.where("doc_id < 40")).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    rows = E.queries()["tool_reply"](spark, str(tmp_path / "sf")).where("role = 'tool'").collect()
+    times = {}
+    for r in rows:
+        times.setdefault((r.trajectory_id, r.turn), []).append(r.content_md5)
+    assert any(len(v) > 1 for v in times.values())
