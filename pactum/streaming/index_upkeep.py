@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactum.operators import textindex as ti
+from pactum.operators.sizing import broadcast_if_small
 
 CHANGE_SCHEMA = "contract_id BIGINT, version BIGINT, op STRING, title STRING, full_text STRING"
 KEY = ["contract_id", "version", "run", "batch"]
@@ -65,7 +66,7 @@ class IndexStore:
     def read(self, table: str) -> DataFrame:
         """Rows of the live contracts; a filter on the result reaches the scan."""
         live = self.newest().where("op <> 'delete'").select(*KEY)
-        return self._log(table).join(live, KEY, "left_semi")
+        return self._log(table).join(broadcast_if_small(live), KEY, "left_semi")
 
     def search_inputs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(postings, doc_stats, contracts) of the live index for ``search``."""
