@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactum.llm.common import map_rows
+from pactum.llm.common import WORD_BYTES, map_rows
 from pactum.llm.pieces import _BASE, Pieces
 
 #: Distinct characters' worth of words in one trie, at most (or one word).
@@ -110,4 +110,4 @@ def token_counts(docs: DataFrame, path: str | None = None, carry: bool = False)
             return {"n_words": list(map(len, split)), "n_tokens": [sum(map(get, words)) for words in split]}
         return step
 
-    return map_rows(docs, {"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text")}, RESULT, make, carry)
+    return map_rows(docs, {"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text")}, RESULT, make, carry, WORD_BYTES)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactum.llm.common import map_rows
+from pactum.llm.common import WORD_BYTES, map_rows
 from pactum.llm.pieces import Pieces, poly_hash
 
 #: Characters of equal-length words that advance together, at most (or one word).
@@ -128,7 +128,7 @@ def encode(docs: DataFrame, path: str | None = None, carry: bool = False) -> Dat
             return {"ids": pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))}
         return step
 
-    return map_rows(docs, {"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text")}, fields, make, carry)
+    return map_rows(docs, {"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text")}, fields, make, carry, WORD_BYTES)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
