@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from pactum.llm import common, viterbi
 
 
@@ -21,3 +22,11 @@ def test_words_of_equal_length_come_in_large_blocks(spark, monkeypatch):
     monkeypatch.setattr(viterbi, "map_rows", lambda *a: seen.append(a[-1]))
     viterbi.encode(docs)
     assert seen == [common.WORD_BYTES]
+
+
+def test_pipeline_hands_on_small_batches(spark):
+    docs = spark.range(2_500, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    before = spark.conf.get(corpus_pipeline.BATCH_KEY)
+    with corpus_pipeline.small_batches(spark):
+        assert rows_at_once(docs) == corpus_pipeline.BATCH_ROWS
+    assert spark.conf.get(corpus_pipeline.BATCH_KEY) == before
