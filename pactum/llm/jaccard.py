@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.common import likely_members, materialize, release, row_blocks, text_offsets
+from pactum.llm.common import bounded_batches, likely_members, materialize, release, row_blocks, text_offsets
 from pactum.llm.graph import components
 from pactum.llm.shingles import BLOCK_BYTES, fingerprint, shingle_sets
 
@@ -96,6 +96,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             yield part, shingle_sets(*text_offsets(part.column("text")))
 
 
+def frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes sorted, counts) of those that stand in ``FREQUENT`` of the sets or more; takes the sets
+    out of the list.  Beside the hashes, sorted in their place, only the frequent ones take memory."""
+    hashes = np.concatenate(held)
+    held.clear()
+    hashes.sort()
+    key = np.unique(hashes[FREQUENT - 1:][hashes[FREQUENT - 1:] == hashes[: max(len(hashes) - FREQUENT + 1, 0)]])
+    return key, np.searchsorted(hashes, key, side="right") - np.searchsorted(hashes, key)
+
+
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(hashes sorted, counts) of the shingles that many different sets hold, at
     most ``MAX_FREQUENT`` of them."""
@@ -106,9 +116,8 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         size = 0
 
         def finish() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            some = n >= FREQUENT
-            return pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(n[some])], names=["key", "n"])
+            key, n = frequent(held)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
         for _, sets in _sets(batches):
             for own in sets:
@@ -418,6 +427,12 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``_connect`` in batches of bounded size: a pair of sets is large, and all of it runs here."""
+    with bounded_batches(docs.sparkSession):
+        return _connect(docs)
+
+
+def _connect(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Checksums of the rows' sets, the classes, links (a, b) between classes, told by
     f1, that connect all linked ones, and the components (id, component_id) of them."""
     signed = materialize(signatures(docs), "jaccard-signatures")

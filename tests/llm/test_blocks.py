@@ -1,10 +1,11 @@
 """Sizes of what Python workers get at once."""
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from pactum.llm import common, viterbi
+from pactum.llm import common, jaccard, viterbi
 
 
 def rows_at_once(docs, **options):
@@ -30,3 +31,50 @@ def test_pipeline_hands_on_small_batches(spark):
     with corpus_pipeline.small_batches(spark):
         assert rows_at_once(docs) == corpus_pipeline.BATCH_ROWS
     assert spark.conf.get(corpus_pipeline.BATCH_KEY) == before
+
+
+def test_a_stage_by_itself_bounds_the_bytes_of_a_batch(spark, monkeypatch):
+    """The frame of a stage is run by whoever writes it, not inside ``run``."""
+    docs = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
+    monkeypatch.setattr(corpus_pipeline.line_rules, "quality_rules", lambda docs, carry: common.map_rows(
+        docs, {"text": F.col("text")}, [T.StructField("n", T.LongType()), T.StructField("clean_text", T.StringType()),
+                                        T.StructField("kept", T.BooleanType())],
+        lambda: lambda part: {"n": [part.num_rows] * part.num_rows, "clean_text": [str(part.num_rows)] * part.num_rows,
+                              "kept": [True] * part.num_rows}, carry, 1 << 30))
+    before = spark.conf.get(common.BYTES_KEY, None)
+    spark.conf.unset(common.BYTES_KEY)
+    try:
+        seen = [int(r.text) for r in corpus_pipeline.quality_rules(spark, docs, "").collect()]
+        # A row's text goes twice, alone and in its row.
+        assert len(seen) == 400 and max(seen) * 2 * 100_000 <= common.BATCH_BYTES + 2 * 100_000
+    finally:
+        spark.conf.unset(common.BYTES_KEY) if before is None else spark.conf.set(common.BYTES_KEY, before)
+
+
+def test_jaccard_and_run_bound_batches_and_put_the_bound_back(spark, monkeypatch):
+    before = spark.conf.get(common.BYTES_KEY, None)
+    spark.conf.unset(common.BYTES_KEY)
+    try:
+        seen = []
+        monkeypatch.setattr(jaccard, "_connect", lambda docs: seen.append(spark.conf.get(common.BYTES_KEY)))
+        jaccard._linked_classes(spark.range(1))
+        with corpus_pipeline.small_batches(spark):
+            corpus_pipeline.bound_batches(spark)
+            seen.append(spark.conf.get(common.BYTES_KEY))
+        assert seen == [str(common.BATCH_BYTES)] * 2 and spark.conf.get(common.BYTES_KEY, None) is None
+        spark.conf.set(common.BYTES_KEY, "1m")  # a bound of the session's own stays
+        with common.bounded_batches(spark):
+            assert spark.conf.get(common.BYTES_KEY) == "1m"
+        assert spark.conf.get(common.BYTES_KEY) == "1m"
+    finally:
+        spark.conf.unset(common.BYTES_KEY) if before is None else spark.conf.set(common.BYTES_KEY, before)
+
+
+def test_frequent_shingles_are_counted_in_place():
+    rng = np.random.default_rng(1)
+    for n, sets in ((1, 1), (3, 2), (9, 40), (300, 60)):
+        held = [np.unique(rng.integers(0, n, n).astype(np.uint64) * np.uint64(1 << 60 | 1)) for _ in range(sets)]
+        key, count = np.unique(np.concatenate(held), return_counts=True)
+        got = jaccard.frequent(held)
+        assert held == [] and (got[0] == key[count >= 4]).all() and (got[1] == count[count >= 4]).all()
+        assert len(got[0]) == (count >= 4).sum()
