@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.common import bounded_batches, likely_members, materialize, release, row_blocks, text_offsets
+from pactum.llm.common import bounded_batches, frugal, likely_members, materialize, release, row_blocks, text_offsets
 from pactum.llm.graph import components
 from pactum.llm.shingles import BLOCK_BYTES, fingerprint, shingle_sets
 
@@ -133,7 +133,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield finish()
 
-    got = (docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    got = (docs.select("text").mapInArrow(frugal(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).toArrow())
     key = got.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
@@ -169,7 +169,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 names=[*own_columns, "n_shingles", "f1", "f2", "band", "keys", "bits"])
 
     own_columns = [c for c in docs.columns if c != "text"]
-    return docs.mapInArrow(run, "".join(f"{c} bigint, " for c in own_columns) + "n_shingles bigint, f1 bigint, "
+    return docs.mapInArrow(frugal(run), "".join(f"{c} bigint, " for c in own_columns) + "n_shingles bigint, f1 bigint, "
                                 "f2 bigint, band int, keys array<bigint>, bits array<bigint>")
 
 
@@ -327,7 +327,7 @@ def tile_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
                         *[pa.nulls(len(a), pa.int64())] * 5]
             yield pa.RecordBatch.from_arrays(some, names=["a", "af", "b", "bf", *GROUP, "chunk"])
 
-    found = rows.mapInArrow(run, "a bigint, af bigint, b bigint, bf bigint, lo bigint, tile bigint, i bigint, j bigint, "
+    found = rows.mapInArrow(frugal(run), "a bigint, af bigint, b bigint, bf bigint, lo bigint, tile bigint, i bigint, j bigint, "
                                  "chunk bigint")
     # The same pair from two groups may come in either order.
     swap = F.col("af") > F.col("bf")
@@ -356,7 +356,7 @@ def dense_links(chunks: DataFrame, own: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f[x] for x, _ in edges], pa.int64()),
                                               pa.array([f[y] for _, y in edges], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -400,7 +400,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 [part.column("doc_id"), pa.array([fingerprint(s)[0] for s in sets], pa.int64()),
                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "f", "own"])
 
-    own = materialize(texts.select("doc_id", "text").mapInArrow(arrays, "id bigint, f bigint, own binary"), "jaccard-sets")
+    own = materialize(texts.select("doc_id", "text").mapInArrow(frugal(arrays), "id bigint, f bigint, own binary"), "jaccard-sets")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,7 +417,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     right = own.select(F.col("id").alias("b"), F.col("f").alias("bf"), F.col("own").alias("xb"))
     alone = pairs.where("b IS NOT NULL").select("a", "af", "b", "bf")
     both = alone.join(right, ["b", "bf"]).join(left, ["a", "af"]).select("af", "bf", "xa", "xb")
-    found = both.mapInArrow(exact, "a bigint, b bigint")
+    found = both.mapInArrow(frugal(exact), "a bigint, b bigint")
     if "chunk" in pairs.columns:
         dense = pairs.where("chunk IS NOT NULL").select(*GROUP, "chunk", F.col("a").alias("id"), F.col("af").alias("f"))
         found = found.union(dense_links(dense, own))

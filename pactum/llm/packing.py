@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.common import materialize, row_blocks
+from pactum.llm.common import frugal, materialize, row_blocks
 from pactum.llm.subwords import encoder
 
 CAPACITY = 4096
@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                     names=["doc_id", "piece", "start", "length", "ids", "ids_crc32", "nth", "task"])
 
     made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, nth bigint, task int")
+        frugal(run), "doc_id bigint, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, nth bigint, task int")
     return materialize(made, "pieces")
 
 
@@ -198,4 +198,4 @@ def place(numbered: DataFrame, table: dict[str, np.ndarray], with_ids: bool) ->
                  pa.array(t["offset"][at] + nth % copies * length)], names=[*kinds, "sequence_id", "offset"])
 
     return numbered.select(*kinds, "rank").mapInArrow(
-        run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", sequence_id bigint, offset bigint")
+        frugal(run), ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", sequence_id bigint, offset bigint")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactum.llm.common import likely_members, materialize, mix64, row_blocks, text_offsets
+from pactum.llm.common import frugal, likely_members, materialize, mix64, row_blocks, text_offsets
 from pactum.llm.cover_sort import repeats
 from pactum.llm.shingles import _BACK, _STEP, _powers, _tables
 
@@ -194,7 +194,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                  pa.array(again), pa.array(count)], names=["th", "run", "key", "again", "counted"])
 
     long = docs.where(F.octet_length("text") >= length)
-    rows = long.select("th", "text").mapInArrow(keys, "th bigint, run int, key bigint, again boolean, counted boolean")
+    rows = long.select("th", "text").mapInArrow(frugal(keys), "th bigint, run int, key bigint, again boolean, counted boolean")
     # Rows that needn't be counted are spread by a salt.
     window = "OVER (PARTITION BY key, salt)"
     shared = (rows.selectExpr("th", "run", "key", "again", "CASE WHEN counted THEN 0 ELSE xxhash64(th, run) END AS salt")
@@ -205,7 +205,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = materialize(shared.join(firsts, "th"), "suffix-runs")
     texts = likely_members(long.select("id", "th", "text"), F.col("th"), wanted, F.col("th")).where("_maybe")
     ctx = materialize(texts.select("id", "th", "text").join(wanted, ["id", "th"])
-                      .mapInArrow(lambda it: _contexts(it, length),
+                      .mapInArrow(frugal(lambda it: _contexts(it, length)),
                                   "key bigint, id bigint, th bigint, lo bigint, hi bigint, ctx binary"), "suffix-contexts")
     at_once = ctx.where("ctx IS NULL").select("id", "th", "lo", "hi")
     ranked = (ctx.where("ctx IS NOT NULL")
@@ -215,7 +215,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     different = materialize(different.where("n > 1"), "suffix-buckets")
     sortable = (different.where(F.col("n") <= HOT_CONTEXTS).drop("n")
                 .repartition("key").sortWithinPartitions("key"))
-    found = sortable.mapInArrow(lambda it: _sorted_repeats(it, length), "id bigint, th bigint, lo bigint, hi bigint")
+    found = sortable.mapInArrow(frugal(lambda it: _sorted_repeats(it, length)), "id bigint, th bigint, lo bigint, hi bigint")
     hot = (different.where(F.col("n") > HOT_CONTEXTS)
            .select("id", "th", "lo", "ctx", F.explode(F.sequence(F.lit(0), (F.col("hi") - F.col("lo")).cast("int"))).alias("o"))
            .selectExpr("id", "th", "lo + o AS lo", f"substring(ctx, o + 1, {length}) AS w")
@@ -293,7 +293,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=["doc_id", *names])
 
-    return both.mapInArrow(cut, schema)
+    return both.mapInArrow(frugal(cut), schema)
 
 
 def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -322,7 +322,7 @@ def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     [pa.array(texts, pa.string()), pa.array(removed, pa.int64()), part.column("row")],
                     names=["text", "n_removed", "row"]).filter(pa.array(stays))
 
-    rows = joined.select("text", "runs", "copy", "row").mapInArrow(cut, schema).unionByName(
+    rows = joined.select("text", "runs", "copy", "row").mapInArrow(frugal(cut), schema).unionByName(
         alone.select("text", F.lit(0).cast("bigint").alias("n_removed"), "row"))
     return rows.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
                        F.col("n_removed").alias("removed" + "_" * max(map(len, docs.columns))))  # no column's name

@@ -1,11 +1,14 @@
 """Sizes of what Python workers get at once."""
 
+import re
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from pactum.llm import common, jaccard, viterbi
+from pactum.llm import common, jaccard, packing, suffix_dedup, viterbi
 
 
 def rows_at_once(docs, **options):
@@ -78,3 +81,47 @@ def test_frequent_shingles_are_counted_in_place():
         got = jaccard.frequent(held)
         assert held == [] and (got[0] == key[count >= 4]).all() and (got[1] == count[count >= 4]).all()
         assert len(got[0]) == (count >= 4).sum()
+
+
+def held_mb():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+
+def test_a_worker_gives_back_what_its_task_has_freed():
+    """Arrow's pool kept the most that a task had taken, for as long as the worker lived."""
+    def run(batches):
+        for batch in batches:
+            made = [pa.array([b"x" * 1000] * 1000) for _ in range(150)]
+            del made[::2]
+            peak.append(held_mb())
+            yield batch
+
+    batch, peak = pa.RecordBatch.from_pydict({"n": [1, 2, 3]}), []
+    common.give_back()
+    before = held_mb()
+    assert [b.num_rows for b in common.frugal(run)(iter([batch] * 3))] == [3] * 3
+    assert max(peak) > before + 60 and held_mb() < before + 20
+
+
+def test_a_worker_gives_back_within_a_long_task(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(len(seen)))
+    monkeypatch.setattr(common, "GIVE_BACK_BYTES", 2_000)
+    batch, seen = pa.RecordBatch.from_pydict({"n": np.arange(125)}), []  # 1,000 bytes
+    for b in common.frugal(lambda batches: batches)(iter([batch] * 5)):
+        seen.append(b)
+    assert calls == [2, 4, 5] and all(b.equals(batch) for b in seen)
+
+
+def test_all_python_work_of_the_stages_is_frugal(spark, monkeypatch):
+    used, kind = [], type(spark.range(0))
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: used.append(f.__qualname__) or plain(self, f, *a, **b))
+    docs = spark.range(6, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(
+        F.repeat(F.lit("some words of one text that are repeated "), 9), (F.col("id") % 2).cast("string")).alias("text"))
+    rows_at_once(docs)
+    assert jaccard.keep_one(docs).count() == 1
+    assert suffix_dedup.cut_documents(docs).count() > 0
+    assert packing.pack(docs).count() == 6
+    assert len(used) > 8 and set(used) == {"frugal.<locals>.wrapped"}
